@@ -93,7 +93,7 @@ class Catalog:
     @cached_property
     def facts(self) -> DataFrame:
         return self._each(
-            lambda df: column_facts(df, self.cfg, {"numeric", "years", "bytes"}).drop(
+            lambda df: column_facts(df, self.cfg, {"years", "bytes"}).drop(
                 *[f"sep_{i}" for i in (1, 2, 3)], "empty_string", "whitespace_only",
                 "avg_len", "min_len", "max_len"),
             "ds int, column string, position bigint, dtype string, type_class string, rows bigint, "

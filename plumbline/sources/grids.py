@@ -6,7 +6,7 @@ sheet), `row_no`, which orders the rows of a table, and `cells`, an array of str
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.columns import is_blank, quoted, strip
 
@@ -23,23 +23,21 @@ def has_text(cells: Column) -> Column:
     return F.exists(cells, lambda c: c.isNotNull() & ~is_blank(c))
 
 
-def _numbered(names: Column) -> Column:
-    """Append __1, __2 ... to the second, third ... occurrence of a name."""
-    def fix(name: Column, i: Column) -> Column:
-        seen = F.size(F.filter(F.slice(names, F.lit(1), i), lambda other: other == name))
-        return F.when(seen > 0, F.concat(name, F.lit("__"), seen.cast("string"))).otherwise(name)
-    return F.transform(names, fix)
+def repaired_names(header: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, pos, name) from (*keys, pos, cell): usable column names.
 
-
-def repaired_header(cells: Column, passes: int = 2) -> Column:
-    """Usable column names: stripped, col_<position> for blanks, repeats numbered.
-
-    A second pass separates a numbered name from one that was spelt that way.
+    Cells are stripped, blanks become col_<position>, and the second, third ... of equal
+    names get __1, __2 ... A second round separates a numbered name from one spelt that way.
     """
-    names = F.transform(cells, lambda c, i: F.when(
-        c.isNull() | is_blank(c), F.concat(F.lit("col_"), (i + 1).cast("string"))).otherwise(strip(c)))
-    for _ in range(passes):
-        names = _numbered(names)
+    cell = F.col("cell")
+    names = header.select(*keys, "pos", F.when(
+        cell.isNull() | is_blank(cell), F.concat(F.lit("col_"), (F.col("pos") + 1).cast("string")))
+        .otherwise(strip(cell)).alias("name"))
+    for _ in range(2):
+        seen = F.row_number().over(Window.partitionBy(*keys, "name").orderBy("pos")) - 1
+        names = names.withColumn("seen", seen).select(*keys, "pos", F.when(
+            F.col("seen") > 0, F.concat("name", F.lit("__"), F.col("seen").cast("string")))
+            .otherwise(F.col("name")).alias("name"))
     return names
 
 
@@ -48,10 +46,13 @@ def headers(grid: DataFrame, keys: list[str]) -> DataFrame:
 
     A table without one is missing here: it is empty and has no columns.
     """
-    return (grid.where(has_text(F.col("cells"))).groupBy(*keys)
-            .agg(F.min("row_no").alias("header_row"), F.min_by("cells", "row_no").alias("cells"))
-            .withColumn("names", F.col("cells")).select(*keys, "header_row", "names")
-            .withColumn("names", repaired_header(F.col("names"))))
+    first = (grid.where(has_text(F.col("cells"))).groupBy(*keys)
+             .agg(F.min("row_no").alias("header_row"), F.min_by("cells", "row_no").alias("cells")))
+    long = first.select(*keys, "header_row", F.posexplode("cells").alias("pos", "cell"))
+    named = repaired_names(long, [*keys, "header_row"])
+    # One list per table, as long as its header is wide.
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"])
+    return named.groupBy(*keys, "header_row").agg(listed.alias("names"))
 
 
 def body(grid: DataFrame, header_row: int, names: list[str], max_rows: int | None = None) -> DataFrame:
