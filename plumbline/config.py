@@ -94,3 +94,4 @@ class ProfileConfig:
     rank_group_rows: int = 200_000
     rank_sketch_k: int = 4096
     merge_slots: int = 64
+    parallel_tables: int = 8

@@ -1,13 +1,28 @@
-"""Column references, type classes and null-aware expressions."""
+"""Column references, type classes and null-aware expressions.
+
+Expressions repeated for every column of a table are SQL text: a table of a thousand columns
+becomes one call to Spark instead of many thousands.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+WHITE_SPACE_ENDS = r"(?U)^\s+|\s+$"
+BLANK = r"(?U)\A\s*\z"
+
 
 def quoted(name: str) -> Column:
     """The column called exactly `name`, whatever dots, spaces or backticks it holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(ref(name))
+
+
+def ref(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -41,40 +56,46 @@ def fields(df: DataFrame, keep=lambda dtype: True) -> list[T.StructField]:
     return [f for f in df.schema.fields if keep(f.dataType)]
 
 
-def as_number(field: T.StructField) -> Column:
+def only(df: DataFrame, kept: list[T.StructField]) -> DataFrame:
+    return df.selectExpr(*[ref(f.name) for f in kept])
+
+
+def number(field: T.StructField) -> str:
     """A numeric column as double, with NaN read as missing and -0.0 as 0.0."""
-    c = quoted(field.name).cast("double")
+    c = f"cast({ref(field.name)} as double)"
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        c = F.nanvl(c, F.lit(None).cast("double")) + F.lit(0.0)
+        return f"(nanvl({c}, cast(null as double)) + 0D)"
     return c
 
 
-def as_text(field: T.StructField) -> Column:
+def text(field: T.StructField) -> str:
     """A column's value as one string; nested values become JSON."""
-    c = quoted(field.name)
-    if isinstance(field.dataType, T.MapType):
-        c = F.array_sort(F.map_entries(c))  # equal maps may list their entries differently
-    if is_nested(field.dataType):
-        return F.to_json(c, {"ignoreNullFields": "false",
-                             "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
-                             "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"})
-    if isinstance(field.dataType, T.BinaryType):
-        return F.hex(c)
-    if isinstance(field.dataType, T.TimestampType):
+    c, dtype = ref(field.name), field.dataType
+    if isinstance(dtype, T.MapType):
+        c = f"array_sort(map_entries({c}))"  # equal maps may list their entries differently
+    if is_nested(dtype):
+        return (f"to_json({c}, map('ignoreNullFields', 'false', "
+                "'timestampFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSSXXX', "
+                "'timestampNTZFormat', 'yyyy-MM-dd HH:mm:ss.SSSSSS'))")
+    if isinstance(dtype, T.StringType):
+        return c
+    if isinstance(dtype, T.BinaryType):
+        return f"hex({c})"
+    if isinstance(dtype, T.TimestampType):
         # The text form of an instant is ambiguous when clocks go back.
-        return F.unix_micros(c).cast("string")
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        c = c + F.lit(0.0).cast(field.dataType)
-    return c.cast("string")
+        return f"cast(unix_micros({c}) as string)"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return f"cast({c} + cast(0 as {dtype.simpleString()}) as string)"
+    return f"cast({c} as string)"
 
 
 def strip(c: Column) -> Column:
     """Remove white space, Unicode kinds included, from both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, WHITE_SPACE_ENDS, "")
 
 
 def is_blank(c: Column) -> Column:
-    return c.rlike(r"(?U)\A\s*\z")
+    return c.rlike(BLANK)
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -82,18 +103,15 @@ def percent(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole) * 100.0, F.lit(0.0))
 
 
-def first_year(field: T.StructField, pattern: str) -> Column:
+def first_year(field: T.StructField, pattern: str) -> str:
     """The first year from 1900 to 2099 in the text form of a value, else null."""
-    c = quoted(field.name)
-    text = F.regexp_extract(c.cast("string"), pattern, 1)
-    found = F.when(text != "", text).cast("int")
+    c = ref(field.name)
+    shown = text(field) if is_nested(field.dataType) or isinstance(field.dataType, T.BinaryType) \
+        else f"cast({c} as string)"
+    found = f"cast(nullif(regexp_extract({shown}, {literal(pattern)}, 1), '') as int)"
     if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         # A date prints its year first, so the year itself is the first match.
-        year = F.year(c)
-        return F.when(year.between(1900, 2099), year).otherwise(found)
-    if is_nested(field.dataType) or isinstance(field.dataType, T.BinaryType):
-        text = F.regexp_extract(as_text(field), pattern, 1)
-        return F.when(text != "", text).cast("int")
+        return f"case when year({c}) between 1900 and 2099 then year({c}) else {found} end"
     return found
 
 
@@ -113,18 +131,29 @@ def fixed_width(dtype: T.DataType) -> int | None:
     return FIXED_WIDTHS.get(type(dtype))
 
 
-def logical_bytes(field: T.StructField) -> Column:
+def logical_bytes(field: T.StructField) -> str:
     """Aggregate: bytes the non-null values of a column hold, encoding apart."""
-    c, dtype = quoted(field.name), field.dataType
-    width = fixed_width(dtype)
-    if width is not None:
-        return F.count(c) * F.lit(width)
+    c, dtype = ref(field.name), field.dataType
+    if fixed_width(dtype) is not None:
+        return f"count({c}) * {fixed_width(dtype)}"
     if isinstance(dtype, T.ArrayType) and fixed_width(dtype.elementType) is not None:
-        items = F.size(F.filter(c, lambda x: x.isNotNull()))
-        return F.coalesce(F.sum(items * F.lit(fixed_width(dtype.elementType))), F.lit(0))
+        items = f"size(filter({c}, x -> x is not null))"
+        return f"coalesce(sum({items} * {fixed_width(dtype.elementType)}), 0)"
     if isinstance(dtype, T.BinaryType):
-        return F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
-    return F.coalesce(F.sum(F.octet_length(as_text(field))), F.lit(0))
+        return f"coalesce(sum(octet_length({c})), 0)"
+    return f"coalesce(sum(octet_length({text(field)})), 0)"
+
+
+def rows_of(frame: DataFrame, rows: list[dict[str, str]]) -> DataFrame:
+    """One output row per dict of column name -> SQL text, from each row of `frame`."""
+    structs = ["struct(" + ", ".join(f"{expr} as {ref(name)}" for name, expr in row.items()) + ")"
+               for row in rows]
+    return frame.selectExpr("inline(array(" + ", ".join(structs) + "))")
+
+
+def pick(values: list[str], index: str) -> str:
+    """The literal in `values` at a 0-based index, as SQL text."""
+    return f"element_at(array({', '.join(map(literal, values))}), {index} + 1)"
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

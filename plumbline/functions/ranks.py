@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.config import ProfileConfig
+from plumbline.functions.columns import pick
 
 
 @dataclass
@@ -30,13 +31,18 @@ class Target:
     value: float | None = None  # set once known
     spread: float = 1.0         # widens after a sketch missed the rank
 
-    def within(self, x: Column) -> Column:
-        cond = x.isNotNull()
+    def within(self, x: str) -> str:
+        """The value where it lies in the interval, else null."""
+        cond = f"{x} is not null"
         if self.low is not None:
-            cond = cond & (x > self.low)
+            cond += f" and {x} > {double(self.low)}"
         if self.high is not None:
-            cond = cond & (x < self.high)
-        return F.when(cond, x)
+            cond += f" and {x} < {double(self.high)}"
+        return f"case when {cond} then {x} end"
+
+
+def double(value: float) -> str:
+    return f"cast('{value!r}' as double)"
 
 
 def _chunks(items: list, size: int):
@@ -45,20 +51,19 @@ def _chunks(items: list, size: int):
 
 def _sketch_ends(df, exprs, targets, cfg) -> list[tuple[float, float]]:
     """For each target an interval that very likely holds its rank."""
-    picked = df.select((F.spark_partition_id() % cfg.merge_slots).alias("slot"),
-                       *[t.within(exprs[t.column]).alias(f"x{i}") for i, t in enumerate(targets)])
-    k = F.lit(cfg.rank_sketch_k)
-    merged = (picked.groupBy("slot")
-              .agg(*[F.kll_sketch_agg_double(f"x{i}", k).alias(f"s{i}") for i in range(len(targets))])
-              .agg(*[F.kll_merge_agg_double(f"s{i}", k).alias(f"s{i}") for i in range(len(targets))]))
+    k, each = cfg.rank_sketch_k, range(len(targets))
+    merged = (df.selectExpr(f"spark_partition_id() % {cfg.merge_slots} as slot",
+                            *[f"{t.within(exprs[t.column])} as x{i}" for i, t in enumerate(targets)])
+              .groupBy("slot").agg(*[F.expr(f"kll_sketch_agg_double(x{i}, {k}) as s{i}") for i in each])
+              .selectExpr(*[f"kll_merge_agg_double(s{i}, {k}) as s{i}" for i in each]))
     asked = []
     for i, t in enumerate(targets):
         # A KLL sketch of size k errs by about 2.3 / k^0.9 of the rows.
         error = t.spread * 2 * 2.3 / cfg.rank_sketch_k ** 0.9 + 1.0 / t.inside
         middle = (t.rank - t.below + 0.5) / t.inside
-        asked.append(F.kll_sketch_get_quantile_double(f"s{i}", F.array(
-            F.lit(max(0.0, middle - error)), F.lit(min(1.0, middle + error)))).alias(f"e{i}"))
-    row = merged.select(*asked).head()
+        asked.append(f"kll_sketch_get_quantile_double(s{i}, array({double(max(0.0, middle - error))}, "
+                     f"{double(min(1.0, middle + error))})) as e{i}")
+    row = merged.selectExpr(*asked).head()
     return [tuple(row[f"e{i}"]) for i in range(len(targets))]
 
 
@@ -67,9 +72,10 @@ def _narrow(df, exprs, targets, cfg) -> None:
     counts = []
     for i, (t, (lo, hi)) in enumerate(zip(targets, ends)):
         x = exprs[t.column]
-        counts += [F.count_if(x < lo).alias(f"lt_lo{i}"), F.count_if(x <= lo).alias(f"le_lo{i}"),
-                   F.count_if(x < hi).alias(f"lt_hi{i}"), F.count_if(x <= hi).alias(f"le_hi{i}")]
-    row = df.agg(*counts).head()
+        lo, hi = double(lo), double(hi)
+        counts += [f"count_if({x} < {lo}) as lt_lo{i}", f"count_if({x} <= {lo}) as le_lo{i}",
+                   f"count_if({x} < {hi}) as lt_hi{i}", f"count_if({x} <= {hi}) as le_hi{i}"]
+    row = df.selectExpr(*counts).head()
     for i, (t, (lo, hi)) in enumerate(zip(targets, ends)):
         lt_lo, le_lo, lt_hi, le_hi = (row[f"{p}{i}"] for p in ("lt_lo", "le_lo", "lt_hi", "le_hi"))
         if lt_lo <= t.rank < le_lo:
@@ -82,11 +88,11 @@ def _narrow(df, exprs, targets, cfg) -> None:
             t.spread *= 4
 
 
-def values_at_ranks(df: DataFrame, exprs: dict[str, Column], wanted: dict[str, tuple[int, set]],
+def values_at_ranks(df: DataFrame, exprs: dict[str, str], wanted: dict[str, tuple[int, set]],
                     cfg: ProfileConfig) -> DataFrame:
     """(column, rank, value) for `wanted`: column -> (number of non-null values, ranks).
 
-    `exprs` gives each column as a double without NaN.
+    `exprs` gives each column as SQL text, a double without NaN.
     """
     spark = df.sparkSession
     targets = [Target(name, k, n) for name, (n, ranks) in wanted.items() for k in sorted(ranks)]
@@ -108,20 +114,17 @@ def values_at_ranks(df: DataFrame, exprs: dict[str, Column], wanted: dict[str, t
     if not spans:
         return known
     members = list(spans.values())
-    inside = df.select(F.explode(F.array_compact(F.array(*[
-        F.when(group[0].within(exprs[group[0].column]).isNotNull(),
-               F.struct(F.lit(i).alias("span"), exprs[group[0].column].alias("value")))
-        for i, group in enumerate(members)]))).alias("r")).select("r.span", "r.value")
+    rows = [f"case when ({x}) is not null then struct({i} as span, {exprs[group[0].column]} as value) end"
+            for i, group in enumerate(members) for x in [group[0].within(exprs[group[0].column])]]
+    inside = df.selectExpr(f"inline(array_compact(array({', '.join(rows)})))")
     order = Window.partitionBy("span").orderBy("value")
-    running = (inside.groupBy("span", "value").agg(F.count(F.lit(1)).alias("n"))
+    running = (inside.groupBy("span", "value").agg(F.expr("count(1) as n"))
                .withColumn("upto", F.sum("n").over(
                    order.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    ranks = F.element_at(F.array(*[
-        F.array(*[F.struct(F.lit(t.rank).cast("bigint").alias("rank"),
-                           F.lit(t.rank - t.below).cast("bigint").alias("at")) for t in group])
-        for group in members]), F.col("span") + 1)
-    names = F.element_at(F.array(*[F.lit(group[0].column) for group in members]), F.col("span") + 1)
-    hits = F.filter(ranks, lambda r: (r["at"] < F.col("upto")) & (r["at"] >= F.col("upto") - F.col("n")))
+    ranks = ", ".join("array(" + ", ".join(
+        f"struct({t.rank}L as rank, {t.rank - t.below}L as at)" for t in group) + ")" for group in members)
+    hits = F.expr(f"filter(element_at(array({ranks}), span + 1), r -> r.at < upto and r.at >= upto - n)")
+    names = F.expr(pick([group[0].column for group in members], "span"))
     found = (running.select("span", "value", F.explode(hits).alias("r"))
              .select(names.alias("column"), F.col("r.rank").alias("rank"), "value"))
     return found if all(t.value is None for t in targets) else found.unionByName(known)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.config import NULL_LABEL, ProfileConfig
-from plumbline.functions.columns import as_text, fields, is_categorical, quoted
+from plumbline.functions.columns import fields, is_categorical, literal, only, pick, rows_of, text
 from plumbline.operators.distinct import distinct_counts
 from plumbline.operators.facts import column_facts
 from plumbline.operators.lists import list_columns
@@ -16,8 +16,8 @@ def categorical_columns(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | No
                         schema: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
     """(column, dtype, decision, reason): which columns are profiled by value, and why not."""
     candidates = fields(df, is_categorical)
-    part = df.select(*[quoted(f.name) for f in candidates])
-    facts = column_facts(part, cfg, {"lists"}) if facts is None else facts
+    part = only(df, candidates)
+    facts = column_facts(part, cfg, ["lists"]) if facts is None else facts
     schema = schema_profile(part, cfg, facts, distinct_counts(part, cfg)) if schema is None else schema
     lists = list_columns(part, cfg, facts) if lists is None else lists
     ratio = F.try_divide(F.col("unique").cast("double"), F.col("non_null"))
@@ -47,19 +47,16 @@ def categorical_topk(df: DataFrame, cfg: ProfileConfig, decisions: DataFrame | N
     if not names:
         return df.sparkSession.createDataFrame(
             [], "column string, value string, count bigint, pct_of_rows double")
-    cells = []
-    for i, name in enumerate(names):
-        text = F.regexp_replace(as_text(df.schema[name]), r"(?U)^\s+$", "")
-        cells.append(F.struct(F.lit(i).alias("field"),
-                              F.coalesce(text, F.lit(NULL_LABEL)).alias("value")))
-    counts = (df.select(F.inline(F.array(*cells))).groupBy("field", "value")
-              .agg(F.count(F.lit(1)).alias("count")))
+    blank = literal(r"(?U)^\s+$")
+    cells = [{"field": str(i), "value": f"coalesce(regexp_replace({text(df.schema[name])}, {blank}, ''), "
+              f"{literal(NULL_LABEL)})"} for i, name in enumerate(names)]
+    counts = rows_of(df, cells).groupBy("field", "value").agg(F.expr("count(1) as count"))
     # Every row has one value per column, so the counts of a column add up to the rows.
     # They are added before the ranking: a sum over the window would gather a whole column.
     totals = counts.groupBy("field").agg(F.sum("count").alias("rows"))
     order = Window.partitionBy("field").orderBy(F.desc("count"), "value")
     top = (counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cfg.top_k))
     return (top.join(F.broadcast(totals), "field").orderBy("field", "place")
-            .select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("field") + 1).alias("column"),
+            .select(F.expr(pick(names, "field")).alias("column"),
                     "value", "count",
                     (F.col("count").cast("double") / F.col("rows") * 100.0).alias("pct_of_rows")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.config import ProfileConfig
-from plumbline.functions.columns import as_number
+from plumbline.functions.columns import literal, number, pick, rows_of
 from plumbline.operators.facts import numeric_fields
 
 PAIR_SCHEMA = "column_a string, column_b string, corr double"
@@ -50,19 +50,17 @@ def correlation_matrix(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
 def _jvm_pairs(df: DataFrame) -> DataFrame:
     """One aggregate in the JVM. Grows with the square of the columns, so for few of them."""
     fields = numeric_fields(df)
-    x = {f.name: as_number(f) for f in fields}
-    names = list(x)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    pairs = [(a, b) for i, a in enumerate(fields) for b in fields[i:]]
     aggs = []
     for i, (a, b) in enumerate(pairs):
-        left = F.when(x[b].isNotNull(), x[a])
-        right = F.when(x[a].isNotNull(), x[b])
-        spread = F.stddev_samp(left) * F.stddev_samp(right)
+        x, y = number(a), number(b)
+        spread = (f"stddev_samp(case when {y} is not null then {x} end) * "
+                  f"stddev_samp(case when {x} is not null then {y} end)")
         # A constant side has zero spread, which would fail under ANSI division.
-        aggs.append(F.try_divide(F.covar_samp(x[a], x[b]), spread).alias(f"c{i}"))
-    return df.agg(*aggs).select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"c{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)])))
+        aggs.append(f"try_divide(covar_samp({x}, {y}), {spread}) as c{i}")
+    return rows_of(df.selectExpr(*aggs), [
+        {"column_a": literal(a.name), "column_b": literal(b.name), "corr": f"c{i}"}
+        for i, (a, b) in enumerate(pairs)])
 
 
 def _arrow_pairs(df: DataFrame) -> DataFrame:
@@ -70,10 +68,10 @@ def _arrow_pairs(df: DataFrame) -> DataFrame:
     by matrix products, and the tasks' sums are added up by pair."""
     fields = numeric_fields(df)
     names = [f.name for f in fields]
-    x = [as_number(f).alias(f"x{i}") for i, f in enumerate(fields)]
+    x = [f"{number(f)} as x{i}" for i, f in enumerate(fields)]
     # Values are taken relative to the column mean: raw squares would lose digits.
     means = [v if v is not None and np.isfinite(v) else 0.0
-             for v in df.agg(*[F.avg(as_number(f)).alias(f"m{i}") for i, f in enumerate(fields)]).head()]
+             for v in df.selectExpr(*[f"avg({number(f)}) as m{i}" for i, f in enumerate(fields)]).head()]
     center = np.array(means)
     upper = np.triu_indices(len(names))
 
@@ -96,13 +94,11 @@ def _arrow_pairs(df: DataFrame) -> DataFrame:
                  *[pa.array(m, pa.float64()) for m in flat]], names=["i", "j", *SUMS])
 
     schema = "i int, j int, " + ", ".join(f"{s} double" for s in SUMS)
-    sums = (df.select(*x).mapInArrow(task_sums, schema)
+    sums = (df.selectExpr(*x).mapInArrow(task_sums, schema)
             .groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS]))
     n, sa, sb, saa, sbb, sab = (F.col(s) for s in SUMS)
     va, vb = saa - F.try_divide(sa * sa, n), sbb - F.try_divide(sb * sb, n)
     # What is left of a constant column after rounding is no spread.
     spread = F.when((va > saa * 1e-13) & (vb > sbb * 1e-13), F.sqrt(va) * F.sqrt(vb))
-    label = F.array(*[F.lit(c) for c in names])
-    return sums.select(F.element_at(label, F.col("i") + 1).alias("column_a"),
-                       F.element_at(label, F.col("j") + 1).alias("column_b"),
+    return sums.select(F.expr(pick(names, "i")).alias("column_a"), F.expr(pick(names, "j")).alias("column_b"),
                        F.try_divide(sab - F.try_divide(sa * sb, n), spread).alias("corr"))

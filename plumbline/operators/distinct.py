@@ -5,35 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.config import ProfileConfig
-from plumbline.functions.columns import as_text, is_nested, quoted
+from plumbline.functions.columns import is_nested, literal, pick, ref, rows_of, text
+from plumbline.operators.sampling import profile_rows
 
 # Longer values travel as their SHA-256 in hex. Shorter ones stay themselves, so the
 # two kinds cannot meet.
 DIGEST_LENGTH = 64
 
 
-def _digest_long(s: Column) -> Column:
-    return F.when(F.octet_length(s) < DIGEST_LENGTH, s).otherwise(F.sha2(s, 256))
-
-
-def _lanes(field: T.StructField, whole_text: bool) -> tuple[Column, Column, Column]:
-    """A value as (integer, double, text), in the one lane its type belongs to."""
-    c, dtype = quoted(field.name), field.dataType
-    no_int, no_num, no_text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
+def _lanes(field: T.StructField, whole_text: bool) -> dict[str, str]:
+    """A value as integer, double or text, in the one lane its type belongs to."""
+    c, dtype = ref(field.name), field.dataType
+    lanes = {"v_int": "cast(null as bigint)", "v_num": "cast(null as double)",
+             "v_text": "cast(null as string)"}
     if isinstance(dtype, (T.BooleanType, T.IntegralType)):
-        return c.cast("bigint"), no_num, no_text
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("bigint"), no_num, no_text
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c), no_num, no_text
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return no_int, c.cast("double"), no_text
-    s = as_text(field)
-    return no_int, no_num, s if whole_text else _digest_long(s)
+        lanes["v_int"] = f"cast({c} as bigint)"
+    elif isinstance(dtype, T.DateType):
+        lanes["v_int"] = f"cast(unix_date({c}) as bigint)"
+    elif isinstance(dtype, T.TimestampType):
+        lanes["v_int"] = f"unix_micros({c})"
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        lanes["v_num"] = f"cast({c} as double)"
+    else:
+        s = text(field)
+        lanes["v_text"] = s if whole_text else \
+            f"case when octet_length({s}) < {DIGEST_LENGTH} then {s} else sha2({s}, 256) end"
+    return lanes
 
 
 def has_value() -> Column:
-    return F.col("v_int").isNotNull() | F.col("v_num").isNotNull() | F.col("v_text").isNotNull()
+    return F.expr("v_int is not null or v_num is not null or v_text is not null")
 
 
 def value_groups(df: DataFrame, fields: list[T.StructField], whole_text: bool = False,
@@ -44,27 +45,26 @@ def value_groups(df: DataFrame, fields: list[T.StructField], whole_text: bool =
     before the shuffle, so a value that fills a third of the table costs one row per
     task, and typed lanes spare formatting every number.
     """
-    structs = [F.struct(F.lit(i).alias("field"), *[
-        lane.alias(name) for name, lane in
-        zip(("v_int", "v_num", "v_text"), _lanes(f, whole_text))]) for i, f in enumerate(fields)]
-    values = df.select(F.inline(F.array(*structs)))
+    values = rows_of(df, [{"field": str(i), **_lanes(f, whole_text)} for i, f in enumerate(fields)])
     return ((values if keep_null else values.where(has_value()))
-            .groupBy("field", "v_int", "v_num", "v_text").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy("field", "v_int", "v_num", "v_text").agg(F.expr("count(1) as n")))
+
+
+def field_name(fields: list[T.StructField], index: str = "field") -> Column:
+    return F.expr(pick([f.name for f in fields], index))
 
 
-def field_name(fields: list[T.StructField], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(f.name) for f in fields]), index + 1)
+def _none(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], "column string, unique_non_null bigint")
 
 
 def exact_distinct(df: DataFrame, fields: list[T.StructField] | None = None) -> DataFrame:
     """(column, unique_non_null) for the columns that hold any value."""
     fields = df.schema.fields if fields is None else fields
     if not fields:
-        return df.select(F.lit("").alias("column"),
-                         F.lit(0).cast("bigint").alias("unique_non_null")).where("false")
-    return (value_groups(df, fields).groupBy("field")
-            .agg(F.count(F.lit(1)).alias("unique_non_null"))
-            .select(field_name(fields, F.col("field")).alias("column"), "unique_non_null"))
+        return _none(df)
+    return (value_groups(df, fields).groupBy("field").agg(F.expr("count(1) as unique_non_null"))
+            .select(field_name(fields).alias("column"), "unique_non_null"))
 
 
 def approx_distinct(df: DataFrame, cfg: ProfileConfig,
@@ -76,20 +76,18 @@ def approx_distinct(df: DataFrame, cfg: ProfileConfig,
     """
     fields = df.schema.fields if fields is None else fields
     if not fields:
-        return exact_distinct(df, fields)
-    hashes = [F.when(quoted(f.name).isNotNull(),
-                     F.xxhash64(as_text(f) if is_nested(f.dataType) else quoted(f.name)))
-              .alias(f"h{i}") for i, f in enumerate(fields)]
-    slots = df.select((F.spark_partition_id() % cfg.merge_slots).alias("slot"), *hashes)
-    merged = (slots.groupBy("slot")
-              .agg(*[F.hll_sketch_agg(f"h{i}", F.lit(cfg.sketch_lg_k)).alias(f"s{i}")
-                     for i in range(len(fields))])
-              .agg(*[F.hll_sketch_estimate(F.hll_union_agg(f"s{i}")).alias(f"u{i}")
-                     for i in range(len(fields))]))
-    return (merged.select(F.inline(F.array(*[
-        F.struct(F.lit(f.name).alias("column"),
-                 F.coalesce(F.col(f"u{i}"), F.lit(0)).cast("bigint").alias("unique_non_null"))
-        for i, f in enumerate(fields)]))).where("unique_non_null > 0"))
+        return _none(df)
+    each = range(len(fields))
+    hashes = []
+    for i, f in enumerate(fields):
+        c = ref(f.name)
+        hashes.append(f"case when {c} is not null then "
+                      f"xxhash64({text(f) if is_nested(f.dataType) else c}) end as h{i}")
+    merged = (df.selectExpr(f"spark_partition_id() % {cfg.merge_slots} as slot", *hashes)
+              .groupBy("slot").agg(*[F.expr(f"hll_sketch_agg(h{i}, {cfg.sketch_lg_k}) as s{i}") for i in each])
+              .selectExpr(*[f"hll_sketch_estimate(hll_union_agg(s{i})) as u{i}" for i in each]))
+    return rows_of(merged, [{"column": literal(f.name), "unique_non_null": f"coalesce(u{i}, 0L)"}
+                            for i, f in enumerate(fields)]).where("unique_non_null > 0")
 
 
 def distinct_counts(df: DataFrame, cfg: ProfileConfig,
@@ -97,24 +95,24 @@ def distinct_counts(df: DataFrame, cfg: ProfileConfig,
     if cfg.unique_mode == "approx":
         return approx_distinct(df, cfg, fields)
     if cfg.unique_mode == "sample":
-        from plumbline.operators.sampling import profile_rows
         return exact_distinct(profile_rows(df, cfg).df, fields)
     return exact_distinct(df, fields)
 
 
-def value_text(field: T.StructField) -> Column:
+def value_text(fields: list[T.StructField]) -> Column:
     """The text of a value held in the lanes of `value_groups`."""
-    dtype = field.dataType
-    if isinstance(dtype, T.BooleanType):
-        return (F.col("v_int") == 1).cast("string")
-    if isinstance(dtype, T.IntegralType):
-        return F.col("v_int").cast("string")
-    if isinstance(dtype, T.DateType):
-        return F.date_from_unix_date(F.col("v_int").cast("int")).cast("string")
-    if isinstance(dtype, T.TimestampType):
-        return F.timestamp_micros("v_int").cast("string")
-    if isinstance(dtype, T.FloatType):
-        return F.col("v_num").cast("float").cast("string")
-    if isinstance(dtype, T.DoubleType):
-        return F.col("v_num").cast("string")
-    return F.col("v_text")
+    cases = []
+    for i, f in enumerate(fields):
+        dtype, shown = f.dataType, "v_text"
+        if isinstance(dtype, T.BooleanType):
+            shown = "cast(v_int = 1 as string)"
+        elif isinstance(dtype, T.IntegralType):
+            shown = "cast(v_int as string)"
+        elif isinstance(dtype, T.DateType):
+            shown = "cast(date_from_unix_date(cast(v_int as int)) as string)"
+        elif isinstance(dtype, T.TimestampType):
+            shown = "cast(timestamp_micros(v_int) as string)"
+        elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+            shown = f"cast(cast(v_num as {dtype.simpleString()}) as string)"
+        cases.append(f"when {i} then {shown}")
+    return F.expr(f"case field {' '.join(cases)} end")

@@ -8,14 +8,14 @@ on columnar files that reads each column only once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from plumbline.config import (
     LIST_SEPARATORS, TEMPORAL_NAME_PARTS, YEAR_PATTERN, ProfileConfig,
 )
 from plumbline.functions.columns import (
-    as_number, as_text, fields, first_year, is_blank, is_numeric, is_text, logical_bytes,
-    quoted, type_class, union_all,
+    BLANK, fields, first_year, is_numeric, is_text, literal, logical_bytes, number, ref, rows_of,
+    text, type_class, union_all,
 )
 
 MEASURES = {
@@ -27,7 +27,14 @@ MEASURES = {
     "min_year": "bigint", "max_year": "bigint", "year_hits": "bigint",
     "bytes": "bigint",
 }
-ALL_PARTS = frozenset({"numeric", "text", "lists", "years", "bytes"})
+# Which measures a scan computes besides rows and non_null.
+PARTS = {
+    "numeric": ("nan_count", "mean", "std", "min", "max", "zeros"),
+    "text": ("empty_string", "whitespace_only", "avg_len", "min_len", "max_len"),
+    "lists": ("max_len", "sep_1", "sep_2", "sep_3"),
+    "years": ("min_year", "max_year", "year_hits"),
+    "bytes": ("bytes",),
+}
 
 
 def is_temporal_name(name: str, mode: str) -> bool:
@@ -38,35 +45,36 @@ def is_temporal_name(name: str, mode: str) -> bool:
     return any(part in lower for part in TEMPORAL_NAME_PARTS)
 
 
-def column_measures(field: T.StructField, parts, cfg: ProfileConfig) -> dict[str, Column]:
-    c = quoted(field.name)
-    out = {"non_null": F.count(c)}
-    if "numeric" in parts and is_numeric(field.dataType):
-        x = as_number(field)
-        out.update(mean=F.avg(x), std=F.stddev_samp(x), min=F.min(x), max=F.max(x),
-                   zeros=F.count_if(x == 0))
-        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-            out["nan_count"] = F.count_if(F.isnan(c))
-    if is_text(field.dataType):
-        s = as_text(field)
-        if "text" in parts:
-            out.update(empty_string=F.count_if(s == ""), whitespace_only=F.count_if(is_blank(s)),
-                       avg_len=F.avg(F.length(s)), min_len=F.min(F.length(s)))
-        if "text" in parts or "lists" in parts:
-            out["max_len"] = F.max(F.length(s))
-        if "lists" in parts:
-            for i, sep in enumerate(LIST_SEPARATORS, 1):
-                out[f"sep_{i}"] = F.count_if(F.contains(s, F.lit(sep)))
-    if "years" in parts and is_temporal_name(field.name, cfg.temporal_mode):
+def column_measures(field: T.StructField, parts, cfg: ProfileConfig) -> dict[str, str]:
+    """Measure -> SQL text of the aggregate, for those that suit the column's type and name."""
+    c, dtype = ref(field.name), field.dataType
+    out = {"non_null": f"count({c})"}
+    if is_numeric(dtype):
+        x = number(field)
+        out.update(mean=f"avg({x})", std=f"stddev_samp({x})", min=f"min({x})", max=f"max({x})",
+                   zeros=f"count_if({x} = 0)")
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            out["nan_count"] = f"count_if(isnan({c}))"
+    if is_text(dtype):
+        s = text(field)
+        out.update(empty_string=f"count_if({s} = '')",
+                   whitespace_only=f"count_if({s} rlike {literal(BLANK)})",
+                   avg_len=f"avg(length({s}))", min_len=f"min(length({s}))",
+                   max_len=f"max(length({s}))")
+        for i, sep in enumerate(LIST_SEPARATORS, 1):
+            out[f"sep_{i}"] = f"count_if(contains({s}, {literal(sep)}))"
+    if is_temporal_name(field.name, cfg.temporal_mode):
         year = first_year(field, YEAR_PATTERN)
-        out.update(min_year=F.min(year), max_year=F.max(year), year_hits=F.count(year))
-    if "bytes" in parts:
-        out["bytes"] = logical_bytes(field)
-    return out
+        out.update(min_year=f"min({year})", max_year=f"max({year})", year_hits=f"count({year})")
+    out["bytes"] = logical_bytes(field)
+    wanted = {"non_null", *(m for p in parts for m in PARTS[p])}
+    return {name: expr for name, expr in out.items() if name in wanted}
 
 
-def column_facts(df: DataFrame, cfg: ProfileConfig, parts=ALL_PARTS) -> DataFrame:
-    """(column, position, dtype, type_class, rows, non_null, ...): one row per column."""
+def column_facts(df: DataFrame, cfg: ProfileConfig, parts=tuple(PARTS)) -> DataFrame:
+    """(column, position, dtype, type_class, rows, non_null, and the measures of `parts`): one
+    row per column."""
+    kept = ["rows", "non_null", *dict.fromkeys(m for p in parts for m in PARTS[p])]
     planned = [(i, f, column_measures(f, parts, cfg)) for i, f in enumerate(df.schema.fields)]
     chunks: list[list] = [[]]
     used = 0
@@ -76,31 +84,26 @@ def column_facts(df: DataFrame, cfg: ProfileConfig, parts=ALL_PARTS) -> DataFram
             used = 0
         chunks[-1].append(item)
         used += len(item[2])
-    return union_all([_facts_of(df, chunk) for chunk in chunks])
+    return union_all([_facts_of(df, chunk, kept) for chunk in chunks])
 
 
-def _facts_of(df: DataFrame, chunk: list) -> DataFrame:
-    wide = df.agg(F.count(F.lit(1)).alias("rows"), *[
-        agg.alias(f"{i}_{name}") for i, _, measures in chunk for name, agg in measures.items()])
+def _facts_of(df: DataFrame, chunk: list, kept: list[str]) -> DataFrame:
+    wide = df.selectExpr("count(1) as rows", *[
+        f"{agg} as `{i}_{name}`" for i, _, measures in chunk for name, agg in measures.items()])
     rows = []
     for i, field, measures in chunk:
-        values = [F.lit(field.name).alias("column"), F.lit(i).cast("bigint").alias("position"),
-                  F.lit(field.dataType.simpleString()).alias("dtype"),
-                  F.lit(type_class(field.dataType)).alias("type_class")]
-        for name, kind in MEASURES.items():
-            if name == "rows":
-                value = F.col("rows")
-            elif name in measures:
-                value = F.col(f"`{i}_{name}`")
-            else:
-                value = F.lit(None)
-            values.append(value.cast(kind).alias(name))
-        rows.append(F.struct(*values))
+        row = {"column": literal(field.name), "position": f"{i}L",
+               "dtype": literal(field.dataType.simpleString()),
+               "type_class": literal(type_class(field.dataType))}
+        for name in kept:
+            value = "rows" if name == "rows" else f"`{i}_{name}`" if name in measures else "null"
+            row[name] = f"cast({value} as {MEASURES[name]})"
+        rows.append(row)
     if not rows:  # a table without columns has no facts, but keeps the schema
-        names = {"column": "string", "position": "bigint", "dtype": "string",
-                 "type_class": "string", **MEASURES}
-        return wide.select(*[F.lit(None).cast(t).alias(n) for n, t in names.items()]).where("false")
-    return wide.select(F.inline(F.array(*rows)))
+        names = {"column": "string", "position": "bigint", "dtype": "string", "type_class": "string",
+                 **{name: MEASURES[name] for name in kept}}
+        return wide.selectExpr(*[f"cast(null as {t}) as {ref(n)}" for n, t in names.items()]).where("false")
+    return rows_of(wide, rows)
 
 
 def text_fields(df: DataFrame) -> list[T.StructField]:

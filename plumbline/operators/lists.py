@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.config import LIST_SEPARATORS, ProfileConfig
-from plumbline.functions.columns import as_text, quoted, strip
+from plumbline.functions.columns import WHITE_SPACE_ENDS, literal, only, ref, rows_of, text
 from plumbline.operators.facts import column_facts, text_fields
 
 
@@ -16,8 +16,7 @@ def list_columns(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = No
     the earlier on a tie. Columns with values longer than `long_text_length` are prose.
     """
     if facts is None:
-        texts = df.select(*[quoted(f.name) for f in text_fields(df)])
-        facts = column_facts(texts, cfg, {"lists"})
+        facts = column_facts(only(df, text_fields(df)), cfg, ["lists"])
     hits = [F.col(f"sep_{i}") for i in range(1, len(LIST_SEPARATORS) + 1)]
     best = F.greatest(*hits)
     separator = F.coalesce(*[F.when(h == best, F.lit(s)) for h, s in zip(hits, LIST_SEPARATORS)])
@@ -34,8 +33,8 @@ def _found(df: DataFrame, cfg: ProfileConfig, lists: DataFrame | None) -> list[t
     return [(r["column"], r["separator"]) for r in lists.collect()]  # at most one per column
 
 
-def _items(df: DataFrame, column: str, separator: str) -> Column:
-    return F.split(as_text(df.schema[column]), "\\Q" + separator + "\\E", -1)
+def _items(df: DataFrame, column: str, separator: str) -> str:
+    return f"split({text(df.schema[column])}, {literal(chr(92) + 'Q' + separator + chr(92) + 'E')}, -1)"
 
 
 def list_profile(df: DataFrame, cfg: ProfileConfig, lists: DataFrame | None = None) -> DataFrame:
@@ -50,10 +49,10 @@ def list_profile(df: DataFrame, cfg: ProfileConfig, lists: DataFrame | None = No
     if not found:
         return spark.createDataFrame([], "column string, separator string, rows_with_separator_pct double, "
                                          "avg_items double, p50_items bigint, p90_items bigint, max_items bigint")
-    sizes = F.array(*[F.struct(F.lit(c).alias("column"), F.when(
-        quoted(c).isNotNull(), F.size(_items(df, c, s))).alias("items")) for c, s in found])
-    counts = (df.select(F.inline(sizes)).where("items IS NOT NULL")
-              .groupBy("column", "items").agg(F.count(F.lit(1)).alias("n")))
+    sizes = [{"column": literal(c), "items": f"case when {ref(c)} is not null then size({_items(df, c, s)}) end"}
+             for c, s in found]
+    counts = (rows_of(df, sizes).where("items IS NOT NULL")
+              .groupBy("column", "items").agg(F.expr("count(1) as n")))
     return (lists.join(F.broadcast(quantiles_of_counts(counts, "column", "items", (0.50, 0.90))), "column")
             .select("column", "separator", "rows_with_separator_pct",
                     F.col("avg").alias("avg_items"), F.col("q0").alias("p50_items").cast("bigint"),
@@ -77,22 +76,18 @@ def quantiles_of_counts(counts: DataFrame, key: str, value: str, quantiles) -> D
         F.min(value).alias("min"), F.max(value).alias("max"), *picks)
 
 
-def _column_tokens(df: DataFrame, column: str, separator: str) -> Column:
-    items = F.coalesce(_items(df, column, separator), F.array().cast("array<string>"))
-    return F.transform(items, lambda item: F.struct(F.lit(column).alias("column"),
-                                                    strip(item).alias("token")))
-
-
 def list_tokens(df: DataFrame, cfg: ProfileConfig, lists: DataFrame | None = None) -> DataFrame:
     """(column, token, count): the most frequent tokens of each detected list."""
     found = _found(df, cfg, lists)
     if not found:
         return df.sparkSession.createDataFrame([], "column string, token string, count bigint")
-    split = F.flatten(F.array(*[_column_tokens(df, c, s) for c, s in found]))
-    tokens = (df.select(F.inline(split)).where("token <> ''")
+    ends = literal(WHITE_SPACE_ENDS)
+    split = [f"transform({_items(df, c, s)}, item -> struct({literal(c)} as column, "
+             f"regexp_replace(item, {ends}, '') as token))" for c, s in found]
+    tokens = (df.selectExpr(f"inline(flatten(array_compact(array({', '.join(split)}))))").where("token <> ''")
               .select("column", F.substring("token", 1, cfg.list_token_length).alias("token")))
     order = Window.partitionBy("column").orderBy(F.desc("count"), "token")
-    return (tokens.groupBy("column", "token").agg(F.count(F.lit(1)).alias("count"))
+    return (tokens.groupBy("column", "token").agg(F.expr("count(1) as count"))
             .withColumn("place", F.row_number().over(order))
             .where(F.col("place") <= cfg.list_top_tokens)
             .select("column", "token", "count").orderBy("column", F.desc("count"), "token"))

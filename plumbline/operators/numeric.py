@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.config import ProfileConfig
-from plumbline.functions.columns import as_number, local_frame, nearest_rank, percent, quoted
-from plumbline.functions.ranks import values_at_ranks
+from plumbline.functions.columns import literal, local_frame, nearest_rank, number, only, percent, rows_of
+from plumbline.functions.ranks import double, values_at_ranks
 from plumbline.operators.distinct import distinct_counts
 from plumbline.operators.facts import column_facts, numeric_fields
 from plumbline.operators.schema import with_unique
@@ -16,8 +16,7 @@ QUARTILES = {"25%": 0.25, "50%": 0.50, "75%": 0.75}
 
 def numeric_facts(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None) -> DataFrame:
     if facts is None:
-        numbers = df.select(*[quoted(f.name) for f in numeric_fields(df)])
-        facts = local_frame(column_facts(numbers, cfg, {"numeric"}))
+        facts = local_frame(column_facts(only(df, numeric_fields(df)), cfg, ["numeric"]))
     return facts.where("type_class = 'numeric'")
 
 
@@ -32,7 +31,7 @@ def column_quantiles(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None
             labels += [(name, label, nearest_rank(n, q)) for label, q in QUARTILES.items()]
             labels += [(name, "low", (n - 1) // 2), (name, "high", n // 2)]
     wanted = {name: (n, {rank for c, _, rank in labels if c == name}) for name, n in sizes.items() if n}
-    exprs = {f.name: as_number(f) for f in numeric_fields(df)}
+    exprs = {f.name: number(f) for f in numeric_fields(df)}
     values = values_at_ranks(df, exprs, wanted, cfg)
     named = df.sparkSession.createDataFrame(labels, "column string, label string, rank bigint")
     pick = lambda label: F.max(F.when(F.col("label") == label, F.col("value")))
@@ -84,13 +83,10 @@ def numeric_histogram(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None
         return df.sparkSession.createDataFrame(
             [], "column string, bin bigint, low double, high double, count bigint")
     widths = {c: (hi - lo) / bins or 1.0 for c, (lo, hi) in ends.items()}
-    cells = []
-    for f in fields:
-        at = F.floor((as_number(f) - F.lit(ends[f.name][0])) / F.lit(widths[f.name]))
-        cells.append(F.struct(F.lit(f.name).alias("column"),
-                              F.least(F.lit(bins - 1).cast("bigint"), at).alias("bin")))
-    counts = (df.select(F.inline(F.array(*cells))).where("bin IS NOT NULL")
-              .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count")))
+    cells = [{"column": literal(f.name), "bin": f"least({bins - 1}L, floor(({number(f)} - "
+              f"{double(ends[f.name][0])}) / {double(widths[f.name])}))"} for f in fields]
+    counts = (rows_of(df, cells).where("bin IS NOT NULL")
+              .groupBy("column", "bin").agg(F.expr("count(1) as count")))
     grid = df.sparkSession.createDataFrame(
         [(c, b, lo + b * widths[c], lo + (b + 1) * widths[c])
          for c, (lo, _) in ends.items() for b in range(bins)],

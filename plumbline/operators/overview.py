@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.config import ProfileConfig
-from plumbline.functions.columns import as_text, fixed_width, percent, quoted, union_all
+from plumbline.functions.columns import fixed_width, percent, quoted, text, union_all
 from plumbline.operators.facts import column_facts
 
 # Rows up to this width are their own grouping key; wider ones are grouped by a digest.
@@ -24,9 +24,9 @@ def row_key(df: DataFrame) -> list[Column]:
         return [quoted(c) for c in df.columns]
     parts = []
     for f in df.schema.fields:
-        s = as_text(f)
-        parts.append(F.coalesce(F.concat(F.octet_length(s).cast("string"), F.lit(":"), s), F.lit("-")))
-    return [F.unhex(F.sha2(F.concat(*parts), 256)).alias("row_digest")]
+        s = text(f)
+        parts.append(f"coalesce(concat(cast(octet_length({s}) as string), ':', {s}), '-')")
+    return [F.expr(f"unhex(sha2(concat({', '.join(parts)}), 256)) as row_digest")]
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -44,13 +44,13 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def logical_size(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None) -> DataFrame:
     """(column, bytes): bytes the non-null values hold, whatever the file format."""
-    facts = column_facts(df, cfg, {"bytes"}) if facts is None else facts
+    facts = column_facts(df, cfg, ["bytes"]) if facts is None else facts
     return facts.select("column", "bytes").orderBy("column")
 
 
 def overview(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None,
              sampled: bool = False, rows_total: int | None = None) -> DataFrame:
-    facts = column_facts(df, cfg, {"bytes"}) if facts is None else facts
+    facts = column_facts(df, cfg, ["bytes"]) if facts is None else facts
     cells = facts.agg(
         F.count(F.lit(1)).alias("columns"),
         F.coalesce(F.sum(F.col("rows") - F.col("non_null")), F.lit(0)).alias("missing_cells"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.config import ROW_MISSING_THRESHOLDS, ProfileConfig
-from plumbline.functions.columns import percent, quoted
+from plumbline.functions.columns import percent, ref
 from plumbline.operators.distinct import distinct_counts
 from plumbline.operators.facts import column_facts
 
@@ -23,7 +23,7 @@ def with_unique(facts: DataFrame, unique: DataFrame) -> DataFrame:
 
 def schema_profile(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None,
                    unique: DataFrame | None = None) -> DataFrame:
-    facts = column_facts(df, cfg, set()) if facts is None else facts
+    facts = column_facts(df, cfg, ()) if facts is None else facts
     unique = distinct_counts(df, cfg) if unique is None else unique
     null = F.col("rows") - F.col("non_null")
     return (with_unique(facts, unique)
@@ -33,7 +33,7 @@ def schema_profile(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None =
 
 
 def missingness(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None) -> DataFrame:
-    facts = column_facts(df, cfg, set()) if facts is None else facts
+    facts = column_facts(df, cfg, ()) if facts is None else facts
     missing = F.col("rows") - F.col("non_null")
     return (facts.select("column", missing.alias("missing"),
                          percent(missing, F.col("rows")).alias("missing_pct"))
@@ -42,9 +42,13 @@ def missingness(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = Non
 
 def row_nulls(df: DataFrame) -> DataFrame:
     """The table plus `null_count` and `null_pct` over all columns of each row."""
-    count = sum((quoted(c).isNull().cast("int") for c in df.columns), F.lit(0))
-    return df.withColumn("null_count", count).withColumn(
-        "null_pct", F.col("null_count") / F.lit(float(max(len(df.columns), 1))) * 100.0)
+    flags = [f"cast({ref(c)} is null as int)" for c in df.columns]
+    return df.withColumn("null_count", F.expr(" + ".join(flags) or "0")).withColumn(
+        "null_pct", F.expr(_share(df)))
+
+
+def _share(df: DataFrame) -> str:
+    return f"null_count / {max(len(df.columns), 1)}D * 100D"
 
 
 def row_missingness(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
@@ -52,30 +56,22 @@ def row_missingness(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
 
     All from the number of rows per null count, which has at most columns + 1 groups.
     """
-    share = "null_count / {:d}D * 100.0D".format(max(len(df.columns), 1))
-    counts = row_nulls(df).groupBy("null_count").agg(F.count(F.lit(1)).alias("n"))
+    counts = row_nulls(df).groupBy("null_count").agg(F.expr("count(1) as n"))
     order = Window.orderBy("null_count")  # over the few groups, not over rows
-    ranked = (counts.withColumn("null_pct", F.expr(share))
+    ranked = (counts.withColumn("null_pct", F.expr(_share(df)))
               .withColumn("upto", F.sum("n").over(order))
               .withColumn("total", F.sum("n").over(Window.partitionBy())))
-
-    def at(q: float):
-        rank = F.floor((F.col("total") - 1) * q + 0.5)
-        return F.min(F.when(F.col("upto") > rank, F.col("null_pct")))
-
-    one = ranked.agg(
-        F.max("total").alias("total"),
-        F.min("null_pct").alias("min_null_pct"), F.max("null_pct").alias("max_null_pct"),
-        (F.sum(F.col("null_pct") * F.col("n")) / F.sum("n")).alias("mean_null_pct"),
-        at(0.50).alias("p50_null_pct"), at(0.90).alias("p90_null_pct"), at(0.99).alias("p99_null_pct"),
-        *[F.sum(F.when(F.col("null_pct") >= t, F.col("n")).otherwise(0)).alias(f"ge_{t}")
-          for t in ROW_MISSING_THRESHOLDS])
-    levels = F.array(*[F.struct(F.lit(t).cast("bigint").alias("threshold_null_pct_ge"),
-                                F.col(f"ge_{t}").alias("rows")) for t in ROW_MISSING_THRESHOLDS])
-    empty = F.lit(not df.columns)
-    return (one.where(F.col("total").isNotNull() & ~empty)
-            .select(F.inline(levels), "min_null_pct", "max_null_pct", "mean_null_pct",
-                    "p50_null_pct", "p90_null_pct", "p99_null_pct")
+    at = [f"min(case when upto > floor((total - 1) * {q}D + 0.5D) then null_pct end) as p{q * 100:g}_null_pct"
+          for q in (0.50, 0.90, 0.99)]
+    one = ranked.selectExpr(
+        "max(total) as total", "min(null_pct) as min_null_pct", "max(null_pct) as max_null_pct",
+        "sum(null_pct * n) / sum(n) as mean_null_pct", *at,
+        *[f"sum(case when null_pct >= {t} then n else 0 end) as ge_{t}" for t in ROW_MISSING_THRESHOLDS])
+    levels = ", ".join(f"struct({t}L as threshold_null_pct_ge, ge_{t} as rows)"
+                       for t in ROW_MISSING_THRESHOLDS)
+    return (one.where("total is not null" if df.columns else "false")
+            .selectExpr(f"inline(array({levels}))", "min_null_pct", "max_null_pct", "mean_null_pct",
+                        "p50_null_pct", "p90_null_pct", "p99_null_pct")
             .orderBy("threshold_null_pct_ge"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.config import ProfileConfig
-from plumbline.functions.columns import as_text, quoted
+from plumbline.functions.columns import literal, only, rows_of, text
 from plumbline.operators.facts import column_facts, text_fields
 from plumbline.operators.lists import quantiles_of_counts
 
@@ -20,16 +20,15 @@ def length_quantiles(df: DataFrame) -> DataFrame:
     if not texts:
         return df.sparkSession.createDataFrame(
             [], "column string, avg double, min int, max int, q0 int, q1 int")
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.length(as_text(f)).alias("length"))
-                      for f in texts])
-    counts = (df.select(F.inline(cells)).where("length IS NOT NULL")
-              .groupBy("column", "length").agg(F.count(F.lit(1)).alias("n")))
+    cells = [{"column": literal(f.name), "length": f"length({text(f)})"} for f in texts]
+    counts = (rows_of(df, cells).where("length IS NOT NULL")
+              .groupBy("column", "length").agg(F.expr("count(1) as n")))
     return quantiles_of_counts(counts, "column", "length", (0.50, 0.90))
 
 
 def text_profile(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None) -> DataFrame:
     if facts is None:
-        facts = column_facts(df.select(*[quoted(f.name) for f in text_fields(df)]), cfg, {"text"})
+        facts = column_facts(only(df, text_fields(df)), cfg, ["text"])
     lengths = length_quantiles(df)
     return (facts.where("type_class = 'text'")
             .join(F.broadcast(lengths.select("column", "q0", "q1")), "column", "left")

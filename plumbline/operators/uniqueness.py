@@ -22,7 +22,7 @@ def uniqueness(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
     """(column, unique_non_null, unique_including_null_as_value), exact."""
     if cfg.max_unique_sample:
         df = random_rows(df, cfg.max_unique_sample, cfg.sample_seed)
-    return (with_unique(column_facts(df, cfg, set()), exact_distinct(df))
+    return (with_unique(column_facts(df, cfg, ()), exact_distinct(df))
             .select("column", "unique_non_null",
                     F.col("unique").alias("unique_including_null_as_value"))
             .orderBy("column"))
@@ -76,7 +76,7 @@ def key_duplicates(df: DataFrame, cfg: ProfileConfig, keys: list[str] | None = N
         F.count_if(held & (n > 1)).alias("repeated_keys"),
         F.sum(F.when(held & (n > 1), n).otherwise(0)).alias("rows_in_repeated_keys"))
         .where(F.col("non_null") >= cfg.key_min_rows)
-        .select(field_name(fields, F.col("field")).alias("key_column"), "unique_keys",
+        .select(field_name(fields).alias("key_column"), "unique_keys",
                 (F.col("rows") / F.col("unique_keys")).alias("avg_rows_per_key"),
                 "max_rows_per_key", "repeated_keys", "rows_in_repeated_keys",
                 percent(F.col("repeated_keys"), F.col("unique_keys")).alias("repeated_keys_pct"))
@@ -88,15 +88,12 @@ def key_top_repeated(df: DataFrame, cfg: ProfileConfig, keys: list[str] | None =
     fields = _key_fields(df, cfg, keys)
     if not fields:
         return df.sparkSession.createDataFrame([], "key_column string, key string, rows_per_key bigint")
-    text = F.lit(None).cast("string")
-    for i, f in enumerate(fields):
-        text = F.when(F.col("field") == i, value_text(f)).otherwise(text)
-    values = value_groups(df, fields, whole_text=True).withColumn("key", text)
+    values = value_groups(df, fields, whole_text=True).withColumn("key", value_text(fields))
     # Each task keeps its own top values before the shuffle by column (window group limit).
     order = Window.partitionBy("field").orderBy(F.desc("n"), "key")
     return (values.withColumn("place", F.row_number().over(order))
             .where(F.col("place") <= cfg.key_top_values)
-            .select(field_name(fields, F.col("field")).alias("key_column"), "key",
+            .select(field_name(fields).alias("key_column"), "key",
                     F.col("n").alias("rows_per_key"))
             .orderBy("key_column", F.desc("rows_per_key"), "key"))
 

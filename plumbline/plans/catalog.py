@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline.config import ProfileConfig
-from plumbline.functions.columns import percent, union_all
+from plumbline.functions.columns import local_frame, percent, union_all
 from plumbline.operators import quality
 from plumbline.operators.distinct import distinct_counts
 from plumbline.operators.facts import column_facts
 from plumbline.operators.lists import quantiles_of_counts
 from plumbline.operators.overview import duplicate_rows
-from plumbline.operators.sampling import dataset_id, profile_rows, slug
+from plumbline.operators.sampling import ProfiledRows, dataset_id, profile_rows, slug
 from plumbline.operators.schema import row_missing_quantiles
 
 NOTES = (
@@ -25,7 +26,6 @@ NOTES = (
     "it is a proxy for coverage.",
     "High-uniqueness and high-cardinality columns are descriptive signals.",
 )
-DATASETS_PER_JOB = 32
 ID = ["dataset_id", "dataset_name", "sheet_name"]
 
 
@@ -41,8 +41,8 @@ class Dataset:
 class Catalog:
     """Reports over many tables.
 
-    Per-table facts have one row per column or per table. They are computed once, with
-    many tables to a job, and the roll-ups are queries over them: their size depends on
+    Per-table facts have one row per column or per table. They are computed once, several
+    tables at a time, and the roll-ups are queries over them: their size depends on
     the number of columns in the catalog, not on rows.
     """
 
@@ -52,20 +52,29 @@ class Catalog:
         self.cfg = cfg or ProfileConfig()
         self.datasets = datasets
         self.files_found = len({d.path for d in datasets}) if files_found is None else files_found
-        self._rows: dict[int, object] = {}
+        self.notes: list[tuple[int, str]] = []  # (table number, what failed)
+        self._rows: dict[int, ProfiledRows] = {}
 
-    def _profiled(self, i: int):
+    def _profiled(self, i: int) -> ProfiledRows:
         if i not in self._rows:
             self._rows[i] = profile_rows(self.datasets[i].df, self.cfg)
         return self._rows[i]
 
-    def _each(self, report: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
-        """`report` of every table, with the table's number, evaluated in batches."""
-        parts = []
-        for start in range(0, len(self.datasets), DATASETS_PER_JOB):
-            batch = [report(self._profiled(i).df).withColumn("ds", F.lit(i)) for i in
-                     range(start, min(start + DATASETS_PER_JOB, len(self.datasets)))]
-            parts.append(union_all(batch).toArrow())
+    def _each(self, name: str, report: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+        """`report` of every table, with the table's number `ds`.
+
+        One job per table, several at a time: tables are independent, and together they keep
+        the cluster busy. A table whose job fails is left out and noted.
+        """
+        def one(i: int) -> pa.Table | None:
+            try:
+                return report(self._profiled(i).df).withColumn("ds", F.lit(i)).toArrow()
+            except Exception as e:
+                self.notes.append((i, f"Report '{name}' failed: {e}"))
+                return None
+
+        with ThreadPoolExecutor(self.cfg.parallel_tables) as pool:
+            parts = [t for t in pool.map(one, range(len(self.datasets))) if t is not None]
         if not parts:
             return self.spark.createDataFrame([], schema)
         return self.spark.createDataFrame(pa.concat_tables(parts))
@@ -83,9 +92,9 @@ class Catalog:
         code = dataset_id(F.col("source_path"), F.col("sheet"))
         folder = F.concat_ws("__", code, slug(F.col("dataset_name")),
                              F.when(F.col("sheet").isNull(), "sheet-None").otherwise(slug(F.col("sheet"))))
-        return named.select("ds", code.alias("dataset_id"), folder.alias("dataset_dir"), "source_path",
+        return local_frame(named.select("ds", code.alias("dataset_id"), folder.alias("dataset_dir"), "source_path",
                             "dataset_name", F.coalesce("sheet", F.lit("")).alias("sheet_name"),
-                            "rows_total", "sampled")
+                            "rows_total", "sampled"))
 
     def _named(self, frame: DataFrame) -> DataFrame:
         return frame.join(F.broadcast(self.ids.select("ds", *ID)), "ds")  # one row per table
@@ -93,29 +102,27 @@ class Catalog:
     @cached_property
     def facts(self) -> DataFrame:
         return self._each(
-            lambda df: column_facts(df, self.cfg, {"years", "bytes"}).drop(
-                *[f"sep_{i}" for i in (1, 2, 3)], "empty_string", "whitespace_only",
-                "avg_len", "min_len", "max_len"),
+            "facts", lambda df: column_facts(df, self.cfg, ["years", "bytes"]),
             "ds int, column string, position bigint, dtype string, type_class string, rows bigint, "
             "non_null bigint, min_year bigint, max_year bigint, year_hits bigint, bytes bigint")
 
     @cached_property
     def schema(self) -> DataFrame:
         """One row per column of the catalog."""
-        unique = self._each(lambda df: distinct_counts(df, self.cfg),
+        unique = self._each("unique", lambda df: distinct_counts(df, self.cfg),
                             "ds int, column string, unique_non_null bigint")
         n = F.coalesce(F.col("unique_non_null"), F.lit(0))
         null = F.col("rows") - F.col("non_null")
         unique_all = n + (null > 0).cast("bigint")
-        return self._named(self.facts.join(F.broadcast(unique), ["ds", "column"], "left")).select(
+        return local_frame(self._named(self.facts.join(F.broadcast(unique), ["ds", "column"], "left")).select(
             "ds", *ID, "position", "column", "dtype", "type_class", "non_null", null.alias("null"),
             percent(null, F.col("rows")).alias("null_pct"), unique_all.alias("unique"),
-            F.try_divide(unique_all.cast("double"), F.col("non_null")).alias("unique_ratio"))
+            F.try_divide(unique_all.cast("double"), F.col("non_null")).alias("unique_ratio")))
 
     @cached_property
     def datasets_index(self) -> DataFrame:
         """One row per table: size, missing cells, repeated rows."""
-        repeats = self._each(duplicate_rows, "ds int, rows bigint, duplicate_rows bigint, duplicate_row_pct double")
+        repeats = self._each("duplicate_rows", duplicate_rows, "ds int, rows bigint, duplicate_rows bigint, duplicate_row_pct double")
         cells = self.facts.groupBy("ds").agg(
             F.count(F.lit(1)).alias("columns"),
             F.sum(F.col("rows") - F.col("non_null")).alias("missing_cells"),
@@ -123,12 +130,12 @@ class Catalog:
         # Every frame here has one row per table.
         joined = (self.ids.join(F.broadcast(repeats), "ds")
                   .join(F.broadcast(cells), "ds", "left").fillna(0, ["columns", "missing_cells", "memory_bytes_estimate"]))
-        return joined.select(
+        return local_frame(joined.select(
             "ds", "dataset_id", "dataset_dir", "source_path", "dataset_name", "sheet_name",
             F.coalesce("rows_total", "rows").alias("rows"), F.col("rows").alias("rows_sample"),
             "sampled", "columns",
             percent(F.col("missing_cells"), F.col("rows") * F.col("columns")).alias("missing_cell_pct"),
-            "duplicate_row_pct", "memory_bytes_estimate")
+            "duplicate_row_pct", "memory_bytes_estimate"))
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -156,9 +163,9 @@ class Catalog:
     @cached_property
     def missingness(self) -> DataFrame:
         missing = F.col("rows") - F.col("non_null")
-        return self._named(self.facts).select(
+        return local_frame(self._named(self.facts).select(
             "ds", *ID, "column", missing.alias("missing"),
-            percent(missing, F.col("rows")).alias("missing_pct"))
+            percent(missing, F.col("rows")).alias("missing_pct")))
 
     def _top(self, frame: DataFrame, limit: int, *order: Column) -> DataFrame:
         """The first `limit` rows of each table; frames have one row per column."""
@@ -234,7 +241,7 @@ class Catalog:
 
     @cached_property
     def row_missingness(self) -> DataFrame:
-        return self._each(lambda df: row_missing_quantiles(df, self.cfg),
+        return self._each("row_missingness", lambda df: row_missing_quantiles(df, self.cfg),
                           "ds int, min_null_pct double, p50_null_pct double, p90_null_pct double, "
                           "p99_null_pct double, max_null_pct double, mean_null_pct double")
 
@@ -246,9 +253,10 @@ class Catalog:
         out = self.datasets_index.drop("dataset_dir")
         for part in (self.type_buckets.drop(*ID), self._temporal.drop(*ID), self.high_uniqueness, rows):
             out = out.join(F.broadcast(part), "ds", "left")  # one row per table
-        return (out.withColumn("high_uniqueness_cols", F.coalesce("high_uniqueness_cols", F.lit("")))
-                .withColumn("datetime_cols_detected", F.coalesce("datetime_cols_detected", F.lit(0)))
-                .orderBy(F.desc("rows"), "dataset_name", "sheet_name").drop("ds"))
+        return local_frame(
+            out.withColumn("high_uniqueness_cols", F.coalesce("high_uniqueness_cols", F.lit("")))
+            .withColumn("datetime_cols_detected", F.coalesce("datetime_cols_detected", F.lit(0)))
+            .orderBy(F.desc("rows"), "dataset_name", "sheet_name").drop("ds"))
 
     @cached_property
     def missing_stats(self) -> DataFrame:

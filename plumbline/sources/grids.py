@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.functions.columns import is_blank, quoted, strip
+from plumbline.functions.columns import is_blank, literal, quoted, ref, rows_of, strip
 
 # What the text of a column must look like for each type, narrowest first.
 TYPE_PATTERNS = (
@@ -72,24 +72,22 @@ def is_truncated(grid: DataFrame, header_row: int, max_rows: int | None) -> bool
 
 def column_types(df: DataFrame) -> DataFrame:
     """(column, type): the narrowest type that every non-null text of a column fits, else string."""
-    aggs = []
+    aggs, rows = [], []
     for i, name in enumerate(df.columns):
-        c = quoted(name)
-        aggs.append(F.count(c).alias(f"{i}_n"))
+        c = ref(name)
+        aggs.append(f"count({c}) as `{i}_n`")
+        kinds = ""
         for kind, pattern in TYPE_PATTERNS:
-            fits = c.rlike(pattern)
+            fits = f"{c} rlike {literal(pattern)}"
             if kind == "timestamp_ntz":
-                fits = fits & c.try_cast("timestamp_ntz").isNotNull()
-            aggs.append(F.count_if(fits).alias(f"{i}_{kind}"))
-    rows = []
-    for i, name in enumerate(df.columns):
-        kind = F.when(F.col(f"{i}_n") == 0, "string")
-        for k, _ in TYPE_PATTERNS:
-            kind = kind.when(F.col(f"{i}_{k}") == F.col(f"{i}_n"), k)
-        rows.append(F.struct(F.lit(name).alias("column"), kind.otherwise("string").alias("type")))
+                fits += f" and try_cast({c} as timestamp_ntz) is not null"
+            aggs.append(f"count_if({fits}) as `{i}_{kind}`")
+            kinds += f" when `{i}_{kind}` = `{i}_n` then '{kind}'"
+        rows.append({"column": literal(name),
+                     "type": f"case when `{i}_n` = 0 then 'string'{kinds} else 'string' end"})
     if not rows:
         return df.sparkSession.createDataFrame([], "column string, type string")
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    return rows_of(df.selectExpr(*aggs), rows)
 
 
 def typed(df: DataFrame, types: DataFrame | None = None) -> DataFrame:
