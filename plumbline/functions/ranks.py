@@ -11,25 +11,32 @@ are scanned, filtered and pre-aggregated in place; only the last intervals are s
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.config import ProfileConfig
-from plumbline.functions.columns import pick
+from plumbline.functions.columns import literal, pick
+
+COUNTS_PER_SCAN = 40  # more would not fit one compiled method
 
 
 @dataclass
-class Target:
-    """A wanted 0-based rank and the open interval (low, high) that holds it."""
+class Span:
+    """Adjacent wanted 0-based ranks and the open interval (low, high) that holds them."""
     column: str
-    rank: int
+    ranks: list[int]
     inside: int                 # rows in the open interval
     low: float | None = None    # None: no bound
     high: float | None = None
     below: int = 0              # rows at or below `low`
-    value: float | None = None  # set once known
-    spread: float = 1.0         # widens after a sketch missed the rank
+    found: dict[int, float] = field(default_factory=dict)
+    spread: float = 1.0         # widens after a sketch missed a rank
+
+    @property
+    def interval(self):
+        return self.column, self.low, self.high
 
     def within(self, x: str) -> str:
         """The value where it lies in the interval, else null."""
@@ -45,86 +52,121 @@ def double(value: float) -> str:
     return f"cast('{value!r}' as double)"
 
 
-def _chunks(items: list, size: int):
-    return [items[i:i + size] for i in range(0, len(items), size)]
-
-
-def _sketch_ends(df, exprs, targets, cfg) -> list[tuple[float, float]]:
-    """For each target an interval that very likely holds its rank."""
-    k, each = cfg.rank_sketch_k, range(len(targets))
+def _spans(wanted: dict[str, tuple[int, dict]]) -> list[Span]:
+    spans = []
+    for column, (n, ranks) in wanted.items():
+        for rank in sorted(set(ranks.values())):
+            last = spans[-1] if spans and spans[-1].column == column else None
+            if last and rank - last.ranks[-1] <= 1:
+                last.ranks.append(rank)
+            else:
+                spans.append(Span(column, [rank], n))
+    return spans
+
+
+def _sketch_ends(df, exprs, spans, cfg) -> list[tuple[float, float]]:
+    """For each span an interval that very likely holds its ranks; one sketch per interval."""
+    first = {}
+    for s in spans:
+        first.setdefault(s.interval, s)
+    at = {interval: i for i, interval in enumerate(first)}
+    k, each = cfg.rank_sketch_k, range(len(first))
     merged = (df.selectExpr(f"spark_partition_id() % {cfg.merge_slots} as slot",
-                            *[f"{t.within(exprs[t.column])} as x{i}" for i, t in enumerate(targets)])
+                            *[f"{s.within(exprs[s.column])} as x{i}" for i, s in enumerate(first.values())])
               .groupBy("slot").agg(*[F.expr(f"kll_sketch_agg_double(x{i}, {k}) as s{i}") for i in each])
               .selectExpr(*[f"kll_merge_agg_double(s{i}, {k}) as s{i}" for i in each]))
     asked = []
-    for i, t in enumerate(targets):
+    for i, s in enumerate(spans):
         # A KLL sketch of size k errs by about 2.3 / k^0.9 of the rows.
-        error = t.spread * 2 * 2.3 / cfg.rank_sketch_k ** 0.9 + 1.0 / t.inside
-        middle = (t.rank - t.below + 0.5) / t.inside
-        asked.append(f"kll_sketch_get_quantile_double(s{i}, array({double(max(0.0, middle - error))}, "
-                     f"{double(min(1.0, middle + error))})) as e{i}")
+        error = s.spread * 2 * 2.3 / k ** 0.9 + 1.0 / s.inside
+        low = (s.ranks[0] - s.below + 0.5) / s.inside - error
+        high = (s.ranks[-1] - s.below + 0.5) / s.inside + error
+        asked.append(f"kll_sketch_get_quantile_double(s{at[s.interval]}, "
+                     f"array({double(max(0.0, low))}, {double(min(1.0, high))})) as e{i}")
     row = merged.selectExpr(*asked).head()
-    return [tuple(row[f"e{i}"]) for i in range(len(targets))]
-
-
-def _narrow(df, exprs, targets, cfg) -> None:
-    ends = _sketch_ends(df, exprs, targets, cfg)
-    counts = []
-    for i, (t, (lo, hi)) in enumerate(zip(targets, ends)):
-        x = exprs[t.column]
-        lo, hi = double(lo), double(hi)
-        counts += [f"count_if({x} < {lo}) as lt_lo{i}", f"count_if({x} <= {lo}) as le_lo{i}",
-                   f"count_if({x} < {hi}) as lt_hi{i}", f"count_if({x} <= {hi}) as le_hi{i}"]
-    row = df.selectExpr(*counts).head()
-    for i, (t, (lo, hi)) in enumerate(zip(targets, ends)):
-        lt_lo, le_lo, lt_hi, le_hi = (row[f"{p}{i}"] for p in ("lt_lo", "le_lo", "lt_hi", "le_hi"))
-        if lt_lo <= t.rank < le_lo:
-            t.value = lo
-        elif lt_hi <= t.rank < le_hi:
-            t.value = hi
-        elif le_lo <= t.rank < lt_hi:
-            t.low, t.high, t.below, t.inside = lo, hi, le_lo, lt_hi - le_lo
-        else:
-            t.spread *= 4
-
-
-def values_at_ranks(df: DataFrame, exprs: dict[str, str], wanted: dict[str, tuple[int, set]],
+    return [tuple(row[f"e{i}"]) for i in range(len(spans))]
+
+
+def _narrow(df, exprs, spans, ends) -> list[Span]:
+    """The spans with tighter intervals. Ranks found to lie at an end are settled; a span
+    whose ranks lie in different places is split."""
+    counts: dict[str, str] = {}  # condition -> name, each counted once
+    named = []
+    for s, (lo, hi) in zip(spans, ends):
+        x, lo, hi = exprs[s.column], double(lo), double(hi)
+        named.append([counts.setdefault(cond, f"c{len(counts)}") for cond in
+                      (f"{x} < {lo}", f"{x} <= {lo}", f"{x} < {hi}", f"{x} <= {hi}")])
+    row = {}
+    conditions = list(counts.items())
+    for i in range(0, len(conditions), COUNTS_PER_SCAN):
+        row.update(df.selectExpr(*[f"count_if({cond}) as {name}" for cond, name in
+                                   conditions[i:i + COUNTS_PER_SCAN]]).head().asDict())
+    out = []
+    for s, (lo, hi), names in zip(spans, ends, named):
+        lt_lo, le_lo, lt_hi, le_hi = (row[name] for name in names)
+        at_low = [k for k in s.ranks if lt_lo <= k < le_lo]
+        at_high = [k for k in s.ranks if lt_hi <= k < le_hi and k not in at_low]
+        between = [k for k in s.ranks if le_lo <= k < lt_hi]
+        missed = [k for k in s.ranks if k < lt_lo or k >= le_hi]
+        settled = Span(s.column, at_low + at_high, s.inside,
+                       found={**dict.fromkeys(at_low, lo), **dict.fromkeys(at_high, hi)})
+        if settled.found:
+            out.append(settled)
+        if between:
+            out.append(Span(s.column, between, lt_hi - le_lo, lo, hi, le_lo))
+        if missed:
+            out.append(Span(s.column, missed, s.inside, s.low, s.high, s.below, spread=s.spread * 4))
+    return out
+
+
+def values_at_ranks(df: DataFrame, exprs: dict[str, str], wanted: dict[str, tuple[int, dict]],
                     cfg: ProfileConfig) -> DataFrame:
-    """(column, rank, value) for `wanted`: column -> (number of non-null values, ranks).
+    """(column, label, value) for `wanted`: column -> (number of non-null values, label -> rank).
 
     `exprs` gives each column as SQL text, a double without NaN.
     """
-    spark = df.sparkSession
-    targets = [Target(name, k, n) for name, (n, ranks) in wanted.items() for k in sorted(ranks)]
-    while True:
-        wide = [t for t in targets if t.value is None and t.inside > cfg.rank_group_rows]
-        if not wide:
-            break
-        for chunk in _chunks(wide, 20):
-            _narrow(df, exprs, chunk, cfg)
-
-    schema = "column string, rank bigint, value double"
-    known = spark.createDataFrame(
-        [(t.column, t.rank, t.value) for t in targets if t.value is not None], schema)
-    # Targets with the same interval share its rows.
-    spans: dict[tuple, list[Target]] = {}
-    for t in targets:
-        if t.value is None:
-            spans.setdefault((t.column, t.low, t.high), []).append(t)
-    if not spans:
+    if not wanted:
+        return df.sparkSession.createDataFrame([], "column string, label string, value double")
+    # The values are computed once per row; everything below compares these columns.
+    short = {c: f"x{i}" for i, c in enumerate(wanted)}
+    df = df.selectExpr(*[f"{exprs[c]} as {x}" for c, x in short.items()])
+    exprs = short
+    settled, small, wide = [], [], _spans(wanted)
+    while wide:
+        small += [s for s in wide if not s.found and s.inside <= cfg.rank_group_rows]
+        settled += [s for s in wide if s.found]
+        wide = [s for s in wide if not s.found and s.inside > cfg.rank_group_rows]
+        if wide:
+            wide = _narrow(df, exprs, wide, _sketch_ends(df, exprs, wide, cfg))
+
+    def labels(column: str, rank: int) -> list[str]:
+        return [label for label, k in wanted[column][1].items() if k == rank]
+
+    known = df.sparkSession.createDataFrame(pa.Table.from_pylist(
+        [{"column": s.column, "label": label, "value": float(value)} for s in settled
+         for rank, value in s.found.items() for label in labels(s.column, rank)],
+        pa.schema([("column", pa.string()), ("label", pa.string()), ("value", pa.float64())])))
+    if not small:
         return known
-    members = list(spans.values())
-    rows = [f"case when ({x}) is not null then struct({i} as span, {exprs[group[0].column]} as value) end"
-            for i, group in enumerate(members) for x in [group[0].within(exprs[group[0].column])]]
+    # Spans with the same interval share its rows.
+    shared: dict[tuple, list[Span]] = {}
+    for s in small:
+        shared.setdefault(s.interval, []).append(s)
+    members = list(shared.values())
+    rows = []
+    for i, group in enumerate(members):
+        x = exprs[group[0].column]
+        rows.append(f"case when ({group[0].within(x)}) is not null then struct({i} as span, {x} as value) end")
     inside = df.selectExpr(f"inline(array_compact(array({', '.join(rows)})))")
-    order = Window.partitionBy("span").orderBy("value")
+    order = Window.partitionBy("span").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     running = (inside.groupBy("span", "value").agg(F.expr("count(1) as n"))
-               .withColumn("upto", F.sum("n").over(
-                   order.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+               .withColumn("upto", F.sum("n").over(order)))
     ranks = ", ".join("array(" + ", ".join(
-        f"struct({t.rank}L as rank, {t.rank - t.below}L as at)" for t in group) + ")" for group in members)
+        f"struct({literal(label)} as label, {k - s.below}L as at)"
+        for s in group for k in s.ranks for label in labels(s.column, k)) + ")" for group in members)
     hits = F.expr(f"filter(element_at(array({ranks}), span + 1), r -> r.at < upto and r.at >= upto - n)")
     names = F.expr(pick([group[0].column for group in members], "span"))
     found = (running.select("span", "value", F.explode(hits).alias("r"))
-             .select(names.alias("column"), F.col("r.rank").alias("rank"), "value"))
-    return found if all(t.value is None for t in targets) else found.unionByName(known)
+             .select(names.alias("column"), F.col("r.label").alias("label"), "value"))
+    return found.unionByName(known) if settled else found

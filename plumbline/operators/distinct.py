@@ -14,7 +14,7 @@ DIGEST_LENGTH = 64
 
 
 def _lanes(field: T.StructField, whole_text: bool) -> dict[str, str]:
-    """A value as integer, double or text, in the one lane its type belongs to."""
+    """A value as integer, double or text, in the lane its type belongs to."""
     c, dtype = ref(field.name), field.dataType
     lanes = {"v_int": "cast(null as bigint)", "v_num": "cast(null as double)",
              "v_text": "cast(null as string)"}
@@ -26,9 +26,15 @@ def _lanes(field: T.StructField, whole_text: bool) -> dict[str, str]:
         lanes["v_int"] = f"unix_micros({c})"
     elif isinstance(dtype, (T.FloatType, T.DoubleType)):
         lanes["v_num"] = f"cast({c} as double)"
+    elif isinstance(dtype, T.TimestampNTZType) and not whole_text:
+        # Day and second of the day together, without formatting the value.
+        lanes["v_int"] = f"cast(unix_date(cast({c} as date)) as bigint)"
+        lanes["v_num"] = (f"cast(hour({c}) * 3600 + minute({c}) * 60 + "
+                          f"extract(second from {c}) as double)")
     else:
         s = text(field)
-        lanes["v_text"] = s if whole_text else \
+        short = whole_text or isinstance(dtype, T.DecimalType)
+        lanes["v_text"] = s if short else \
             f"case when octet_length({s}) < {DIGEST_LENGTH} then {s} else sha2({s}, 256) end"
     return lanes
 

@@ -25,17 +25,12 @@ def column_quantiles(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None
     facts = numeric_facts(df, cfg, facts)
     sizes = {r["column"]: r["n"] for r in facts.select(
         "column", (F.col("non_null") - F.coalesce("nan_count", F.lit(0))).alias("n")).collect()}
-    labels = []  # (column, label, rank), three to five per column
-    for name, n in sizes.items():
-        if n:
-            labels += [(name, label, nearest_rank(n, q)) for label, q in QUARTILES.items()]
-            labels += [(name, "low", (n - 1) // 2), (name, "high", n // 2)]
-    wanted = {name: (n, {rank for c, _, rank in labels if c == name}) for name, n in sizes.items() if n}
+    wanted = {name: (n, {**{label: nearest_rank(n, q) for label, q in QUARTILES.items()},
+                         "low": (n - 1) // 2, "high": n // 2}) for name, n in sizes.items() if n}
     exprs = {f.name: number(f) for f in numeric_fields(df)}
     values = values_at_ranks(df, exprs, wanted, cfg)
-    named = df.sparkSession.createDataFrame(labels, "column string, label string, rank bigint")
     pick = lambda label: F.max(F.when(F.col("label") == label, F.col("value")))
-    return (values.join(F.broadcast(named), ["column", "rank"]).groupBy("column")
+    return (values.groupBy("column")
             .agg(*[pick(label).alias(label) for label in QUARTILES],
                  ((pick("low") + pick("high")) / 2.0).alias("median")))
 

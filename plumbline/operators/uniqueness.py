@@ -18,11 +18,17 @@ KEY_COLUMNS = ("key_column string, unique_keys bigint, avg_rows_per_key double,
                "repeated_keys_pct double")
 
 
-def uniqueness(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
-    """(column, unique_non_null, unique_including_null_as_value), exact."""
+def uniqueness(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None,
+               unique: DataFrame | None = None) -> DataFrame:
+    """(column, unique_non_null, unique_including_null_as_value), exact.
+
+    `unique` is the result of `exact_distinct` on the same rows, if at hand.
+    """
     if cfg.max_unique_sample:
         df = random_rows(df, cfg.max_unique_sample, cfg.sample_seed)
-    return (with_unique(column_facts(df, cfg, ()), exact_distinct(df))
+        facts = unique = None
+    facts = column_facts(df, cfg, ()) if facts is None else facts
+    return (with_unique(facts, exact_distinct(df) if unique is None else unique)
             .select("column", "unique_non_null",
                     F.col("unique").alias("unique_including_null_as_value"))
             .orderBy("column"))

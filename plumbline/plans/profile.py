@@ -54,7 +54,7 @@ class TableProfile:
 
     @cached_property
     def schema(self) -> DataFrame:
-        return schema.schema_profile(self.df, self.cfg, self.facts, self.unique)
+        return local_frame(schema.schema_profile(self.df, self.cfg, self.facts, self.unique))
 
     @cached_property
     def missingness(self) -> DataFrame:
@@ -86,7 +86,8 @@ class TableProfile:
 
     @cached_property
     def uniqueness(self) -> DataFrame:
-        return uniqueness.uniqueness(self.df, self.cfg)
+        exact = self.unique if self.cfg.unique_mode == "exact" else None
+        return local_frame(uniqueness.uniqueness(self.df, self.cfg, self.facts, exact))
 
     @cached_property
     def list_columns(self) -> DataFrame:
@@ -107,11 +108,11 @@ class TableProfile:
 
     @cached_property
     def categorical_summary(self) -> DataFrame:
-        return categorical.categorical_topk(self.df, self.cfg, self.categorical_columns)
+        return local_frame(categorical.categorical_topk(self.df, self.cfg, self.categorical_columns))
 
     @cached_property
     def text_profile(self) -> DataFrame:
-        return text.text_profile(self.df, self.cfg, self.facts)
+        return local_frame(text.text_profile(self.df, self.cfg, self.facts))
 
     @cached_property
     def datetime_profile(self) -> DataFrame:
