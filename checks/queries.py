@@ -207,10 +207,10 @@ def queries() -> dict[str, Query]:
         # overview
         "overview": of("dirty_orders", "overview"),
         "overview_dup_customers": of("dup_customers", "overview"),
-        "duplicate_rows": on("narrow_lineitem", overview.duplicate_rows),
-        "duplicate_rows_wide": on("dup_customers", overview.duplicate_rows),
-        "duplicate_rows_lineitem": on("lineitem", overview.duplicate_rows),
-        "duplicate_rows_embeddings": on("embeddings", overview.duplicate_rows),
+        "duplicate_rows": on("narrow_lineitem", lambda d: overview.duplicate_rows(d, cfg)),
+        "duplicate_rows_wide": on("dup_customers", lambda d: overview.duplicate_rows(d, cfg)),
+        "duplicate_rows_lineitem": on("lineitem", lambda d: overview.duplicate_rows(d, cfg)),
+        "duplicate_rows_embeddings": on("embeddings", lambda d: overview.duplicate_rows(d, cfg)),
         # schema and missingness
         "schema_profile": on("dirty_orders", lambda d: schema.schema_profile(d, cfg)),
         "schema_profile_lineitem": on("lineitem", lambda d: schema.schema_profile(d, cfg)),

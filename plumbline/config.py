@@ -94,4 +94,5 @@ class ProfileConfig:
     rank_group_rows: int = 200_000
     rank_sketch_k: int = 4096
     merge_slots: int = 64
+    broadcast_hashes: int = 500_000  # 8 bytes each
     parallel_tables: int = 8

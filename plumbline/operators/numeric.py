@@ -45,6 +45,12 @@ def numeric_summary(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None =
             .orderBy("column"))
 
 
+def constant_columns(facts: DataFrame, unique: DataFrame) -> DataFrame:
+    """(column, is_constant) of the numeric columns: at most one value, null counted as one."""
+    return with_unique(facts.where("type_class = 'numeric'"), unique).select(
+        "column", F.expr("non_null = 0 or `unique` <= 1").alias("is_constant"))
+
+
 def distribution_shape(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None,
                        quantiles: DataFrame | None = None,
                        unique: DataFrame | None = None) -> DataFrame:

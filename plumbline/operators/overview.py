@@ -5,41 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.config import ProfileConfig
-from plumbline.functions.columns import fixed_width, percent, quoted, text, union_all
+from plumbline.functions.columns import fixed_width, is_nested, percent, ref, text, union_all
 from plumbline.operators.facts import column_facts
 
-# Rows up to this width are their own grouping key; wider ones are grouped by a digest.
+# Rows up to this width are grouped at once; wider ones only where their hashes meet.
 NARROW_ROW_BYTES = 40
 
 
 def row_key(df: DataFrame) -> list[Column]:
-    """Columns that are equal for two rows exactly when the rows are equal.
+    """Columns that are equal for two rows exactly when the rows are: the columns themselves,
+    nested ones as text and long text as SHA-256, so that no key is wide."""
+    keys = []
+    for i, f in enumerate(df.schema.fields):
+        s = ref(f.name) if fixed_width(f.dataType) else text(f)
+        if not fixed_width(f.dataType):
+            s = f"case when octet_length({s}) < 64 then {s} else sha2({s}, 256) end"
+        keys.append(F.expr(f"{s} as k{i}"))
+    return keys
 
-    Narrow rows of fixed-width columns are the key themselves. Otherwise the key is the
-    SHA-256 of all the values, each with its length, so that the shuffle carries 32 bytes
-    for a row of any width.
-    """
-    widths = [fixed_width(f.dataType) for f in df.schema.fields]
-    if all(widths) and sum(widths) <= NARROW_ROW_BYTES:
-        return [quoted(c) for c in df.columns]
-    parts = []
-    for f in df.schema.fields:
-        s = text(f)
-        parts.append(f"coalesce(concat(cast(octet_length({s}) as string), ':', {s}), '-')")
-    return [F.expr(f"unhex(sha2(concat({', '.join(parts)}), 256)) as row_digest")]
+
+def row_hash(df: DataFrame) -> Column:
+    """Equal rows have equal hashes; now and then others do too."""
+    return F.expr("xxhash64(" + ", ".join(
+        text(f) if is_nested(f.dataType) else ref(f.name) for f in df.schema.fields) + ")")
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """(rows, duplicate_rows, duplicate_row_pct): rows that occur more than once, the
-    first occurrence included. Copies are counted within each task before the shuffle."""
+def duplicate_rows(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
+    """(rows, duplicate_rows, duplicate_row_pct): rows that occur more than once, the first
+    occurrence included.
+
+    Copies are counted within each task before every shuffle. Wide rows are first counted
+    by a 64-bit hash: where no hash repeats, no row does, and only hashes were shuffled.
+    Otherwise the rows whose hash repeats are compared in full. Their hashes are broadcast
+    only up to a fixed number; beyond it all rows are compared.
+    """
     if not df.columns:
-        groups = df.groupBy().agg(F.count(F.lit(1)).alias("n"))
-    else:
-        groups = df.groupBy(*row_key(df)).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"),
-    ).withColumn("duplicate_row_pct", percent(F.col("duplicate_rows"), F.col("rows")))
+        return df.selectExpr("count(1) as rows", "case when count(1) > 1 then count(1) else 0 end as duplicate_rows"
+                             ).withColumn("duplicate_row_pct", percent(F.col("duplicate_rows"), F.col("rows")))
+    widths = [fixed_width(f.dataType) for f in df.schema.fields]
+    total, rows = "coalesce(sum(n), 0)", df
+    if not all(widths) or sum(widths) > NARROW_ROW_BYTES:
+        hashes = df.select(row_hash(df).alias("row_hash")).groupBy("row_hash").agg(F.expr("count(1) as n"))
+        seen = hashes.selectExpr("coalesce(sum(n), 0L) as rows", "count_if(n > 1) as repeated").head()
+        total = f"{seen['rows']}L"
+        if seen["repeated"] == 0:
+            rows = df.sparkSession.createDataFrame([], df.schema)
+        elif seen["repeated"] <= cfg.broadcast_hashes:
+            suspects = hashes.where("n > 1").select(F.col("row_hash").alias("suspect"))
+            rows = df.join(F.broadcast(suspects), row_hash(df) == F.col("suspect"), "left_semi")
+    counts = rows.groupBy(*row_key(df)).agg(F.expr("count(1) as n"))
+    return (counts.selectExpr(f"{total} as rows", "coalesce(sum(case when n > 1 then n end), 0L) as duplicate_rows")
+            .withColumn("duplicate_row_pct", percent(F.col("duplicate_rows"), F.col("rows"))))
 
 
 def logical_size(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None) -> DataFrame:
@@ -55,7 +71,7 @@ def overview(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None,
         F.count(F.lit(1)).alias("columns"),
         F.coalesce(F.sum(F.col("rows") - F.col("non_null")), F.lit(0)).alias("missing_cells"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("logical_bytes"))
-    repeats = duplicate_rows(df)
+    repeats = duplicate_rows(df, cfg)
     names = ["rows", "columns", "missing_cells", "duplicate_rows", "duplicate_row_pct", "logical_bytes"]
     halves = [part.select(*[(F.col(n) if n in part.columns else F.lit(None)).alias(n) for n in names])
               for part in (cells, repeats)]

@@ -122,7 +122,7 @@ class Catalog:
     @cached_property
     def datasets_index(self) -> DataFrame:
         """One row per table: size, missing cells, repeated rows."""
-        repeats = self._each("duplicate_rows", duplicate_rows, "ds int, rows bigint, duplicate_rows bigint, duplicate_row_pct double")
+        repeats = self._each("duplicate_rows", lambda df: duplicate_rows(df, self.cfg), "ds int, rows bigint, duplicate_rows bigint, duplicate_row_pct double")
         cells = self.facts.groupBy("ds").agg(
             F.count(F.lit(1)).alias("columns"),
             F.sum(F.col("rows") - F.col("non_null")).alias("missing_cells"),

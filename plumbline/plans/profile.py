@@ -140,7 +140,8 @@ class TableProfile:
 
     @cached_property
     def quality_warnings(self) -> DataFrame:
-        return quality.quality_warnings(self.overview, self.missingness, self.distribution_shape, self.cfg)
+        return quality.quality_warnings(
+            self.overview, self.missingness, numeric.constant_columns(self.facts, self.unique), self.cfg)
 
     @cached_property
     def column_cards(self) -> DataFrame:
