@@ -123,7 +123,7 @@ def overview_row(name: str, source: str | None = None, total: str | None = None)
     dup = (f"(select coalesce(sum(case when n > 1 then n end), 0) from (select count(*) as n from {source} "
            f"group by {', '.join(cols)}))")
     return f"""select {total} as "rows", {total} as rows_total, count(*) as rows_sample,
-  {'false' if total == 'count(*)' else 'true'} as sampled, {big(len(cols))} as "columns", {big(missing)} as missing_cells,
+  {total} > count(*) as sampled, {big(len(cols))} as "columns", {big(missing)} as missing_cells,
   {r(pct(f'({missing})', f'(count(*) * {len(cols)})'))} as missing_cell_pct, {big(dup)} as duplicate_rows,
   {r(pct(dup, 'count(*)'))} as duplicate_row_pct, {big(size)} as memory_bytes_estimate from {source}"""
 
@@ -529,6 +529,7 @@ order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice limit 5
         "distribution_shape": shape_rows("dirty_orders"),
         "distribution_shape_lineitem": shape_rows("lineitem"),
         "numeric_histogram": histogram("lineitem"),
+        "numeric_histogram_dirty": histogram("dirty_orders"),
         "correlations": correlation_rows("dirty_orders"),
         "correlations_lineitem": correlation_rows("lineitem"),
         "correlation_matrix": correlation_matrix("judged_documents"),

@@ -234,6 +234,7 @@ def queries() -> dict[str, Query]:
         "distribution_shape": on("dirty_orders", lambda d: numeric.distribution_shape(d, cfg)),
         "distribution_shape_lineitem": on("lineitem", lambda d: numeric.distribution_shape(d, cfg)),
         "numeric_histogram": on("lineitem", lambda d: numeric.numeric_histogram(d, cfg)),
+        "numeric_histogram_dirty": on("dirty_orders", lambda d: numeric.numeric_histogram(d, cfg)),
         "correlations": on("dirty_orders", lambda d: correlation.correlations(d, cfg)),
         "correlations_lineitem": on("lineitem", lambda d: correlation.correlations(d, cfg)),
         "correlation_matrix": of("judged_documents", "correlation_matrix"),

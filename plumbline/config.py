@@ -56,7 +56,7 @@ class ProfileConfig:
     max_corr_cols: int = 80
     # Up to this many numeric columns the pairs stay in one JVM aggregate; more go
     # through one Arrow scan instead of many aggregates.
-    corr_jvm_cols: int = 6
+    corr_jvm_cols: int = 4
 
     # Temporal columns are found by name: substring | token
     temporal_mode: str = "substring"

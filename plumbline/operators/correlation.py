@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.config import ProfileConfig
-from plumbline.functions.columns import literal, number, pick, rows_of
+from plumbline.functions.columns import number, pick, rows_of
+from plumbline.functions.ranks import double
 from plumbline.operators.facts import numeric_fields
 
 PAIR_SCHEMA = "column_a string, column_b string, corr double"
@@ -32,8 +33,10 @@ def correlations(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
     """
     if correlation_note(df, cfg):
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    n = len(numeric_fields(df))
-    half = _jvm_pairs(df) if n <= cfg.corr_jvm_cols else _arrow_pairs(df)
+    fields = numeric_fields(df)
+    means = _means(df, fields)
+    sums = (_jvm_sums if len(fields) <= cfg.corr_jvm_cols else _arrow_sums)(df, fields, means)
+    half = _pairs(sums, [f.name for f in fields])
     there, back = (F.struct(F.col(a).alias("column_a"), F.col(b).alias("column_b"), "corr")
                    for a, b in (("column_a", "column_b"), ("column_b", "column_a")))
     both = F.array_compact(F.array(there, F.when(F.col("column_a") != F.col("column_b"), back)))
@@ -47,39 +50,45 @@ def correlation_matrix(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
             .pivot("column_b", names).agg(F.first("corr")).orderBy("column"))
 
 
-def _jvm_pairs(df: DataFrame) -> DataFrame:
-    """One aggregate in the JVM. Grows with the square of the columns, so for few of them."""
-    fields = numeric_fields(df)
-    pairs = [(a, b) for i, a in enumerate(fields) for b in fields[i:]]
+def _means(df: DataFrame, fields: list[T.StructField]) -> list[float]:
+    row = df.selectExpr(*[f"avg({number(f)}) as m{i}" for i, f in enumerate(fields)]).head()
+    return [v if v is not None and np.isfinite(v) else 0.0 for v in row]
+
+
+def _pairs(sums: DataFrame, names: list[str]) -> DataFrame:
+    """Correlations from (i, j, n, sa, sb, saa, sbb, sab), sums over the complete rows of a pair
+    of values relative to the column means: raw squares would lose digits."""
+    n, sa, sb, saa, sbb, sab = (F.col(s) for s in SUMS)
+    va, vb = saa - F.try_divide(sa * sa, n), sbb - F.try_divide(sb * sb, n)
+    # What is left of a constant column after rounding is no spread.
+    spread = F.when((va > saa * 1e-13) & (vb > sbb * 1e-13), F.sqrt(va) * F.sqrt(vb))
+    return sums.select(F.expr(pick(names, "i")).alias("column_a"), F.expr(pick(names, "j")).alias("column_b"),
+                       F.try_divide(sab - F.try_divide(sa * sb, n), spread).alias("corr"))
+
+
+def _jvm_sums(df: DataFrame, fields: list[T.StructField], means: list[float]) -> DataFrame:
+    """One aggregate in the JVM. It grows with the square of the columns, so for few of them."""
+    centered = df.selectExpr(*[f"{number(f)} - {double(m)} as x{i}" for i, (f, m) in enumerate(zip(fields, means))])
+    pairs = [(i, j) for i in range(len(fields)) for j in range(i, len(fields))]
     aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = number(a), number(b)
-        spread = (f"stddev_samp(case when {y} is not null then {x} end) * "
-                  f"stddev_samp(case when {x} is not null then {y} end)")
-        # A constant side has zero spread, which would fail under ANSI division.
-        aggs.append(f"try_divide(covar_samp({x}, {y}), {spread}) as c{i}")
-    return rows_of(df.selectExpr(*aggs), [
-        {"column_a": literal(a.name), "column_b": literal(b.name), "corr": f"c{i}"}
-        for i, (a, b) in enumerate(pairs)])
-
-
-def _arrow_pairs(df: DataFrame) -> DataFrame:
+    for i, j in pairs:
+        a, b = f"case when x{j} is not null then x{i} end", f"case when x{i} is not null then x{j} end"
+        exprs = (f"cast(count({a}) as double)", f"sum({a})", f"sum({b})", f"sum({a} * x{i})",
+                 f"sum({b} * x{j})", f"sum(x{i} * x{j})")
+        aggs += [f"{expr} as {name}_{i}_{j}" for expr, name in zip(exprs, SUMS)]
+    return rows_of(centered.selectExpr(*aggs), [
+        {"i": str(i), "j": str(j), **{name: f"{name}_{i}_{j}" for name in SUMS}} for i, j in pairs])
+
+
+def _arrow_sums(df: DataFrame, fields: list[T.StructField], means: list[float]) -> DataFrame:
     """One scan for any number of columns: each task turns its batches into sums per pair
     by matrix products, and the tasks' sums are added up by pair."""
-    fields = numeric_fields(df)
-    names = [f.name for f in fields]
-    x = [f"{number(f)} as x{i}" for i, f in enumerate(fields)]
-    # Values are taken relative to the column mean: raw squares would lose digits.
-    means = [v if v is not None and np.isfinite(v) else 0.0
-             for v in df.selectExpr(*[f"avg({number(f)}) as m{i}" for i, f in enumerate(fields)]).head()]
-    center = np.array(means)
-    upper = np.triu_indices(len(names))
+    center, upper = np.array(means), np.triu_indices(len(fields))
 
     def task_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            values = np.column_stack(cols) - center
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - center
             seen = ~np.isnan(values)
             values[~seen] = 0.0
             mask = seen.astype(float)
@@ -88,17 +97,10 @@ def _arrow_pairs(df: DataFrame) -> DataFrame:
                              squares.T @ mask, mask.T @ squares, values.T @ values])
             total = part if total is None else total + part
         if total is not None:
-            flat = [m[upper] for m in total]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(upper[0], pa.int32()), pa.array(upper[1], pa.int32()),
-                 *[pa.array(m, pa.float64()) for m in flat]], names=["i", "j", *SUMS])
+                 *[pa.array(m[upper], pa.float64()) for m in total]], names=["i", "j", *SUMS])
 
-    schema = "i int, j int, " + ", ".join(f"{s} double" for s in SUMS)
-    sums = (df.selectExpr(*x).mapInArrow(task_sums, schema)
-            .groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS]))
-    n, sa, sb, saa, sbb, sab = (F.col(s) for s in SUMS)
-    va, vb = saa - F.try_divide(sa * sa, n), sbb - F.try_divide(sb * sb, n)
-    # What is left of a constant column after rounding is no spread.
-    spread = F.when((va > saa * 1e-13) & (vb > sbb * 1e-13), F.sqrt(va) * F.sqrt(vb))
-    return sums.select(F.expr(pick(names, "i")).alias("column_a"), F.expr(pick(names, "j")).alias("column_b"),
-                       F.try_divide(sab - F.try_divide(sa * sb, n), spread).alias("corr"))
+    numbers = df.selectExpr(*[f"{number(f)} as x{i}" for i, f in enumerate(fields)])
+    return (numbers.mapInArrow(task_sums, "i int, j int, " + ", ".join(f"{s} double" for s in SUMS))
+            .groupBy("i", "j").agg(*[F.expr(f"sum({s}) as {s}") for s in SUMS]))

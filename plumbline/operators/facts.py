@@ -51,7 +51,9 @@ def column_measures(field: T.StructField, parts, cfg: ProfileConfig) -> dict[str
     out = {"non_null": f"count({c})"}
     if is_numeric(dtype):
         x = number(field)
-        out.update(mean=f"avg({x})", std=f"stddev_samp({x})", min=f"min({x})", max=f"max({x})",
+        # The deviation of a constant, merged from many tasks, may not be quite zero.
+        std = f"case when count({x}) > 1 and min({x}) = max({x}) then 0D else stddev_samp({x}) end"
+        out.update(mean=f"avg({x})", std=std, min=f"min({x})", max=f"max({x})",
                    zeros=f"count_if({x} = 0)")
         if isinstance(dtype, (T.FloatType, T.DoubleType)):
             out["nan_count"] = f"count_if(isnan({c}))"

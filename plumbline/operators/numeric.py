@@ -84,8 +84,9 @@ def numeric_histogram(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None
         return df.sparkSession.createDataFrame(
             [], "column string, bin bigint, low double, high double, count bigint")
     widths = {c: (hi - lo) / bins or 1.0 for c, (lo, hi) in ends.items()}
-    cells = [{"column": literal(f.name), "bin": f"least({bins - 1}L, floor(({number(f)} - "
-              f"{double(ends[f.name][0])}) / {double(widths[f.name])}))"} for f in fields]
+    cells = [{"column": literal(f.name),
+              "bin": f"case when {number(f)} is not null then least({bins - 1}L, floor(({number(f)} - "
+                     f"{double(ends[f.name][0])}) / {double(widths[f.name])})) end"} for f in fields]
     counts = (rows_of(df, cells).where("bin IS NOT NULL")
               .groupBy("column", "bin").agg(F.expr("count(1) as count")))
     grid = df.sparkSession.createDataFrame(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import sqrt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.config import ProfileConfig
@@ -19,8 +20,30 @@ class ProfiledRows:
 
 
 def head_rows(df: DataFrame, n: int, order_by: list[str] | None = None) -> DataFrame:
-    """The first n rows; with `order_by` the choice does not depend on the file layout."""
-    return (df.orderBy(*[quoted(c) for c in order_by]) if order_by else df).limit(n)
+    """The first n rows in the order of `order_by`, or else in the order of the files.
+
+    Without an order only as many files are opened as hold n rows: a limit alone would have
+    every task of a large scan read n rows. An order is meant for small n, which every task
+    keeps while it scans.
+    """
+    if order_by:
+        return df.orderBy(*[quoted(c) for c in order_by]).limit(n)
+    return _first_files(df, n).limit(n)
+
+
+def _first_files(df: DataFrame, n: int) -> DataFrame:
+    """The rows of the first files that together hold n rows, if the frame is a file scan."""
+    try:
+        path = df.select("_metadata.file_path")
+    except AnalysisException:
+        return df
+    files = sorted(df.inputFiles())
+    k = 1
+    while k < len(files):
+        if path.where(F.col("file_path").isin(files[:k])).count() >= n:
+            return df.where(F.col("_metadata.file_path").isin(files[:k]))
+        k *= 2
+    return df
 
 
 def random_rows(df: DataFrame, n: int, seed: int, key: list[str] | None = None,

@@ -68,7 +68,8 @@ class Catalog:
         """
         def one(i: int) -> pa.Table | None:
             try:
-                return report(self._profiled(i).df).withColumn("ds", F.lit(i)).toArrow()
+                found = report(self._profiled(i).df).withColumn("ds", F.lit(i)).toArrow()
+                return found.cast(pa.schema([f.with_nullable(True) for f in found.schema]))
             except Exception as e:
                 self.notes.append((i, f"Report '{name}' failed: {e}"))
                 return None

@@ -20,7 +20,7 @@ TYPE_PATTERNS = (
 
 
 def has_text(cells: Column) -> Column:
-    return F.exists(cells, lambda c: c.isNotNull() & ~is_blank(c))
+    return F.array_join(cells, "").rlike(r"(?U)\S")
 
 
 def repaired_names(header: DataFrame, keys: list[str]) -> DataFrame:
