@@ -26,15 +26,15 @@ def correlation_note(df: DataFrame, cfg: ProfileConfig) -> str | None:
     return None
 
 
-def correlations(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
+def correlations(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None) -> DataFrame:
     """(column_a, column_b, corr) for every ordered pair; null where a side is constant.
 
-    Empty when `correlation_note` gives a reason to skip.
+    Empty when `correlation_note` gives a reason to skip. Facts save the scan for the means.
     """
     if correlation_note(df, cfg):
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     fields = numeric_fields(df)
-    means = _means(df, fields)
+    means = _means(df, fields, facts)
     sums = (_jvm_sums if len(fields) <= cfg.corr_jvm_cols else _arrow_sums)(df, fields, means)
     half = _pairs(sums, [f.name for f in fields])
     there, back = (F.struct(F.col(a).alias("column_a"), F.col(b).alias("column_b"), "corr")
@@ -43,16 +43,21 @@ def correlations(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
     return half.select(F.inline(both)).orderBy("column_a", "column_b")
 
 
-def correlation_matrix(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
+def correlation_matrix(df: DataFrame, cfg: ProfileConfig, pairs: DataFrame | None = None) -> DataFrame:
     """The same numbers with one row and one value column per numeric column."""
     names = [f.name for f in numeric_fields(df)]
-    return (correlations(df, cfg).groupBy(F.col("column_a").alias("column"))
+    pairs = correlations(df, cfg) if pairs is None else pairs
+    return (pairs.groupBy(F.col("column_a").alias("column"))
             .pivot("column_b", names).agg(F.first("corr")).orderBy("column"))
 
 
-def _means(df: DataFrame, fields: list[T.StructField]) -> list[float]:
-    row = df.selectExpr(*[f"avg({number(f)}) as m{i}" for i, f in enumerate(fields)]).head()
-    return [v if v is not None and np.isfinite(v) else 0.0 for v in row]
+def _means(df: DataFrame, fields: list[T.StructField], facts: DataFrame | None) -> list[float]:
+    if facts is None:
+        found = df.selectExpr(*[f"avg({number(f)}) as m{i}" for i, f in enumerate(fields)]).head()
+    else:
+        known = {r["column"]: r["mean"] for r in facts.select("column", "mean").collect()}
+        found = [known[f.name] for f in fields]
+    return [v if v is not None and np.isfinite(v) else 0.0 for v in found]
 
 
 def _pairs(sums: DataFrame, names: list[str]) -> DataFrame:

@@ -78,11 +78,11 @@ class TableProfile:
 
     @cached_property
     def correlations(self) -> DataFrame:
-        return correlation.correlations(self.df, self.cfg)
+        return local_frame(correlation.correlations(self.df, self.cfg, self.facts))
 
     @cached_property
     def correlation_matrix(self) -> DataFrame:
-        return correlation.correlation_matrix(self.df, self.cfg)
+        return correlation.correlation_matrix(self.df, self.cfg, self.correlations)
 
     @cached_property
     def uniqueness(self) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.config import ProfileConfig
@@ -49,17 +51,22 @@ def write_catalog(catalog: Catalog, root: str, fmt: str = "csv", reports=REPORTS
     root/_total/. Returns (dataset_id, note), also written to root/_total/notes."""
     spark: SparkSession = catalog.spark
     cfg: ProfileConfig = catalog.cfg
-    notes: list[tuple[str | None, str]] = []
-    for r in catalog.ids.orderBy("ds").collect():  # one row per table
-        folder = f"{root}/{r['dataset_dir']}"
+
+    def one(r) -> list[tuple[str | None, str]]:
         made, said = profile(catalog.datasets[r["ds"]].df, cfg, reports)
-        said += write_reports(made, folder, fmt)
-        notes += [(r["dataset_id"], n) for n in said]
+        said += write_reports(made, f"{root}/{r['dataset_dir']}", fmt)
+        return [(r["dataset_id"], n) for n in said]
+
+    tables = catalog.ids.orderBy("ds").collect()  # one row per table
+    with ThreadPoolExecutor(cfg.parallel_tables) as pool:
+        notes = [note for said in pool.map(one, tables) for note in said]
     for name in CATALOG_REPORTS:
         try:
             write_report(getattr(catalog, name), f"{root}/_total/{name}", fmt)
         except Exception as e:
             notes.append((None, f"Report '{name}' failed: {e}"))
+    number = {r["ds"]: r["dataset_id"] for r in tables}
+    notes += [(number[i], note) for i, note in catalog.notes]
     out = spark.createDataFrame(notes, "dataset_id string, note string")
     write_report(out, f"{root}/_total/notes", fmt)
     return out

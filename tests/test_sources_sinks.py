@@ -6,7 +6,7 @@ import os
 import pyarrow as pa
 import pytest
 
-from plumbline import Catalog, Dataset, ProfileConfig
+from plumbline import Catalog, Dataset, ProfileConfig, run
 from plumbline.sinks import reports
 from plumbline.sources import files, grids
 
@@ -56,6 +56,13 @@ def test_open_and_profile(spark, folder, tmp_path_factory):
     assert [w["rule"] for w in document["quality_warnings"]] == ["duplicate_rows"]
 
 
+def test_run(spark, folder, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("run"))
+    assert run(spark, [str(folder / "deep")], out, EXACT, "parquet") == {
+        "files_found": 1, "datasets_processed": 1, "total_rows": 60, "total_columns": 1}
+    assert spark.read.parquet(f"{out}/_total/totals").head()["total_rows"] == 60
+
+
 def test_failed_report_is_a_note(spark, tmp_path):
     notes = reports.write_reports({"bad": spark.range(1).selectExpr("raise_error('no') as x"),
                                    "good": spark.range(1).toDF("x")}, str(tmp_path))
