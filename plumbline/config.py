@@ -90,7 +90,7 @@ class ProfileConfig:
 
     # Physical choices. Aggregates per scan keep one aggregate inside whole-stage
     # code generation; rank_group_rows bounds the largest group a window may sort.
-    aggregates_per_scan: int = 60
+    aggregates_per_scan: int = 40
     rank_group_rows: int = 200_000
     rank_sketch_k: int = 4096
     merge_slots: int = 64

@@ -38,14 +38,17 @@ class Span:
     def interval(self):
         return self.column, self.low, self.high
 
-    def within(self, x: str) -> str:
-        """The value where it lies in the interval, else null."""
+    def condition(self, x: str) -> str:
         cond = f"{x} is not null"
         if self.low is not None:
             cond += f" and {x} > {double(self.low)}"
         if self.high is not None:
             cond += f" and {x} < {double(self.high)}"
-        return f"case when {cond} then {x} end"
+        return cond
+
+    def within(self, x: str) -> str:
+        """The value where it lies in the interval, else null."""
+        return f"case when {self.condition(x)} then {x} end"
 
 
 def double(value: float) -> str:
@@ -153,11 +156,13 @@ def values_at_ranks(df: DataFrame, exprs: dict[str, str], wanted: dict[str, tupl
     for s in small:
         shared.setdefault(s.interval, []).append(s)
     members = list(shared.values())
-    rows = []
+    rows, conditions = [], []
     for i, group in enumerate(members):
         x = exprs[group[0].column]
-        rows.append(f"case when ({group[0].within(x)}) is not null then struct({i} as span, {x} as value) end")
-    inside = df.selectExpr(f"inline(array_compact(array({', '.join(rows)})))")
+        conditions.append(group[0].condition(x))
+        rows.append(f"case when {conditions[-1]} then struct({i} as span, {x} as value) end")
+    inside = (df.where(" or ".join(f"({c})" for c in conditions))
+              .selectExpr(f"inline(array({', '.join(rows)}))").where("span is not null"))
     order = Window.partitionBy("span").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     running = (inside.groupBy("span", "value").agg(F.expr("count(1) as n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -13,6 +15,8 @@ from plumbline.operators import (
     schema, temporal, text, uniqueness,
 )
 
+log = logging.getLogger(__name__)
+
 
 class TableProfile:
     """The reports on one table.
@@ -27,6 +31,22 @@ class TableProfile:
         self.source = df
         self.key = key
 
+    def together(self, *names: str) -> None:
+        """Evaluate reports that need only the facts at the same time, to keep the cluster busy.
+
+        A failure shows when the report itself is asked for.
+        """
+        def one(name: str) -> None:
+            try:
+                getattr(self, name)
+            except Exception as e:
+                log.warning("Report '%s' failed: %s", name, e)
+
+        one("facts")
+        missing = [n for n in names if n not in self.__dict__]
+        with ThreadPoolExecutor(max(len(missing), 1)) as pool:
+            list(pool.map(one, missing))
+
     @cached_property
     def rows(self) -> sampling.ProfiledRows:
         return sampling.profile_rows(self.source, self.cfg, self.key)
@@ -140,11 +160,13 @@ class TableProfile:
 
     @cached_property
     def quality_warnings(self) -> DataFrame:
+        self.together("overview", "unique")
         return quality.quality_warnings(
             self.overview, self.missingness, numeric.constant_columns(self.facts, self.unique), self.cfg)
 
     @cached_property
     def column_cards(self) -> DataFrame:
+        self.together("unique", "quantiles", "text_profile", "list_columns")
         return cards.column_cards(self.schema, self.numeric_summary, self.text_profile,
                                   self.uniqueness, self.categorical_summary)
 
@@ -177,6 +199,8 @@ def profile(df: DataFrame, cfg: ProfileConfig | None = None, reports=REPORTS,
     """The asked reports by name, and notes. A report that fails becomes a note."""
     table = TableProfile(df, cfg, key)
     out, notes = {}, table.notes()
+    if tuple(reports) == REPORTS:
+        table.together("unique", "quantiles", "overview", "text_profile", "list_columns", "correlations")
     for name in reports:
         try:
             out[name] = getattr(table, name)
