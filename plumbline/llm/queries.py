@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import encode
-from .common import table
+from .common import crc_bucket, table
 from .decontaminate import decontaminate
+from .toxicity import fit, score
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +38,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_decontamination": op5_decontamination, "op7_bpe": op7_bpe}
+    return {"op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op7_bpe": op7_bpe}
 
 
 _OP5 = r"""
@@ -49,4 +56,4 @@ from d left join n using (r) left join t using (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": _OP5}
+    return {"op4_toxicity": op4_toxicity, "op5_decontamination": _OP5}
