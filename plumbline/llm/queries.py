@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import encode
 from .common import crc_bucket, table
 from .decontaminate import decontaminate
+from .jaccard import jaccard_join
 from .lines import dedup_lines
 from .toxicity import fit, score
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_line_dedup": op3_line_dedup, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op7_bpe": op7_bpe}
+    return {"op2_jaccard_join": op2_jaccard_join, "op3_line_dedup": op3_line_dedup, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op7_bpe": op7_bpe}
 
 
 _OP3 = r"""
