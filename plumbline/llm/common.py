@@ -32,3 +32,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def crc_bucket(column: str, n: int):
     """crc32 of the value as text, modulo n."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+
+
+def carried(docs: DataFrame, id_col: str, text_col: str, also: list[str] | None) -> tuple[DataFrame, list[str], list[int]]:
+    """Frame of text, id and `also` without repeats; names to hand on (id first), and their places in the frame."""
+    names = [id_col, *[c for c in also or [] if c != id_col]]
+    frame = [text_col, *[c for c in names if c != text_col]]
+    return docs.select(*frame), names, [frame.index(c) for c in names]

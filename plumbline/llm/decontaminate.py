@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textscan as ts
+from .common import carried
 
 #: Benchmark text searched for in one pass over the documents; a larger benchmark takes several passes.
 BLOCK_BYTES = 16 << 20
@@ -143,42 +144,44 @@ def _scan(found: ts.Words, tables: list[WuManber]) -> list[tuple[np.ndarray, np.
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document: its id, n_words, hit_spans (runs of hit words, [start, end)), items (ids, ascending)."""
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", also: list[str] | None = None, mark: str = "",
+) -> DataFrame:
+    """Per document its id, n_words, hit_spans (runs of hit words, [start, end)) and items (ids, ascending);
+    `also`: further columns to hand on; `mark`: put before the new names, where they would clash with those."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    kept = docs.schema[id_col]
-    result = T.StructType([kept, *T._parse_datatype_string("n_words long, hit_spans array<struct<start:long,end:long>>, items array<long>").fields])
-    frame = docs.select(id_col, text_col)
+    frame, names, places = carried(docs, id_col, text_col, also)
+    found = T._parse_datatype_string(f"{mark}n_words long, {mark}hit_spans array<struct<start:long,end:long>>, {mark}items array<long>").fields
+    given = len(frame.columns)
     for block in range(blocks):
         rows = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         tables = spark.sparkContext.broadcast(searchers([(r.item, r.text) for r in rows.collect()], width))
         last = block == blocks - 1
-        schema = result if last else T.StructType([kept, docs.schema[text_col], *result.fields[1:]])
-        frame = frame.mapInArrow(_pass(tables, to_arrow_schema(schema), last), schema)
+        schema = T.StructType([*[docs.schema[c] for c in (names if last else frame.columns[:given])], *found])
+        frame = frame.mapInArrow(_pass(tables, to_arrow_schema(schema), places if last else list(range(given)), given), schema)
     return frame
 
 
-def _pass(tables, schema: pa.Schema, last: bool):
-    """Reads (id, text) or what an earlier pass gave: (id, text, n_words, hit_spans, items)."""
-    span = schema.field("hit_spans").type
+def _pass(tables, schema: pa.Schema, places: list[int], given: int):
+    """Reads the text and what is handed on, and behind those what an earlier pass has found."""
 
     def run(batches):
         for batch in batches:
-            offsets, data = ts.buffers(batch.column(1))
+            offsets, data = ts.buffers(batch.column(0))
             for a, b in ts.slices(offsets):
-                found = ts.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ts.ALNUM)
-                hits = _scan(found, tables.value)
+                words = ts.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ts.ALNUM)
+                hits = _scan(words, tables.value)
                 part = batch.slice(a, b - a)
-                if batch.num_columns > 2:
-                    _add(hits, part.column(3), part.column(4))
+                if batch.num_columns > given:
+                    _add(hits, part.column(given + 1), part.column(given + 2))
                 spans = [[] if h is None else [{"start": int(s), "end": int(e)} for s, e in zip(h[0], h[1])] for h in hits]
                 items = [[] if h is None else h[2].tolist() for h in hits]
-                made = [pa.array(np.diff(found.first), type=pa.int64()), pa.array(spans, type=span), pa.array(items, type=pa.list_(pa.int64()))]
-                given = [part.column(0)] if last else [part.column(0), part.column(1)]
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(given + made, schema)], schema=schema)
+                made = [pa.array(np.diff(words.first), type=pa.int64()), pa.array(spans, type=schema.field(-2).type), pa.array(items, type=schema.field(-1).type)]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([*[part.column(i) for i in places], *made], schema)], schema=schema)
     return run
 
 

@@ -120,14 +120,15 @@ def _digest(own: np.ndarray) -> int:
         return int(ts.mix(np.array([ts.mix(own ^ _U(0xA5A5)).sum(dtype=_U) + _U(len(own))]))[0].view(np.int64))
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, order) -> DataFrame:
-    """One row per document: id, key (hash of its set), n (size), prefix (its first shingles)."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("key long, n long, prefix array<long>").fields])
+def _sets(docs: DataFrame, id_col: str, text_col: str, order, also: list[str]) -> DataFrame:
+    """One row per document: id, `also`, key (hash of its set), n (size), prefix (its first shingles)."""
+    given = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.struct(F.lit(0).alias("row"), *also).alias("also"))
+    schema = T.StructType([given.schema["id"], given.schema["also"], *T._parse_datatype_string("key long, n long, prefix array<long>").fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            offsets, data = ts.buffers(batch.column(1))
+            offsets, data = ts.buffers(batch.column(0))
             for a, b in ts.slices(offsets):
                 found = ts.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ts.NOT_SPACE)
                 keys, sizes, prefixes = [], [], []
@@ -138,9 +139,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, order) -> DataFrame:
                 at = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefixes)))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a).cast(arrow.field(0).type), pa.array(keys, type=pa.int64()), pa.array(sizes, type=pa.int64()), lists.cast(arrow.field(3).type)], schema=arrow)
+                    batch.column(1).slice(a, b - a).cast(arrow.field(0).type), batch.column(2).slice(a, b - a).cast(arrow.field(1).type),
+                    pa.array(keys, type=pa.int64()), pa.array(sizes, type=pa.int64()), lists.cast(arrow.field(4).type)], schema=arrow)
 
-    return written(docs.select(id_col, text_col).mapInArrow(run, schema), "sets")
+    return written(given.mapInArrow(run, schema), "sets")
 
 
 def _size_fits(n: str, m: str):
@@ -299,11 +301,11 @@ def _across(large: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
     return x.join(y, "shingle").where(fits).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, n_shingles, component_id (the smallest id that links lead to, its own included)."""
-    docs = docs.select(id_col, text_col)
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None) -> DataFrame:
+    """Per document its id, n_shingles, component_id (the smallest id that links lead to, its own included),
+    component (a hash that names the component, null without shingles) and the columns `also`, in a struct of that name."""
     order = docs.sparkSession.sparkContext.broadcast(Order(_frequent(docs, text_col)))
-    sets = _sets(docs, id_col, text_col, order)
+    sets = _sets(docs, id_col, text_col, order, also or [])
     pairs, large = _meetings(sets)
     links = written(_tried(pairs, _ordered(docs, id_col, text_col, sets, pairs, order)), "links")
     labels = components(links)
@@ -315,6 +317,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = (sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id")).join(labels.withColumnRenamed("node", "key"), "key", "left")
              .select("key", "id", F.coalesce("component", "key").alias("component")))
     least = nodes.groupBy("component").agg(F.min("id").alias("component_id"))
-    known = nodes.join(least, "component").select("key", "component_id")
-    found = sets.select("id", "key", "n").join(known, "key", "left")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    known = nodes.join(least, "component").select("key", "component", "component_id")
+    found = sets.select("id", "key", "n", "also").join(known, "key", "left")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "component", F.col("also").dropFields("row").alias("also") if also else F.lit(None).cast("string").alias("also"))

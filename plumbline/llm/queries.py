@@ -15,7 +15,7 @@ from .toxicity import fit, score
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

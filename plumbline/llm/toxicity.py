@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textscan as ts
-from .common import crc_bucket, written
+from .common import carried, crc_bucket, written
 
 #: Bytes of text per class from which the model learns; small documents count as SMALL bytes.
 TRAIN_BYTES = 32 << 20
@@ -219,10 +219,11 @@ def _figures(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     return np.bincount(text, weights=np.nan_to_num(own), minlength=len(n)) / np.maximum(n, 1), n
 
 
-def figure(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None) -> DataFrame:
-    """Per document its id, n_words and figure (log-likelihood ratio per word); `also`: further columns to keep."""
-    kept = [docs.schema[c] for c in [id_col, *(also or [])]]
-    schema = T.StructType([*kept, *T._parse_datatype_string("n_words long, figure double").fields])
+def figure(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None, mark: str = "") -> DataFrame:
+    """Per document its id, n_words and figure (log-likelihood ratio per word); `also`: further columns to
+    hand on; `mark`: put before the new names, where they would clash with those."""
+    frame, names, places = carried(docs, id_col, text_col, also)
+    schema = T.StructType([*[docs.schema[c] for c in names], *T._parse_datatype_string(f"{mark}n_words long, {mark}figure double").fields])
     arrow, shared = to_arrow_schema(schema), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -230,14 +231,14 @@ def figure(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             offsets, data = ts.buffers(batch.column(0))
             for a, b in ts.slices(offsets):
                 value, n = _figures(shared.value, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                part = batch.slice(a, b - a)
-                columns = [*part.columns[1:], pa.array(n), pa.array(value)]
+                columns = [*[batch.column(i).slice(a, b - a) for i in places], pa.array(n), pa.array(value)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.select(text_col, *[f.name for f in kept]).mapInArrow(run, schema)
+    return frame.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None, mark: str = "") -> DataFrame:
     """figure() with score (0 to 1) and predicted (1 if the score is 0.5 or more)."""
-    value = 1 / (1 + F.exp(-(F.col("figure") * model.slope + model.intercept))) if model.fitted else F.lit(0.0)
-    return figure(docs, model, id_col, text_col, also).withColumn("score", value).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    value = 1 / (1 + F.exp(-(F.col(f"{mark}figure") * model.slope + model.intercept))) if model.fitted else F.lit(0.0)
+    found = figure(docs, model, id_col, text_col, also, mark).withColumn(f"{mark}score", value)
+    return found.withColumn(f"{mark}predicted", (F.col(f"{mark}score") >= 0.5).cast("int"))
