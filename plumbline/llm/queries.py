@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import language, neighbours
 from .bpe import encode
 from .common import crc_bucket, table
 from .decontaminate import decontaminate
@@ -14,6 +15,13 @@ from .lines import dedup_lines
 from .toxicity import fit, score
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False))
+    model = language.fit(docs.where(~held_out))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -47,8 +55,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neighbours.valid(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    pivots = neighbours.choose_pivots(rows)
+    index = neighbours.build(rows, pivots)
+    return neighbours.search(index, pivots, index.where("id % 50 = 0"), 5).select("query_id", "rank", "vec_id", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_jaccard_join": op2_jaccard_join, "op3_line_dedup": op3_line_dedup, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op7_bpe": op7_bpe}
+    found = (op1_language_id, op2_jaccard_join, op3_line_dedup, op4_toxicity, op5_decontamination, op7_bpe, op9_nearest_neighbours)
+    return {f.__name__: f for f in found}
 
 
 _OP3 = r"""
