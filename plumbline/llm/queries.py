@@ -11,6 +11,8 @@ from .bpe import encode
 from .common import crc_bucket, table
 from .decontaminate import decontaminate
 from .jaccard import jaccard_join
+from .license_texts import known
+from .licenses import normalised, scan
 from .lines import dedup_lines
 from .toxicity import fit, score
 
@@ -62,8 +64,15 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(index, pivots, index.where("id % 50 = 0"), 5).select("query_id", "rank", "vec_id", "score")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"), "unclassified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_jaccard_join, op3_line_dedup, op4_toxicity, op5_decontamination, op7_bpe, op9_nearest_neighbours)
+    found = (op1_language_id, op2_jaccard_join, op3_line_dedup, op4_toxicity, op5_decontamination, op7_bpe, op9_nearest_neighbours, op10_license_scan)
     return {f.__name__: f for f in found}
 
 
@@ -106,5 +115,33 @@ from d left join n using (r) left join t using (r)
 """
 
 
+_OP10 = r"""
+with s as (select * from (values $sentences) as t(sentence, name)),
+r as (select * from (values $rules) as t(rule, license, run)),
+d as (select distinct doc_id, text from documents where text is not null),
+c as (select doc_id, text, string_split(regexp_replace(text, '([.!?;:])[ \t\x0B\f\r]+', '\1' || chr(10), 'g'), chr(10)) as parts from d),
+l as (select doc_id, text, unnest(parts) as part, generate_subscripts(parts, 1) as pos from c),
+n as (select doc_id, text, pos, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) as sentence from l),
+f as (select doc_id, text, pos, name from n join s using (sentence)),
+m as (select f.doc_id, f.text, r.rule, r.license, f.pos as first, f.pos + len(run) - 1 as last, len(run) as size from f join r on r.run[1] = f.name
+  join f g on g.doc_id is not distinct from f.doc_id and g.text = f.text and g.pos between f.pos and f.pos + len(run) - 1 and g.name = r.run[g.pos - f.pos + 1]
+  group by all having count(*) = len(run)),
+k as (select m.* from m where not exists (select 1 from m u where u.doc_id is not distinct from m.doc_id and u.text = m.text and u.rule < m.rule and u.first <= m.last and m.first <= u.last)),
+a as (select doc_id, text, count(*) as n_sentences, string_agg(name, ',' order by pos) as sentence_ids,
+  count(*) filter (not exists (select 1 from k where k.doc_id is not distinct from f.doc_id and k.text = f.text and f.pos between k.first and k.last)) as unclassified from f group by doc_id, text),
+b as (select doc_id, text, string_agg(distinct license, ',' order by license) as licenses from k group by doc_id, text)
+select documents.doc_id, coalesce(n_sentences, 0) as n_sentences, coalesce(sentence_ids, '') as sentence_ids, coalesce(licenses, '') as licenses, coalesce(unclassified, 0) as unclassified
+from documents left join a on a.doc_id is not distinct from documents.doc_id and a.text = documents.text
+  left join b on b.doc_id is not distinct from documents.doc_id and b.text = documents.text
+"""
+
+
+def _op10() -> str:
+    sentences, rules = known()
+    rows = ", ".join(f"('{normalised(t)}', '{name}')" for name, t in sentences.items())
+    runs = ", ".join(f"({i}, '{license}', {run})" for i, (license, run) in enumerate(rules))
+    return _OP10.replace("$sentences", rows).replace("$rules", runs)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": _OP3, "op5_decontamination": _OP5}
+    return {"op3_line_dedup": _OP3, "op5_decontamination": _OP5, "op10_license_scan": _op10()}
