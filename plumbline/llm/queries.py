@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, neighbours
+from . import html_text, language, neighbours
 from .bpe import encode
 from .common import crc_bucket, table
 from .decontaminate import decontaminate
@@ -57,6 +57,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), html_text.trained(spark), also=["url"])
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = neighbours.valid(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     pivots = neighbours.choose_pivots(rows)
@@ -72,7 +76,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_jaccard_join, op3_line_dedup, op4_toxicity, op5_decontamination, op7_bpe, op9_nearest_neighbours, op10_license_scan)
+    found = (op1_language_id, op2_jaccard_join, op3_line_dedup, op4_toxicity, op5_decontamination, op7_bpe, op8_html_text, op9_nearest_neighbours, op10_license_scan)
     return {f.__name__: f for f in found}
 
 
