@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,11 +23,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and any executor can read it."""
+    """df as a Parquet table in the shared folder: its lineage ends there, and any executor can read it.
+
+    The shuffle files of the jobs that made it are let go at once: Spark deletes them when the driver has
+    collected the plans that own them as garbage, which a driver with little to do may put off for long.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch_path = path
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return made
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing will read them again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path.rpartition("/")[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def members(rows: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """rows whose column id occurs in the table ids, and few others: a table of 2^bits bits, a fixed size, is
+    broadcast, so that most other rows need not move in the exact join that follows."""
+    spot = F.expr(f"id_hash & {(1 << bits) - 1}L")
+    hashed = ids.select(F.xxhash64("id").alias("id_hash"))
+    table = (hashed.groupBy(F.shiftright(spot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(id_hash & 63 as int))")).alias("bits")))
+    named = rows.withColumn("id_hash", F.xxhash64("id")).withColumn("word", F.shiftright(spot, 6))
+    hit = named.join(F.broadcast(table), "word").where("(shiftrightunsigned(bits, cast(id_hash & 63 as int)) & 1) = 1")
+    return hit.select(*rows.columns)
 
 
 def crc_bucket(column: str, n: int):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
                  .select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct())
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v")).withColumn("m", F.min("v").over(whole))
         small = down.select(F.col("m").alias("a"), F.col("v").alias("b")).unionAll(down.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a < b").distinct()
-        now = written(small, "edges")
+        last, now = now, written(small, "edges")
+        dropped(last)
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
             break

@@ -1,11 +1,13 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap by 75 % or more, by prefix trees.
 
-All sets are ordered alike: shingles seldom met first, those met often last, by count. A set that
-overlaps another by enough shares one of the first n - ceil(0.75 n) + 1 shingles of that order with
-it (its prefix), so documents meet under their prefix shingles. Equal sets are one node from the start.
+All sets are ordered alike: shingles seldom met first, those met often last, by count. Two sets that
+overlap by enough share at least s of the first n - ceil(0.75 n) + s shingles of that order (their
+prefixes; s is 1 + n / 16), so documents meet under their prefix shingles, and those that meet under
+too few are not tried. Equal sets are one node from the start.
 
 Who meets whom becomes probes: of a small group every pair, of a large one each set against the
-group's smallest and against its neighbour in size. For every probe set, the ordered sets to be tried
+group's smallest and against its neighbour in size (a pair's meetings in large groups, which are not
+counted, are taken to be as many as the set with fewer of them has). For every probe set, the ordered sets to be tried
 are stored in a trie whose paths share equal beginnings; it is walked from the root, the overlap so
 far is carried down, and a branch is left when even all its remaining shingles would be too few.
 Then large groups that still hold sets of several components are tried pair by pair across them,
@@ -29,24 +31,26 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textscan as ts
-from .common import written
+from .common import dropped, members, written
 from .components import components
 
 WORDS = 5
 #: Shingles counted together before the repeated ones are passed on.
 CHUNK = 2_000_000
-FREQUENT = 8
+FREQUENT = 4
 MAX_FREQUENT = 1 << 18
 #: The largest group of which every pair is tried at once.
-SMALL = 24
+SMALL = 32
+#: A prefix is longer than it must be by a shingle for each so many of its set.
+SPARE = 16
 BLOCK = 1 << 20
 
 _U = np.uint64
 
 
 def prefix_size(n: int) -> int:
-    """n - ceil(3 n / 4) + 1."""
-    return n - (3 * n + 3) // 4 + 1
+    """n - ceil(3 n / 4), and as many more as two prefixes of linked sets must share."""
+    return n - (3 * n + 3) // 4 + 1 + n // SPARE
 
 
 def linked(overlap: int, n: int, m: int) -> bool:
@@ -90,8 +94,10 @@ def _frequent(docs: DataFrame, text_col: str) -> np.ndarray:
     else:
         least = FREQUENT
     if total > MAX_FREQUENT and least == FREQUENT:
+        dropped(found)
         return np.zeros(0, dtype=_U)
     rows = found.where(F.col("n") >= least).toPandas()
+    dropped(found)
     keys, n = rows.shingle.to_numpy(dtype=np.int64).view(_U), rows.n.to_numpy(dtype=np.int64)
     return keys[np.lexsort((keys, n))]
 
@@ -150,23 +156,36 @@ def _size_fits(n: str, m: str):
     return (F.col(n) <= F.col(m)) & (4 * F.col(n) >= 3 * F.col(m))
 
 
-def _meetings(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to be tried, and the large groups (shingle, key, n)."""
+def _enough(n: str, m: str):
+    """Prefix shingles that linked sets of these sizes must share."""
+    return 1 + F.floor(F.least(n, m) / SPARE)
+
+
+def _meetings(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) to be tried; how often pairs met in small groups (a, b, c); large groups (shingle, key, n)."""
     posted = sets.where("n > 0").select(F.explode("prefix").alias("shingle"), "key", "n")
     group = Window.partitionBy("shingle")
     shared = written(posted.withColumn("m", F.count("*").over(group)).where("m > 1"), "shared")
-    members = (shared.where(F.col("m") <= SMALL).groupBy("shingle").agg(F.array_sort(F.collect_set(F.struct("n", "key"))).alias("members"))
-               .where(F.size("members") > 1).select("members").distinct())
-    pairs = (members.select("members", F.posexplode("members").alias("i", "x"))
-             .select("x", F.explode(F.slice("members", F.col("i") + 2, F.size("members"))).alias("y"))
-             .select(F.col("x.key").alias("a"), F.col("x.n").alias("an"), F.col("y.key").alias("b"), F.col("y.n").alias("bn")))
-    large = shared.where(F.col("m") > SMALL).select("shingle", "key", "n").distinct()
+    large = written(shared.where(F.col("m") > SMALL).select("shingle", "key", "n").distinct(), "large")
+    few = (shared.where(F.col("m") <= SMALL).groupBy("shingle").agg(F.array_sort(F.collect_set(F.struct("n", "key"))).alias("members"))
+           .where(F.size("members") > 1).groupBy("members").agg(F.count("*").alias("c")))
+    met = (few.select("members", "c", F.posexplode("members").alias("i", "x"))
+           .select("c", "x", F.explode(F.slice("members", F.col("i") + 2, F.size("members"))).alias("y"))
+           .select(F.col("x.key").alias("a"), F.col("x.n").alias("an"), F.col("y.key").alias("b"), F.col("y.n").alias("bn"), "c").where(_size_fits("an", "bn")))
+    met = written(met.groupBy("a", "an", "b", "bn").agg(F.sum("c").alias("c")), "met")
+    uncounted = large.groupBy("key").agg(F.count("*").alias("u"))
+    known = met
+    for side in ("a", "b"):
+        known = known.join(uncounted.select(F.col("key").alias(side), F.col("u").alias(f"{side}u")), side, "left")
+    pairs = known.where(F.col("c") + F.least(F.coalesce("au", F.lit(0)), F.coalesce("bu", F.lit(0))) >= _enough("an", "bn")).select("a", "an", "b", "bn")
     by_size = group.orderBy("n", "key")
     chained = large.select(
         F.first(F.struct("n", "key")).over(by_size).alias("x"), F.lag(F.struct("n", "key")).over(by_size).alias("w"), F.struct("n", "key").alias("y"))
     for other in ("x", "w"):
         pairs = pairs.unionAll(chained.where(f"{other} is not null and {other}.key != y.key").select(F.col(f"{other}.key"), F.col(f"{other}.n"), F.col("y.key"), F.col("y.n")))
-    return written(pairs.where(_size_fits("an", "bn")).select("a", "b").distinct(), "pairs"), large
+    tried = written(pairs.where(_size_fits("an", "bn")).select("a", "b").distinct(), "pairs")
+    dropped(shared)
+    return tried, met, large
 
 
 class _Node:
@@ -232,7 +251,7 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs
     arrow = to_arrow_schema(schema)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     holders = sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id")).join(wanted, "key")
-    texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")).join(holders, F.col("own_id").eqNullSafe(F.col("id"))).select("key", "text")
+    texts = members(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), holders).withColumnRenamed("id", "own_id").join(holders, F.col("own_id").eqNullSafe(F.col("id"))).select("key", "text")
 
     def run(batches):
         for batch in batches:
@@ -290,33 +309,44 @@ def _tried(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def _across(large: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of large groups whose sets are of different components and were not tried."""
+def _across(large: DataFrame, labels: DataFrame, met: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs of large groups whose sets are of different components, met often enough, and were not tried."""
     named = large.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     whole = Window.partitionBy("shingle")
-    mixed = written(named.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).where("lo < hi").drop("lo", "hi"), "mixed")
+    mixed = named.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).where("lo < hi").drop("lo", "hi")
     x = mixed.select("shingle", F.col("key").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
     y = mixed.select("shingle", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
     fits = _size_fits("an", "bn") & (F.col("ac") != F.col("bc")) & ((F.col("an") < F.col("bn")) | (F.col("a") < F.col("b")))
-    return x.join(y, "shingle").where(fits).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    often = x.join(y, "shingle").where(fits).groupBy("a", "an", "b", "bn").agg(F.count("*").alias("more"))
+    often = often.join(met.select("a", "b", "c"), ["a", "b"], "left").where(F.col("more") + F.coalesce("c", F.lit(0)) >= _enough("an", "bn"))
+    return often.select("a", "b").join(tried, ["a", "b"], "left_anti")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None) -> DataFrame:
     """Per document its id, n_shingles, component_id (the smallest id that links lead to, its own included),
     component (a hash that names the component, null without shingles) and the columns `also`, in a struct of that name."""
     order = docs.sparkSession.sparkContext.broadcast(Order(_frequent(docs, text_col)))
-    sets = _sets(docs, id_col, text_col, order, also or [])
-    pairs, large = _meetings(sets)
-    links = written(_tried(pairs, _ordered(docs, id_col, text_col, sets, pairs, order)), "links")
+    full = _sets(docs, id_col, text_col, order, also or [])
+    pairs, met, large = _meetings(full)
+    sets = written(full.drop("prefix"), "slim")
+    dropped(full)
+    ordered = _ordered(docs, id_col, text_col, sets, pairs, order)
+    links = written(_tried(pairs, ordered), "links")
     labels = components(links)
-    rest = written(_across(large, labels, pairs), "rest")
+    rest = written(_across(large, labels, met, pairs), "rest")
+    dropped(ordered, large, met, pairs, links)
     if not rest.isEmpty():
-        more = written(_tried(rest, _ordered(docs, id_col, text_col, sets, rest, order)), "links")
+        ordered = _ordered(docs, id_col, text_col, sets, rest, order)
+        more = written(_tried(rest, ordered), "links")
         labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(more))
-    labels = written(labels, "labels")
+        dropped(ordered, more)
     nodes = (sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id")).join(labels.withColumnRenamed("node", "key"), "key", "left")
              .select("key", "id", F.coalesce("component", "key").alias("component")))
     least = nodes.groupBy("component").agg(F.min("id").alias("component_id"))
     known = nodes.join(least, "component").select("key", "component", "component_id")
     found = sets.select("id", "key", "n", "also").join(known, "key", "left")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "component", F.col("also").dropFields("row").alias("also") if also else F.lit(None).cast("string").alias("also"))
+    result = written(found.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "component",
+        F.col("also").dropFields("row").alias("also") if also else F.lit(None).cast("string").alias("also")), "joined")
+    dropped(sets, rest)
+    return result

@@ -14,6 +14,7 @@ from .jaccard import jaccard_join
 from .license_texts import known
 from .licenses import normalised, scan
 from .lines import dedup_lines
+from .substrings import repeated_passages
 from .toxicity import fit, score
 
 
@@ -47,6 +48,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(names.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,7 +81,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_jaccard_join, op3_line_dedup, op4_toxicity, op5_decontamination, op7_bpe, op8_html_text, op9_nearest_neighbours, op10_license_scan)
+    found = (op1_language_id, op2_jaccard_join, op3_line_dedup, op4_toxicity, op5_decontamination, op6_substring_dedup, op7_bpe, op8_html_text, op9_nearest_neighbours, op10_license_scan)
     return {f.__name__: f for f in found}
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textscan as ts
-from .common import carried, crc_bucket, written
+from .common import carried, crc_bucket, dropped, written
 
 #: Bytes of text per class from which the model learns; small documents count as SMALL bytes.
 TRAIN_BYTES = 32 << 20
@@ -152,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     apart = counts.where(_statistic(F.col("t"), F.col("o"), F.lit(n_t), F.lit(n_o)) >= wanted[F.col("level")])
     before = counts.where(F.col("level") == WORD).select(F.col("gram").alias("history"), F.col("t").alias("h_t"), F.col("o").alias("h_o"))
     rows = apart.join(before, "history", "left").toPandas()
+    dropped(texts, counts)
     keys, ratios = [], []
     for level in (WORD, BEGINNING, PAIR):
         own = rows[rows.level == level].sort_values("gram")
