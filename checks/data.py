@@ -59,6 +59,10 @@ select c_custkey, c_name, c_mktsegment from {customer} where c_mktsegment = 'BUI
     "narrow_lineitem": (
         {"l_partkey": "bigint", "l_quantity": "double", "l_discount": "double"},
         "select l_partkey, l_quantity, l_discount from {lineitem}"),
+    "sparse_orders": (
+        {"sparse_status": "string", "rare": "bigint"},
+        """select case when o_orderkey % 100 < 85 then null else o_orderstatus end as sparse_status,
+  case when o_orderkey % 10 < 9 then null else o_custkey end as rare from {orders}"""),
     "judged_documents": (
         {"doc_id": "bigint", "lang": "string", "source": "string", "n_chars": "bigint",
          "quality": "int", "toxic": "int"},

@@ -78,6 +78,13 @@ def quantile_rows(name: str) -> str:
                   for c in columns_of(name, *NUMERIC)])
 
 
+def wide_quantiles() -> str:
+    source = "(select " + ", ".join(f"l_extendedprice + l_partkey * {i} as c{i}" for i in range(64)) + " from lineitem)"
+    return union([f"""select 'c{i}' as "column", {r(rank_value(f'c{i}', .25, source))} as "25%",
+  {r(rank_value(f'c{i}', .5, source))} as "50%", {r(rank_value(f'c{i}', .75, source))} as "75%",
+  {r(median(f'c{i}', source))} as median""" for i in range(64)])
+
+
 def shape_rows(name: str) -> str:
     s = view_sql(name)
     parts = []
@@ -187,7 +194,7 @@ c as (select *, case when non_null >= 50 and null_pct <= 30 and ratio >= 0.98 th
 o as (select *, row_number() over (order by case when source = 'name' then 1 else 0 end,
     case when source = 'name' then 0 else -ratio end, case when source = 'name' then pos else 0 end,
     "column") as priority from c where source is not null)
-select priority, "column", source, {r('ratio')} as unique_ratio from o where priority <= 5"""
+select priority, "column", source, {r('ratio')} as unique_ratio from o"""
 
 
 def key_rows(name: str, keys: list[str]) -> str:
@@ -228,7 +235,7 @@ def text_rows(name: str) -> str:
 
 def list_shares(name: str) -> str:
     """(column, separator, rows_with_separator_pct) of the list-like columns."""
-    parts = [f"""select '{c}' as "column", max(length({c})) as longest,
+    parts = [f"""select '{c}' as "column", count(case when length({c}) > 500 then 1 end) * 100e0 / greatest(count({c}), 1) as long_share,
   avg(case when contains({c}, ';') then 1e0 when {c} is not null then 0e0 end) * 100e0 as semicolons,
   avg(case when contains({c}, '|') then 1e0 when {c} is not null then 0e0 end) * 100e0 as pipe,
   avg(case when contains({c}, ',') then 1e0 when {c} is not null then 0e0 end) * 100e0 as comma
@@ -236,7 +243,7 @@ from {view_sql(name)}""" for c in columns_of(name, "string")]
     return f"""select "column", case when semicolons >= pipe and semicolons >= comma then ';'
   when pipe >= comma then '|' else ',' end as "separator",
   greatest(semicolons, pipe, comma) as share from ({union(parts)})
-where greatest(semicolons, pipe, comma) >= 20 and longest <= 500"""
+where greatest(semicolons, pipe, comma) >= 20 and long_share <= 10"""
 
 
 def list_detect(name: str) -> str:
@@ -253,7 +260,7 @@ def list_items(name: str, column: str, sep: str) -> str:
 
 def list_tokens(name: str, column: str, sep: str) -> str:
     return f"""select '{column}' as "column", token, count(*) as "count" from (
-  select substring(t, 1, 120) as token from (
+  select t as token from (
     select regexp_replace(unnest(string_split({column}, '{sep}')), '^\\s+|\\s+$', '', 'g') as t
     from {view_sql(name)}) where t <> '')
 group by token order by count(*) desc, token limit 30"""
@@ -261,10 +268,10 @@ group by token order by count(*) desc, token limit 30"""
 
 def categorical_decisions(name: str) -> str:
     cols = columns_of(name, "string")
-    longest = union([f"select '{c}' as \"column\", max(length({c})) as longest from {view_sql(name)}"
+    longest = union([f"select '{c}' as \"column\", count(case when length({c}) > 500 then 1 end) * 100e0 / greatest(count({c}), 1) as long_share from {view_sql(name)}"
                      for c in cols])
     return f"""with reasons as (select s."column", s.dtype,
-  case when l."column" is not null then 'skipped_listlike' when m.longest > 500 then 'skipped_long_text'
+  case when l."column" is not null then 'skipped_listlike' when m.long_share > 10 then 'skipped_long_text'
     when s.non_null >= 50 and s.null_pct <= 50 and s."unique" / cast(s.non_null as double) >= 0.98
     then 'skipped_high_uniqueness' else '' end as reason
   from ({schema_rows(name)}) s join ({longest}) m on s."column" = m."column"
@@ -293,9 +300,9 @@ from o where missing_cell_pct >= 50
 union all select 'duplicate_rows', null, 'High duplicate row rate (>= 10%).' from o where duplicate_row_pct >= 10
 union all select 'column_missing', "column",
   printf('Column ''%s'' has >= 80%% missing (%.2f%%).', "column", missing_pct)
-from (select * from m where missing_pct >= 80 order by missing desc, "column" limit 20)
+from (select * from m where missing_pct >= 80)
 union all select 'column_constant', "column", printf('Column ''%s'' is constant (unique<=1).', "column")
-from (select * from s where is_constant order by "column" limit 20)"""
+from (select * from s where is_constant)"""
 
 
 def cards(name: str, profiled: list[str]) -> str:
@@ -397,7 +404,7 @@ def with_facts(sql: str, index: bool = False) -> str:
 
 IDS = "dataset_id, dataset_name, sheet_name"
 HOTSPOTS = f"""select {IDS}, "column", null_pct as missing_pct from (select *, row_number() over
-  (partition by dataset_id order by null_pct desc, "column") as place from facts) where place <= 10"""
+  (partition by dataset_id order by null_pct desc, "column") as place from facts)"""
 CONSTANT = "kind = 'numeric' and (non_null = 0 or \"unique\" <= 1)"
 RICH = "kind = 'text' and non_null >= 200 and null_pct <= 50 and ratio >= 0.5"
 BUCKETS = ", ".join(f"count(case when kind = '{k}' then 1 end) as {k}_cols_est"
@@ -406,7 +413,7 @@ TEMPORAL = f"""select {IDS}, count(case when year_hits > 0 then 1 end) as dateti
   {big('min(min_year)')} as min_year, {big('max(max_year)')} as max_year from facts group by {IDS}"""
 KEYLIKE = f"""select {IDS}, string_agg("column", ', ' order by "column") as high_uniqueness_cols from
   (select *, row_number() over (partition by dataset_id order by "column") as place from facts
-   where non_null >= 50 and null_pct <= 30 and ratio >= 0.98) where place <= 8 group by {IDS}"""
+   where non_null >= 50 and null_pct <= 30 and ratio >= 0.98) group by {IDS}"""
 CATALOG_WARNINGS = f"""select {IDS}, 'empty_dataset' as rule, cast(null as varchar) as "column",
   'Dataset is empty (0 rows or 0 columns).' as warning from idx where "rows" = 0 or "columns" = 0
 union all select {IDS}, 'missing_cells', null, 'High overall missingness (>= 50% missing cells).'
@@ -416,10 +423,10 @@ from idx where duplicate_row_pct >= 10
 union all select {IDS}, 'column_missing', "column",
   printf('Column ''%s'' has >= 80%% missing (%.2f%%).', "column", null_pct)
 from (select *, row_number() over (partition by dataset_id order by "rows" - non_null desc, "column") as place
-  from facts where null_pct >= 80) where place <= 20
+  from facts where null_pct >= 80)
 union all select {IDS}, 'column_constant', "column", printf('Column ''%s'' is constant (unique<=1).', "column")
 from (select *, row_number() over (partition by dataset_id order by "column") as place
-  from facts where {CONSTANT}) where place <= 20"""
+  from facts where {CONSTANT})"""
 
 
 def row_quantiles() -> str:
@@ -444,7 +451,7 @@ join ({row_quantiles()}) rm on idx.dataset_name = rm.dataset_name""", True)
 
 def rounded_index(alias: str = "idx") -> str:
     return f"""{alias}.dataset_id, {alias}.source_path, {alias}.dataset_name, {alias}.sheet_name,
-  {alias}."rows", {alias}.rows_sample, {alias}.sampled, {alias}."columns",
+  {alias}."rows", {alias}.rows_sample, {alias}.sampled, {alias}."columns", 'ok' as status,
   {r(f'{alias}.missing_cell_pct')} as missing_cell_pct, {r(f'{alias}.duplicate_row_pct')} as duplicate_row_pct"""
 
 
@@ -469,7 +476,7 @@ def oracle_sql() -> dict[str, str]:
       generate_subscripts(string_split(text, ' '), 1) as pos from benchmark) w),
 named as (select item_id, pos, case when cell = '' then concat('col_', cast(pos + 1 as varchar)) else cell end as name
   from words),
-counted as (select *, row_number() over (partition by item_id, name order by pos) - 1 as seen from named)
+counted as (select *, row_number() over (partition by item_id, lower(name) order by pos) - 1 as seen from named)
 select item_id, cast(pos as integer) as pos,
   case when seen > 0 then concat(name, '__', cast(seen as varchar)) else name end as name from counted""",
         "ragged_rows": SHEET_ROWS,
@@ -485,7 +492,7 @@ from ({SHEET_ROWS})""" for c in types]),
         "sheet_datasets": f"""select 'orders' as name, status as sheet, count(*) as "rows",
   count(status__1) as status__1, cast(6 as bigint) as "columns" from ({SHEET_ROWS}) group by status""",
         "file_inventory": union([f"""select '{t}.parquet' as file, true as has_bytes, count(*) as "rows",
-  cast({len(TABLES[t])} as bigint) as "columns" from {t}""" for t in ("customer", "orders", "lineitem", "events")]),
+  cast({len(TABLES[t])} as bigint) as "columns" from {t}""" for t in TABLES]),
         "json_key_inventory": """select event_type, count(*) as documents,
   cast(sum(len(json_keys(props))) as bigint) as json_keys, cast(0 as bigint) as json_items
 from events group by event_type""",
@@ -559,26 +566,31 @@ order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice limit 5
         "temporal_coverage_dirty": year_rows("dirty_orders"),
         "temporal_coverage_token": year_rows("orders", {"o_orderdate": "order_date"}),
         "quality_warnings": warnings("dirty_orders"),
+        "numeric_quantiles_wide": wide_quantiles(),
+        "csv_round_trip": "select * from documents",
+        "catalog_with_failures": """select 'good' as dataset_name, count(*) as "rows", cast(6 as bigint) as "columns", true as ok
+from orders union all select 'broken', null, null, false""",
+        "quality_warnings_sparse": warnings("sparse_orders"),
         "quality_warnings_dup_customers": warnings("dup_customers"),
         "column_profile": cards("dirty_orders", ["sparse_status", "priority"]),
         "column_profile_lineitem": cards("lineitem", ["l_returnflag", "l_linestatus"]),
         "datasets_index": with_facts(f"""select {rounded_index()}, idx.dataset_dir, memory_bytes_estimate from idx""", True),
         "catalog_totals": with_facts(f"""select count(distinct dataset_id) as files_found,
   count(distinct dataset_id) as datasets_processed, {big('sum("rows")')} as total_rows,
-  {big('sum("columns")')} as total_columns from idx""", True),
+  {big('sum("columns")')} as total_columns, cast(0 as bigint) as datasets_failed from idx""", True),
         "dtype_composition": with_facts(f"""select dtype, count(*) as "count",
   {r('count(*) * 100e0 / (select count(*) from facts)')} as pct from facts group by dtype"""),
         "type_buckets": with_facts(f"select {IDS}, {BUCKETS} from facts group by {IDS}"),
         "high_uniqueness": with_facts(KEYLIKE),
         "high_cardinality": with_facts(f"""select {IDS}, "column", dtype, non_null, "unique", {r('ratio')} as unique_ratio,
   {r('null_pct')} as null_pct from (select *, row_number() over (partition by dataset_id order by ratio desc,
-  "column") as place from facts where {RICH}) where place <= 30"""),
+  "column") as place from facts where {RICH})"""),
         "missing_hotspots": with_facts(f"""select {IDS}, "column", {r('missing_pct')} as missing_pct from ({HOTSPOTS})
-order by missing_pct desc, dataset_name, "column" limit 500"""),
+order by missing_pct desc, dataset_name, "column\""""),
         "high_missing_columns": with_facts(f"""select {IDS}, "column", {r('missing_pct')} as missing_pct from ({HOTSPOTS})
-where missing_pct >= 80 order by missing_pct desc, dataset_name, "column" limit 500"""),
+where missing_pct >= 80 order by missing_pct desc, dataset_name, "column\""""),
         "constant_columns": with_facts(f"""select {IDS}, "column" from (select *, row_number() over
-  (partition by dataset_id order by "column") as place from facts where {CONSTANT}) where place <= 100"""),
+  (partition by dataset_id order by "column") as place from facts where {CONSTANT})"""),
         "catalog_temporal": with_facts(f"select * from ({TEMPORAL}) where datetime_cols_detected > 0"),
         "catalog_warnings": with_facts(CATALOG_WARNINGS, True),
         "sources_table": sources(f"""{rounded_index()}, memory_bytes_estimate, numeric_cols_est, text_cols_est,
@@ -599,14 +611,14 @@ where (contains(lower(dataset_name), 'orders') or contains(lower(source_path), '
 left join idx on least(9, cast(floor(missing_cell_pct / 10) as bigint)) = g.range group by g.range""", True),
         "hotspot_matrix": with_facts(f""", spots as (select * from ({HOTSPOTS})),
 ordered as (select *, row_number() over (order by missing_pct desc, dataset_name, "column") as place from spots),
-d as (select dataset_name from ordered group by dataset_name order by min(place) limit 6),
-c as (select "column" from ordered group by "column" order by min(place) limit 8)
+d as (select dataset_name from ordered group by dataset_name order by min(place)),
+c as (select "column" from ordered group by "column" order by min(place))
 select d.dataset_name, c."column", {r('coalesce(s.missing_pct, 0e0) / 100e0')} as share from d cross join c
 left join spots s on s.dataset_name = d.dataset_name and s."column" = c."column\"""").replace(")\n, spots", "), spots"),
         "master_summary": with_facts(f""", w as ({CATALOG_WARNINGS}), n as (
   select 'datasets' as part, (select count(*) from idx) as entries
   union all select 'global_dtype_counts', (select count(distinct dtype) from facts)
-  union all select 'top_missing_hotspots', least(50, (select count(*) from ({HOTSPOTS})))
+  union all select 'top_missing_hotspots', (select count(*) from ({HOTSPOTS}))
   union all select 'high_missing_columns', (select count(*) from ({HOTSPOTS}) where missing_pct >= 80)
   union all select 'high_cardinality_columns', (select count(*) from facts where {RICH})
   union all select 'constant_columns', (select count(*) from facts where {CONSTANT})

@@ -5,13 +5,15 @@ Doubles are rounded for comparison, since sums add up in another order elsewhere
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from checks.data import EXACT, catalog, table
-from plumbline import TableProfile
+from checks.data import EXACT, TABLES, catalog, table
+from plumbline import Catalog, Dataset, TableProfile
 from plumbline.functions.columns import union_all
 from plumbline.operators import (
     categorical, correlation, distinct, lists, numeric, overview, sampling, schema, temporal, text,
@@ -108,8 +110,7 @@ def header_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = union_all([files.file_inventory(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in
-                     ("customer", "orders", "lineitem", "events")])
+    out = union_all([files.file_inventory(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in TABLES])
     return out.select(F.element_at(F.split("file", "/"), -1).alias("file"),
                       (F.col("bytes") > 0).alias("has_bytes"), "rows", "columns")
 
@@ -166,6 +167,29 @@ def unique_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- catalog ---------------------------------------------------------------------------------
 
+def quantiles_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64 columns, each narrowed by sketches."""
+    df = table(spark, sf_dir, "lineitem").selectExpr(*[f"l_extendedprice + l_partkey * {i} as c{i}" for i in range(64)])
+    return rounded(numeric.column_quantiles(df, replace(EXACT, rank_group_rows=2000)))
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as CSV to the shared folder, with their quotes and line breaks, and read back."""
+    docs = table(spark, sf_dir, "documents")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    path = f"{folder.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    docs.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return files.read_csv(spark, path, docs.schema, multiline=True)
+
+
+def catalog_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a catalog in which one table cannot be read."""
+    orders = table(spark, sf_dir, "orders")
+    broken = orders.withColumn("bad", F.expr("raise_error('unreadable')").cast("bigint"))
+    index = Catalog(spark, [Dataset("good", orders, "a"), Dataset("broken", broken, "b")], EXACT).datasets_index
+    return index.select("dataset_name", "rows", "columns", (F.col("status") == "ok").alias("ok"))
+
+
 def catalog_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of the master document, with the number of entries of each."""
     doc = catalog(spark, sf_dir).master_summary
@@ -229,6 +253,10 @@ def queries() -> dict[str, Query]:
         "numeric_summary": on("dirty_orders", lambda d: numeric.numeric_summary(d, cfg)),
         "numeric_summary_lineitem": on("lineitem", lambda d: numeric.numeric_summary(d, cfg)),
         "numeric_quantiles": on("lineitem", lambda d: numeric.column_quantiles(d, cfg)),
+        "numeric_quantiles_wide": quantiles_wide,
+        "csv_round_trip": csv_round_trip,
+        "catalog_with_failures": catalog_with_failures,
+        "quality_warnings_sparse": of("sparse_orders", "quality_warnings"),
         "numeric_quantiles_narrowed": on("lineitem", lambda d: numeric.column_quantiles(
             d, replace(cfg, rank_group_rows=500))),
         "distribution_shape": on("dirty_orders", lambda d: numeric.distribution_shape(d, cfg)),

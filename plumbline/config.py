@@ -20,13 +20,14 @@ NULL_LABEL = "<NULL>"
 
 @dataclass(frozen=True)
 class ProfileConfig:
+    # The thresholds and shares below decide what a report mentions, like the names above.
     # Row sampling. None profiles every row.
     sample_rows: int | None = None
     sample_strategy: str = "head"  # head | random
     sample_seed: int = 42
     max_unique_sample: int | None = None
     preview_rows: int = 20
-    sheet_max_rows: int | None = 200_000
+    sheet_max_rows: int | None = None
 
     # Distinct counts in the schema profile: approx | exact | sample
     unique_mode: str = "approx"
@@ -34,7 +35,9 @@ class ProfileConfig:
 
     # Categorical values
     top_k: int = 20
+    # A column is prose if more than this share of its values is longer than that.
     long_text_length: int = 500
+    long_text_share_pct: float = 10.0
     category_unique_ratio: float = 0.98
     category_min_values: int = 50
     category_max_null_pct: float = 50.0
@@ -42,21 +45,18 @@ class ProfileConfig:
     # Delimited lists
     list_min_share_pct: float = 20.0
     list_top_tokens: int = 30
-    list_token_length: int = 120
+    list_token_length: int | None = None  # shortens tokens for display, after they were counted
 
     # Keys
     key_unique_ratio: float = 0.98
     key_min_values: int = 50
     key_max_null_pct: float = 30.0
-    key_limit: int = 5
+    key_limit: int | None = None
     key_min_rows: int = 10
     key_top_values: int = 10
 
     # Correlations
-    max_corr_cols: int = 80
-    # Up to this many numeric columns the pairs stay in one JVM aggregate; more go
-    # through one Arrow scan instead of many aggregates.
-    corr_jvm_cols: int = 4
+    max_corr_cols: int | None = None
 
     # Temporal columns are found by name: substring | token
     temporal_mode: str = "substring"
@@ -65,25 +65,25 @@ class ProfileConfig:
     warn_missing_cell_pct: float = 50.0
     warn_duplicate_row_pct: float = 10.0
     warn_column_missing_pct: float = 80.0
-    warn_column_limit: int = 20
+    warn_column_limit: int | None = None
 
-    # Catalog roll-up
-    high_uniqueness_limit: int = 8
+    # Catalog roll-up. None: no limit, which is the default of every limit here.
+    high_uniqueness_limit: int | None = None
     cardinality_min_values: int = 200
     cardinality_max_null_pct: float = 50.0
     cardinality_min_ratio: float = 0.50
-    cardinality_limit: int = 30
-    hotspot_limit: int = 10
-    hotspot_total_limit: int = 500
+    cardinality_limit: int | None = None
+    hotspot_limit: int | None = None
+    hotspot_total_limit: int | None = None
     high_missing_pct: float = 80.0
-    constant_limit: int = 100
-    warning_limit: int = 100
+    constant_limit: int | None = None
+    warning_limit: int | None = None
     top_datasets: int = 20
-    document_hotspots: int = 50
-    document_cardinality: int = 200
-    document_warnings: int = 200
-    matrix_datasets: int = 6
-    matrix_columns: int = 8
+    document_hotspots: int | None = None
+    document_cardinality: int | None = None
+    document_warnings: int | None = None
+    matrix_datasets: int | None = None
+    matrix_columns: int | None = None
 
     # Histograms
     histogram_bins: int = 12
@@ -92,7 +92,6 @@ class ProfileConfig:
     # code generation; rank_group_rows bounds the largest group a window may sort.
     aggregates_per_scan: int = 40
     rank_group_rows: int = 200_000
-    rank_sketch_k: int = 4096
+    rank_sketch_k: int = 1024
     merge_slots: int = 64
-    broadcast_hashes: int = 500_000  # 8 bytes each
     parallel_tables: int = 8

@@ -19,13 +19,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from plumbline.config import ProfileConfig
 from plumbline.functions.columns import literal, pick
 
-COUNTS_PER_SCAN = 40  # more would not fit one compiled method
-
-
 @dataclass
 class Span:
     """Adjacent wanted 0-based ranks and the open interval (low, high) that holds them."""
-    column: str
+    column: int
     ranks: list[int]
     inside: int                 # rows in the open interval
     low: float | None = None    # None: no bound
@@ -38,18 +35,6 @@ class Span:
     def interval(self):
         return self.column, self.low, self.high
 
-    def condition(self, x: str) -> str:
-        cond = f"{x} is not null"
-        if self.low is not None:
-            cond += f" and {x} > {double(self.low)}"
-        if self.high is not None:
-            cond += f" and {x} < {double(self.high)}"
-        return cond
-
-    def within(self, x: str) -> str:
-        """The value where it lies in the interval, else null."""
-        return f"case when {self.condition(x)} then {x} end"
-
 
 def double(value: float) -> str:
     return f"cast('{value!r}' as double)"
@@ -67,46 +52,63 @@ def _spans(wanted: dict[str, tuple[int, dict]]) -> list[Span]:
     return spans
 
 
-def _sketch_ends(df, exprs, spans, cfg) -> list[tuple[float, float]]:
-    """For each span an interval that very likely holds its ranks; one sketch per interval."""
-    first = {}
+def _bound(value: float | None) -> str:
+    return "cast(null as double)" if value is None else double(value)
+
+
+def _inside(values: DataFrame, intervals: dict[tuple, int], columns: int) -> DataFrame:
+    """(span, v): each value once for every open interval of its column that holds it."""
+    own: list[list[str]] = [[] for _ in range(columns)]
+    for (c, low, high), i in intervals.items():
+        own[c].append(f"struct({i} as span, {_bound(low)} as low, {_bound(high)} as high)")
+    empty = "cast(array() as array<struct<span:int,low:double,high:double>>)"
+    listed = ", ".join(f"array({', '.join(x)})" if x else empty for x in own)
+    held = f"filter(element_at(array({listed}), c + 1), s -> (s.low is null or v > s.low) and (s.high is null or v < s.high))"
+    return values.selectExpr("v", f"explode({held}) as s").selectExpr("s.span as span", "v")
+
+
+def _sketch_ends(values, spans, columns, cfg) -> list[tuple[float, float]]:
+    """For each span an interval that very likely holds its ranks; one sketch per interval, all in one job."""
+    first: dict[tuple, int] = {}
+    for s in spans:
+        first.setdefault(s.interval, len(first))
+    k = cfg.rank_sketch_k
+    merged = (_inside(values, first, columns).selectExpr("span", "v", f"spark_partition_id() % {cfg.merge_slots} as slot")
+              .groupBy("span", "slot").agg(F.expr(f"kll_sketch_agg_double(v, {k}) as s"))
+              .groupBy("span").agg(F.expr(f"kll_merge_agg_double(s, {k}) as s")))
+    asked: list[list[str]] = [[] for _ in first]
     for s in spans:
-        first.setdefault(s.interval, s)
-    at = {interval: i for i, interval in enumerate(first)}
-    k, each = cfg.rank_sketch_k, range(len(first))
-    merged = (df.selectExpr(f"spark_partition_id() % {cfg.merge_slots} as slot",
-                            *[f"{s.within(exprs[s.column])} as x{i}" for i, s in enumerate(first.values())])
-              .groupBy("slot").agg(*[F.expr(f"kll_sketch_agg_double(x{i}, {k}) as s{i}") for i in each])
-              .selectExpr(*[f"kll_merge_agg_double(s{i}, {k}) as s{i}" for i in each]))
-    asked = []
-    for i, s in enumerate(spans):
         # A KLL sketch of size k errs by about 2.3 / k^0.9 of the rows.
         error = s.spread * 2 * 2.3 / k ** 0.9 + 1.0 / s.inside
         low = (s.ranks[0] - s.below + 0.5) / s.inside - error
         high = (s.ranks[-1] - s.below + 0.5) / s.inside + error
-        asked.append(f"kll_sketch_get_quantile_double(s{at[s.interval]}, "
-                     f"array({double(max(0.0, low))}, {double(min(1.0, high))})) as e{i}")
-    row = merged.selectExpr(*asked).head()
-    return [tuple(row[f"e{i}"]) for i in range(len(spans))]
+        asked[first[s.interval]] += [double(max(0.0, low)), double(min(1.0, high))]
+    ends = " ".join(f"when {i} then kll_sketch_get_quantile_double(s, array({', '.join(x)}))" for i, x in enumerate(asked))
+    found = {r["span"]: iter(r["ends"]) for r in merged.selectExpr("span", f"case span {ends} end as ends").collect()}
+    return [(next(found[first[s.interval]]), next(found[first[s.interval]])) for s in spans]
 
 
-def _narrow(df, exprs, spans, ends) -> list[Span]:
+def _narrow(values, spans, ends, columns) -> list[Span]:
     """The spans with tighter intervals. Ranks found to lie at an end are settled; a span
-    whose ranks lie in different places is split."""
-    counts: dict[str, str] = {}  # condition -> name, each counted once
-    named = []
-    for s, (lo, hi) in zip(spans, ends):
-        x, lo, hi = exprs[s.column], double(lo), double(hi)
-        named.append([counts.setdefault(cond, f"c{len(counts)}") for cond in
-                      (f"{x} < {lo}", f"{x} <= {lo}", f"{x} < {hi}", f"{x} <= {hi}")])
-    row = {}
-    conditions = list(counts.items())
-    for i in range(0, len(conditions), COUNTS_PER_SCAN):
-        row.update(df.selectExpr(*[f"count_if({cond}) as {name}" for cond, name in
-                                   conditions[i:i + COUNTS_PER_SCAN]]).head().asDict())
+    whose ranks lie in different places is split. One job counts, by column, the values at and between
+    all ends."""
+    marks = [sorted({e for s, pair in zip(spans, ends) if s.column == c for e in pair}) for c in range(columns)]
+    empty = "cast(array() as array<double>)"
+    listed = ", ".join(f"array({', '.join(map(double, m))})" if m else empty for m in marks)
+    own = f"element_at(array({listed}), c + 1)"
+    # 2 i: between the ends before i and i; 2 i + 1: at end i
+    place = f"2 * size(filter({own}, e -> e < v)) + cast(array_contains({own}, v) as int)"
+    wanted = ", ".join(str(c) for c in range(columns) if marks[c])
+    counted = values.where(f"c in ({wanted})").selectExpr("c", f"{place} as place").groupBy("c", "place").agg(F.expr("count(1) as n"))
+    n = {(r["c"], r["place"]): r["n"] for r in counted.collect()}
+
+    def upto(c: int, end: float, with_it: bool) -> int:
+        last = 2 * marks[c].index(end) + with_it
+        return sum(n.get((c, k), 0) for k in range(last + 1))
+
     out = []
-    for s, (lo, hi), names in zip(spans, ends, named):
-        lt_lo, le_lo, lt_hi, le_hi = (row[name] for name in names)
+    for s, (lo, hi) in zip(spans, ends):
+        lt_lo, le_lo, lt_hi, le_hi = (upto(s.column, e, w) for e in (lo, hi) for w in (False, True))
         at_low = [k for k in s.ranks if lt_lo <= k < le_lo]
         at_high = [k for k in s.ranks if lt_hi <= k < le_hi and k not in at_low]
         between = [k for k in s.ranks if le_lo <= k < lt_hi]
@@ -130,23 +132,23 @@ def values_at_ranks(df: DataFrame, exprs: dict[str, str], wanted: dict[str, tupl
     """
     if not wanted:
         return df.sparkSession.createDataFrame([], "column string, label string, value double")
-    # The values are computed once per row; everything below compares these columns.
-    short = {c: f"x{i}" for i, c in enumerate(wanted)}
-    df = df.selectExpr(*[f"{exprs[c]} as {x}" for c, x in short.items()])
-    exprs = short
-    settled, small, wide = [], [], _spans(wanted)
+    names = list(wanted)
+    # One row per value: the columns of a wide table are counted together, by number.
+    cells = ", ".join(f"struct({i} as c, {exprs[c]} as v)" for i, c in enumerate(names))
+    values = df.selectExpr(f"inline(array({cells}))").where("v is not null")
+    settled, small, wide = [], [], _spans({i: wanted[c] for i, c in enumerate(names)})
     while wide:
         small += [s for s in wide if not s.found and s.inside <= cfg.rank_group_rows]
         settled += [s for s in wide if s.found]
         wide = [s for s in wide if not s.found and s.inside > cfg.rank_group_rows]
         if wide:
-            wide = _narrow(df, exprs, wide, _sketch_ends(df, exprs, wide, cfg))
+            wide = _narrow(values, wide, _sketch_ends(values, wide, len(names), cfg), len(names))
 
-    def labels(column: str, rank: int) -> list[str]:
-        return [label for label, k in wanted[column][1].items() if k == rank]
+    def labels(column: int, rank: int) -> list[str]:
+        return [label for label, k in wanted[names[column]][1].items() if k == rank]
 
     known = df.sparkSession.createDataFrame(pa.Table.from_pylist(
-        [{"column": s.column, "label": label, "value": float(value)} for s in settled
+        [{"column": names[s.column], "label": label, "value": float(value)} for s in settled
          for rank, value in s.found.items() for label in labels(s.column, rank)],
         pa.schema([("column", pa.string()), ("label", pa.string()), ("value", pa.float64())])))
     if not small:
@@ -156,13 +158,7 @@ def values_at_ranks(df: DataFrame, exprs: dict[str, str], wanted: dict[str, tupl
     for s in small:
         shared.setdefault(s.interval, []).append(s)
     members = list(shared.values())
-    rows, conditions = [], []
-    for i, group in enumerate(members):
-        x = exprs[group[0].column]
-        conditions.append(group[0].condition(x))
-        rows.append(f"case when {conditions[-1]} then struct({i} as span, {x} as value) end")
-    inside = (df.where(" or ".join(f"({c})" for c in conditions))
-              .selectExpr(f"inline(array({', '.join(rows)}))").where("span is not null"))
+    inside = _inside(values, {interval: i for i, interval in enumerate(shared)}, len(names)).withColumnRenamed("v", "value")
     order = Window.partitionBy("span").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     running = (inside.groupBy("span", "value").agg(F.expr("count(1) as n"))
@@ -171,7 +167,7 @@ def values_at_ranks(df: DataFrame, exprs: dict[str, str], wanted: dict[str, tupl
         f"struct({literal(label)} as label, {k - s.below}L as at)"
         for s in group for k in s.ranks for label in labels(s.column, k)) + ")" for group in members)
     hits = F.expr(f"filter(element_at(array({ranks}), span + 1), r -> r.at < upto and r.at >= upto - n)")
-    names = F.expr(pick([group[0].column for group in members], "span"))
+    shown = F.expr(pick([names[group[0].column] for group in members], "span"))
     found = (running.select("span", "value", F.explode(hits).alias("r"))
-             .select(names.alias("column"), F.col("r.label").alias("label"), "value"))
+             .select(shown.alias("column"), F.col("r.label").alias("label"), "value"))
     return found.unionByName(known) if settled else found

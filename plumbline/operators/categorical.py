@@ -8,7 +8,7 @@ from plumbline.config import NULL_LABEL, ProfileConfig
 from plumbline.functions.columns import fields, is_categorical, literal, only, pick, rows_of, text
 from plumbline.operators.distinct import distinct_counts
 from plumbline.operators.facts import column_facts
-from plumbline.operators.lists import list_columns
+from plumbline.operators.lists import is_prose, list_columns
 from plumbline.operators.schema import schema_profile
 
 
@@ -22,13 +22,13 @@ def categorical_columns(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | No
     lists = list_columns(part, cfg, facts) if lists is None else lists
     ratio = F.try_divide(F.col("unique").cast("double"), F.col("non_null"))
     reason = (F.when(F.col("is_list"), "skipped_listlike")
-              .when(F.col("max_len") > cfg.long_text_length, "skipped_long_text")
+              .when(is_prose(cfg), "skipped_long_text")
               .when((F.col("non_null") >= cfg.category_min_values)
                     & (F.col("null_pct") <= cfg.category_max_null_pct)
                     & (ratio >= cfg.category_unique_ratio), "skipped_high_uniqueness")
               .otherwise(""))
     # All three frames have one row per column, so the broadcasts are bounded by the schema.
-    joined = (schema.join(F.broadcast(facts.select("column", "position", "type_class", "max_len", "rows")), "column")
+    joined = (schema.join(F.broadcast(facts.select("column", "position", "type_class", "long_values", "rows")), "column")
               .join(F.broadcast(lists.select("column", F.lit(True).alias("is_list"))), "column", "left")
               .where(F.col("type_class").isin("text", "bool") & (F.col("rows") > 0)))
     return (joined.withColumn("reason", reason).orderBy("position")

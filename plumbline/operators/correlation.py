@@ -9,19 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.config import ProfileConfig
-from plumbline.functions.columns import number, pick, rows_of
-from plumbline.functions.ranks import double
+from plumbline.functions.columns import number, pick
 from plumbline.operators.facts import numeric_fields
 
 PAIR_SCHEMA = "column_a string, column_b string, corr double"
-SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
+SUMS = ("n", "sa", "sb", "saa", "sbb", "sab", "infinite")
 
 
 def correlation_note(df: DataFrame, cfg: ProfileConfig) -> str | None:
     n = len(numeric_fields(df))
     if n < 2:
         return "Not enough numeric columns for correlation."
-    if n > cfg.max_corr_cols:
+    if cfg.max_corr_cols is not None and n > cfg.max_corr_cols:
         return f"Skipped correlation: {n} numeric columns exceeds limit ({cfg.max_corr_cols})."
     return None
 
@@ -35,7 +34,7 @@ def correlations(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = No
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     fields = numeric_fields(df)
     means = _means(df, fields, facts)
-    sums = (_jvm_sums if len(fields) <= cfg.corr_jvm_cols else _arrow_sums)(df, fields, means)
+    sums = _sums(df, fields, means)
     half = _pairs(sums, [f.name for f in fields])
     there, back = (F.struct(F.col(a).alias("column_a"), F.col(b).alias("column_b"), "corr")
                    for a, b in (("column_a", "column_b"), ("column_b", "column_a")))
@@ -63,31 +62,18 @@ def _means(df: DataFrame, fields: list[T.StructField], facts: DataFrame | None)
 def _pairs(sums: DataFrame, names: list[str]) -> DataFrame:
     """Correlations from (i, j, n, sa, sb, saa, sbb, sab), sums over the complete rows of a pair
     of values relative to the column means: raw squares would lose digits."""
-    n, sa, sb, saa, sbb, sab = (F.col(s) for s in SUMS)
+    n, sa, sb, saa, sbb, sab, infinite = (F.col(s) for s in SUMS)
     va, vb = saa - F.try_divide(sa * sa, n), sbb - F.try_divide(sb * sb, n)
     # What is left of a constant column after rounding is no spread.
-    spread = F.when((va > saa * 1e-13) & (vb > sbb * 1e-13), F.sqrt(va) * F.sqrt(vb))
+    spread = F.when((infinite == 0) & (va > saa * 1e-13) & (vb > sbb * 1e-13), F.sqrt(va) * F.sqrt(vb))
     return sums.select(F.expr(pick(names, "i")).alias("column_a"), F.expr(pick(names, "j")).alias("column_b"),
                        F.try_divide(sab - F.try_divide(sa * sb, n), spread).alias("corr"))
 
 
-def _jvm_sums(df: DataFrame, fields: list[T.StructField], means: list[float]) -> DataFrame:
-    """One aggregate in the JVM. It grows with the square of the columns, so for few of them."""
-    centered = df.selectExpr(*[f"{number(f)} - {double(m)} as x{i}" for i, (f, m) in enumerate(zip(fields, means))])
-    pairs = [(i, j) for i in range(len(fields)) for j in range(i, len(fields))]
-    aggs = []
-    for i, j in pairs:
-        a, b = f"case when x{j} is not null then x{i} end", f"case when x{i} is not null then x{j} end"
-        exprs = (f"cast(count({a}) as double)", f"sum({a})", f"sum({b})", f"sum({a} * x{i})",
-                 f"sum({b} * x{j})", f"sum(x{i} * x{j})")
-        aggs += [f"{expr} as {name}_{i}_{j}" for expr, name in zip(exprs, SUMS)]
-    return rows_of(centered.selectExpr(*aggs), [
-        {"i": str(i), "j": str(j), **{name: f"{name}_{i}_{j}" for name in SUMS}} for i, j in pairs])
-
-
-def _arrow_sums(df: DataFrame, fields: list[T.StructField], means: list[float]) -> DataFrame:
+def _sums(df: DataFrame, fields: list[T.StructField], means: list[float]) -> DataFrame:
     """One scan for any number of columns: each task turns its batches into sums per pair
-    by matrix products, and the tasks' sums are added up by pair."""
+    by matrix products, and the tasks' sums are added up by pair. `infinite` counts the complete
+    rows of a pair that hold an infinity; those leave no correlation, and touch no other pair."""
     center, upper = np.array(means), np.triu_indices(len(fields))
 
     def task_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,11 +81,13 @@ def _arrow_sums(df: DataFrame, fields: list[T.StructField], means: list[float])
         for batch in batches:
             values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - center
             seen = ~np.isnan(values)
-            values[~seen] = 0.0
-            mask = seen.astype(float)
+            endless = np.isinf(values)
+            values[~seen | endless] = 0.0
+            mask, ends = seen.astype(float), endless.astype(float)
             squares = values * values
             part = np.stack([mask.T @ mask, values.T @ mask, mask.T @ values,
-                             squares.T @ mask, mask.T @ squares, values.T @ values])
+                             squares.T @ mask, mask.T @ squares, values.T @ values,
+                             ends.T @ mask + mask.T @ ends])
             total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays(

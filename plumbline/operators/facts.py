@@ -22,7 +22,7 @@ MEASURES = {
     "rows": "bigint", "non_null": "bigint", "nan_count": "bigint",
     "mean": "double", "std": "double", "min": "double", "max": "double", "zeros": "bigint",
     "empty_string": "bigint", "whitespace_only": "bigint",
-    "avg_len": "double", "min_len": "bigint", "max_len": "bigint",
+    "avg_len": "double", "min_len": "bigint", "max_len": "bigint", "long_values": "bigint",
     "sep_1": "bigint", "sep_2": "bigint", "sep_3": "bigint",
     "min_year": "bigint", "max_year": "bigint", "year_hits": "bigint",
     "bytes": "bigint",
@@ -31,7 +31,7 @@ MEASURES = {
 PARTS = {
     "numeric": ("nan_count", "mean", "std", "min", "max", "zeros"),
     "text": ("empty_string", "whitespace_only", "avg_len", "min_len", "max_len"),
-    "lists": ("max_len", "sep_1", "sep_2", "sep_3"),
+    "lists": ("long_values", "sep_1", "sep_2", "sep_3"),
     "years": ("min_year", "max_year", "year_hits"),
     "bytes": ("bytes",),
 }
@@ -62,7 +62,8 @@ def column_measures(field: T.StructField, parts, cfg: ProfileConfig) -> dict[str
         out.update(empty_string=f"count_if({s} = '')",
                    whitespace_only=f"count_if({s} rlike {literal(BLANK)})",
                    avg_len=f"avg(length({s}))", min_len=f"min(length({s}))",
-                   max_len=f"max(length({s}))")
+                   max_len=f"max(length({s}))",
+                   long_values=f"count_if(length({s}) > {cfg.long_text_length})")
         for i, sep in enumerate(LIST_SEPARATORS, 1):
             out[f"sep_{i}"] = f"count_if(contains({s}, {literal(sep)}))"
     if is_temporal_name(field.name, cfg.temporal_mode):

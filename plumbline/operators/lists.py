@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.config import LIST_SEPARATORS, ProfileConfig
 from plumbline.functions.columns import WHITE_SPACE_ENDS, literal, only, ref, rows_of, text
 from plumbline.operators.facts import column_facts, text_fields
 
 
+def is_prose(cfg: ProfileConfig) -> Column:
+    """Whether more than `long_text_share_pct` of a column's values are long, by its facts."""
+    return F.coalesce(F.col("long_values") * 100.0 > F.col("non_null") * cfg.long_text_share_pct, F.lit(False))
+
+
 def list_columns(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None) -> DataFrame:
     """(column, separator, rows_with_separator_pct) for the columns found to be lists.
 
     A separator counts where the text literally contains it; the one in most rows wins,
-    the earlier on a tie. Columns with values longer than `long_text_length` are prose.
+    the earlier on a tie. Columns with too large a share of long values are prose.
     """
     if facts is None:
         facts = column_facts(only(df, text_fields(df)), cfg, ["lists"])
@@ -22,7 +27,7 @@ def list_columns(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = No
     separator = F.coalesce(*[F.when(h == best, F.lit(s)) for h, s in zip(hits, LIST_SEPARATORS)])
     share = F.try_divide(best.cast("double"), F.col("non_null")) * 100.0
     return (facts.where((F.col("type_class") == "text") & (best > 0)
-                        & (F.coalesce("max_len", F.lit(0)) <= cfg.long_text_length))
+                        & ~is_prose(cfg))
             .select("column", separator.alias("separator"), share.alias("rows_with_separator_pct"))
             .where(F.col("rows_with_separator_pct") >= cfg.list_min_share_pct)
             .orderBy(F.desc("rows_with_separator_pct"), "column"))
@@ -40,8 +45,7 @@ def _items(df: DataFrame, column: str, separator: str) -> str:
 def list_profile(df: DataFrame, cfg: ProfileConfig, lists: DataFrame | None = None) -> DataFrame:
     """Detected lists plus avg, p50, p90 and max number of items per non-null cell.
 
-    Items per cell are grouped by their number first: the quantiles come from that table,
-    whose size is bounded by the gate on the text length.
+    Items per cell are grouped by their number first: the quantiles come from that table.
     """
     lists = list_columns(df, cfg) if lists is None else lists
     found = _found(df, cfg, lists)
@@ -85,9 +89,10 @@ def list_tokens(df: DataFrame, cfg: ProfileConfig, lists: DataFrame | None = Non
     split = [f"transform({_items(df, c, s)}, item -> struct({literal(c)} as column, "
              f"regexp_replace(item, {ends}, '') as token))" for c, s in found]
     tokens = (df.selectExpr(f"inline(flatten(array_compact(array({', '.join(split)}))))").where("token <> ''")
-              .select("column", F.substring("token", 1, cfg.list_token_length).alias("token")))
+              .select("column", "token"))
+    shown = F.col("token") if cfg.list_token_length is None else F.substring("token", 1, cfg.list_token_length)
     order = Window.partitionBy("column").orderBy(F.desc("count"), "token")
     return (tokens.groupBy("column", "token").agg(F.expr("count(1) as count"))
             .withColumn("place", F.row_number().over(order))
             .where(F.col("place") <= cfg.list_top_tokens)
-            .select("column", "token", "count").orderBy("column", F.desc("count"), "token"))
+            .orderBy("column", F.desc("count"), "token").select("column", shown.alias("token"), "count"))

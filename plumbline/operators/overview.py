@@ -5,56 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.config import ProfileConfig
-from plumbline.functions.columns import fixed_width, is_nested, percent, ref, text, union_all
+from plumbline.functions.columns import is_nested, percent, ref, text, union_all
 from plumbline.operators.facts import column_facts
 
-# Rows up to this width are grouped at once; wider ones only where their hashes meet.
-NARROW_ROW_BYTES = 40
-
-
-def row_key(df: DataFrame) -> list[Column]:
-    """Columns that are equal for two rows exactly when the rows are: the columns themselves,
-    nested ones as text and long text as SHA-256, so that no key is wide."""
-    keys = []
-    for i, f in enumerate(df.schema.fields):
-        s = ref(f.name) if fixed_width(f.dataType) else text(f)
-        if not fixed_width(f.dataType):
-            s = f"case when octet_length({s}) < 64 then {s} else sha2({s}, 256) end"
-        keys.append(F.expr(f"{s} as k{i}"))
-    return keys
-
-
-def row_hash(df: DataFrame) -> Column:
-    """Equal rows have equal hashes; now and then others do too."""
-    return F.expr("xxhash64(" + ", ".join(
-        text(f) if is_nested(f.dataType) else ref(f.name) for f in df.schema.fields) + ")")
+def row_digest(df: DataFrame) -> list[Column]:
+    """128 bits of a row, whatever its width: two hash chains over its values and their nulls. Equal
+    rows have equal digests; nested values go in as text."""
+    parts = []
+    for f in df.schema.fields:
+        value = text(f) if is_nested(f.dataType) else ref(f.name)
+        parts += [value, f"{ref(f.name)} is null"]
+    return [F.expr(f"xxhash64({seed}L, {', '.join(parts)}) as h{seed}") for seed in (1, 2)]
 
 
 def duplicate_rows(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
     """(rows, duplicate_rows, duplicate_row_pct): rows that occur more than once, the first
     occurrence included.
 
-    Copies are counted within each task before every shuffle. Wide rows are first counted
-    by a 64-bit hash: where no hash repeats, no row does, and only hashes were shuffled.
-    Otherwise the rows whose hash repeats are compared in full. Their hashes are broadcast
-    only up to a fixed number; beyond it all rows are compared.
+    One scan and one shuffle of 16-byte digests, counted within each task first, so copies cost
+    one row per task.
     """
     if not df.columns:
         return df.selectExpr("count(1) as rows", "case when count(1) > 1 then count(1) else 0 end as duplicate_rows"
                              ).withColumn("duplicate_row_pct", percent(F.col("duplicate_rows"), F.col("rows")))
-    widths = [fixed_width(f.dataType) for f in df.schema.fields]
-    total, rows = "coalesce(sum(n), 0)", df
-    if not all(widths) or sum(widths) > NARROW_ROW_BYTES:
-        hashes = df.select(row_hash(df).alias("row_hash")).groupBy("row_hash").agg(F.expr("count(1) as n"))
-        seen = hashes.selectExpr("coalesce(sum(n), 0L) as rows", "count_if(n > 1) as repeated").head()
-        total = f"{seen['rows']}L"
-        if seen["repeated"] == 0:
-            rows = df.sparkSession.createDataFrame([], df.schema)
-        elif seen["repeated"] <= cfg.broadcast_hashes:
-            suspects = hashes.where("n > 1").select(F.col("row_hash").alias("suspect"))
-            rows = df.join(F.broadcast(suspects), row_hash(df) == F.col("suspect"), "left_semi")
-    counts = rows.groupBy(*row_key(df)).agg(F.expr("count(1) as n"))
-    return (counts.selectExpr(f"{total} as rows", "coalesce(sum(case when n > 1 then n end), 0L) as duplicate_rows")
+    counts = df.select(*row_digest(df)).groupBy("h1", "h2").agg(F.expr("count(1) as n"))
+    return (counts.selectExpr("coalesce(sum(n), 0L) as rows", "coalesce(sum(case when n > 1 then n end), 0L) as duplicate_rows")
             .withColumn("duplicate_row_pct", percent(F.col("duplicate_rows"), F.col("rows"))))
 
 

@@ -25,7 +25,8 @@ def quality_warnings(overview: DataFrame, missing: DataFrame, shape: DataFrame,
     def column_rule(order: int, rule: str, rows: DataFrame, by: list, text: Column) -> DataFrame:
         # One row per column of each dataset at most.
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
-        return (rows.withColumn("place", place).where(F.col("place") <= cfg.warn_column_limit)
+        kept = F.lit(True) if cfg.warn_column_limit is None else F.col("place") <= cfg.warn_column_limit
+        return (rows.withColumn("place", place).where(kept)
                 .select(*keys, F.lit(order).alias("rule_order"), F.lit(rule).alias("rule"),
                         "column", "place", text.alias("warning")))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import sqrt
+from math import ceil, log, sqrt
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
@@ -50,33 +50,44 @@ def random_rows(df: DataFrame, n: int, seed: int, key: list[str] | None = None,
                 rows: int | None = None) -> DataFrame:
     """Exactly n rows (all when there are fewer), drawn without replacement.
 
-    With `key`, a unique key of the table, the draw is the n rows with the smallest
-    MD5 of seed and key: the same rows on any cluster and any file layout. A threshold
-    on the hash, applied in the scan, first leaves little more than n rows, so that
-    the final top-n never gathers n rows from every task.
+    The draw is the n rows with the smallest MD5 of seed and key, or of seed and all columns without a
+    `key`: the same rows on any cluster and any file layout, and in every scan of the result. The n-th
+    digest is found first, from counts by digest prefix; the rows up to it are then filtered in the
+    scan, so they stay where they are. Only rows that share the n-th digest are ordered by the key.
     """
     rows = df.count() if rows is None else rows
     if rows <= n:
         return df
-    # Expected count n plus eight standard deviations; more only if keys repeat unevenly.
-    share = (n + 8 * sqrt(n) + 16) / rows
-    if key:
-        parts = [F.coalesce(quoted(c).cast("string"), F.lit("")) for c in key]
-        df = df.withColumn("__digest", F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(":", *parts))))
-        order = ["__digest", *[quoted(c) for c in key]]
-    else:
-        order = [F.rand(seed)]
-    while share < 1:
-        if key:
-            drawn = df.where(F.col("__digest") < format(int(share * 16**12), "012x"))
-        else:
-            drawn = df.sample(share, seed)
-        if drawn.count() >= n:
+    if n <= 0:
+        return df.limit(0)
+    by = [quoted(c) for c in key] if key else [F.to_json(F.struct(*[quoted(c) for c in df.columns]), {"ignoreNullFields": "false"})]
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in by]
+    drawn = df.withColumn("__digest", F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(":", *parts))))
+    share = n / rows
+    # About a thousand prefixes up to the wanted place, whatever the share.
+    width = min(32, ceil(log(1000 / share, 16)))
+    prefix = F.substring("__digest", 1, width)
+    below, reach = 0, (n + 8 * sqrt(n) + 16) / rows
+    while True:  # more than once only if keys repeat unevenly
+        bound = format(int(reach * 16**12), "012x") if reach < 1 else "g"
+        counts = drawn.where(F.col("__digest") < bound).groupBy(prefix.alias("prefix")).count().orderBy("prefix").collect()
+        if sum(r["count"] for r in counts) >= n or reach >= 1:
             break
-        share *= 2
-    else:
-        drawn = df
-    return drawn.orderBy(*order).limit(n).drop("__digest")
+        reach *= 2
+    for r in counts:
+        if below + r["count"] >= n:
+            break
+        below += r["count"]
+    held = drawn.where(prefix == r["prefix"]).groupBy("__digest").count().orderBy("__digest").collect()
+    for d in held:  # the rows of one prefix
+        if below + d["count"] >= n:
+            break
+        below += d["count"]
+    sure = drawn.where(F.col("__digest") < d["__digest"])
+    edge = drawn.where(F.col("__digest") == d["__digest"])
+    if n - below < d["count"]:
+        edge = edge.orderBy(*by).limit(n - below)
+    return sure.unionAll(edge).drop("__digest")
 
 
 def profile_rows(df: DataFrame, cfg: ProfileConfig, key: list[str] | None = None) -> ProfiledRows:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from plumbline.config import KEY_NAME_PARTS, ProfileConfig
 from plumbline.functions.columns import percent
 from plumbline.operators.distinct import (
-    exact_distinct, field_name, has_value, value_groups, value_text,
+    distinct_counts, field_name, has_value, value_groups, value_text,
 )
 from plumbline.operators.facts import column_facts
 from plumbline.operators.sampling import random_rows
@@ -20,15 +20,16 @@ KEY_COLUMNS = ("key_column string, unique_keys bigint, avg_rows_per_key double,
 
 def uniqueness(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None,
                unique: DataFrame | None = None) -> DataFrame:
-    """(column, unique_non_null, unique_including_null_as_value), exact.
+    """(column, unique_non_null, unique_including_null_as_value), counted as `unique_mode` says.
 
-    `unique` is the result of `exact_distinct` on the same rows, if at hand.
+    `unique` is the result of `distinct_counts` on the same rows, if at hand. A sample is drawn by the
+    rows' own content, so both scans below see the same rows.
     """
     if cfg.max_unique_sample:
         df = random_rows(df, cfg.max_unique_sample, cfg.sample_seed)
         facts = unique = None
     facts = column_facts(df, cfg, ()) if facts is None else facts
-    return (with_unique(facts, exact_distinct(df) if unique is None else unique)
+    return (with_unique(facts, distinct_counts(df, cfg) if unique is None else unique)
             .select("column", "unique_non_null",
                     F.col("unique").alias("unique_including_null_as_value"))
             .orderBy("column"))
@@ -38,7 +39,7 @@ def key_candidates(df: DataFrame, cfg: ProfileConfig, schema: DataFrame | None =
     """(priority, column, source, unique_ratio): columns that look like keys.
 
     First those with nearly as many distinct as non-null values, then those with a
-    telling name in table order; at most `key_limit`.
+    telling name in table order; at most `key_limit`, if that is set.
     """
     schema = schema_profile(df, cfg) if schema is None else schema
     ratio = F.try_divide(F.col("unique").cast("double"), F.col("non_null"))
@@ -55,13 +56,13 @@ def key_candidates(df: DataFrame, cfg: ProfileConfig, schema: DataFrame | None =
         F.col("source") == "name", F.desc(F.when(F.col("source") != "name", F.col("unique_ratio"))),
         F.when(F.col("source") == "name", place), "column")
     return (chosen.withColumn("priority", F.row_number().over(order).cast("bigint"))
-            .where(F.col("priority") <= cfg.key_limit)
+            .where(F.col("priority") <= F.lit(cfg.key_limit) if cfg.key_limit is not None else F.lit(True))
             .select("priority", "column", "source", "unique_ratio").orderBy("priority"))
 
 
 def _key_fields(df: DataFrame, cfg: ProfileConfig, keys: list[str] | None) -> list[T.StructField]:
     if keys is None:
-        keys = [r["column"] for r in key_candidates(df, cfg).collect()]  # at most key_limit
+        keys = [r["column"] for r in key_candidates(df, cfg).collect()]  # at most one per column
     return [df.schema[k] for k in keys]
 
 

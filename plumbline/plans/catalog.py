@@ -21,14 +21,17 @@ from plumbline.operators.sampling import ProfiledRows, dataset_id, profile_rows,
 from plumbline.operators.schema import row_missing_quantiles
 
 NOTES = (
-    "All outputs are computed automatically and are strictly descriptive.",
-    "Temporal coverage comes from 4-digit years found in columns named like dates; "
-    "it is a proxy for coverage.",
-    "High-uniqueness and high-cardinality columns are descriptive signals.",
+    "Tables whose status is not ok could not be read in full; they count in datasets_failed.",
+    "Years are taken from columns whose names contain a date word, whatever their type.",
+    "Distinct counts are sketched unless unique_mode is exact.",
 )
 ID = ["dataset_id", "dataset_name", "sheet_name"]
 
 
+def _first(frame: DataFrame, limit: int | None) -> DataFrame:
+    return frame if limit is None else frame.limit(limit)
+
+
 @dataclass(frozen=True)
 class Dataset:
     """A table of the catalog. `path` and `sheet` together identify it."""
@@ -64,7 +67,7 @@ class Catalog:
         """`report` of every table, with the table's number `ds`.
 
         One job per table, several at a time: tables are independent, and together they keep
-        the cluster busy. A table whose job fails is left out and noted.
+        the cluster busy. A table whose job fails has no rows here and is noted; the index keeps it.
         """
         def one(i: int) -> pa.Table | None:
             try:
@@ -85,8 +88,12 @@ class Catalog:
         """(ds, dataset_id, dataset_dir, source_path, dataset_name, sheet_name, rows_total, sampled)."""
         rows = []
         for i, d in enumerate(self.datasets):
-            taken = self._profiled(i)
-            rows.append((i, d.path, d.name, d.sheet, taken.rows_total, taken.sampled))
+            try:
+                taken = self._profiled(i)
+                rows.append((i, d.path, d.name, d.sheet, taken.rows_total, taken.sampled))
+            except Exception as e:
+                self.notes.append((i, f"Report 'sample' failed: {e}"))
+                rows.append((i, d.path, d.name, d.sheet, None, False))
         named = self.spark.createDataFrame(
             rows, "ds int, source_path string, dataset_name string, sheet string, "
                   "rows_total bigint, sampled boolean")
@@ -129,20 +136,35 @@ class Catalog:
             F.sum(F.col("rows") - F.col("non_null")).alias("missing_cells"),
             F.sum("bytes").alias("memory_bytes_estimate"))
         # Every frame here has one row per table.
-        joined = (self.ids.join(F.broadcast(repeats), "ds")
-                  .join(F.broadcast(cells), "ds", "left").fillna(0, ["columns", "missing_cells", "memory_bytes_estimate"]))
+        empty = self.facts.select("ds").distinct().withColumn("has_facts", F.lit(True))
+        joined = (self.ids.join(F.broadcast(repeats), "ds", "left").join(F.broadcast(cells), "ds", "left")
+                  .join(F.broadcast(empty), "ds", "left").join(F.broadcast(self._failures), "ds", "left"))
+        # A table without columns has no facts, and none have failed.
+        none = F.col("has_facts").isNull() & F.col("failed").isNull()
+        for c in ("columns", "missing_cells", "memory_bytes_estimate"):
+            joined = joined.withColumn(c, F.when(none, F.lit(0)).otherwise(F.col(c)).cast("bigint"))
         return local_frame(joined.select(
             "ds", "dataset_id", "dataset_dir", "source_path", "dataset_name", "sheet_name",
             F.coalesce("rows_total", "rows").alias("rows"), F.col("rows").alias("rows_sample"),
             "sampled", "columns",
             percent(F.col("missing_cells"), F.col("rows") * F.col("columns")).alias("missing_cell_pct"),
-            "duplicate_row_pct", "memory_bytes_estimate"))
+            "duplicate_row_pct", "memory_bytes_estimate",
+            F.coalesce(F.concat(F.lit("failed: "), F.col("failed")), F.lit("ok")).alias("status")))
+
+    @property
+    def _failures(self) -> DataFrame:
+        """(ds, failed): the reports that failed so far, joined by commas; one row per table at most."""
+        by: dict[int, set[str]] = {}
+        for i, note in self.notes:
+            by.setdefault(i, set()).add(note.split("'")[1] if "'" in note else note)
+        return self.spark.createDataFrame([(i, ", ".join(sorted(x))) for i, x in by.items()], "ds int, failed string")
 
     @cached_property
     def totals(self) -> DataFrame:
         return self.datasets_index.agg(
             F.lit(self.files_found).cast("bigint").alias("files_found"),
-            F.count(F.lit(1)).alias("datasets_processed"),
+            F.count_if(F.col("status") == "ok").alias("datasets_processed"),
+            F.count_if(F.col("status") != "ok").alias("datasets_failed"),
             F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"),
             F.coalesce(F.sum("columns"), F.lit(0)).alias("total_columns"))
 
@@ -158,8 +180,9 @@ class Catalog:
         kinds = ("numeric", "text", "bool", "other")
         counts = self.facts.groupBy("ds").agg(*[
             F.count_if(F.col("type_class") == k).alias(f"{k}_cols_est") for k in kinds])
-        return (self.ids.select("ds", *ID).join(F.broadcast(counts), "ds", "left")
-                .fillna(0, [f"{k}_cols_est" for k in kinds]))
+        joined = self.datasets_index.select("ds", *ID, "status").join(F.broadcast(counts), "ds", "left")
+        read = F.col("status") == "ok"
+        return joined.select("ds", *ID, *[F.when(read, F.coalesce(f"{k}_cols_est", F.lit(0))).otherwise(F.col(f"{k}_cols_est")).alias(f"{k}_cols_est") for k in kinds])
 
     @cached_property
     def missingness(self) -> DataFrame:
@@ -168,8 +191,10 @@ class Catalog:
             "ds", *ID, "column", missing.alias("missing"),
             percent(missing, F.col("rows")).alias("missing_pct")))
 
-    def _top(self, frame: DataFrame, limit: int, *order: Column) -> DataFrame:
-        """The first `limit` rows of each table; frames have one row per column."""
+    def _top(self, frame: DataFrame, limit: int | None, *order: Column) -> DataFrame:
+        """The first `limit` rows of each table, or all; frames have one row per column."""
+        if limit is None:
+            return frame
         place = F.row_number().over(Window.partitionBy("ds").orderBy(*order))
         return frame.withColumn("place", place).where(F.col("place") <= limit)
 
@@ -177,14 +202,13 @@ class Catalog:
     def missing_hotspots(self) -> DataFrame:
         top = self._top(self.missingness, self.cfg.hotspot_limit, F.desc("missing_pct"), F.asc("column"))
         return (top.orderBy(F.desc("missing_pct"), "dataset_name", "sheet_name", "column")
-                .limit(self.cfg.hotspot_total_limit).select(*ID, "column", "missing_pct"))
+                .transform(_first, self.cfg.hotspot_total_limit).select(*ID, "column", "missing_pct"))
 
     @cached_property
     def high_missing_columns(self) -> DataFrame:
-        return (self._top(self.missingness, self.cfg.hotspot_limit, F.desc("missing_pct"), F.asc("column"))
-                .where(F.col("missing_pct") >= self.cfg.high_missing_pct)
+        return (self.missingness.where(F.col("missing_pct") >= self.cfg.high_missing_pct)
                 .orderBy(F.desc("missing_pct"), "dataset_name", "sheet_name", "column")
-                .limit(self.cfg.hotspot_total_limit).select(*ID, "column", "missing_pct"))
+                .select(*ID, "column", "missing_pct"))
 
     @cached_property
     def _constant(self) -> DataFrame:
@@ -309,40 +333,42 @@ class Catalog:
                 .select("bucket", "low", "high", F.coalesce("count", F.lit(0)).alias("count"))
                 .orderBy("bucket"))
 
-    def hotspot_cells(self) -> DataFrame:
-        """(dataset_name, column, share): the first tables and columns of the hotspots as a
-        grid; 0 where a table has no such hotspot."""
-        spots = [(r["dataset_name"], r["column"], r["missing_pct"]) for r in self.missing_hotspots.collect()]
-        tables = list(dict.fromkeys(s[0] for s in spots))[:self.cfg.matrix_datasets]
-        columns = list(dict.fromkeys(s[1] for s in spots))[:self.cfg.matrix_columns]
-        first: dict = {}
-        for table, column, pct in spots:
-            first.setdefault((table, column), pct)
-        return self.spark.createDataFrame(
-            [(t, c, first.get((t, c), 0.0) / 100.0) for t in tables for c in columns],
-            "dataset_name string, column string, share double")
-
     def hotspot_matrix(self) -> DataFrame:
-        cells = self.hotspot_cells()
-        return cells.groupBy("dataset_name").pivot("column").agg(F.first("share")).orderBy("dataset_name")
+        """The hotspots as a grid of tables by columns, shares from 0 to 1; 0 where a table has no such
+        hotspot. With limits, the tables and columns with the highest shares."""
+        spots = self.missing_hotspots
+        for name, limit in (("dataset_name", self.cfg.matrix_datasets), ("column", self.cfg.matrix_columns)):
+            if limit is not None:
+                first = spots.groupBy(name).agg(F.max("missing_pct").alias("most")).orderBy(F.desc("most"), name).limit(limit)
+                spots = spots.join(F.broadcast(first.select(name)), name, "left_semi")
+        return (spots.groupBy("dataset_name").pivot("column").agg(F.max("missing_pct") / 100.0)
+                .fillna(0.0).orderBy("dataset_name"))
+
+    def hotspot_cells(self) -> DataFrame:
+        """(dataset_name, column, share): the cells of the matrix."""
+        grid = self.hotspot_matrix()
+        values = [F.col("`" + c.replace("`", "``") + "`") for c in grid.columns[1:]]
+        if not values:
+            return self.spark.createDataFrame([], "dataset_name string, column string, share double")
+        return grid.unpivot(["dataset_name"], values, "column", "share")
 
     @cached_property
     def master_summary(self) -> DataFrame:
         """One JSON document over the whole catalog, in the one column `document`.
 
-        Every list has a bounded number of entries per table or column of the catalog.
+        Every list has one entry per table, column or warning of the catalog at most.
         """
         cfg = self.cfg
         lists = {
             "datasets": self.sources_table,
             "global_dtype_counts": self.dtype_composition.drop("pct"),
             "global_dtype_counts_pct": self.dtype_composition,
-            "top_missing_hotspots": self.missing_hotspots.limit(cfg.document_hotspots),
+            "top_missing_hotspots": _first(self.missing_hotspots, cfg.document_hotspots),
             "high_missing_columns": self.high_missing_columns,
-            "high_cardinality_columns": self.high_cardinality.limit(cfg.document_cardinality),
+            "high_cardinality_columns": _first(self.high_cardinality, cfg.document_cardinality),
             "constant_columns": self.constant_columns,
             "temporal_coverage": self.temporal_coverage,
-            "quality_warnings": self.warnings.limit(cfg.document_warnings),
+            "quality_warnings": _first(self.warnings, cfg.document_warnings),
         }
         pieces = [("totals", self.totals, False), ("missingness_stats", self.missing_stats, False)]
         pieces += [(name, frame, True) for name, frame in lists.items()]

@@ -98,7 +98,7 @@ class TableProfile:
 
     @cached_property
     def correlations(self) -> DataFrame:
-        return local_frame(correlation.correlations(self.df, self.cfg, self.facts))
+        return correlation.correlations(self.df, self.cfg, self.facts)
 
     @cached_property
     def correlation_matrix(self) -> DataFrame:
@@ -106,8 +106,7 @@ class TableProfile:
 
     @cached_property
     def uniqueness(self) -> DataFrame:
-        exact = self.unique if self.cfg.unique_mode == "exact" else None
-        return local_frame(uniqueness.uniqueness(self.df, self.cfg, self.facts, exact))
+        return local_frame(uniqueness.uniqueness(self.df, self.cfg, self.facts, self.unique))
 
     @cached_property
     def list_columns(self) -> DataFrame:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import io
 import logging
 import os
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,9 +16,8 @@ from plumbline.sources import grids
 
 log = logging.getLogger(__name__)
 
-EXTENSIONS = ("csv", "xlsx", "parquet", "orc", "json")
+EXTENSIONS = ("csv", "parquet", "orc", "json")
 FILE_SCHEMA = "path string, length bigint, modificationTime timestamp"
-GRID_SCHEMA = "path string, sheet string, row_no bigint, cells array<string>"
 
 
 def discover(spark: SparkSession, paths: list[str], extensions=EXTENSIONS) -> DataFrame:
@@ -44,9 +40,21 @@ def discover(spark: SparkSession, paths: list[str], extensions=EXTENSIONS) -> Da
     return union_all(found).dropDuplicates(["path"]).orderBy("path")
 
 
-def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A CSV file with a header. Types are inferred from every row unless given."""
-    reader = spark.read.option("header", True)
+def has_broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a line has an odd number of quotes, so that a quoted value may go on in the next."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, schema=None, multiline: bool = False) -> DataFrame:
+    """A CSV file with a header. Types are inferred from every row unless given.
+
+    Quotes inside quoted values are doubled. Files with line breaks inside quoted values need
+    `multiline`, which reads each file in one task; without it they are refused, not misread.
+    """
+    if not multiline and has_broken_lines(spark, path):
+        raise ValueError(f"{path} has quoted line breaks or unbalanced quotes: read it with multiline=True")
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
@@ -69,45 +77,6 @@ def csv_grid(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
                         row_no.cast("bigint").alias("row_no"), cells.alias("cells"))
 
 
-def workbook_grid(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The cells of all sheets of workbooks as a grid; one task reads one workbook.
-
-    Needs openpyxl on the executors. A sheet that cannot be read has no rows.
-    """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-
-    def sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from openpyxl import load_workbook
-        for batch in batches:
-            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-                book = load_workbook(io.BytesIO(content), read_only=True, data_only=True)
-                for name in book.sheetnames:
-                    yield from sheet_batches(path, name, book[name].iter_rows(values_only=True))
-
-    return files.mapInArrow(sheets, GRID_SCHEMA)
-
-
-def sheet_batches(path: str, sheet: str, rows, size: int = 10_000) -> Iterator[pa.RecordBatch]:
-    """The rows of one sheet as Arrow batches of a grid."""
-    kept: list = []
-
-    def batch(first: int) -> pa.RecordBatch:
-        n = len(kept)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([path] * n), pa.array([sheet] * n), pa.array(range(first, first + n), pa.int64()),
-             pa.array(kept, pa.list_(pa.string()))], names=["path", "sheet", "row_no", "cells"])
-
-    first = 0
-    for row in rows:
-        kept.append([None if v is None else str(v) for v in row or ()])
-        if len(kept) == size:
-            yield batch(first)
-            first += size
-            kept.clear()
-    if kept:
-        yield batch(first)
-
-
 def grid_datasets(grid: DataFrame, max_rows: int | None = None) -> tuple[list[Dataset], list[str]]:
     """One dataset per (path, sheet) of a grid, and notes on sheets cut at `max_rows`. A cap
     needs consecutive row numbers, as workbooks have.
@@ -156,11 +125,10 @@ def open_datasets(spark: SparkSession, files: DataFrame,
         stem, ext = os.path.splitext(os.path.basename(path))
         try:
             if ext.lower() == ".csv":
-                datasets.append(Dataset(stem, staged(read_csv(spark, path)), path))
-            elif ext.lower() == ".xlsx":
-                found, cut = grid_datasets(workbook_grid(spark, [path]), cfg.sheet_max_rows)
-                datasets += found
-                notes += cut
+                broken = has_broken_lines(spark, path)
+                if broken:
+                    notes.append(f"{path} has quoted line breaks and was read in one task.")
+                datasets.append(Dataset(stem, staged(read_csv(spark, path, multiline=broken)), path))
             else:
                 datasets.append(Dataset(stem, spark.read.format(ext.lower()[1:]).load(path), path))
         except Exception as e:  # one bad file must not stop the catalog

@@ -6,7 +6,8 @@ sheet), `row_no`, which orders the rows of a table, and `cells`, an array of str
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import is_blank, literal, quoted, ref, rows_of, strip
 
@@ -26,19 +27,29 @@ def has_text(cells: Column) -> Column:
 def repaired_names(header: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, pos, name) from (*keys, pos, cell): usable column names.
 
-    Cells are stripped, blanks become col_<position>, and the second, third ... of equal
-    names get __1, __2 ... A second round separates a numbered name from one spelt that way.
+    Cells are stripped and blanks become col_<position>. A name that is taken further left, in
+    whatever case, gets the first of __1, __2 ... that is free, since Spark finds columns in any case.
+    One header, never data, is gathered at a time.
     """
     cell = F.col("cell")
     names = header.select(*keys, "pos", F.when(
         cell.isNull() | is_blank(cell), F.concat(F.lit("col_"), (F.col("pos") + 1).cast("string")))
         .otherwise(strip(cell)).alias("name"))
-    for _ in range(2):
-        seen = F.row_number().over(Window.partitionBy(*keys, "name").orderBy("pos")) - 1
-        names = names.withColumn("seen", seen).select(*keys, "pos", F.when(
-            F.col("seen") > 0, F.concat("name", F.lit("__"), F.col("seen").cast("string")))
-            .otherwise(F.col("name")).alias("name"))
-    return names
+
+    def numbered(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        taken, last, out = set(), {}, []
+        for name in rows["name"]:
+            free, k = name, last.get(name.lower(), 0)
+            while free.lower() in taken:
+                k += 1
+                free = f"{name}__{k}"
+            last[name.lower()] = k
+            taken.add(free.lower())
+            out.append(free)
+        return rows.assign(name=out)
+
+    return names.groupBy(*keys).applyInPandas(numbered, names.schema)
 
 
 def headers(grid: DataFrame, keys: list[str]) -> DataFrame:

@@ -105,7 +105,7 @@ def test_one_row(spark):
 
 @pytest.mark.parametrize("cols", [2, 7])
 def test_correlation(spark, cols):
-    """Both ways of summing, with nulls on either side and a constant."""
+    """Nulls on either side and a constant."""
     import numpy as np
     rng = np.random.default_rng(1)
     data = rng.normal(1e6, 1.0, (300, cols))
@@ -114,27 +114,82 @@ def test_correlation(spark, cols):
         data[:, 2] = 0.1
     table = [[None if (i + j) % 7 == 0 else float(v) for j, v in enumerate(row)] for i, row in enumerate(data)]
     df = spark.createDataFrame(table, ", ".join(f"c{j} double" for j in range(cols))).repartition(5)
-    for corr_jvm_cols in (0, 10):
-        got = {(r["column_a"], r["column_b"]): r["corr"] for r in
-               rows(correlation.correlations(df, replace(EXACT, corr_jvm_cols=corr_jvm_cols)))}
-        assert len(got) == cols * cols
-        for a in range(cols):
-            for b in range(cols):
-                keep = [i for i in range(300) if table[i][a] is not None and table[i][b] is not None]
-                if 2 in (a, b):  # the constant
-                    assert got[f"c{a}", f"c{b}"] is None
-                else:
-                    want = np.corrcoef(data[keep, a], data[keep, b])[0, 1]
-                    assert got[f"c{a}", f"c{b}"] == pytest.approx(want, abs=1e-6)
+    got = {(r["column_a"], r["column_b"]): r["corr"] for r in rows(correlation.correlations(df, EXACT))}
+    assert len(got) == cols * cols
+    for a in range(cols):
+        for b in range(cols):
+            keep = [i for i in range(300) if table[i][a] is not None and table[i][b] is not None]
+            if 2 in (a, b):  # the constant
+                assert got[f"c{a}", f"c{b}"] is None
+            else:
+                want = np.corrcoef(data[keep, a], data[keep, b])[0, 1]
+                assert got[f"c{a}", f"c{b}"] == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("cols", [3, 8])
+def test_infinities_touch_their_pairs_only(spark, cols):
+    """The infinity of the last column is in a row where column 0 is null."""
+    import numpy as np
+    data = np.random.default_rng(2).normal(0, 1, (60, cols)).tolist()
+    data[7][0], data[7][-1] = None, float("inf")
+    df = spark.createDataFrame(data, ", ".join(f"c{j} double" for j in range(cols))).repartition(3)
+    got = {(r["column_a"], r["column_b"]): r["corr"] for r in rows(correlation.correlations(df, EXACT))}
+    keep = [i for i in range(60) if i != 7]
+    a, b = ([data[i][j] for i in keep] for j in (0, cols - 1))
+    assert got["c0", f"c{cols - 1}"] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-9)
+    assert got["c1", f"c{cols - 1}"] is None and got["c0", "c1"] is not None
 
 
 def test_correlation_guard(spark):
     df = spark.range(3).selectExpr(*[f"id as c{i}" for i in range(81)])
-    assert correlation.correlations(df, EXACT).collect() == []
-    assert correlation.correlation_note(df, EXACT) == \
+    assert correlation.correlations(df, EXACT).count() == 81 * 81 and correlation.correlation_note(df, EXACT) is None
+    capped = replace(EXACT, max_corr_cols=80)
+    assert correlation.correlations(df, capped).collect() == []
+    assert correlation.correlation_note(df, capped) == \
         "Skipped correlation: 81 numeric columns exceeds limit (80)."
 
 
+def test_one_long_cell_keeps_a_list(spark):
+    df = spark.range(100).selectExpr("case when id = 0 then repeat('long;', 200) else concat('a;', id % 3) end as t")
+    assert [r["column"] for r in lists.list_columns(df, EXACT).collect()] == ["t"]
+    prose = spark.range(100).selectExpr("case when id < 11 then repeat('long;', 200) else 'a;b' end as t")
+    assert lists.list_columns(prose, EXACT).collect() == []
+
+
+def test_tokens_with_equal_beginnings(spark):
+    df = spark.range(60).selectExpr("concat(repeat('x', 125), id % 2, ';y') as t")
+    got = lists.list_tokens(df, EXACT).collect()
+    assert sorted(r["count"] for r in got) == [30, 30, 60]
+
+
+def test_all_sparse_columns_are_reported(spark):
+    df = spark.range(100).selectExpr(*[f"case when id = {i} then id end as c{i}" for i in range(25)])
+    c = Catalog(spark, [Dataset("sparse", df, "p")], EXACT)
+    assert c.high_missing_columns.count() == 25
+    assert c.warnings.where("rule = 'column_missing'").count() == 25
+    assert len(c.hotspot_matrix().columns) == 26 and c.hotspot_cells().count() == 25
+
+
+@pytest.mark.parametrize("n", [1, 7, 500])
+def test_draws_agree(spark, n):
+    df = spark.range(0, 1000, 1, 7).selectExpr("id % 700 as a", "concat('v', id % 700) as b")
+    drawn = sampling.random_rows(df, n, 3)
+    first = sorted(map(tuple, drawn.collect()))
+    assert len(first) == n and sorted(map(tuple, drawn.collect())) == first
+    assert n < 500 or drawn.rdd.getNumPartitions() > 1
+
+
+def test_many_quantiles_in_few_jobs(spark):
+    from plumbline.functions.ranks import values_at_ranks
+    df = spark.range(0, 3000, 1, 4).selectExpr(*[f"cast((id * {2 * i + 1}) % 3001 as double) as c{i}" for i in range(12)])
+    wanted = {f"c{i}": (3000, {"lo": 30, "mid": 1500}) for i in range(12)}
+    got = {(r["column"], r["label"]): r["value"] for r in values_at_ranks(
+        df, {f"c{i}": f"c{i}" for i in range(12)}, wanted, replace(EXACT, rank_group_rows=100, rank_sketch_k=256)).collect()}
+    for i in range(12):
+        own = sorted(float(k * (2 * i + 1) % 3001) for k in range(3000))
+        assert got[f"c{i}", "lo"] == own[30] and got[f"c{i}", "mid"] == own[1500]
+
+
 @pytest.mark.parametrize("share, found", [(200, True), (199, False)])
 def test_list_threshold(spark, share, found):
     df = spark.createDataFrame([("a|b" if i < share else "c",) for i in range(1000)] + [(None,)] * 500, "s string")
@@ -195,9 +250,8 @@ def test_duplicates_of_wide_rows(spark):
     base = spark.range(500).selectExpr("id", "repeat('long text ', 20) as t", "cast(0.0 as double) as z")
     copies = spark.range(3).selectExpr("7L as id", "repeat('long text ', 20) as t", "cast(-0.0 as double) as z")
     df = base.unionByName(copies).repartition(6)
-    for limit in (500_000, 0):
-        got = overview.duplicate_rows(df, replace(EXACT, broadcast_hashes=limit)).head()
-        assert (got["rows"], got["duplicate_rows"]) == (503, 4)
+    got = overview.duplicate_rows(df, EXACT).head()
+    assert (got["rows"], got["duplicate_rows"]) == (503, 4)
 
 
 def test_duplicates_where_nulls_move(spark):
@@ -260,8 +314,9 @@ def test_head_opens_few_files(spark, tmp_path):
     spark.range(0, 1000, 1, 10).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
     head = sampling.head_rows(df, 150)
-    assert head.count() == 150 and len({r[0] for r in head.select("_metadata.file_path").distinct().collect()}
-                                       if "_metadata" in head.columns else {1, 2}) <= 2
+    assert head.count() == 150
+    assert len(sampling._first_files(df, 150).inputFiles()) == 10  # the scan is filtered by file, not cut
+    assert sampling._first_files(df, 150).select("_metadata.file_path").distinct().count() == 2
     assert sampling.head_rows(df.selectExpr("id + 1 as x"), 150).count() == 150
 
 
