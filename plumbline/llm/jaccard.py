@@ -6,12 +6,14 @@ prefixes; s is 1 + n / 16), so documents meet under their prefix shingles, and t
 too few are not tried. Equal sets are one node from the start.
 
 Who meets whom becomes probes: of a small group every pair, of a large one each set against the
-group's smallest and against its neighbour in size (a pair's meetings in large groups, which are not
-counted, are taken to be as many as the set with fewer of them has). For every probe set, the ordered sets to be tried
-are stored in a trie whose paths share equal beginnings; it is walked from the root, the overlap so
-far is carried down, and a branch is left when even all its remaining shingles would be too few.
-Then large groups that still hold sets of several components are tried pair by pair across them,
-so that no link that matters to the components is missed. Components are found by star contraction.
+group's leader, the set with most shingles in large groups (a pair's meetings in large groups, which are
+not counted, are taken to be as many as the set with fewer of them has). For every probe set, the
+ordered sets to be tried are stored in a trie whose paths share equal beginnings; it is walked from
+the root, the overlap so far is carried down, and a branch is left when even all its remaining
+shingles would be too few. Groups with one leader make a cluster. Sets of a cluster that are not yet in
+its leader's component are then probes against the whole cluster, in blocks, and report one link per
+component found: no link that matters to the components is missed, and no group is paired with
+itself. Components are found by star contraction.
 
 Only ids, sizes and hashes move, but for the texts of sets that are tried. What is broadcast is the
 list of frequent shingles, MAX_FREQUENT at most; being an order only, it changes no result. A probe
@@ -44,6 +46,8 @@ SMALL = 32
 #: A prefix is longer than it must be by a shingle for each so many of its set.
 SPARE = 16
 BLOCK = 1 << 20
+#: Sets that a block of a cluster is probed with at a time.
+PROBES = 128
 
 _U = np.uint64
 
@@ -161,8 +165,8 @@ def _enough(n: str, m: str):
     return 1 + F.floor(F.least(n, m) / SPARE)
 
 
-def _meetings(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs (a, b) to be tried; how often pairs met in small groups (a, b, c); large groups (shingle, key, n)."""
+def _meetings(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to be tried, and the clusters (leader, ln, key, n) of large groups."""
     posted = sets.where("n > 0").select(F.explode("prefix").alias("shingle"), "key", "n")
     group = Window.partitionBy("shingle")
     shared = written(posted.withColumn("m", F.count("*").over(group)).where("m > 1"), "shared")
@@ -178,14 +182,15 @@ def _meetings(sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     for side in ("a", "b"):
         known = known.join(uncounted.select(F.col("key").alias(side), F.col("u").alias(f"{side}u")), side, "left")
     pairs = known.where(F.col("c") + F.least(F.coalesce("au", F.lit(0)), F.coalesce("bu", F.lit(0))) >= _enough("an", "bn")).select("a", "an", "b", "bn")
-    by_size = group.orderBy("n", "key")
-    chained = large.select(
-        F.first(F.struct("n", "key")).over(by_size).alias("x"), F.lag(F.struct("n", "key")).over(by_size).alias("w"), F.struct("n", "key").alias("y"))
-    for other in ("x", "w"):
-        pairs = pairs.unionAll(chained.where(f"{other} is not null and {other}.key != y.key").select(F.col(f"{other}.key"), F.col(f"{other}.n"), F.col("y.key"), F.col("y.n")))
+    ranked = large.join(uncounted, "key")
+    leaders = ranked.groupBy("shingle").agg(F.max(F.struct("u", "key", "n")).alias("leader")).select("shingle", "leader.key", "leader.n").toDF("shingle", "leader", "ln")
+    clusters = written(large.join(leaders, "shingle").select("leader", "ln", "key", "n").distinct(), "clusters")
+    spokes = clusters.where("leader != key").select(
+        *[F.when(F.col("n") < F.col("ln"), F.col(x)).otherwise(F.col(y)) for x, y in (("key", "leader"), ("n", "ln"), ("leader", "key"), ("ln", "n"))])
+    pairs = pairs.unionAll(spokes)
     tried = written(pairs.where(_size_fits("an", "bn")).select("a", "b").distinct(), "pairs")
-    dropped(shared)
-    return tried, met, large
+    dropped(shared, met, large)
+    return tried, clusters
 
 
 class _Node:
@@ -240,16 +245,15 @@ class Trie:
                 found.extend(node.ends)
             for child in node.branches.values():
                 reach = overlap + min(n - overlap, child.most - depth)
-                if linked(reach, n, max(child.least, depth + 1)):
+                if linked(reach, n, child.least):
                     stack.append((child, depth, overlap))
         return found
 
 
-def _ordered(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs: DataFrame, order) -> DataFrame:
-    """key and ordered shingles of each set in the pairs, from the text of one document that has it."""
+def _ordered(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, wanted: DataFrame, order) -> DataFrame:
+    """key and ordered shingles of each of the wanted sets, from the text of one document that has it."""
     schema = T._parse_datatype_string("key long, shingles array<long>")
     arrow = to_arrow_schema(schema)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     holders = sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id")).join(wanted, "key")
     texts = members(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), holders).withColumnRenamed("id", "own_id").join(holders, F.col("own_id").eqNullSafe(F.col("id"))).select("key", "text")
 
@@ -266,60 +270,80 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, pairs
                         lists.append(order.value.sort(own).view(np.int64))
                 if keys:
                     at = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists))).cast(arrow.field(1).type)], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(keys, type=pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists))).cast(arrow.field(1).type)], schema=arrow)
 
     return written(texts.mapInArrow(run, schema).dropDuplicates(["key"]), "ordered")
 
 
-def _tried(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked: for each a, and block of its partners, a trie is probed."""
+def _runs(batches, roles: int):
+    """(name, sets of each role) for runs of rows (name columns..., role, key, component, shingles) of one name."""
+    name, held = None, None
+    for batch in batches:
+        *names, role, key, component = (batch.column(i).to_pylist() for i in range(batch.num_columns - 1))
+        lists = batch.column(batch.num_columns - 1)
+        at, shingles = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for i, own in enumerate(zip(*names)):
+            if own != name:
+                if held:
+                    yield name, held
+                name, held = own, [[] for _ in range(roles)]
+            held[role[i]].append((key[i], component[i], shingles[at[i] : at[i + 1]].copy()))
+    if held:
+        yield name, held
+
+
+def _links(rows: DataFrame, ordered: DataFrame, names: list[str]) -> DataFrame:
+    """Links (a, b) of probes (role 1) with the sets (role 0) of the same name, one for each component but their own."""
     schema = T._parse_datatype_string("a long, b long")
     arrow = to_arrow_schema(schema)
-    sized = pairs.join(ordered.select(F.col("key").alias("b"), F.size("shingles").alias("size")), "b")
-    blocks = sized.groupBy("a").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
-    partners = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b")
-    rows = partners.unionAll(blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("b")))
-    full = rows.join(ordered.withColumnRenamed("key", "b"), "b").select("a", "block", "b", "shingles")
-    dealt = full.repartition("a", "block").sortWithinPartitions("a", "block")
+    full = rows.join(ordered, "key").select(*names, "role", "key", "component", "shingles")
+    dealt = full.repartition(*names).sortWithinPartitions(*names)
 
     def run(batches):
-        name, trie, probe = None, Trie(), None
-
-        def links():
-            found = trie.probe(probe)
-            return pa.RecordBatch.from_arrays([pa.array([name[0]] * len(found), type=pa.int64()), pa.array(found, type=pa.int64())], schema=arrow)
-
-        for batch in batches:
-            a, block, b = (batch.column(i).to_pylist() for i in range(3))
-            at = batch.column(3).offsets.to_numpy()
-            shingles = batch.column(3).values.to_numpy()
-            for i in range(len(a)):
-                if name != (a[i], block[i]):
-                    if probe is not None:
-                        yield links()
-                    name, trie, probe = (a[i], block[i]), Trie(), None
-                own = shingles[at[i] : at[i + 1]]
-                if a[i] == b[i]:
-                    probe = own.copy()
-                else:
-                    trie.add(b[i], own.copy())
-        if probe is not None:
-            yield links()
+        for _, (sets, probes) in _runs(batches, 2):
+            trie, component = Trie(), {}
+            for key, own, shingles in sets:
+                trie.add(key, shingles)
+                component[key] = own
+            a, b = [], []
+            for key, own, shingles in probes:
+                near = {component[x]: x for x in trie.probe(shingles) if x != key}
+                near.pop(own, None)
+                a += [key] * len(near)
+                b += near.values()
+            yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], schema=arrow)
 
     return dealt.mapInArrow(run, schema)
 
 
-def _across(large: DataFrame, labels: DataFrame, met: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of large groups whose sets are of different components, met often enough, and were not tried."""
-    named = large.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    whole = Window.partitionBy("shingle")
-    mixed = named.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).where("lo < hi").drop("lo", "hi")
-    x = mixed.select("shingle", F.col("key").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-    y = mixed.select("shingle", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    fits = _size_fits("an", "bn") & (F.col("ac") != F.col("bc")) & ((F.col("an") < F.col("bn")) | (F.col("a") < F.col("b")))
-    often = x.join(y, "shingle").where(fits).groupBy("a", "an", "b", "bn").agg(F.count("*").alias("more"))
-    often = often.join(met.select("a", "b", "c"), ["a", "b"], "left").where(F.col("more") + F.coalesce("c", F.lit(0)) >= _enough("an", "bn"))
-    return often.select("a", "b").join(tried, ["a", "b"], "left_anti")
+def _tried(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are linked: each a is a probe for its partners, in blocks of BLOCK shingles."""
+    sized = pairs.join(ordered.select(F.col("key").alias("b"), F.size("shingles").alias("listed")), "b")
+    blocks = sized.groupBy("a").agg(F.ceil(F.sum("listed") / BLOCK).cast("int").alias("blocks"))
+    partners = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), F.col("b").alias("key"))
+    probes = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), F.col("a").alias("key"))
+    return _links(partners.unionAll(probes).withColumn("component", F.col("key")), ordered, ["a", "block"])
+
+
+def _rest(clusters: DataFrame, labels: DataFrame) -> DataFrame:
+    """(leader, key, n, component, led) of the clusters that hold sets outside their leader's component (not led)."""
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    named = clusters.join(label("key"), "key", "left").join(label("leader"), "leader", "left")
+    named = named.select("leader", "key", "n", F.coalesce("key_c", "key").alias("component"), (F.coalesce("key_c", "key") == F.coalesce("leader_c", "leader")).alias("led"))
+    return named.join(named.where(~F.col("led")).select("leader").distinct(), "leader", "left_semi")
+
+
+def _cluster_links(rest: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Links (a, b) of the sets outside their leader's component: PROBES of them at a time against all of the
+    cluster, in blocks of BLOCK shingles."""
+    parts = rest.groupBy("leader").agg(
+        F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(~F.col("led")) / PROBES).cast("int").alias("turns"))
+    named = rest.join(parts, "leader")
+    own = F.xxhash64("key")
+    sets = named.select("leader", F.pmod(own, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(0).alias("role"), "key", "component")
+    probes = named.where(~F.col("led")).select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(own, F.col("turns")).cast("int").alias("turn"), F.lit(1).alias("role"), "key", "component")
+    return _links(sets.unionAll(probes), ordered, ["leader", "block", "turn"])
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None) -> DataFrame:
@@ -327,17 +351,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component (a hash that names the component, null without shingles) and the columns `also`, in a struct of that name."""
     order = docs.sparkSession.sparkContext.broadcast(Order(_frequent(docs, text_col)))
     full = _sets(docs, id_col, text_col, order, also or [])
-    pairs, met, large = _meetings(full)
+    pairs, clusters = _meetings(full)
     sets = written(full.drop("prefix"), "slim")
     dropped(full)
-    ordered = _ordered(docs, id_col, text_col, sets, pairs, order)
+    ordered = _ordered(docs, id_col, text_col, sets, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), order)
     links = written(_tried(pairs, ordered), "links")
     labels = components(links)
-    rest = written(_across(large, labels, met, pairs), "rest")
-    dropped(ordered, large, met, pairs, links)
+    rest = written(_rest(clusters, labels), "rest")
+    dropped(ordered, clusters, pairs, links)
     if not rest.isEmpty():
-        ordered = _ordered(docs, id_col, text_col, sets, rest, order)
-        more = written(_tried(rest, ordered), "links")
+        ordered = _ordered(docs, id_col, text_col, sets, rest.select("key").distinct(), order)
+        more = written(_cluster_links(rest, ordered), "links")
         labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(more))
         dropped(ordered, more)
     nodes = (sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id")).join(labels.withColumnRenamed("node", "key"), "key", "left")
