@@ -38,7 +38,7 @@ from .components import components
 
 WORDS = 5
 #: Shingles counted together before the repeated ones are passed on.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 FREQUENT = 4
 MAX_FREQUENT = 1 << 18
 #: The largest group of which every pair is tried at once.

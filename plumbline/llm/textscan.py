@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes scanned at once: bounds the working memory of a task (about 40 bytes for each).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 
