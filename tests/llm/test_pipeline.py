@@ -55,4 +55,4 @@ def test_stages_on_odd_rows(spark, rows, request):
         assert not left
     else:
         assert sum(not (r.text or "").strip() for r in left) == 3
-        assert sum((r.text or "").lower().startswith("the quick") for r in left) == 1 and {r.doc_id for r in left} >= {0, 1, 2, 3, 8, 9, 10, 11}
+        assert sum((r.text or "").lower().startswith("the quick") for r in left) == 1 and {r.doc_id for r in left} >= {0, 1, 2, 3, 8, 9, 11}  # text 10 is near 5
