@@ -30,7 +30,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return dedup_lines(table(spark, sf_dir, "documents"), beside=True)  # its SQL has that rule
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

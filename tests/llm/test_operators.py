@@ -203,6 +203,26 @@ def test_templates_recur(spark):
         assert got[i].text == texts[i] and got[i].n_dropped == 0
 
 
+def test_templates_recur_in_any_surroundings(spark):
+    """Blocks of several lines, lines between blank lines, the same neighbours everywhere, and two templates in one leaf."""
+    r = random.Random(33)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    other = lambda: " ".join(word() for _ in range(8))
+    head, foot = ["Skip to the main content", "Sign in to read more"], ["About this fine site", "All rights are kept here", "Made by hand with care"]
+    middle = "This part stands alone between blank lines"
+    texts, kept = [], []
+    for i in range(60):
+        mine = [other() for _ in range(6)]
+        kind = "Click here now to follow our {} page on the site" if i % 2 else "Click here now and get his {} book by air mail"
+        texts.append("\n".join([*head, mine[0], "", middle, "", *mine[1:5], kind.format(word()), mine[5], *foot]))
+        kept.append("\n".join([mine[0], "", "", *mine[1:]]))
+    body = [other() for _ in range(9)]
+    copies = ["\n".join([*body, f"{word()} {word()}"]) for _ in range(40)]
+    got = {x.doc_id: x for x in lines.dedup_lines(spark.createDataFrame(rows_of(texts + copies), SCHEMA).repartition(5)).collect()}
+    assert [got[i].text for i in range(60)] == kept and {got[i].n_dropped for i in range(60)} == {7}
+    assert [got[i].text for i in range(60, 100)] == copies
+
+
 def test_lines_of_odd_rows(docs, nothing):
     got = lines.dedup_lines(docs, also=["gone", "key"])
     assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(r.doc_id), str(r.text)) for r in docs.collect())
