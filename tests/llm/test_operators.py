@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -458,3 +459,21 @@ def test_licenses(spark, docs, nothing):
     assert (got[3].licenses, got[3].unclassified) == ([], 1) and got[4].sentences == got[5].sentences == []
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(nothing).count() == 0
     assert CLASH
+
+
+def test_licenses_as_usually_laid_out(spark):
+    known = queries.known()[0]
+    wrapped = lambda names, mark="", width=72: "\n".join(textwrap.wrap(" ".join(known[k] for k in names), width, initial_indent=mark, subsequent_indent=mark))
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + "\n\n".join([wrapped(["mit-grant"]), wrapped(["mit-notice"]), wrapped(["mit-as-is", "mit-liability"])])
+    listed = lambda marks: "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + wrapped(["bsd-grant"]) + "\n\n" + "\n\n".join(f"{m} {wrapped([k])}" for m, k in zip(marks, ("bsd-source", "bsd-binary", "bsd-endorse")))
+    apache = ("# Copyright 2020 Some One\n#\n" + wrapped(["apache-2-header", "apache-2-comply"], "# ", 60) + "\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n"
+              + wrapped(["apache-2-as-is", "apache-2-see"], "# ", 60))
+    gpl = "/*\n" + wrapped(["gpl-free", "gpl-3-terms"], " * ") + "\n *\n" + wrapped(["gpl-useful", "gpl-implied", "gpl-details"], " * ") + "\n */"
+    mpl = wrapped(["mpl-2-form"], "// ", 50)
+    project = "Some project\nThis project is\nlicensed under the MIT License.\nMore text"
+    version = "Licensed under the GNU General Public License, version\n3."
+    texts = [mit, listed(["1.", "2.", "3."]), listed(["(a)", "(b)", "(c)"]), listed("***"), apache, gpl, mpl, known["mpl-2-form"], project, version]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    bsd = ["BSD-3-Clause", "LicenseRef-all-rights-reserved"]
+    assert [got[i].licenses for i in range(10)] == [["MIT"], bsd, bsd, bsd, ["Apache-2.0"], ["GPL-3-or-later"], ["MPL-2.0"], ["MPL-2.0"], ["MIT"], ["GPL-3"]]
+    assert {r.unclassified for r in got.values()} == {0} and got[8].sentences == ["mit-name-3"] and len(got[4].sentences) == 5
