@@ -57,6 +57,18 @@ def members(rows: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
     return hit.select(*rows.columns)
 
 
+def buckets_within(sizes, limit: int) -> dict[object, list[int]]:
+    """Of (name, bucket, bytes): each name's buckets, from the highest on, that fit into limit together; a bucket that does not fit is passed over."""
+    total: dict[object, int] = {}
+    found: dict[object, list[int]] = {}
+    for name, bucket, size in sorted(sizes, key=lambda x: -x[1]):
+        found.setdefault(name, [])
+        if total.get(name, 0) + size <= limit:
+            total[name] = total.get(name, 0) + size
+            found[name].append(bucket)
+    return found
+
+
 def crc_bucket(column: str, n: int):
     """crc32 of the value as text, modulo n."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textscan as ts
-from .common import carried
+from .common import buckets_within, carried
 
 ORDER = 4
 TRAIN_BYTES = 3 << 20
@@ -175,15 +175,15 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     bucket = F.floor(-F.log2((F.shiftrightunsigned(F.xxhash64(id_col, text_col), 11) + 1) / F.lit(float(1 << 53))) * 16)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), bucket.alias("bucket")).where("lang is not null and octet_length(text) > 0")
     size = F.greatest(F.octet_length("text"), F.lit(SMALL)).cast("long")
-    least: dict[str, int] = {}
-    total: dict[str, int] = {}
-    for r in sorted(rows.groupBy("lang", "bucket").agg(F.sum(size).alias("size")).collect(), key=lambda r: -r.bucket):
-        total[r.lang] = total.get(r.lang, 0) + r["size"]
-        if total[r.lang] <= train_bytes:
-            least[r.lang] = r.bucket
-    if not least:
+    taken = buckets_within(((r.lang, r.bucket, r["size"]) for r in rows.groupBy("lang", "bucket").agg(F.sum(size).alias("size")).collect()), train_bytes)
+    if not taken:
         return Model([], [], [], [], [])
-    limits = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])
+    wanted = docs.sparkSession.createDataFrame([(lang, b) for lang, own in taken.items() for b in own], "lang string, bucket long")
+    sample = rows.join(F.broadcast(wanted), ["lang", "bucket"]).select("lang", "text")
+    without = [lang for lang, own in taken.items() if not own]
+    if without:  # none of its buckets fits: the beginning of one text
+        begin = F.substring("text", 1, max(1, train_bytes // 4))
+        sample = sample.unionAll(rows.where(F.col("lang").isin(without)).groupBy("lang").agg(F.min_by(begin, F.xxhash64("text")).alias("text")))
     schema = T._parse_datatype_string("lang string, gram long, n long")
     arrow = to_arrow_schema(schema)
 
@@ -200,8 +200,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
                     own, n = np.unique(keys[of == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), type=pa.string()), pa.array(own.view(np.int64)), pa.array(n)], schema=arrow)
 
-    found = rows.where(F.col("bucket") >= limits[F.col("lang")]).select("lang", "text").mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(least)
+    found = sample.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(taken)
     codes = found.column("lang").combine_chunks().dictionary_encode()
     place = {x: i for i, x in enumerate(codes.dictionary.to_pylist())}
     lang, gram, n = codes.indices.to_numpy(), found.column("gram").to_numpy().view(_U), found.column("n").to_numpy()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textscan as ts
-from .common import carried, crc_bucket, dropped, written
+from .common import buckets_within, carried, crc_bucket, dropped, written
 
 #: Bytes of text per class from which the model learns; small documents count as SMALL bytes.
 TRAIN_BYTES = 32 << 20
@@ -108,21 +108,25 @@ def _count_task(schema: pa.Schema):
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
-    """Labels of the sample: per class the documents with the smallest hashes, as many as hold `limit` bytes."""
+    """Labels of the sample: per class the documents with the smallest hashes, as many as hold `limit` bytes, but one at least."""
     bucket = F.floor(-F.log2((F.shiftrightunsigned(F.xxhash64(id_col), 11) + 1) / F.lit(float(1 << 53))) * 16)
     labels = labels.withColumn("bucket", bucket)
     size = F.greatest(F.octet_length(text_col), F.lit(SMALL)).cast("long")
-    sizes = (docs.select(id_col, size.alias("size")).where("size is not null").join(labels, id_col)
-             .groupBy("toxic", "bucket").agg(F.sum("size").alias("size")).collect())
-    least = {}
-    for toxic in (0, 1):
-        total, least[toxic] = 0, 1 << 20
-        for r in sorted((r for r in sizes if r.toxic == toxic), key=lambda r: -r.bucket):
-            total += r["size"]
-            if total > limit:
-                break
-            least[toxic] = r.bucket
-    return labels.where(F.col("bucket") >= F.when(F.col("toxic") == 1, least[1]).otherwise(least[0])).drop("bucket")
+    known = docs.select(id_col, size.alias("size"), (F.octet_length(text_col) > 0).alias("full")).where("size is not null").join(labels, id_col)
+    sizes = known.groupBy("toxic", "bucket").agg(F.sum("size").alias("size")).collect()
+    taken = buckets_within(((r.toxic, r.bucket, r["size"]) for r in sizes), limit)
+    wanted = docs.sparkSession.createDataFrame([(toxic, b) for toxic, own in taken.items() for b in own], "toxic int, bucket long")
+    sample = labels.join(F.broadcast(wanted), ["toxic", "bucket"]).select(id_col, "toxic", "fold")
+    without = [toxic for toxic, own in taken.items() if not own]
+    if without:
+        one = known.where(F.col("toxic").isin(without) & F.col("full")).groupBy("toxic").agg(F.min_by(F.struct(id_col, "fold"), F.xxhash64(id_col)).alias("one"))
+        sample = sample.unionAll(one.select(f"one.{id_col}", "toxic", "one.fold"))
+    return sample
+
+
+def _bounded(text_col: str, limit: int):
+    """The text, or the beginning of one that is longer than the whole sample may be."""
+    return F.when(F.octet_length(text_col) > limit, F.substring(text_col, 1, max(1, limit // 4))).otherwise(F.col(text_col)).alias(text_col)
 
 
 def _statistic(t, o, n_t, n_o):
@@ -138,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .groupBy(id_col).agg(F.max("toxic").alias("toxic")).withColumn("fold", crc_bucket(id_col, 5)))
     docs = docs.select(id_col, text_col)
     sample = _sampled(docs, known.where("fold in (2, 3, 4)"), id_col, text_col, train_bytes)
-    texts = written(docs.join(F.broadcast(sample), id_col).where(F.octet_length(text_col) > 0).select(text_col, "toxic").distinct(), "sample")
+    texts = written(docs.join(F.broadcast(sample), id_col).where(F.octet_length(text_col) > 0).select(_bounded(text_col, train_bytes), "toxic").distinct(), "sample")
     n = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n_t, n_o = float(n.get(1, 0)), float(n.get(0, 0))
     empty = [np.zeros(0, dtype=_U)] * 3

@@ -116,6 +116,15 @@ def test_language_of_odd_rows(spark, docs, nothing):
     assert {r.lang_pred for r in language.identify(docs, none).collect()} == {"und"}
 
 
+def test_languages_of_long_texts_are_learnt(spark):
+    """A language of one long text, one that is a row many times, and one that has a long text before its short ones."""
+    said = {"aa": "baba dodo lulu ", "bb": "kirix xanat zerok ", "cc": "mno pqr stu "}
+    rows = [(1, said["aa"] * 2000, "aa")] + [(2, said["bb"] * 5, "bb")] * 300 + [(k, said["cc"] * (2000 if k < 120 else 3), "cc") for k in range(100, 140)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_bytes=4000)
+    asked = spark.createDataFrame([(i, said[x] * 2) for i, x in enumerate(said)], "doc_id long, text string")
+    assert model.languages == list(said) and {r.doc_id: r.lang_pred for r in language.identify(asked, model).collect()} == dict(enumerate(said))
+
+
 # --- 2 Jaccard join ---------------------------------------------------------------------------------------
 
 
@@ -253,6 +262,12 @@ def test_toxic_words_are_learnt(spark, nothing):
     assert toxicity.score(nothing, toxicity.fit(nothing, labels)).count() == 0
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    texts = [("vileword nastyone " if i % 2 else "good day ") * 3000 for i in range(60)]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    assert toxicity.fit(df, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"), train_bytes=20_000).fitted
+
+
 def test_toxicity_of_odd_rows(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
     got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
