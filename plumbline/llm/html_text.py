@@ -11,7 +11,8 @@ html_pages.py) and broadcast; they have a few hundred entries however many pages
 be extracted are read in place, each by itself.
 
 Text runs are whitespace-normalised, character references decoded; script, style and the like have no
-text; a new paragraph or block closes an open paragraph. Defined results: null and empty pages give
+text, and end, if not closed, with the block they are in or before a block that cannot lie in them;
+a new paragraph or block closes an open paragraph. Defined results: null and empty pages give
 empty text, pages without markup are one run of text; unclosed or stray tags are closed or passed over.
 Only the named columns are read.
 """
@@ -42,6 +43,9 @@ BLOCKS = set(
 #: What a start tag closes if it is open further in than the tags named after it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
+#: Silent elements in which no block can lie, those that hold anything, and blocks that can lie in few.
+NO_BLOCKS, ANY_BLOCKS = set("head title select option textarea datalist svg math".split()), {"template", "foreignobject"}
+OUTER = set("html body main article section aside nav header footer".split())
 CONTAINERS = set("html body div main section".split())
 SPACE = re.compile(r"\s+")
 KINDS = {word: kind for kind, words in html_pages.NAMES.items() for word in words}
@@ -88,11 +92,30 @@ class Tree(HTMLParser):
             if tag in within:
                 return
 
+    def _silent_at(self) -> int:
+        """Place of the innermost silent element among those open, blocks inside them too."""
+        return max(k for k, tag in enumerate(self.silent) if tag not in BLOCKS)
+
+    def _can_lie(self, tag: str) -> bool:
+        """Whether a block can lie in the innermost silent element."""
+        k = self._silent_at()
+        if self.silent[k] in ANY_BLOCKS:
+            return True
+        if self.silent[k] in NO_BLOCKS or tag in OUTER and self.silent[k] != "noscript" or tag in ("html", "body"):
+            return False
+        return tag not in CLOSES or bool(CLOSES[tag][1] & set(self.silent[k + 1 :]))
+
     def handle_starttag(self, tag, attrs):
         if self.silent:
-            if tag == self.silent[-1]:
+            if tag in SILENT or tag == "foreignobject":
+                self.silent.append(tag)
+            if tag not in BLOCKS or tag in VOID:
+                return
+            while self.silent and not self._can_lie(tag):
+                del self.silent[self._silent_at() :]
+            if self.silent:
                 self.silent.append(tag)
-            return
+                return
         if tag in VOID:
             self.run.append(" ")
             if tag == "hr":
@@ -119,9 +142,13 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
-        elif tag == "a":
+            if tag in self.silent:
+                del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
+                return
+            if tag not in BLOCKS or all(self.nodes[k].tag != tag for k in self.open):
+                return
+            self.silent = []  # an enclosing block closes
+        if tag == "a":
             self.link = False
         elif tag == "br":
             self.run.append(" ")

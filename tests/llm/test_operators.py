@@ -419,6 +419,19 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("html, runs", [
+    ("<html><head><meta charset=x><title>x</title><body><p>One.<p>Two.", ["One.", "Two."]),
+    ("<html><head><title>x</title><noscript><div>no</div></noscript><h1>One.</h1>", ["One."]),
+    ("<div><button>Go</div><p>One.</p>", ["One."]), ("<ul><li>One.<button>Go<li>Two.</ul>", ["One.", "Two."]),
+    ("<div><select><option>a<option>b<p>One.</p></div><p>Two.</p>", ["One.", "Two."]),
+    ("<div><canvas>no</div><p>One.</p>", ["One."]), ("<div><object><p>no</p></div><p>One.</p>", ["One."]),
+    ("<div><svg><path d=x><p>One.</p></div>", ["One."]), ("<p>One.<button><div>no</div>no</button> Two.</p>", ["One. Two."]),
+    ("<div><template><li>no</li><div>no</div></template>One.</div>", ["One."]),
+])
+def test_unclosed_silent_elements(html, runs):
+    assert [n.text for n in html_text.Tree(html).nodes if n.tag == ""] == runs
+
+
 def test_held_out_layouts(spark):
     model = html_text.trained(spark, 400)
     right = 0
