@@ -79,3 +79,17 @@ def carried(docs: DataFrame, id_col: str, text_col: str, also: list[str] | None)
     names = [id_col, *[c for c in also or [] if c != id_col]]
     frame = [text_col, *[c for c in names if c != text_col]]
     return docs.select(*frame), names, [frame.index(c) for c in names]
+
+
+def dealt_join(rows: DataFrame, facts: DataFrame, key: str, copies: str, share: int = 1024, least: int = 10_000) -> DataFrame:
+    """rows with the columns of facts, a written table of one row per key; copies: its column with the number of
+    rows of that key. Keys that hold one in share of all rows (share keys at most, which are broadcast) are dealt
+    out over parts of least rows or more, so that no task gets a hot key whole."""
+    total = facts.agg(F.sum(copies).alias("n")).head().n or 0
+    floor = max(least, total // share + 1)
+    hot = facts.where(F.col(copies) >= floor).select(key, F.ceil(F.col(copies) / floor).cast("int").alias("_parts"))
+    named = rows.join(F.broadcast(hot), key, "left")
+    salted = named.withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    parts = F.when(F.col(copies) >= floor, F.ceil(F.col(copies) / floor).cast("int")).otherwise(1)
+    spread = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return salted.join(spread, [key, "_part"], "left").drop("_part")

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, language, neighbours
+from . import conversations, html_text, language, neighbours, simhash
+from .alignment import align
 from .bpe import encode
 from .common import crc_bucket, table
 from .decontaminate import decontaminate
@@ -80,8 +81,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("licenses", ",").alias("licenses"), "unclassified")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.summary(conversations.repair(rows, lost=F.col("lost"))).select(
+        F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = align(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")), digests=True)
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_jaccard_join, op3_line_dedup, op4_toxicity, op5_decontamination, op6_substring_dedup, op7_bpe, op8_html_text, op9_nearest_neighbours, op10_license_scan)
+    found = (op1_language_id, op2_jaccard_join, op3_line_dedup, op4_toxicity, op5_decontamination, op6_substring_dedup, op7_bpe, op8_html_text, op9_nearest_neighbours, op10_license_scan, op11_conversation_repair, op12_cross_tokenizer, op13_simhash)
     return {f.__name__: f for f in found}
 
 
