@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,12 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='llm-shared-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, or else (local tests) an own one."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of its own for a session of one process."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
-        known = f"file://{tempfile.mkdtemp(prefix='llm-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", known)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        known = _own_dir()
     return known.rstrip("/")
 
 

@@ -229,12 +229,12 @@ def _batch(rows: list[dict], arrow: pa.Schema) -> pa.RecordBatch:
 
 
 def _records(batch: pa.RecordBatch):
-    """Dicts of the rows of a batch, one at a time."""
-    for i in range(batch.num_rows):
-        row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
-        if row.get("turns") is not None:
-            row["turns"] = [(t["role"], t["text"]) for t in row["turns"]]
-        yield row
+    """Dicts of the rows of a batch, a few at a time."""
+    for k in range(0, batch.num_rows, 64):
+        for row in batch.slice(k, 64).to_pylist():
+            if row.get("turns") is not None:
+                row["turns"] = [(t["role"], t["text"]) for t in row["turns"]]
+            yield row
 
 
 def _mapped(df: DataFrame, make, schema: T.StructType) -> DataFrame:
@@ -397,32 +397,33 @@ def summary(chunks: DataFrame) -> DataFrame:
     schema = _schema(", ".join(f"{c} long" for c in COUNTS) + ", audit string, repaired_sha256 string", conv)
 
     def digest(rows):
-        for _, parts in groupby(rows, key=lambda r: r["name"]):
-            out, audit, sha, empty, at, turn = None, [], hashlib.sha256(), True, None, None
-            for r in parts:
-                own = _counted(r["codes"]) | {"cost": r["cost"]}
-                codes = r["codes"]
-                if out is None:
-                    out = dict.fromkeys(COUNTS, 0) | {"conv": r["conv"]}
-                    first, last, n = None, None, 0
-                for c in own:
-                    out[c] += own[c]
-                if codes:
-                    if at is not None:
-                        out["illegal"] += (at, codes[0] % 4) not in NEIGHBOURS
-                    at = codes[-1] % 4
-                if r["n_turns"]:
-                    n += r["n_turns"] - (turn is not None and turn == r["first_turn"])
-                    first, last, turn = r["first_turn"] if first is None else first, r["last_turn"], r["last_turn"]
-                audit.append(r["edits"])
-                for role, text in r["turns"]:
-                    sha.update(("" if empty else "\n").encode() + f"{role}:{text}".encode())
+        for _, lines in groupby(rows, key=lambda r: r["name"]):
+            out, audit, sha, empty, at = dict.fromkeys(COUNTS, 0), [], hashlib.sha256(), True, None
+            first, last, n = None, None, 0
+            for r in lines:
+                if r["codes"] is not None:  # the first line of a chunk
+                    codes, out["conv"] = r["codes"], r["conv"]
+                    for name, value in _counted(codes).items():
+                        out[name] += value
+                    out["cost"] += r["cost"]
+                    audit.append(r["edits"])
+                    if codes:
+                        out["illegal"] += at is not None and (at, codes[0] % 4) not in NEIGHBOURS
+                        at = codes[-1] % 4
+                    if r["n_turns"]:
+                        n += r["n_turns"] - (r["first_turn"] == last)
+                        first, last = r["first_turn"] if first is None else first, r["last_turn"]
+                if r["role"] is not None:
+                    sha.update(("" if empty else "\n").encode() + f"{r['role']}:{r['text']}".encode())
                     empty = False
             yield out | {"gaps": _gaps(first, last, n), "audit": "".join(audit), "repaired_sha256": sha.hexdigest()}
 
-    whole = chunks.where("whole")
-    opened = chunks.where("not whole").repartition("name").sortWithinPartitions("name", "seq")
-    return _mapped(whole, digest, schema).unionByName(_mapped(opened, digest, schema))
+    # one row per turn, so that the batches given to a task stay small
+    once = ("conv", "codes", "cost", "edits", "n_turns", "first_turn", "last_turn")
+    lines = chunks.select("*", F.posexplode_outer("turns").alias("at", "line"))
+    lines = lines.select("name", "seq", "at", "whole", *[F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).alias(c) for c in once], "line.role", "line.text")
+    opened = lines.where("not whole").repartition("name").sortWithinPartitions("name", "seq", "at")
+    return _mapped(lines.where("whole"), digest, schema).unionByName(_mapped(opened, digest, schema))
 
 
 def damage(rows: DataFrame) -> DataFrame:

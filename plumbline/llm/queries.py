@@ -31,7 +31,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"), beside=True)  # its SQL has that rule
+    return dedup_lines(table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,29 +104,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _OP3 = r"""
-with d as (select distinct doc_id, text from documents where text is not null),
+with d as (select doc_id, text from documents where text is not null),
 s as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from d),
 m as (select doc_id, text, pos, regexp_replace(regexp_replace(line, '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g'), '[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g') as masked from s),
 w as (select *, case when masked = '' then [] else regexp_split_to_array(masked, '[ \t\x0B\f\r]+') end as words from m),
 l as (select *, len(words) as n, len(words) > 0 and 2 * len(list_filter(words, lambda w: w <> '<*>')) >= len(words) as fixed, concat(len(words), ' ', array_to_string(words[:3], ' ')) as leaf from w),
-p as (select *, concat(coalesce(lag(case when n > 0 then leaf else '' end) over o, '#'), chr(10), coalesce(lead(case when n > 0 then leaf else '' end) over o, '#')) as around from l window o as (partition by doc_id, text order by pos)),
-f as (select leaf from p where fixed group by leaf having count(*) >= 10),
-x as (select leaf, masked, n, count(*) as c from documents_lines join f using (leaf) where fixed group by all),
+f as (select leaf from l where fixed group by leaf having count(*) >= 10),
+x as (select leaf, masked, n, count(*) as c from l join f using (leaf) where fixed group by all),
 t as (select leaf, masked, n, c, unnest(regexp_split_to_array(masked, '[ \t\x0B\f\r]+')) as word, unnest(range(n)) as j from x),
 q as (select leaf, j, word, sum(c) as c from t group by all),
 k as (select leaf, j, arg_min(word, {'c': -c, 'word': word}) as word, max(c) as c, sum(c) as total from q group by all having 2 * max(c) > sum(c)),
 a as (select leaf, masked from t join k using (leaf, j, word) group by leaf, masked, n having count(*) * 4 >= n * 3),
-u as (select x.masked, x.leaf, case when a.leaf is not null then concat('leaf ', x.leaf) else concat('line ', x.masked) end as template from x left join a on a.leaf = x.leaf and a.masked = x.masked),
-z as (select p.*, template from p join u on p.masked = u.masked where fixed),
-r as (select template from z group by template having count(distinct {'d': doc_id, 't': text}) >= 10 and count(distinct around) >= 10 and 2 * count(distinct around) >= count(distinct {'d': doc_id, 't': text})),
-g as (select distinct masked from u where template in (select template from r)),
-b as (select doc_id, text, count(*) filter (n > 0) as n_lines, count(*) filter (n > 0 and masked in (select masked from g)) as n_dropped,
-  coalesce(string_agg(line, chr(10) order by pos) filter (not (n > 0 and masked in (select masked from g))), '') as kept from p join s using (doc_id, text, pos) group by doc_id, text)
+y as (select t.* from t left join a on a.leaf = t.leaf and a.masked = t.masked where a.leaf is null),
+z as (select leaf, j, word from y group by all having sum(c) >= 10),
+g as (select leaf, masked, string_agg(concat(j, '=', word), ' ' order by j) as same from y join z using (leaf, j, word) group by leaf, masked, n having count(*) * 4 >= n * 3),
+u as (select x.masked, case when a.leaf is not null then concat('leaf ', x.leaf) when g.leaf is not null then concat('group ', x.leaf, ': ', g.same) else concat('line ', x.masked) end as template
+  from x left join a on a.leaf = x.leaf and a.masked = x.masked left join g on g.leaf = x.leaf and g.masked = x.masked),
+p as (select distinct doc_id, text, pos, masked, n, fixed from l),
+o as (select template from p join u using (masked) where fixed group by template having count(distinct {'d': doc_id, 't': text}) >= 10),
+h as (select masked, template from u semi join o using (template)),
+r as (select doc_id, text, sum(n) as words, sum(n) filter (template is null) as rest_words, string_agg(p.masked, chr(10) order by pos) filter (template is null) as rest,
+  list(distinct template) filter (template is not null) as templates from p left join h using (masked) where n > 0 group by doc_id, text having sum(n) filter (template is null) * 7 > sum(n)),
+e as (select template from (select distinct rest, unnest(templates) as template from r) group by template having count(*) >= 10),
+v as (select distinct masked from h semi join e using (template)),
+b as (select doc_id, text, count(*) filter (n > 0) as n_lines, count(*) filter (n > 0 and v.masked is not null) as n_dropped,
+  coalesce(string_agg(line, chr(10) order by pos) filter (not (n > 0 and v.masked is not null)), '') as kept
+  from p join (select distinct doc_id, text, pos, line from s) s using (doc_id, text, pos) left join v using (masked) group by doc_id, text)
 select documents.doc_id, case when n_dropped > 0 then kept else documents.text end as text, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped
 from documents left join b on b.doc_id = documents.doc_id and b.text = documents.text
 """
-# the lines of all rows of documents, repeated rows too, as the template's counts take them
-_OP3 = _OP3.replace("documents_lines", "(select p.leaf, p.masked, p.n, p.fixed from p join documents on documents.doc_id = p.doc_id and documents.text = p.text)")
 
 _OP5 = r"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
