@@ -4,7 +4,7 @@ Texts are sequences of words (A-Z lower-cased). A window is `width` consecutive
 the whole item if it has fewer. The searcher holds, for each window length, a table of shifts by
 block (two words): how far a reader whose last block is that one may move on, since no window ends
 sooner. Where the shift is zero, the block's bucket names the windows with that ending, and all words
-are compared. Tables live on the benchmark side only; documents are read once, in place.
+are compared, by hash and then byte by byte. Tables live on the benchmark side only; documents are read once, in place.
 
 Documents are cut into lanes that overlap by one window less a word, and all lanes of a batch move
 together, so the skipping loop is a few array operations whatever the number of documents.
@@ -16,6 +16,8 @@ empty benchmark leaves every document clean. Only the named columns are read, so
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -38,11 +40,11 @@ def _blocks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class WuManber:
-    """Windows of one length over 64-bit word hashes."""
+    """Windows of one length, as 64-bit word hashes and as words."""
 
-    def __init__(self, windows: np.ndarray, owners: list[np.ndarray]):
+    def __init__(self, windows: np.ndarray, owners: list[np.ndarray], spelled: list[tuple[bytes, ...]] | None = None):
         self.m = m = windows.shape[1]
-        self.windows, self.owners = windows, owners
+        self.windows, self.owners, self.spelled = windows, owners, spelled
         self.block = min(2, m)
         self.default = m - self.block + 1
         self.shift = np.full(_SLOTS, self.default, dtype=np.int16)
@@ -59,8 +61,8 @@ class WuManber:
     def _slot(block: np.ndarray) -> np.ndarray:
         return (block >> _U(46)).astype(np.int64)
 
-    def search(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ends (index of the last word) and windows of all occurrences that lie within one text."""
+    def search(self, words: np.ndarray, first: np.ndarray, word: Callable[[int], bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ends (index of the last word) and windows of all occurrences that lie within one text; word: the bytes of a word."""
         lane_at, lane_end = [], []
         for a, b in zip(first[:-1], first[1:]):
             if b - a >= self.m:
@@ -76,7 +78,7 @@ class WuManber:
             shift = self.shift[self._slot(block)]
             stop = np.flatnonzero(shift == 0)
             if len(stop):
-                e, w = self._confirm(words, at[stop], block[stop])
+                e, w = self._confirm(words, at[stop], block[stop], word)
                 ends.append(e)
                 found.append(w)
             at = at + np.maximum(shift, 1)
@@ -86,7 +88,7 @@ class WuManber:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         return np.concatenate(ends), np.concatenate(found)
 
-    def _confirm(self, words: np.ndarray, at: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _confirm(self, words: np.ndarray, at: np.ndarray, block: np.ndarray, word=None) -> tuple[np.ndarray, np.ndarray]:
         low = np.searchsorted(self.suffixes, block, side="left")
         size = np.searchsorted(self.suffixes, block, side="right") - low
         pos = np.repeat(at, size)
@@ -95,34 +97,45 @@ class WuManber:
         same = np.ones(len(pos), dtype=bool)
         for j in range(self.m):
             same[same] = words[pos[same] - self.m + 1 + j] == self.windows[window[same], j]
-        return pos[same], window[same]
+        pos, window = pos[same], window[same]
+        if word and self.spelled:
+            equal = [all(word(p + k) == w for k, w in enumerate(self.spelled[i], 1 - self.m)) for p, i in zip(pos.tolist(), window.tolist())]
+            pos, window = pos[equal], window[equal]
+        return pos, window
+
+
+def speller(data: np.ndarray, found: ts.Words) -> Callable[[int], bytes]:
+    """The lower-cased bytes of a word by its number."""
+    return lambda i: ts.LOWER[data[found.starts[i] : found.ends[i]]].tobytes()
 
 
 def searchers(items: list[tuple[int, str | None]], width: int) -> list[WuManber]:
     """One searcher for each window length that the items need."""
-    by_length: dict[int, dict[bytes, tuple[np.ndarray, set[int]]]] = {}
+    by_length: dict[int, dict[tuple[bytes, ...], tuple[np.ndarray, set[int]]]] = {}
     texts = pa.array([text for _, text in items], type=pa.large_string())
     offsets, data = ts.buffers(texts)
     found = ts.words(data, offsets, ts.ALNUM)
+    word = speller(data, found)
     for i, (item, _) in enumerate(items):
+        spelled = [word(k) for k in range(int(found.first[i]), int(found.first[i + 1]))]
         own = found.hashes[found.first[i] : found.first[i + 1]]
         m = min(width, len(own))
         for k in range(len(own) - m + 1 if m else 0):
             row = own[k : k + m]
-            by_length.setdefault(m, {}).setdefault(row.tobytes(), (row, set()))[1].add(item)
+            by_length.setdefault(m, {}).setdefault(tuple(spelled[k : k + m]), (row, set()))[1].add(item)
     return [
-        WuManber(np.stack([row for row, _ in rows.values()]), [np.array(sorted(own), dtype=np.int64) for _, own in rows.values()])
+        WuManber(np.stack([row for row, _ in rows.values()]), [np.array(sorted(own), dtype=np.int64) for _, own in rows.values()], list(rows))
         for m, rows in sorted(by_length.items())
     ]
 
 
-def _scan(found: ts.Words, tables: list[WuManber]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _scan(data: np.ndarray, found: ts.Words, tables: list[WuManber]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each text with hits: starts and ends of its hit runs of words, and the items."""
     n, texts = len(found.hashes), len(found)
     depth = np.zeros(n + 1, dtype=np.int32)
     owners, where = [], []
     for t in tables:
-        ends, window = t.search(found.hashes, found.first)
+        ends, window = t.search(found.hashes, found.first, speller(data, found))
         np.add.at(depth, ends - t.m + 1, 1)
         np.add.at(depth, ends + 1, -1)
         doc = np.searchsorted(found.first, ends, side="right") - 1
@@ -174,7 +187,7 @@ def _pass(tables, schema: pa.Schema, places: list[int], given: int):
             offsets, data = ts.buffers(batch.column(0))
             for a, b in ts.slices(offsets):
                 words = ts.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ts.ALNUM)
-                hits = _scan(words, tables.value)
+                hits = _scan(data[offsets[a] : offsets[b]], words, tables.value)
                 part = batch.slice(a, b - a)
                 if batch.num_columns > given:
                     _add(hits, part.column(given + 1), part.column(given + 2))

@@ -1,11 +1,13 @@
 """Words and shingles of whole Arrow batches as 64-bit hashes, without a Python object per word.
 
-A batch of texts is one byte buffer. Word hashes come from one running polynomial sum over that
-buffer: the sum over a word, divided by the power at its start, depends on the word alone.
+A batch of texts is one byte buffer. Words are hashed eight bytes at a time, all words of a batch together:
+each step scrambles what is hashed so far with the next eight bytes, so that no simple change of a word undoes another. Hashes
+of arbitrary spans, which need not tell all texts apart, come from one running polynomial sum over the buffer.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -127,6 +129,35 @@ def span_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         return mix(raw + (ends - starts).astype(_U) * _U(0x9E3779B97F4A7C15))
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=_U)
+_ROUND = int(seeds(1, 29)[0]) | 1
+
+
+def _long_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of the bytes, however long the spans."""
+    size = ends - starts
+    with np.errstate(over="ignore"):
+        total = mix(size.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(_ROUND))
+        padded = np.concatenate([low, np.zeros(8, dtype=np.uint8)])
+        eights = np.ndarray(shape=(len(low) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+        left = np.flatnonzero(size <= LONG_WORD)
+        for at in range(0, LONG_WORD, 8):
+            left = left[size[left] > at]
+            if not len(left):
+                break
+            part = eights[starts[left] + at] & _MASKS[np.minimum(size[left] - at, 8)]
+            total[left] = mix((total[left] ^ part) * _U(_ROUND) + _U(at))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        total[i] = _long_hash(low[starts[i] : ends[i]].tobytes())
+    return total
+
+
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, low: np.ndarray | None = None) -> Words:
     """Words (runs of bytes of that kind) with A-Z lower-cased."""
     starts, ends = word_bounds(data, offsets, kind)
@@ -135,9 +166,8 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, low: np.ndarr
     while at < len(starts):  # in pieces, so that a very long text needs no more working memory
         to = max(int(np.searchsorted(starts, starts[at] + SLICE_BYTES)), at + 1)
         origin = starts[at]
-        piece = data[origin : ends[to - 1]]
-        total = running(LOWER[piece] if low is None else low[origin : ends[to - 1]])
-        hashes[at:to] = span_hashes(total, starts[at:to] - origin, ends[at:to] - origin)
+        piece = (data if low is None else low)[origin : ends[to - 1]]
+        hashes[at:to] = word_hashes(LOWER[piece] if low is None else piece, starts[at:to] - origin, ends[at:to] - origin)
         at = to
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
 

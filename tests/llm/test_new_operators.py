@@ -334,3 +334,50 @@ def test_masks():
                 changed |= 1 << random.randrange(64)
             assert any(not k & changed for k in kinds)  # linked codes agree in one of them
     assert max(64 - k.bit_count() for k in simhash.masks(simhash.DEPTH)) <= 21
+
+
+# --- words that simple hashes confuse ---------------------------------------------------------------
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [8, 64, 256, 257, 1024, 2048, 8192])
+def test_thue_morse_words(spark, size):
+    """Words that any polynomial modulo 2^64 gives one hash are told apart by every operator on words."""
+    from plumbline.llm import bpe, decontaminate, jaccard, textscan
+    one, other = thue_morse(size)
+    offsets, data = textscan.buffers(textscan.pa.array([f"{one} {other} {one}"]))
+    a, b, c = textscan.words(data, offsets, textscan.NOT_SPACE).hashes.tolist()
+    assert a == c != b
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(1, one), (2, other), (3, f"{one} {other}")], "doc_id int, text string").coalesce(1)
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    for r in bpe.encode(docs, path).collect():
+        text = {1: one, 2: other, 3: f"{one} {other}"}[r.doc_id]
+        assert list(r.ids) == tok.encode(text, add_special_tokens=False).ids
+    bench = spark.createDataFrame([(9, one)], "item_id int, text string")
+    assert {r.doc_id: bool(r["items"]) for r in decontaminate.decontaminate(docs, bench).collect()} == {1: True, 2: False, 3: True}
+    assert len({r.component_id for r in jaccard.jaccard_join(docs).collect()}) == 3
+
+
+def test_equal_hashes_are_compared(monkeypatch):
+    """Chunks and windows are told apart by their bytes even if all words had one hash."""
+    from plumbline.llm import bpe, decontaminate, textscan
+    monkeypatch.setattr(textscan, "word_hashes", lambda low, starts, ends: np.zeros(len(starts), dtype=np.uint64))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, text = Tokenizer.from_file(path), "one two one three and two"
+    with open(path, encoding="utf-8") as f:
+        encoder = bpe.Encoder(f.read())
+    for _ in range(2):
+        offsets, data = textscan.buffers(textscan.pa.array([text]))
+        _, ids, _, decoded = encoder.encode(data, offsets)
+        expected = tok.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == expected and decoded.tobytes().decode() == tok.decode(expected, skip_special_tokens=False)
+    tables = decontaminate.searchers([(1, "two three"), (2, "one two")], 2)
+    offsets, data = textscan.buffers(textscan.pa.array(["x One two y"]))
+    found = textscan.words(data, offsets, textscan.ALNUM)
+    (hit,) = decontaminate._scan(data, found, tables)
+    assert hit[2].tolist() == [2] and hit[0].tolist() == [1]
