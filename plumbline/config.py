@@ -94,4 +94,6 @@ class ProfileConfig:
     rank_group_rows: int = 200_000
     rank_sketch_k: int = 1024
     merge_slots: int = 64
+    # Values of a summary of frequent values; three quarters of a power of two.
+    frequent_items: int = 12_288
     parallel_tables: int = 8

@@ -1,127 +1,188 @@
 """Exact order statistics of many columns without sorting them.
 
 Sketches give, for each wanted rank, an interval around the value at that rank. Counting
-the rows below, at and between the ends of the interval shows exactly where the rank
-lies: at an end, or in the open interval. Intervals that still hold many rows are
+the rows below, at and between the ends of the intervals shows exactly where the rank
+lies: at an end, or in an open interval. Intervals that still hold many rows are
 narrowed again. The rows in the last, small intervals are grouped by value and summed up.
 
-The driver sees only the ends and the counts: a few numbers per column and rank. The data
+Where a value lies among the ends of its column is a search tree of comparisons, written out as
+SQL and compiled with the scan: about log2(ends) comparisons a value, and no lambda or array. Columns go through in
+blocks small enough for the compiler; each block reads its own columns, all in one job.
+
+The driver sees only the ends, the counts and the values found: a few numbers per column and rank. The data
 are scanned, filtered and pre-aggregated in place; only the last intervals are shuffled.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.config import ProfileConfig
-from plumbline.functions.columns import literal, pick
+from plumbline.functions.columns import union_all
+
+#: Comparisons that one compiled block holds, counting a column as COLUMN_WEIGHT of them.
+BLOCK_WEIGHT = 120
+COLUMN_WEIGHT = 6
+
 
 @dataclass
 class Span:
-    """Adjacent wanted 0-based ranks and the open interval (low, high) that holds them."""
+    """Wanted 0-based ranks, in ascending order, and the open interval (low, high) that holds them. The intervals of a column are apart."""
     column: int
     ranks: list[int]
     inside: int                 # rows in the open interval
     low: float | None = None    # None: no bound
     high: float | None = None
     below: int = 0              # rows at or below `low`
-    found: dict[int, float] = field(default_factory=dict)
     spread: float = 1.0         # widens after a sketch missed a rank
 
-    @property
-    def interval(self):
-        return self.column, self.low, self.high
-
 
 def double(value: float) -> str:
     return f"cast('{value!r}' as double)"
 
 
-def _spans(wanted: dict[str, tuple[int, dict]]) -> list[Span]:
-    spans = []
-    for column, (n, ranks) in wanted.items():
-        for rank in sorted(set(ranks.values())):
-            last = spans[-1] if spans and spans[-1].column == column else None
-            if last and rank - last.ranks[-1] <= 1:
-                last.ranks.append(rank)
-            else:
-                spans.append(Span(column, [rank], n))
-    return spans
-
-
-def _bound(value: float | None) -> str:
-    return "cast(null as double)" if value is None else double(value)
-
-
-def _inside(values: DataFrame, intervals: dict[tuple, int], columns: int) -> DataFrame:
-    """(span, v): each value once for every open interval of its column that holds it."""
-    own: list[list[str]] = [[] for _ in range(columns)]
-    for (c, low, high), i in intervals.items():
-        own[c].append(f"struct({i} as span, {_bound(low)} as low, {_bound(high)} as high)")
-    empty = "cast(array() as array<struct<span:int,low:double,high:double>>)"
-    listed = ", ".join(f"array({', '.join(x)})" if x else empty for x in own)
-    held = f"filter(element_at(array({listed}), c + 1), s -> (s.low is null or v > s.low) and (s.high is null or v < s.high))"
-    return values.selectExpr("v", f"explode({held}) as s").selectExpr("s.span as span", "v")
-
-
-def _sketch_ends(values, spans, columns, cfg) -> list[tuple[float, float]]:
-    """For each span an interval that very likely holds its ranks; one sketch per interval, all in one job."""
-    first: dict[tuple, int] = {}
-    for s in spans:
-        first.setdefault(s.interval, len(first))
+def search(value: str, marks: list[float], leaf: Callable[[int], str]) -> str:
+    """SQL for leaf(i), where i is the number of the ascending marks at or below the value."""
+    def part(first: int, last: int) -> str:
+        if first == last:
+            return leaf(first)
+        middle = (first + last + 1) // 2
+        return f"if({value} >= {double(marks[middle - 1])}, {part(middle, last)}, {part(first, middle - 1)})"
+    return part(0, len(marks))
+
+
+def _marked(df: DataFrame, exprs: list[str], trees: dict[int, tuple[str, int]], with_value: bool) -> DataFrame:
+    """(place[, v]): what the tree of each column (SQL over x, and its size) makes of its values, where not null."""
+    blocks: list[list[int]] = []
+    weight = BLOCK_WEIGHT + 1
+    for c, (_, size) in trees.items():
+        weight += size + COLUMN_WEIGHT
+        if weight > BLOCK_WEIGHT:
+            blocks.append([])
+            weight = size + COLUMN_WEIGHT
+        blocks[-1].append(c)
+    frames = []
+    for block in blocks:
+        cells = [f"struct(case when x{c} is not null then {trees[c][0]} end as place" + (f", x{c} as v)" if with_value else ")") for c in block]
+        frames.append(df.selectExpr(*[f"{exprs[c]} as x{c}" for c in block]).selectExpr(f"inline(array({', '.join(cells)}))"))
+    return union_all(frames).where("place is not null")
+
+
+def _members(df: DataFrame, exprs: list[str], spans: list[Span]) -> DataFrame:
+    """(place, v): the values inside the open intervals, with the number of the span."""
+    own: dict[int, list[int]] = {}
+    for i, s in enumerate(spans):
+        own.setdefault(s.column, []).append(i)
+    trees = {}
+    for c, held in own.items():
+        held.sort(key=lambda i: (spans[i].low is not None, spans[i].low or 0.0))
+        marks, inside = [], {}  # number of marks at or below -> span, and the mark that is not part of it
+        for i in held:
+            s = spans[i]
+            if s.low is not None and (not marks or marks[-1] != s.low):
+                marks.append(s.low)
+            inside[len(marks)] = i, s.low
+            if s.high is not None:
+                marks.append(s.high)
+
+        def leaf(k: int, c=c, inside=inside) -> str:
+            if k not in inside:
+                return "cast(null as int)"
+            i, low = inside[k]
+            return str(i) if low is None else f"if(x{c} > {double(low)}, {i}, cast(null as int))"
+
+        trees[c] = search(f"x{c}", marks, leaf), 2 * len(marks) + 1
+    return _marked(df, exprs, trees, True)
+
+
+def _sketch_ends(df, exprs, spans, cfg) -> list[list[tuple[list[int], float, float]]]:
+    """For each span (ranks, low, high): intervals that very likely hold its ranks; one sketch per span, all in one job."""
     k = cfg.rank_sketch_k
-    merged = (_inside(values, first, columns).selectExpr("span", "v", f"spark_partition_id() % {cfg.merge_slots} as slot")
-              .groupBy("span", "slot").agg(F.expr(f"kll_sketch_agg_double(v, {k}) as s"))
-              .groupBy("span").agg(F.expr(f"kll_merge_agg_double(s, {k}) as s")))
-    asked: list[list[str]] = [[] for _ in first]
-    for s in spans:
+    merged = (_members(df, exprs, spans).selectExpr("place", "v", f"spark_partition_id() % {cfg.merge_slots} as slot")
+              .groupBy("place", "slot").agg(F.expr(f"kll_sketch_agg_double(v, {k}) as s"))
+              .groupBy("place").agg(F.expr(f"kll_merge_agg_double(s, {k}) as s")))
+    groups, cases = [], []
+    for i, s in enumerate(spans):
+        own: list[list[int]] = []
+        for rank in s.ranks:
+            if own and rank - own[-1][-1] <= 1:
+                own[-1].append(rank)
+            else:
+                own.append([rank])
         # A KLL sketch of size k errs by about 2.3 / k^0.9 of the rows.
         error = s.spread * 2 * 2.3 / k ** 0.9 + 1.0 / s.inside
-        low = (s.ranks[0] - s.below + 0.5) / s.inside - error
-        high = (s.ranks[-1] - s.below + 0.5) / s.inside + error
-        asked[first[s.interval]] += [double(max(0.0, low)), double(min(1.0, high))]
-    ends = " ".join(f"when {i} then kll_sketch_get_quantile_double(s, array({', '.join(x)}))" for i, x in enumerate(asked))
-    found = {r["span"]: iter(r["ends"]) for r in merged.selectExpr("span", f"case span {ends} end as ends").collect()}
-    return [(next(found[first[s.interval]]), next(found[first[s.interval]])) for s in spans]
-
-
-def _narrow(values, spans, ends, columns) -> list[Span]:
-    """The spans with tighter intervals. Ranks found to lie at an end are settled; a span
-    whose ranks lie in different places is split. One job counts, by column, the values at and between
-    all ends."""
-    marks = [sorted({e for s, pair in zip(spans, ends) if s.column == c for e in pair}) for c in range(columns)]
-    empty = "cast(array() as array<double>)"
-    listed = ", ".join(f"array({', '.join(map(double, m))})" if m else empty for m in marks)
-    own = f"element_at(array({listed}), c + 1)"
-    # 2 i: between the ends before i and i; 2 i + 1: at end i
-    place = f"2 * size(filter({own}, e -> e < v)) + cast(array_contains({own}, v) as int)"
-    wanted = ", ".join(str(c) for c in range(columns) if marks[c])
-    counted = values.where(f"c in ({wanted})").selectExpr("c", f"{place} as place").groupBy("c", "place").agg(F.expr("count(1) as n"))
-    n = {(r["c"], r["place"]): r["n"] for r in counted.collect()}
+        asked = []
+        for ranks in own:
+            low, high = ((r - s.below + 0.5) / s.inside for r in (ranks[0], ranks[-1]))
+            asked += [double(max(0.0, low - error)), double(min(1.0, high + error))]
+        groups.append(own)
+        cases.append(f"when {i} then kll_sketch_get_quantile_double(s, array({', '.join(asked)}))")
+    found = {r["place"]: r["ends"] for r in merged.selectExpr("place", f"case place {' '.join(cases)} end as ends").collect()}
+    return [[(ranks, *found[i][2 * j : 2 * j + 2]) for j, ranks in enumerate(own)] for i, own in enumerate(groups)]
+
+
+def _narrow(df, exprs, spans, ends) -> tuple[list[Span], dict[tuple[int, int], float]]:
+    """Spans with tighter intervals, and the values of the ranks found to lie at an end. One job counts, for each column,
+    the values at and between all its ends."""
+    marks: dict[int, list[float]] = {}
+    for s, own in zip(spans, ends):
+        marks.setdefault(s.column, []).extend(e for _, *pair in own for e in pair)
+    marks = {c: sorted(set(m)) for c, m in marks.items()}
+    first, trees = {}, {}
+    for c, m in marks.items():
+        # from `first` on: 2 i for the values between the ends before i and i, 2 i - 1 for those at the end before i
+        first[c] = sum(2 * len(marks[b]) + 1 for b in first)
+        leaf = lambda i, c=c, m=m: str(first[c]) if not i else f"if(x{c} > {double(m[i - 1])}, {first[c] + 2 * i}, {first[c] + 2 * i - 1})"
+        trees[c] = search(f"x{c}", m, leaf), 2 * len(m)
+    n = {r["place"]: r["n"] for r in _marked(df, exprs, trees, False).groupBy("place").agg(F.expr("count(1) as n")).collect()}
 
     def upto(c: int, end: float, with_it: bool) -> int:
-        last = 2 * marks[c].index(end) + with_it
-        return sum(n.get((c, k), 0) for k in range(last + 1))
-
-    out = []
-    for s, (lo, hi) in zip(spans, ends):
-        lt_lo, le_lo, lt_hi, le_hi = (upto(s.column, e, w) for e in (lo, hi) for w in (False, True))
-        at_low = [k for k in s.ranks if lt_lo <= k < le_lo]
-        at_high = [k for k in s.ranks if lt_hi <= k < le_hi and k not in at_low]
-        between = [k for k in s.ranks if le_lo <= k < lt_hi]
-        missed = [k for k in s.ranks if k < lt_lo or k >= le_hi]
-        settled = Span(s.column, at_low + at_high, s.inside,
-                       found={**dict.fromkeys(at_low, lo), **dict.fromkeys(at_high, hi)})
-        if settled.found:
-            out.append(settled)
-        if between:
-            out.append(Span(s.column, between, lt_hi - le_lo, lo, hi, le_lo))
-        if missed:
-            out.append(Span(s.column, missed, s.inside, s.low, s.high, s.below, spread=s.spread * 4))
-    return out
+        last = first[c] + 2 * marks[c].index(end) + with_it
+        return sum(n.get(k, 0) for k in range(first[c], last + 1))
+
+    out, found = [], {}
+    for s, own in zip(spans, ends):
+        c, children, missed = s.column, [], []
+        for ranks, low, high in own:
+            for rank in ranks:
+                if upto(c, low, False) <= rank < upto(c, low, True):
+                    found[c, rank] = low
+                elif upto(c, high, False) <= rank < upto(c, high, True):
+                    found[c, rank] = high
+                elif upto(c, low, True) <= rank < upto(c, high, False):
+                    children.append(([rank], low, high))
+                else:
+                    missed.append(rank)
+        if missed:  # the whole interval again, with more room
+            ranks = sorted({*missed, *(r for x, _, _ in children for r in x)})
+            out.append(Span(c, ranks, s.inside, s.low, s.high, s.below, s.spread * 4))
+            continue
+        joined: list[tuple[list[int], float, float]] = []
+        for ranks, low, high in sorted(children, key=lambda x: x[1:]):
+            if joined and low < joined[-1][2]:
+                held, begin, end = joined.pop()
+                ranks, low, high = held + ranks, begin, max(end, high)
+            joined.append((ranks, low, high))
+        for ranks, low, high in joined:
+            below = upto(c, low, True)
+            out.append(Span(c, sorted(set(ranks)), upto(c, high, False) - below, low, high, below))
+    return out, found
+
+
+def _last(df, exprs, spans) -> dict[tuple[int, int], float]:
+    """The values of the ranks of small spans, from their values in order."""
+    order = Window.partitionBy("place").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = (_members(df, exprs, spans).groupBy("place", "v").agg(F.expr("count(1) as n"))
+               .withColumn("upto", F.sum("n").over(order)))
+    most = max(len(s.ranks) for s in spans)
+    at = [", ".join(f"{s.ranks[j] - s.below}L" if j < len(s.ranks) else "cast(null as bigint)" for s in spans) for j in range(most)]
+    picks = [F.expr(f"min(case when upto > element_at(array({x}), place + 1) then v end) as r{j}") for j, x in enumerate(at)]
+    rows = running.groupBy("place").agg(*picks).collect()  # one per span
+    return {(spans[r["place"]].column, rank): r[f"r{j}"] for r in rows for j, rank in enumerate(spans[r["place"]].ranks)}
 
 
 def values_at_ranks(df: DataFrame, exprs: dict[str, str], wanted: dict[str, tuple[int, dict]],
@@ -130,44 +191,19 @@ def values_at_ranks(df: DataFrame, exprs: dict[str, str], wanted: dict[str, tupl
 
     `exprs` gives each column as SQL text, a double without NaN.
     """
-    if not wanted:
-        return df.sparkSession.createDataFrame([], "column string, label string, value double")
     names = list(wanted)
-    # One row per value: the columns of a wide table are counted together, by number.
-    cells = ", ".join(f"struct({i} as c, {exprs[c]} as v)" for i, c in enumerate(names))
-    values = df.selectExpr(f"inline(array({cells}))").where("v is not null")
-    settled, small, wide = [], [], _spans({i: wanted[c] for i, c in enumerate(names)})
+    texts = [exprs[c] for c in names]
+    small, found = [], {}
+    wide = [Span(i, sorted(set(wanted[c][1].values())), wanted[c][0]) for i, c in enumerate(names) if wanted[c][1]]
     while wide:
-        small += [s for s in wide if not s.found and s.inside <= cfg.rank_group_rows]
-        settled += [s for s in wide if s.found]
-        wide = [s for s in wide if not s.found and s.inside > cfg.rank_group_rows]
+        small += [s for s in wide if s.inside <= cfg.rank_group_rows]
+        wide = [s for s in wide if s.inside > cfg.rank_group_rows]
         if wide:
-            wide = _narrow(values, wide, _sketch_ends(values, wide, len(names), cfg), len(names))
-
-    def labels(column: int, rank: int) -> list[str]:
-        return [label for label, k in wanted[names[column]][1].items() if k == rank]
-
-    known = df.sparkSession.createDataFrame(pa.Table.from_pylist(
-        [{"column": names[s.column], "label": label, "value": float(value)} for s in settled
-         for rank, value in s.found.items() for label in labels(s.column, rank)],
-        pa.schema([("column", pa.string()), ("label", pa.string()), ("value", pa.float64())])))
-    if not small:
-        return known
-    # Spans with the same interval share its rows.
-    shared: dict[tuple, list[Span]] = {}
-    for s in small:
-        shared.setdefault(s.interval, []).append(s)
-    members = list(shared.values())
-    inside = _inside(values, {interval: i for i, interval in enumerate(shared)}, len(names)).withColumnRenamed("v", "value")
-    order = Window.partitionBy("span").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    running = (inside.groupBy("span", "value").agg(F.expr("count(1) as n"))
-               .withColumn("upto", F.sum("n").over(order)))
-    ranks = ", ".join("array(" + ", ".join(
-        f"struct({literal(label)} as label, {k - s.below}L as at)"
-        for s in group for k in s.ranks for label in labels(s.column, k)) + ")" for group in members)
-    hits = F.expr(f"filter(element_at(array({ranks}), span + 1), r -> r.at < upto and r.at >= upto - n)")
-    shown = F.expr(pick([names[group[0].column] for group in members], "span"))
-    found = (running.select("span", "value", F.explode(hits).alias("r"))
-             .select(shown.alias("column"), F.col("r.label").alias("label"), "value"))
-    return found.unionByName(known) if settled else found
+            wide, settled = _narrow(df, texts, wide, _sketch_ends(df, texts, wide, cfg))
+            found |= settled
+    if small:
+        found |= _last(df, texts, small)
+    rows = [{"column": c, "label": label, "value": float(found[i, rank])}
+            for i, c in enumerate(names) for label, rank in wanted[c][1].items()]
+    return df.sparkSession.createDataFrame(pa.Table.from_pylist(
+        rows, pa.schema([("column", pa.string()), ("label", pa.string()), ("value", pa.float64())])))

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline.config import NULL_LABEL, ProfileConfig
-from plumbline.functions.columns import fields, is_categorical, literal, only, pick, rows_of, text
+from plumbline.functions.columns import fields, is_categorical, literal, only, pick, text
 from plumbline.operators.distinct import distinct_counts
 from plumbline.operators.facts import column_facts
+from plumbline.operators.frequent import top_values
 from plumbline.operators.lists import is_prose, list_columns
 from plumbline.operators.schema import schema_profile
 
 
-def categorical_columns(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None,
-                        schema: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
-    """(column, dtype, decision, reason): which columns are profiled by value, and why not."""
+def judged_columns(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None,
+                   schema: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """(column, dtype, decision, reason, unique, rows): which columns are profiled by value, and why not."""
     candidates = fields(df, is_categorical)
     part = only(df, candidates)
     facts = column_facts(part, cfg, ["lists"]) if facts is None else facts
@@ -34,29 +35,30 @@ def categorical_columns(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | No
     return (joined.withColumn("reason", reason).orderBy("position")
             .select("column", "dtype",
                     F.when(F.col("reason") == "", "profiled").otherwise("skipped").alias("decision"),
-                    "reason"))
+                    "reason", "unique", "rows"))
+
+
+def categorical_columns(df: DataFrame, cfg: ProfileConfig, facts: DataFrame | None = None,
+                        schema: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """(column, dtype, decision, reason)"""
+    return judged_columns(df, cfg, facts, schema, lists).drop("unique", "rows")
 
 
-def categorical_topk(df: DataFrame, cfg: ProfileConfig, decisions: DataFrame | None = None) -> DataFrame:
+def categorical_topk(df: DataFrame, cfg: ProfileConfig, judged: DataFrame | None = None) -> DataFrame:
     """(column, value, count, pct_of_rows): the most frequent values of the profiled columns.
 
     Null is the value <NULL>; white space alone is the empty string.
     """
-    decisions = categorical_columns(df, cfg) if decisions is None else decisions
-    names = [r["column"] for r in decisions.where("decision = 'profiled'").collect()]
-    if not names:
+    judged = judged_columns(df, cfg) if judged is None else judged
+    found = judged.where("decision = 'profiled'").collect()  # one row per column
+    if not found:
         return df.sparkSession.createDataFrame(
             [], "column string, value string, count bigint, pct_of_rows double")
-    blank = literal(r"(?U)^\s+$")
+    names, blank = [r["column"] for r in found], literal(r"(?U)^\s+$")
     cells = [{"field": str(i), "value": f"coalesce(regexp_replace({text(df.schema[name])}, {blank}, ''), "
               f"{literal(NULL_LABEL)})"} for i, name in enumerate(names)]
-    counts = rows_of(df, cells).groupBy("field", "value").agg(F.expr("count(1) as count"))
-    # Every row has one value per column, so the counts of a column add up to the rows.
-    # They are added before the ranking: a sum over the window would gather a whole column.
-    totals = counts.groupBy("field").agg(F.sum("count").alias("rows"))
-    order = Window.partitionBy("field").orderBy(F.desc("count"), "value")
-    top = (counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cfg.top_k))
-    return (top.join(F.broadcast(totals), "field").orderBy("field", "place")
-            .select(F.expr(pick(names, "field")).alias("column"),
-                    "value", "count",
-                    (F.col("count").cast("double") / F.col("rows") * 100.0).alias("pct_of_rows")))
+    top = top_values(df, cells, cfg.top_k, cfg, [r["unique"] for r in found])
+    # Every row has one value per column.
+    return (top.orderBy(F.col("field").cast("int"), "place")
+            .select(F.expr(pick(names, "cast(field as int)")).alias("column"), "value", F.col("n").alias("count"),
+                    (F.col("n").cast("double") / F.lit(found[0]["rows"]) * 100.0).alias("pct_of_rows")))

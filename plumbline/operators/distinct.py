@@ -64,12 +64,37 @@ def _none(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], "column string, unique_non_null bigint")
 
 
+def _word(value: str) -> dict[str, str]:
+    """An integer as its place in a bitmap: a word of 64 values, and the bit in it."""
+    return {"v_int": f"shiftright({value}, 6)", "bit": f"coalesce(shiftleft(1L, cast({value} & 63L as int)), 1L)"}
+
+
+def _bits(field: T.StructField) -> dict[str, str]:
+    """The lanes of a value, integers as places in bitmaps. A double of at most two decimals is the integer of its hundredths:
+    no other double gives the same one back."""
+    lanes, dtype = {**_lanes(field, False), "bit": "1L"}, field.dataType
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        v = lanes["v_num"]
+        whole = f"case when abs({v}) < 1e13D then cast(rint({v} * 100D) as bigint) end"
+        exact = f"case when ({whole}) / 100D = {v} then {whole} end"
+        return {**lanes, **_word(f"({exact})"), "v_num": f"case when ({exact}) is null then {v} end"}
+    if lanes["v_int"].startswith("cast(null"):
+        return lanes
+    return {**lanes, **_word(f"({lanes['v_int']})")}
+
+
 def exact_distinct(df: DataFrame, fields: list[T.StructField] | None = None) -> DataFrame:
-    """(column, unique_non_null) for the columns that hold any value."""
+    """(column, unique_non_null) for the columns that hold any value.
+
+    One pass and one shuffle for all columns. Integers, dates and amounts travel as words of a bitmap, 64 adjacent values to a
+    row: a dense key costs a third of a byte a value, one without order no more than itself. Words are merged in each task first.
+    """
     fields = df.schema.fields if fields is None else fields
     if not fields:
         return _none(df)
-    return (value_groups(df, fields).groupBy("field").agg(F.expr("count(1) as unique_non_null"))
+    values = rows_of(df, [{"field": str(i), **_bits(f)} for i, f in enumerate(fields)]).where(has_value())
+    words = values.groupBy("field", "v_int", "v_num", "v_text").agg(F.expr("bit_or(bit) as bits"))
+    return (words.groupBy("field").agg(F.expr("sum(bit_count(bits)) as unique_non_null"))
             .select(field_name(fields).alias("column"), "unique_non_null"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbline.config import LIST_SEPARATORS, ProfileConfig
 from plumbline.functions.columns import WHITE_SPACE_ENDS, literal, only, ref, rows_of, text
 from plumbline.operators.facts import column_facts, text_fields
+from plumbline.operators.frequent import top_values
 
 
 def is_prose(cfg: ProfileConfig) -> Column:
@@ -85,14 +86,13 @@ def list_tokens(df: DataFrame, cfg: ProfileConfig, lists: DataFrame | None = Non
     found = _found(df, cfg, lists)
     if not found:
         return df.sparkSession.createDataFrame([], "column string, token string, count bigint")
-    ends = literal(WHITE_SPACE_ENDS)
-    split = [f"transform({_items(df, c, s)}, item -> struct({literal(c)} as column, "
-             f"regexp_replace(item, {ends}, '') as token))" for c, s in found]
-    tokens = (df.selectExpr(f"inline(flatten(array_compact(array({', '.join(split)}))))").where("token <> ''")
-              .select("column", "token"))
-    shown = F.col("token") if cfg.list_token_length is None else F.substring("token", 1, cfg.list_token_length)
-    order = Window.partitionBy("column").orderBy(F.desc("count"), "token")
-    return (tokens.groupBy("column", "token").agg(F.expr("count(1) as count"))
-            .withColumn("place", F.row_number().over(order))
-            .where(F.col("place") <= cfg.list_top_tokens)
-            .orderBy("column", F.desc("count"), "token").select("column", shown.alias("token"), "count"))
+    ends, separators = literal(WHITE_SPACE_ENDS), dict(found)
+
+    def tokens(frame: DataFrame, cells: list[dict[str, str]]) -> DataFrame:
+        split = [f"transform({_items(frame, c['field'], separators[c['field']])}, item -> struct({literal(c['field'])} as field, "
+                 f"regexp_replace(item, {ends}, '') as value))" for c in cells]
+        return frame.selectExpr(f"inline(flatten(array_compact(array({', '.join(split)}))))")
+
+    top = top_values(df, [{"field": c} for c, _ in found], cfg.list_top_tokens, cfg, make=tokens, where="value <> ''")
+    shown = F.col("value") if cfg.list_token_length is None else F.substring("value", 1, cfg.list_token_length)
+    return top.orderBy("field", "place").select(F.col("field").alias("column"), shown.alias("token"), F.col("n").alias("count"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, log, sqrt
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.config import ProfileConfig
 from plumbline.functions.columns import quoted
 
+#: Hexadecimal digits of a digest that rows are counted by at once, and rows of one such beginning that are ordered.
+DIGITS = 4
+EDGE = 1 << 16
+
 
 @dataclass(frozen=True)
 class ProfiledRows:
@@ -31,6 +35,11 @@ def head_rows(df: DataFrame, n: int, order_by: list[str] | None = None) -> DataF
     return _first_files(df, n).limit(n)
 
 
+def _forms(file: str) -> list[str]:
+    """A file as the ways in which a scan may name it: with or without an empty host, escaped or not."""
+    return sorted({f for path in (file, unquote(file)) for f in (path, path.replace(":///", ":/", 1))})
+
+
 def _first_files(df: DataFrame, n: int) -> DataFrame:
     """The rows of the first files that together hold n rows, if the frame is a file scan."""
     try:
@@ -40,54 +49,53 @@ def _first_files(df: DataFrame, n: int) -> DataFrame:
     files = sorted(df.inputFiles())
     k = 1
     while k < len(files):
-        if path.where(F.col("file_path").isin(files[:k])).count() >= n:
-            return df.where(F.col("_metadata.file_path").isin(files[:k]))
+        first = [f for file in files[:k] for f in _forms(file)]
+        if path.where(F.col("file_path").isin(first)).count() >= n:
+            return df.where(F.col("_metadata.file_path").isin(first))
         k *= 2
     return df
 
 
-def random_rows(df: DataFrame, n: int, seed: int, key: list[str] | None = None,
-                rows: int | None = None) -> DataFrame:
+def random_rows(df: DataFrame, n: int, seed: int, key: list[str] | None = None) -> DataFrame:
     """Exactly n rows (all when there are fewer), drawn without replacement.
 
     The draw is the n rows with the smallest MD5 of seed and key, or of seed and all columns without a
-    `key`: the same rows on any cluster and any file layout, and in every scan of the result. The n-th
-    digest is found first, from counts by digest prefix; the rows up to it are then filtered in the
-    scan, so they stay where they are. Only rows that share the n-th digest are ordered by the key.
+    `key`: the same rows on any cluster and any file layout, and in every scan of the result.
+    """
+    return draw(df, n, seed, key)[0]
+
+
+def draw(df: DataFrame, n: int, seed: int, key: list[str] | None = None) -> tuple[DataFrame, int]:
+    """random_rows, and the number of rows it has drawn from.
+
+    One scan counts the rows by the first digits of their digests; such counts add up over tasks, and the driver sees
+    BUCKETS of them. They show which digests are drawn, but for those that begin like the last one: these, a
+    few rows, are ordered. All other rows are filtered in the scan, so the sample stays spread over the cluster.
     """
-    rows = df.count() if rows is None else rows
-    if rows <= n:
-        return df
-    if n <= 0:
-        return df.limit(0)
     by = [quoted(c) for c in key] if key else [F.to_json(F.struct(*[quoted(c) for c in df.columns]), {"ignoreNullFields": "false"})]
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in by]
     drawn = df.withColumn("__digest", F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(":", *parts))))
-    share = n / rows
-    # About a thousand prefixes up to the wanted place, whatever the share.
-    width = min(32, ceil(log(1000 / share, 16)))
-    prefix = F.substring("__digest", 1, width)
-    below, reach = 0, (n + 8 * sqrt(n) + 16) / rows
-    while True:  # more than once only if keys repeat unevenly
-        bound = format(int(reach * 16**12), "012x") if reach < 1 else "g"
-        counts = drawn.where(F.col("__digest") < bound).groupBy(prefix.alias("prefix")).count().orderBy("prefix").collect()
-        if sum(r["count"] for r in counts) >= n or reach >= 1:
-            break
-        reach *= 2
-    for r in counts:
-        if below + r["count"] >= n:
-            break
-        below += r["count"]
-    held = drawn.where(prefix == r["prefix"]).groupBy("__digest").count().orderBy("__digest").collect()
-    for d in held:  # the rows of one prefix
-        if below + d["count"] >= n:
-            break
-        below += d["count"]
-    sure = drawn.where(F.col("__digest") < d["__digest"])
-    edge = drawn.where(F.col("__digest") == d["__digest"])
-    if n - below < d["count"]:
-        edge = edge.orderBy(*by).limit(n - below)
-    return sure.unionAll(edge).drop("__digest")
+    prefix, total, below = "", None, 0
+    while total is None or (held > EDGE and len(prefix) < 32):  # more than once only for billions of rows, or for a key that is none
+        own = drawn.where(F.startswith("__digest", F.lit(prefix))) if prefix else drawn
+        counts = dict(own.groupBy(F.substring("__digest", len(prefix) + 1, DIGITS).alias("next")).count().collect())
+        if total is None:
+            total = sum(counts.values())
+            if total <= n:
+                return df, total
+            if n <= 0:
+                return df.limit(0), total
+        for digits in sorted(counts):
+            held = counts[digits]
+            if below + held >= n:
+                break
+            below += held
+        prefix += digits
+    sure = drawn.where(F.col("__digest") < prefix)
+    edge = drawn.where(F.startswith("__digest", F.lit(prefix)))
+    if n - below < held:
+        edge = edge.orderBy("__digest", *by).limit(n - below)
+    return sure.unionAll(edge).drop("__digest"), total
 
 
 def profile_rows(df: DataFrame, cfg: ProfileConfig, key: list[str] | None = None) -> ProfiledRows:
@@ -95,12 +103,11 @@ def profile_rows(df: DataFrame, cfg: ProfileConfig, key: list[str] | None = None
     cap = cfg.sample_rows
     if cap is None or cap <= 0:
         return ProfiledRows(df, False, None)
-    total = df.count()
-    if total <= cap:
-        return ProfiledRows(df, False, total)
     if cfg.sample_strategy == "random":
-        return ProfiledRows(random_rows(df, cap, cfg.sample_seed, key, total), True, total)
-    return ProfiledRows(head_rows(df, cap, key), True, total)
+        rows, total = draw(df, cap, cfg.sample_seed, key)
+        return ProfiledRows(rows, total > cap, total)
+    total = df.count()
+    return ProfiledRows(head_rows(df, cap, key) if total > cap else df, total > cap, total)
 
 
 def sampling_note(rows: ProfiledRows, cfg: ProfileConfig) -> str | None:

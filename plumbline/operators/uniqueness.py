@@ -10,6 +10,7 @@ from plumbline.operators.distinct import (
     distinct_counts, field_name, has_value, value_groups, value_text,
 )
 from plumbline.operators.facts import column_facts
+from plumbline.operators.frequent import ranked
 from plumbline.operators.sampling import random_rows
 from plumbline.operators.schema import schema_profile, with_unique
 
@@ -96,10 +97,8 @@ def key_top_repeated(df: DataFrame, cfg: ProfileConfig, keys: list[str] | None =
     if not fields:
         return df.sparkSession.createDataFrame([], "key_column string, key string, rows_per_key bigint")
     values = value_groups(df, fields, whole_text=True).withColumn("key", value_text(fields))
-    # Each task keeps its own top values before the shuffle by column (window group limit).
-    order = Window.partitionBy("field").orderBy(F.desc("n"), "key")
-    return (values.withColumn("place", F.row_number().over(order))
-            .where(F.col("place") <= cfg.key_top_values)
+    # Nearly all values of a key differ: no summary could settle the ranking.
+    return (ranked(values.select("field", "key", "n"), cfg.key_top_values, value="key")
             .select(field_name(fields).alias("key_column"), "key",
                     F.col("n").alias("rows_per_key"))
             .orderBy("key_column", F.desc("rows_per_key"), "key"))

@@ -186,8 +186,12 @@ class Catalog:
 
     @cached_property
     def missingness(self) -> DataFrame:
-        missing = F.col("rows") - F.col("non_null")
-        return local_frame(self._named(self.facts).select(
+        """One row per column; without the other facts, null counts alone are read."""
+        missing, counts = F.col("rows") - F.col("non_null"), self.__dict__.get("facts")
+        if counts is None:
+            counts = self._each("missingness", lambda df: column_facts(df, self.cfg, ()),
+                                "ds int, column string, rows bigint, non_null bigint")
+        return local_frame(self._named(counts).select(
             "ds", *ID, "column", missing.alias("missing"),
             percent(missing, F.col("rows")).alias("missing_pct")))
 
@@ -333,24 +337,25 @@ class Catalog:
                 .select("bucket", "low", "high", F.coalesce("count", F.lit(0)).alias("count"))
                 .orderBy("bucket"))
 
-    def hotspot_matrix(self) -> DataFrame:
-        """The hotspots as a grid of tables by columns, shares from 0 to 1; 0 where a table has no such
-        hotspot. With limits, the tables and columns with the highest shares."""
-        spots = self.missing_hotspots
-        for name, limit in (("dataset_name", self.cfg.matrix_datasets), ("column", self.cfg.matrix_columns)):
+    def hotspot_cells(self) -> DataFrame:
+        """(dataset_id, dataset_name, sheet_name, column, share): the cells of the matrix that are not 0, shares from 0 to 1. With
+        limits, of the tables and columns with the highest shares. Tables of one name are rows of their own."""
+        spots = self.missing_hotspots.where("missing_pct > 0")
+        for name, limit in (("dataset_id", self.cfg.matrix_datasets), ("column", self.cfg.matrix_columns)):
             if limit is not None:
                 first = spots.groupBy(name).agg(F.max("missing_pct").alias("most")).orderBy(F.desc("most"), name).limit(limit)
                 spots = spots.join(F.broadcast(first.select(name)), name, "left_semi")
-        return (spots.groupBy("dataset_name").pivot("column").agg(F.max("missing_pct") / 100.0)
-                .fillna(0.0).orderBy("dataset_name"))
-
-    def hotspot_cells(self) -> DataFrame:
-        """(dataset_name, column, share): the cells of the matrix."""
-        grid = self.hotspot_matrix()
-        values = [F.col("`" + c.replace("`", "``") + "`") for c in grid.columns[1:]]
-        if not values:
-            return self.spark.createDataFrame([], "dataset_name string, column string, share double")
-        return grid.unpivot(["dataset_name"], values, "column", "share")
+        return spots.select(*ID, "column", (F.col("missing_pct") / 100.0).alias("share"))
+
+    def hotspot_matrix(self, columns: list[str] | None = None) -> DataFrame:
+        """The cells as a grid: a row for each table with any, a value column for each of `columns` (all that have cells), 0 where a
+        table has no such hotspot. For display: a large catalog is read from the cells."""
+        cells = self.hotspot_cells()
+        if columns is None:
+            columns = [r["column"] for r in cells.select("column").distinct().orderBy("column").collect()]
+        named = {c: f"share_{i}" for i, c in enumerate(columns)}
+        grid = cells.groupBy(*ID).agg(*[F.max(F.when(F.col("column") == c, F.col("share"))).alias(n) for c, n in named.items()] or [F.count("*").alias("_")])
+        return grid.select(*ID, *[F.coalesce(n, F.lit(0.0)).alias(c) for c, n in named.items()]).orderBy(*ID)
 
     @cached_property
     def master_summary(self) -> DataFrame:

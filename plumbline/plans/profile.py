@@ -121,13 +121,17 @@ class TableProfile:
         return lists.list_tokens(self.df, self.cfg, self.list_columns)
 
     @cached_property
-    def categorical_columns(self) -> DataFrame:
-        return local_frame(categorical.categorical_columns(
+    def judged_columns(self) -> DataFrame:
+        return local_frame(categorical.judged_columns(
             self.df, self.cfg, self.facts, self.schema, self.list_columns))
 
+    @cached_property
+    def categorical_columns(self) -> DataFrame:
+        return self.judged_columns.drop("unique", "rows")
+
     @cached_property
     def categorical_summary(self) -> DataFrame:
-        return local_frame(categorical.categorical_topk(self.df, self.cfg, self.categorical_columns))
+        return local_frame(categorical.categorical_topk(self.df, self.cfg, self.judged_columns))
 
     @cached_property
     def text_profile(self) -> DataFrame:

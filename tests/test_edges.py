@@ -1,14 +1,17 @@
 """Small tables with the awkward values."""
 
 import datetime as dt
+import hashlib
 import math
+import random
+from collections import Counter
 from dataclasses import replace
 
 import pytest
 
 from plumbline import Catalog, Dataset, ProfileConfig, TableProfile, profile
 from plumbline.operators import (
-    categorical, correlation, distinct, lists, numeric, overview, sampling, schema, temporal, text,
+    categorical, correlation, distinct, frequent, lists, numeric, overview, sampling, schema, temporal, text,
     uniqueness,
 )
 from plumbline.plans.profile import REPORTS
@@ -167,7 +170,7 @@ def test_all_sparse_columns_are_reported(spark):
     c = Catalog(spark, [Dataset("sparse", df, "p")], EXACT)
     assert c.high_missing_columns.count() == 25
     assert c.warnings.where("rule = 'column_missing'").count() == 25
-    assert len(c.hotspot_matrix().columns) == 26 and c.hotspot_cells().count() == 25
+    assert len(c.hotspot_matrix().columns) == 28 and c.hotspot_cells().count() == 25
 
 
 @pytest.mark.parametrize("n", [1, 7, 500])
@@ -226,8 +229,9 @@ def test_key_threshold(spark, held, found):
 def test_key_names_and_limit(spark):
     names = ["x", "user_id", "doi", "b_id", "a_id", "my isbn", "zguid"]
     df = spark.createDataFrame([tuple([1] * 7)] * 20, ", ".join(f"`{n}` int" for n in names))
-    got = [r["column"] for r in rows(uniqueness.key_candidates(df, EXACT))]
+    got = [r["column"] for r in rows(uniqueness.key_candidates(df, replace(EXACT, key_limit=5)))]
     assert got == ["user_id", "doi", "b_id", "a_id", "my isbn"]
+    assert [r["column"] for r in rows(uniqueness.key_candidates(df, EXACT))] == [*got, "zguid"]
     assert rows(uniqueness.key_duplicates(df, EXACT))[0]["rows_in_repeated_keys"] == 20
 
 
@@ -302,14 +306,24 @@ def test_partitions_do_not_matter(spark, sf_dir, report):
 def test_random_rows(spark):
     df = spark.range(20_000).withColumnRenamed("id", "k")
     a = sampling.random_rows(df, 300, 1, ["k"]).collect()
-    assert len(a) == 300 == len(set(a)) and a == sampling.random_rows(df.repartition(9), 300, 1, ["k"]).collect()
-    assert a != sampling.random_rows(df, 300, 2, ["k"]).collect()
+    assert len(a) == 300 == len(set(a)) and set(a) == set(sampling.random_rows(df.repartition(9), 300, 1, ["k"]).collect())
+    assert set(a) != set(sampling.random_rows(df, 300, 2, ["k"]).collect())
     assert sampling.random_rows(df, 300, 1).count() == 300
     assert sampling.random_rows(df, 30_000, 1).count() == 20_000
     hot = df.selectExpr("k % 2 as k")  # a key that is none still yields the asked number
     assert sampling.random_rows(hot, 300, 1, ["k"]).count() == 300
 
 
+def test_draw_narrows_the_edge(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "DIGITS", 1)
+    monkeypatch.setattr(sampling, "EDGE", 3)
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    ranked = sorted(range(3000), key=lambda k: hashlib.md5(f"7:{k}".encode()).hexdigest())
+    for n in (0, 1, 2, 999, 2999, 3000):
+        rows, total = sampling.draw(df, n, 7, ["k"])
+        assert total == 3000 and sorted(r.k for r in rows.collect()) == sorted(ranked[:n])
+
+
 def test_head_opens_few_files(spark, tmp_path):
     spark.range(0, 1000, 1, 10).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
@@ -340,13 +354,100 @@ def test_catalog_survives_a_bad_table(spark):
     empty = spark.createDataFrame([], "x int")
     c = Catalog(spark, [Dataset("good", spark.range(60), "p/good"), Dataset("bad", bad, "p/bad", "S 1"),
                         Dataset("empty", empty, "p/empty")], EXACT)
-    assert [r["dataset_name"] for r in rows(c.sources_table)] == ["good", "empty"]
+    assert [r["dataset_name"] for r in rows(c.sources_table)] == ["good", "empty", "bad"]
+    assert {r["dataset_name"]: r["status"].split(":")[0] for r in rows(c.sources_table)} == {"good": "ok", "empty": "ok", "bad": "failed"}
     assert any("broken file" in note for _, note in c.notes)
     assert ("empty", "empty_dataset") in [(r["dataset_name"], r["rule"]) for r in rows(c.warnings)]
-    assert c.hotspot_matrix().count() == 2
+    assert c.hotspot_matrix().count() == 0 and c.hotspot_matrix(["id"]).count() == 0
+
+
+def test_hotspots_of_equal_names(spark):
+    """Two sheets of one name stay apart."""
+    one, other = spark.createDataFrame([(None, 1), (2, 1)], "a int, b int"), spark.createDataFrame([(None, None)], "a int, b int")
+    c = Catalog(spark, [Dataset("t", one, "p", "S1"), Dataset("t", other, "p", "S2")], EXACT)
+    cells = {(r["sheet_name"], r["column"]): r["share"] for r in rows(c.hotspot_cells())}
+    assert cells == {("S1", "a"): 0.5, ("S2", "a"): 1.0, ("S2", "b"): 1.0}
+    grid = {r["sheet_name"]: (r["a"], r["b"]) for r in rows(c.hotspot_matrix())}
+    assert grid == {"S1": (0.5, 0.0), "S2": (1.0, 1.0)}
 
 
 def test_empty_catalog(spark):
     c = Catalog(spark, [], EXACT)
-    assert rows(c.totals) == [{"files_found": 0, "datasets_processed": 0, "total_rows": 0, "total_columns": 0}]
+    assert rows(c.totals) == [{"files_found": 0, "datasets_processed": 0, "datasets_failed": 0, "total_rows": 0, "total_columns": 0}]
     assert c.sources_table.collect() == [] and c.warnings.collect() == []
+
+
+# --- frequent values --------------------------------------------------------------------------------
+
+def top_of(values, k):
+    return sorted(Counter(values).items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
+@pytest.mark.parametrize("items, k", [(12_288, 5), (48, 3), (48, 5), (48, 40), (48, 100), (6, 2)])
+def test_top_values(spark, items, k):
+    """Skewed, few and nearly unique values, by summaries of any size: always the exact ranking."""
+    rng = random.Random(4)
+    data = [(f"s{min(int(rng.paretovariate(0.7)), 3000)}", f"f{rng.randrange(7)}", f"u{i}", None) for i in range(6000)]
+    df = spark.createDataFrame(data, "skewed string, few string, unique string, nothing string").repartition(6)
+    cells = [{"field": c, "value": c} for c in df.columns]
+    got = frequent.top_values(df, cells, k, replace(EXACT, frequent_items=items))
+    for i, c in enumerate(df.columns):
+        own = sorted((r["place"], r["value"], r["n"]) for r in got.where(f"field = '{c}'").collect())
+        assert own == [(j, v, n) for j, (v, n) in enumerate(top_of([r[i] for r in data if r[i] is not None], k), 1)]
+
+
+def test_summaries_settle_without_a_full_count(spark):
+    """A few values of many rows among many rare ones: the summary settles them, and no full count is planned."""
+    df = spark.range(0, 40_000, 1, 4).selectExpr("case when id % 4 = 0 then concat('hot', id % 3) else concat('v', id) end as v")
+    frames, rest = frequent._settled(df, [{"field": "v", "value": "v"}], 3, replace(EXACT, frequent_items=96), frequent.value_rows, "value is not null")
+    assert rest == [] and sorted((r["value"], r["n"]) for r in frames[0].where("n > 100").collect()) == [("hot0", 3334), ("hot1", 3333), ("hot2", 3333)]
+    frames, rest = frequent._settled(df, [{"field": "v", "value": "v"}], 4, replace(EXACT, frequent_items=96), frequent.value_rows, "value is not null")
+    assert frames == [] and len(rest) == 1  # the fourth is one of many
+
+
+# --- distinct values as bitmaps ---------------------------------------------------------------------
+
+def test_distinct_by_words(spark):
+    nan, big = float("nan"), 2**63 - 1
+    data = [
+        (0, 0.0, 0.1, dt.date(1969, 12, 31), True), (-1, -0.0, 0.1 + 0.2, dt.date(1970, 1, 1), True), (63, 0.01, 0.3, dt.date(1970, 1, 1), None),
+        (64, 1e300, -0.3, None, None), (big, -1e300, 1e15 + 0.5, None, None), (-big - 1, nan, 0.299999, None, None), (64, nan, float("inf"), None, None),
+        (None, None, float("-inf"), None, None), (-64, 0.01, None, None, None),
+    ]
+    df = spark.createDataFrame(data, "i bigint, a double, b double, d date, t boolean").repartition(3)
+    assert {r["column"]: r["unique_non_null"] for r in rows(distinct.exact_distinct(df))} == {"i": 7, "a": 5, "b": 8, "d": 2, "t": 1}
+    assert {r["column"]: r["unique_non_null"] for r in rows(distinct.exact_distinct(spark.range(100_000).selectExpr("id - 50000 as i", "id / 100D as a", "cast(id as float) / 3 as f")))} == {
+        "i": 100_000, "a": 100_000, "f": 100_000}
+
+
+def test_dense_keys_move_as_bitmaps(spark):
+    plan = distinct.exact_distinct(spark.range(10_000))
+    words = plan._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" in words
+
+
+# --- quantiles --------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("group", [50, 400, 10**6])
+def test_quantiles_of_awkward_columns(spark, group):
+    """Ties, infinities, tiny and huge values, one value only; every tenth rank."""
+    from plumbline.functions.ranks import values_at_ranks
+    rng = random.Random(9)
+    inf = math.inf
+    columns = {
+        "ties": [float(rng.randrange(3)) for _ in range(3000)], "ends": [rng.choice([-inf, inf, 0.0, 1.0]) for _ in range(3000)],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) for _ in range(3000)], "one": [7.5] * 3000, "line": [float(i) for i in range(3000)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(4)
+    ranks = {f"r{k}": k for k in (0, 1, *range(5, 3000, 300), 2998, 2999)}
+    got = values_at_ranks(df, {c: c for c in columns}, {c: (3000, ranks) for c in columns}, replace(EXACT, rank_group_rows=group, rank_sketch_k=256))
+    found = {(r["column"], r["label"]): r["value"] for r in got.collect()}
+    assert found == {(c, label): sorted(v)[k] for c, v in columns.items() for label, k in ranks.items()}
+
+
+def test_rank_trees_are_compiled(spark):
+    from plumbline.functions.ranks import search
+    tree = search("x", [1.0, 2.0, 2.5, 9.0], str)
+    df = spark.createDataFrame([(float(x),) for x in (0, 1, 1.5, 2, 2.4, 2.5, 8, 9, 10)], "x double").selectExpr("x", f"{tree} as i")
+    assert [r["i"] for r in df.orderBy("x").collect()] == [0, 1, 1, 2, 2, 3, 3, 4, 4]
+    assert "lambda" not in df._jdf.queryExecution().executedPlan().toString()

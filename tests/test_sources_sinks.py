@@ -51,7 +51,7 @@ def test_open_and_profile(spark, folder, tmp_path_factory):
     over = spark.read.option("header", True).csv(f"{out}/{first}/overview").head()
     assert (over["rows"], over["duplicate_rows"]) == ("3", "2")
     document = json.loads("".join(r[0] for r in spark.read.text(f"{out}/_total/master_summary").collect()))
-    assert document["totals"] == {"files_found": 2, "datasets_processed": 2, "total_rows": 63, "total_columns": 4}
+    assert document["totals"] == {"files_found": 2, "datasets_processed": 2, "datasets_failed": 0, "total_rows": 63, "total_columns": 4}
     assert [d["dataset_name"] for d in document["datasets"]] == ["b", "a"]
     assert [w["rule"] for w in document["quality_warnings"]] == ["duplicate_rows"]
 
@@ -59,7 +59,7 @@ def test_open_and_profile(spark, folder, tmp_path_factory):
 def test_run(spark, folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("run"))
     assert run(spark, [str(folder / "deep")], out, EXACT, "parquet") == {
-        "files_found": 1, "datasets_processed": 1, "total_rows": 60, "total_columns": 1}
+        "files_found": 1, "datasets_processed": 1, "datasets_failed": 0, "total_rows": 60, "total_columns": 1}
     assert spark.read.parquet(f"{out}/_total/totals").head()["total_rows"] == 60
 
 
