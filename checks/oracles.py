@@ -85,6 +85,18 @@ def wide_quantiles() -> str:
   {r(median(f'c{i}', source))} as median""" for i in range(64)])
 
 
+def wide_correlations() -> str:
+    """One row of a corr for each pair, unpivoted."""
+    source = ", ".join(f"case when (o_orderkey + {i}) % {i + 2} <> 0 then o_totalprice + o_custkey * {i * i}e0 end as c{i}" for i in range(72))
+    pairs = [(i, j) for i in range(72) for j in range(i, 72)]
+    one = ", ".join(f"corr(c{i}, c{j})" for i, j in pairs)
+    both = ", ".join(f"('c{a}', 'c{b}')" for i, j in pairs for a, b in dict.fromkeys([(i, j), (j, i)]))
+    places = ", ".join(str(k) for k, (i, j) in enumerate(pairs, 1) for _ in dict.fromkeys([(i, j), (j, i)]))
+    return f"""with one as (select [{one}] as held from (select {source} from orders)),
+names as (select unnest([{both}]) as pair, unnest([{places}]) as place)
+select pair[1] as column_a, pair[2] as column_b, {r('held[place]')} as corr from names, one""".replace("pair[1]", "struct_extract(pair, 1)").replace("pair[2]", "struct_extract(pair, 2)")
+
+
 def shape_rows(name: str) -> str:
     s = view_sql(name)
     parts = []
@@ -178,10 +190,10 @@ def correlation_matrix(name: str) -> str:
     return f"select column_a as \"column\", {picks} from ({correlation_rows(name)}) group by column_a"
 
 
-def uniqueness_rows(name: str) -> str:
+def uniqueness_rows(name: str, source: str | None = None) -> str:
     return union([f"""select '{c}' as "column", count(distinct {c}) as unique_non_null,
   count(distinct {c}) + {big(f'count(*) > count({c})')} as unique_including_null_as_value
-from {view_sql(name)}""" for c in SCHEMAS[name]])
+from {source or view_sql(name)}""" for c in SCHEMAS[name]])
 
 
 def key_candidates(name: str) -> str:
@@ -207,10 +219,10 @@ from (select {k}, count(*) as n from {view_sql(name)} where {k} is not null grou
                   for k in keys])
 
 
-def key_top(name: str, keys: list[str]) -> str:
-    return union([f"""(select '{k}' as key_column, cast({k} as varchar) as "key", count(*) as rows_per_key
-from {view_sql(name)} where {k} is not null group by {k} order by count(*) desc, cast({k} as varchar) limit 10)"""
-                  for k in keys])
+def key_top(name: str, keys: list[str], k: int = 10) -> str:
+    return union([f"""(select '{c}' as key_column, cast({c} as varchar) as "key", count(*) as rows_per_key
+from {view_sql(name)} where {c} is not null group by {c} order by count(*) desc, cast({c} as varchar) limit {k})"""
+                  for c in keys])
 
 
 def topk(name: str, cols: list[str], k: int = 20) -> str:
@@ -338,6 +350,11 @@ def drawn(source: str, key: str, n: int) -> str:
     return f"select * from {source} order by md5(concat('42:', cast({key} as varchar))), {key} limit {n}"
 
 
+def drawn_by_json(source: str, n: int) -> str:
+    fields = ", ".join(f"'{c}', {c}" for c in SCHEMAS[source])
+    return f"(select * from {view_sql(source)} order by md5(concat('42:', cast(json_object({fields}) as varchar))) limit {n})"
+
+
 SLUG = (r"regexp_replace(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\s', '_', 'g'), "
         r"'[^\p{{L}}\p{{N}}_-]', '', 'g')")
 
@@ -518,6 +535,7 @@ order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice limit 5
         "unique_approx": union([f"""select '{c}' as "column", count(distinct {c}) as unique_non_null,
   true as within_3pct from lineitem""" for c in TABLES["lineitem"]]),
         "unique_sample": schema_rows("orders", orders_sample),
+        "max_unique_sample": uniqueness_rows("judged_documents", drawn_by_json("judged_documents", 150)),
         "missingness": missing_rows("dirty_orders"),
         "missingness_judged_documents": missing_rows("judged_documents"),
         "row_missingness": row_missingness("dirty_orders"),
@@ -539,6 +557,7 @@ order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice limit 5
         "numeric_histogram_dirty": histogram("dirty_orders"),
         "correlations": correlation_rows("dirty_orders"),
         "correlations_lineitem": correlation_rows("lineitem"),
+        "correlations_wide": wide_correlations(),
         "correlation_matrix": correlation_matrix("judged_documents"),
         "uniqueness": uniqueness_rows("dirty_orders"),
         "uniqueness_orders": uniqueness_rows("orders"),
@@ -553,6 +572,14 @@ order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice limit 5
         "categorical_columns": categorical_decisions("dirty_orders"),
         "categorical_columns_documents": categorical_decisions("documents"),
         "categorical_topk": topk("dirty_orders", ["sparse_status", "priority"]),
+        "frequent_values": union([f"""(select '{c}' as "column", cast({c} as varchar) as "value", count(*) as "count",
+  row_number() over (order by count(*) desc, cast({c} as varchar)) as place from {view_sql('dirty_orders')}
+  where {c} is not null group by {c} order by place limit 5)""" for c in ("sparse_status", "tags", "cust_id", "o_orderkey")]),
+        "key_top_repeated_many": key_top("orders", ["o_orderkey", "o_custkey"], 5000),
+        "quality_warnings_empty": union([f"""select {rule} as rule, {name} as "column", {said} as warning
+where not exists (select 1 from orders where o_orderkey < 0)""" for rule, name, said in [
+            ("'empty_dataset'", "cast(null as varchar)", "'Dataset is empty (0 rows or 0 columns).'"),
+            *[("'column_constant'", f"'{c}'", f"'Column ''{c}'' is constant (unique<=1).'") for c in columns_of("orders", *NUMERIC)]]]),
         "categorical_topk_part": topk("part", ["p_name", "p_brand", "p_type"]),
         "text_profile": text_rows("dirty_orders"),
         "text_profile_documents": text_rows("documents"),
@@ -609,12 +636,8 @@ where (contains(lower(dataset_name), 'orders') or contains(lower(source_path), '
         "missing_pct_buckets": with_facts("""select cast(g.range as bigint) as bucket, g.range * 10e0 as low,
   (g.range + 1) * 10e0 as high, count(idx.dataset_id) as "count" from range(10) g
 left join idx on least(9, cast(floor(missing_cell_pct / 10) as bigint)) = g.range group by g.range""", True),
-        "hotspot_matrix": with_facts(f""", spots as (select * from ({HOTSPOTS})),
-ordered as (select *, row_number() over (order by missing_pct desc, dataset_name, "column") as place from spots),
-d as (select dataset_name from ordered group by dataset_name order by min(place)),
-c as (select "column" from ordered group by "column" order by min(place))
-select d.dataset_name, c."column", {r('coalesce(s.missing_pct, 0e0) / 100e0')} as share from d cross join c
-left join spots s on s.dataset_name = d.dataset_name and s."column" = c."column\"""").replace(")\n, spots", "), spots"),
+        "hotspot_matrix": f"""select {IDS}, "column", {r('missing_pct / 100e0')} as share
+from ({with_facts(HOTSPOTS)}) where missing_pct > 0""",
         "master_summary": with_facts(f""", w as ({CATALOG_WARNINGS}), n as (
   select 'datasets' as part, (select count(*) from idx) as entries
   union all select 'global_dtype_counts', (select count(distinct dtype) from facts)

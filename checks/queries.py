@@ -16,7 +16,7 @@ from checks.data import EXACT, TABLES, catalog, table
 from plumbline import Catalog, Dataset, TableProfile
 from plumbline.functions.columns import union_all
 from plumbline.operators import (
-    categorical, correlation, distinct, lists, numeric, overview, sampling, schema, temporal, text,
+    categorical, correlation, distinct, frequent, lists, numeric, overview, sampling, schema, temporal, text,
     uniqueness,
 )
 from plumbline.sources import files, grids
@@ -165,6 +165,26 @@ def unique_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.schema_profile(rows.df, cfg)
 
 
+def max_unique_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uniqueness.uniqueness(table(spark, sf_dir, "judged_documents"), replace(EXACT, max_unique_sample=150))
+
+
+def frequent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most frequent texts of columns with few, many and nearly unique values, by summaries of 96 values."""
+    cells = [{"field": c, "value": f"cast({c} as string)"} for c in ("sparse_status", "tags", "cust_id", "o_orderkey")]
+    top = frequent.top_values(table(spark, sf_dir, "dirty_orders"), cells, 5, replace(EXACT, frequent_items=96))
+    return top.select(F.col("field").alias("column"), "value", F.col("n").alias("count"), F.col("place").cast("bigint").alias("place"))
+
+
+def many_top_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5,000 most frequent values of a key that is unique and of one that is not."""
+    return uniqueness.key_top_repeated(table(spark, sf_dir, "orders"), replace(EXACT, key_top_values=5000), ["o_orderkey", "o_custkey"])
+
+
+def empty_table_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TableProfile(table(spark, sf_dir, "orders").where("o_orderkey < 0"), EXACT).quality_warnings
+
+
 # --- catalog ---------------------------------------------------------------------------------
 
 def quantiles_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +193,16 @@ def quantiles_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(numeric.column_quantiles(df, replace(EXACT, rank_group_rows=2000)))
 
 
+def wide_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """72 numeric columns with nulls in different rows."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        *[f"case when (o_orderkey + {i}) % {i + 2} <> 0 then o_totalprice + o_custkey * {i * i}D end as c{i}" for i in range(72)])
+
+
+def correlations_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(correlation.correlations(wide_orders(spark, sf_dir), EXACT))
+
+
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents written as CSV to the shared folder, with their quotes and line breaks, and read back."""
     docs = table(spark, sf_dir, "documents")
@@ -242,6 +272,7 @@ def queries() -> dict[str, Query]:
         "unique_exact": on("lineitem", distinct.exact_distinct),
         "unique_approx": unique_approx,
         "unique_sample": unique_sample,
+        "max_unique_sample": max_unique_sample,
         "missingness": on("dirty_orders", lambda d: schema.missingness(d, cfg)),
         "missingness_judged_documents": on("judged_documents", lambda d: schema.missingness(d, cfg)),
         "row_missingness": on("dirty_orders", lambda d: schema.row_missingness(d, cfg)),
@@ -265,6 +296,7 @@ def queries() -> dict[str, Query]:
         "numeric_histogram_dirty": on("dirty_orders", lambda d: numeric.numeric_histogram(d, cfg)),
         "correlations": on("dirty_orders", lambda d: correlation.correlations(d, cfg)),
         "correlations_lineitem": on("lineitem", lambda d: correlation.correlations(d, cfg)),
+        "correlations_wide": correlations_wide,
         "correlation_matrix": of("judged_documents", "correlation_matrix"),
         # uniqueness and keys
         "uniqueness": on("dirty_orders", lambda d: uniqueness.uniqueness(d, cfg)),
@@ -283,6 +315,9 @@ def queries() -> dict[str, Query]:
         "categorical_columns": on("dirty_orders", lambda d: categorical.categorical_columns(d, cfg)),
         "categorical_columns_documents": on("documents", lambda d: categorical.categorical_columns(d, cfg)),
         "categorical_topk": on("dirty_orders", lambda d: categorical.categorical_topk(d, cfg)),
+        "frequent_values": frequent_values,
+        "key_top_repeated_many": many_top_keys,
+        "quality_warnings_empty": empty_table_warnings,
         "categorical_topk_part": on("part", lambda d: categorical.categorical_topk(d, cfg)),
         "text_profile": on("dirty_orders", lambda d: text.text_profile(d, cfg)),
         "text_profile_documents": on("documents", lambda d: text.text_profile(d, cfg)),

@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.config import ProfileConfig
-from plumbline.functions.columns import number, pick
+from plumbline.functions.columns import number, pick, union_all
 from plumbline.operators.facts import numeric_fields
 
 PAIR_SCHEMA = "column_a string, column_b string, corr double"
 SUMS = ("n", "sa", "sb", "saa", "sbb", "sab", "infinite")
+#: Columns of a block, blocks that a task holds sums for on either side, rows multiplied at once.
+BLOCK = 64
+HELD = 16
+ROWS = 2048
 
 
 def correlation_note(df: DataFrame, cfg: ProfileConfig) -> str | None:
@@ -71,29 +75,75 @@ def _pairs(sums: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _sums(df: DataFrame, fields: list[T.StructField], means: list[float]) -> DataFrame:
-    """One scan for any number of columns: each task turns its batches into sums per pair
-    by matrix products, and the tasks' sums are added up by pair. `infinite` counts the complete
-    rows of a pair that hold an infinity; those leave no correlation, and touch no other pair."""
-    center, upper = np.array(means), np.triu_indices(len(fields))
+    """(i, j, sums) for each pair of columns, in one scan.
 
-    def task_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - center
-            seen = ~np.isnan(values)
-            endless = np.isinf(values)
-            values[~seen | endless] = 0.0
-            mask, ends = seen.astype(float), endless.astype(float)
-            squares = values * values
-            part = np.stack([mask.T @ mask, values.T @ mask, mask.T @ values,
-                             squares.T @ mask, mask.T @ squares, values.T @ values,
-                             ends.T @ mask + mask.T @ ends])
-            total = part if total is None else total + part
-        if total is not None:
+    Columns go in blocks of BLOCK. Each task turns its batches into sums for every pair of blocks by matrix products and
+    hands on one row for each pair of blocks, which are added up by pair; what a task holds is bounded by
+    HELD blocks on either side. A table of more columns is scanned once for each pair of such groups of blocks, in the same
+    job, and only for their columns. `infinite` counts the complete rows of a pair of columns that hold an infinity; those leave no
+    correlation, and touch no other pair.
+    """
+    n = len(fields)
+    size = min(BLOCK, n)
+    blocks = [range(a, min(a + size, n)) for a in range(0, n, size)]
+    groups = [range(a, min(a + HELD, len(blocks))) for a in range(0, len(blocks), HELD)]
+    if n > BLOCK:  # as many rows are handed on as there are tasks
+        df = df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+    frames = []
+    for g, left in enumerate(groups):
+        for right in groups[g:]:
+            pairs = [(i, j) for i in left for j in right if i <= j]
+            used = sorted({c for b in {*left, *right} for c in blocks[b]})
+            numbers = df.selectExpr(*[f"{number(fields[c])} as x{c}" for c in used])
+            frames.append(numbers.mapInArrow(_task_sums(pairs, {b: [used.index(c) for c in blocks[b]] for b in {*left, *right}}, np.array([means[c] for c in used])),
+                                             "bi int, bj int, sums binary"))
+    pairs = len(blocks) * (len(blocks) + 1) // 2
+    parts = union_all(frames)
+    dealt = (parts.repartition(max(8, pairs // 16), "bi", "bj") if len(blocks) > 1 else parts.repartition(1)).sortWithinPartitions("bi", "bj")
+    return dealt.mapInArrow(_added(blocks), "i int, j int, " + ", ".join(f"{s} double" for s in SUMS))
+
+
+def _task_sums(pairs: list[tuple[int, int]], places: dict[int, list[int]], center: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - center
+                seen, endless = ~np.isnan(values), np.isinf(values)
+                values[~seen | endless] = 0.0
+                parts = {b: [np.ascontiguousarray(x[:, own]) for x in (seen.astype(float), values, values * values, endless.astype(float))] for b, own in places.items()}
+                for i, j in pairs:
+                    (m, v, q, e), (mj, vj, qj, ej) = parts[i], parts[j]
+                    own = np.stack([m.T @ mj, v.T @ mj, m.T @ vj, q.T @ mj, m.T @ qj, v.T @ vj, e.T @ mj + m.T @ ej])
+                    total[i, j] = total[i, j] + own if (i, j) in total else own
+        if total:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(upper[0], pa.int32()), pa.array(upper[1], pa.int32()),
-                 *[pa.array(m[upper], pa.float64()) for m in total]], names=["i", "j", *SUMS])
+                [pa.array([p[k] for p in total], pa.int32()) for k in (0, 1)] + [pa.array([x.tobytes() for x in total.values()], pa.binary())],
+                names=["bi", "bj", "sums"])
+    return run
+
 
-    numbers = df.selectExpr(*[f"{number(f)} as x{i}" for i, f in enumerate(fields)])
-    return (numbers.mapInArrow(task_sums, "i int, j int, " + ", ".join(f"{s} double" for s in SUMS))
-            .groupBy("i", "j").agg(*[F.expr(f"sum({s}) as {s}") for s in SUMS]))
+def _added(blocks: list[range]):
+    """The sums of each pair of blocks over all tasks, a row for each pair of their columns. Rows come in order of the pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+
+        def rows() -> pa.RecordBatch:
+            i, j = np.meshgrid(blocks[now[0]], blocks[now[1]], indexing="ij")
+            upper = i <= j
+            return pa.RecordBatch.from_arrays([pa.array(i[upper], pa.int32()), pa.array(j[upper], pa.int32()), *[pa.array(m[upper]) for m in total]], names=["i", "j", *SUMS])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                bi, bj = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                own = np.frombuffer(batch.column(2)[k].as_buffer(), dtype=float).reshape(len(SUMS), len(blocks[bi]), len(blocks[bj]))
+                if now == (bi, bj):
+                    total = total + own
+                    continue
+                if now is not None:
+                    yield rows()
+                now, total = (bi, bj), own
+        if now is not None:
+            yield rows()
+    return run
