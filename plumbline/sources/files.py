@@ -81,24 +81,33 @@ def grid_datasets(grid: DataFrame, max_rows: int | None = None) -> tuple[list[Da
     """One dataset per (path, sheet) of a grid, and notes on sheets cut at `max_rows`. A cap
     needs consecutive row numbers, as workbooks have.
 
-    The driver sees one header per sheet.
+    Headers, types and sizes of all sheets are found together, and their rows are written once, parted by sheet, to the
+    cluster's shared folder: the grid is scanned as often for a thousand sheets as for one, and each dataset reads its own rows
+    only. The driver sees one row per sheet and one per column.
     """
+    keys, spark = ["path", "sheet"], grid.sparkSession
+    tables = grids.container_tables(grid, keys, max_rows).orderBy(*keys).collect()
+    columns: dict[tuple, list] = {}
+    for r in grids.container_columns(grid, keys, max_rows).orderBy(*keys, "pos").collect():
+        columns.setdefault((r["path"], r["sheet"]), []).append((r["column"], r["type"]))
+    number = F.xxhash64(*[F.coalesce(F.concat(F.lit("="), k), F.lit("")) for k in keys])
+    rows = grids.marked_body(grid, keys, max_rows).where("not over").select(*keys, number.alias("sheet_no"), "cells")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and columns:
+        target = f"{folder.rstrip('/')}/sheets-{uuid.uuid4().hex}"
+        rows.repartition("sheet_no", F.pmod(F.hash("cells"), F.lit(16))).write.partitionBy("sheet_no").parquet(target)
+        rows = spark.read.parquet(target)
+    codes = {(r["path"], r["sheet"]): r["n"] for r in spark.createDataFrame([(t["path"], t["sheet"]) for t in tables], "path string, sheet string").select(*keys, number.alias("n")).collect()}
     datasets, notes = [], []
-    tables = (grid.select("path", "sheet").distinct()
-              .join(grids.headers(grid, ["path", "sheet"])
-                    .withColumnsRenamed({"path": "hp", "sheet": "hs"}),
-                    F.col("path").eqNullSafe(F.col("hp")) & F.col("sheet").eqNullSafe(F.col("hs")), "left")
-              .orderBy("path", "sheet"))
-    for r in tables.collect():
-        own = grid.where(F.col("path").eqNullSafe(r["path"]) & F.col("sheet").eqNullSafe(r["sheet"]))
-        name = os.path.splitext(os.path.basename(r["path"]))[0]
-        if r["names"] is None:
-            frame = own.select().limit(0)
-        else:
-            if grids.is_truncated(own, r["header_row"], max_rows):
-                notes.append(f"{name} (sheet {r['sheet']}) is cut at {max_rows} rows.")
-            frame = grids.typed(grids.body(own, r["header_row"], r["names"], max_rows))
-        datasets.append(Dataset(name, frame, r["path"], r["sheet"]))
+    for t in tables:
+        at = t["path"], t["sheet"]
+        name = os.path.splitext(os.path.basename(t["path"]))[0]
+        own = rows.where((F.col("sheet_no") == codes[at]) & F.col("path").eqNullSafe(t["path"]) & F.col("sheet").eqNullSafe(t["sheet"]))
+        if t["truncated"]:
+            notes.append(f"{name} (sheet {t['sheet']}) is cut at {max_rows} rows.")
+        cells = [F.try_element_at("cells", F.lit(i)) for i in range(1, len(columns.get(at, [])) + 1)]
+        frame = own.select(*[(c if kind == "string" else c.try_cast(kind)).alias(n) for c, (n, kind) in zip(cells, columns.get(at, []))])
+        datasets.append(Dataset(name, frame if t["columns"] else own.select().limit(0), t["path"], t["sheet"]))
     return datasets, notes
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions.columns import is_blank, literal, quoted, ref, rows_of, strip
+from plumbline.functions.columns import is_blank, literal, quoted, ref, rows_of, strip, union_all
 
 # What the text of a column must look like for each type, narrowest first.
 TYPE_PATTERNS = (
@@ -74,11 +74,51 @@ def body(grid: DataFrame, header_row: int, names: list[str], max_rows: int | Non
     return rows.select(*[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
 
 
-def is_truncated(grid: DataFrame, header_row: int, max_rows: int | None) -> bool:
-    """Whether a table has more rows than the cap lets through."""
-    if max_rows is None:
-        return False
-    return not grid.where(F.col("row_no") > header_row + max_rows).isEmpty()
+def _fits(cell: str) -> dict[str, str]:
+    """For each type, SQL for whether a text looks like it."""
+    found = {kind: f"{cell} rlike {literal(pattern)}" for kind, pattern in TYPE_PATTERNS}
+    found["timestamp_ntz"] += f" and try_cast({cell} as timestamp_ntz) is not null"
+    return found
+
+
+def marked_body(grid: DataFrame, keys: list[str], max_rows: int | None = None) -> DataFrame:
+    """The rows below each table's header: (*keys, header_row, names, row_no, cells, over), in one pass over all tables; over: beyond the
+    cap. `headers` has one row per table, metadata, and is broadcast."""
+    own = [f"_{k}" for k in keys]
+    heads = headers(grid, keys).withColumnsRenamed(dict(zip(keys, own)))
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)]
+    rows = grid.join(F.broadcast(heads), same).drop(*own).where(F.col("row_no") > F.col("header_row"))
+    over = F.lit(False) if max_rows is None else F.col("row_no") > F.col("header_row") + max_rows
+    return rows.select(*keys, "header_row", "names", "row_no", "cells", over.alias("over"))
+
+
+def container_columns(grid: DataFrame, keys: list[str], max_rows: int | None = None) -> DataFrame:
+    """(*keys, pos, column, type, non_null): the columns of all tables of a grid with the narrowest type that all
+    their texts fit, in one pass and one small shuffle, however many tables there are."""
+    body_ = marked_body(grid, keys, max_rows).where("not over")
+    cells = body_.select(*keys, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("names")), lambda i: F.struct(
+        F.get("names", i - 1).alias("column"), F.get("cells", i - 1).alias("cell")))).alias("pos", "c")).select(*keys, "pos", "c.column", "c.cell")
+    fits = _fits("cell")
+    counts = cells.groupBy(*keys, "pos", "column").agg(F.count("cell").alias("non_null"), *[F.expr(f"count_if({sql}) as {kind}") for kind, sql in fits.items()])
+    # the columns of tables that have a header only
+    heads = headers(grid, keys).select(*keys, F.posexplode("names").alias("pos", "column"))
+    none = heads.select(*keys, "pos", "column", F.lit(0).cast("bigint").alias("non_null"), *[F.lit(0).cast("bigint").alias(kind) for kind in fits])
+    both = counts.unionByName(none).groupBy(*keys, "pos", "column").agg(*[F.max(c).alias(c) for c in ("non_null", *fits)])
+    kind = F.when(F.col("non_null") == 0, "string")
+    for name in fits:
+        kind = kind.when(F.col(name) == F.col("non_null"), name)
+    return both.select(*keys, "pos", "column", kind.otherwise("string").alias("type"), "non_null")
+
+
+def container_tables(grid: DataFrame, keys: list[str], max_rows: int | None = None) -> DataFrame:
+    """(*keys, columns, rows, truncated): all tables of a grid, those without any text too, which have no columns."""
+    held = marked_body(grid, keys, max_rows)
+    counts = held.groupBy(*keys).agg(F.count_if(~F.col("over")).alias("rows"), F.max("over").alias("truncated"))
+    heads = headers(grid, keys).select(*keys, F.size("names").cast("bigint").alias("columns"))
+    parts = [grid.select(*keys, F.lit(0).cast("bigint").alias("columns"), F.lit(0).cast("bigint").alias("rows"), F.lit(False).alias("truncated")).distinct(),
+             heads.select(*keys, "columns", F.lit(0).cast("bigint").alias("rows"), F.lit(False).alias("truncated")),
+             counts.select(*keys, F.lit(0).cast("bigint").alias("columns"), "rows", "truncated")]
+    return union_all(parts).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("columns", "rows", "truncated")])
 
 
 def column_types(df: DataFrame) -> DataFrame:
@@ -88,10 +128,7 @@ def column_types(df: DataFrame) -> DataFrame:
         c = ref(name)
         aggs.append(f"count({c}) as `{i}_n`")
         kinds = ""
-        for kind, pattern in TYPE_PATTERNS:
-            fits = f"{c} rlike {literal(pattern)}"
-            if kind == "timestamp_ntz":
-                fits += f" and try_cast({c} as timestamp_ntz) is not null"
+        for kind, fits in _fits(c).items():
             aggs.append(f"count_if({fits}) as `{i}_{kind}`")
             kinds += f" when `{i}_{kind}` = `{i}_n` then '{kind}'"
         rows.append({"column": literal(name),
