@@ -508,6 +508,20 @@ from ({SHEET_ROWS})""" for c in types]),
   {r('status__1')} as status__1, cast(col_5 as timestamp) as col_5, status__1__1 from ({SHEET_ROWS})""",
         "sheet_datasets": f"""select 'orders' as name, status as sheet, count(*) as "rows",
   count(status__1) as status__1, cast(6 as bigint) as "columns" from ({SHEET_ROWS}) group by status""",
+        "container_columns": f"""with s as ({SHEET_ROWS}), c as (unpivot (select status as sheet, {', '.join(f'case when {c} is null then 0 else 1 end as {c}' for c in types)} from s)
+  on {', '.join(types)} into name "column" value held),
+t as (values {', '.join(f"('{c}', {i}, '{t}')" for i, (c, t) in enumerate(types.items()))})
+select 'orders.xlsx' as path, sheet, cast(t.col1 as bigint) as pos, c."column", case when sum(held) = 0 then 'string' else t.col2 end as "type", {big('sum(held)')} as non_null
+from c join t on t.col0 = c."column" group by sheet, t.col1, c."column", t.col2
+union all select 'orders.xlsx', 'head', pos, name, 'string', 0 from (values (0, 'only'), (1, 'a header')) as h(pos, name)""",
+        "container_tables": """select 'orders.xlsx' as path, o_orderstatus as sheet, cast(6 as bigint) as "columns",
+  count(*) filter (o_orderkey + 3 <= 1002) as "rows", bool_or(o_orderkey + 3 > 1002) as truncated from orders group by o_orderstatus
+union all select 'orders.xlsx', 'blank', 0, 0, false""",
+        "folder_tables": """select 'orders' as name, 'parquet' as format, true as in_parts, 'o_orderstatus' as partitions, count(*) as "rows", cast(6 as bigint) as "columns" from orders
+union all select 'customer', 'csv', true, '', count(*), 5 from customer union all select 'part', 'json', true, '', count(*), 6 from part""",
+        "written_reports": f"""select format, concat(substring(sha1('lake/orders::sheet=None'), 1, 8), '__orders__sheet-None') as folder,
+  u.*, cast(1 as bigint) as files_found, (select count(*) from orders) as total_rows
+from (values ('csv'), ('json'), ('parquet')) as f(format), ({uniqueness_rows('orders')}) as u""",
         "file_inventory": union([f"""select '{t}.parquet' as file, true as has_bytes, count(*) as "rows",
   cast({len(TABLES[t])} as bigint) as "columns" from {t}""" for t in TABLES]),
         "json_key_inventory": """select event_type, count(*) as documents,
@@ -566,6 +580,8 @@ order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice limit 5
         "key_duplicates": key_rows("dirty_orders", ["o_orderkey", "cust_id"]),
         "key_duplicates_lineitem": key_rows("lineitem", ["l_orderkey", "l_partkey", "l_suppkey"]),
         "key_top_repeated": key_top("dirty_orders", ["o_orderkey", "cust_id"]),
+        "key_document": f"""with k as ({key_rows('dirty_orders', ['o_orderkey', 'cust_id'])})
+select case key_column when 'o_orderkey' then cast(0 as bigint) else 1 end as place, key_column as candidate, key_column, unique_keys, avg_rows_per_key, max_rows_per_key from k""",
         "key_summary": f"""select '["o_orderkey","cust_id"]' as candidates, cast(2 as bigint) as entries,
   max(n) as second_max from (select cust_id, count(*) as n from {view_sql('dirty_orders')}
   where cust_id is not null group by cust_id)""",
@@ -660,4 +676,5 @@ union all select 'benchmark', 'Not enough numeric columns for correlation.' from
     }
     for name in ("lineitem", "documents", "embeddings", "events"):
         sql[f"logical_size_bytes_{name}"] = size_rows(name)
+    sql["master_document"] = sql["sources_table"]
     return sql

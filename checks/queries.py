@@ -19,6 +19,7 @@ from plumbline.operators import (
     categorical, correlation, distinct, frequent, lists, numeric, overview, sampling, schema, temporal, text,
     uniqueness,
 )
+from plumbline.sinks import reports
 from plumbline.sources import files, grids
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +103,60 @@ def sheet_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
                               F.lit(len(d.df.columns)).cast("bigint").alias("columns")) for d in found])
 
 
+def container_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of all sheets, among them one with a header only and one without any text."""
+    grid = order_grid(spark, sf_dir)
+    bare = table(spark, sf_dir, "region").limit(1).selectExpr("'orders.xlsx' as path", """inline(array(
+        struct('blank' as sheet, 0L as row_no, array('', cast(null as string)) as cells),
+        struct('head' as sheet, 4L as row_no, array('only', 'a header') as cells)))""")
+    return grids.container_columns(grid.unionByName(bare), ["path", "sheet"]).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def container_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sheets, cut at a thousand rows."""
+    grid = order_grid(spark, sf_dir)
+    bare = table(spark, sf_dir, "region").limit(1).selectExpr("'orders.xlsx' as path", "'blank' as sheet", "0L as row_no", "array('  ') as cells")
+    return grids.container_tables(grid.unionByName(bare), ["path", "sheet"], 1000)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the cluster shares."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or f'file://{tempfile.mkdtemp()}'}".rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+
+
+def folder_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables written in parts, one of them partitioned, found again: files, rows and columns of each."""
+    folder = scratch(spark, "tables")
+    table(spark, sf_dir, "orders").repartition(4).write.partitionBy("o_orderstatus").parquet(f"{folder}/lake/orders")
+    table(spark, sf_dir, "customer").repartition(3).write.option("header", True).csv(f"{folder}/lake/customer")
+    table(spark, sf_dir, "part").repartition(2).write.json(f"{folder}/lake/deep/part")
+    found = files.discover(spark, [folder])
+    opened, notes = files.open_datasets(spark, found, EXACT)
+    if notes:
+        raise ValueError(notes)
+    sizes = union_all([d.df.agg(F.count("*").alias("rows")).select(F.lit(d.name).alias("name"), "rows", F.lit(len(d.df.columns)).cast("bigint").alias("columns")) for d in opened])
+    known = files.tables(found).select("name", "format", (F.col("files") > 1).alias("in_parts"), F.array_join("partition_columns", ",").alias("partitions"))
+    return known.join(sizes, "name")
+
+
+def written_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of orders written in each format, in the layout of a catalog, and read back."""
+    folder = scratch(spark, "reports")
+    catalog_ = Catalog(spark, [Dataset("orders", table(spark, sf_dir, "orders"), "lake/orders")], EXACT)
+    parts = []
+    for fmt in ("csv", "json", "parquet"):
+        notes = reports.write_catalog(catalog_, f"{folder}/{fmt}", fmt, ("uniqueness",), ("totals",))
+        if not notes.isEmpty():
+            raise ValueError(notes.collect())
+        schema_ = "column string, unique_non_null bigint, unique_including_null_as_value bigint"
+        home = catalog_.ids.head()["dataset_dir"]
+        found = spark.read.format(fmt).schema(schema_).option("header", True).load(f"{folder}/{fmt}/{home}/uniqueness")
+        totals = spark.read.format(fmt).schema("files_found bigint, total_rows bigint").option("header", True).load(f"{folder}/{fmt}/_total/totals") if fmt != "csv" \
+            else spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/csv/_total/totals").selectExpr("cast(files_found as bigint) as files_found", "cast(total_rows as bigint) as total_rows")
+        parts.append(found.join(F.broadcast(totals)).select(F.lit(fmt).alias("format"), F.lit(home).alias("folder"), "*"))
+    return union_all(parts)
+
+
 def header_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each benchmark text as a header: many repeats, some blanks."""
     words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", " ", -1))
@@ -205,9 +260,7 @@ def correlations_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents written as CSV to the shared folder, with their quotes and line breaks, and read back."""
-    docs = table(spark, sf_dir, "documents")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{folder.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    docs, path = table(spark, sf_dir, "documents"), scratch(spark, "csv")
     docs.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     return files.read_csv(spark, path, docs.schema, multiline=True)
 
@@ -233,11 +286,24 @@ def catalog_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = replace(EXACT, sample_rows=100, sample_strategy="random")
-    out = []
-    for name in ("region", "orders", "pages", "benchmark"):
-        for note in TableProfile(table(spark, sf_dir, name), cfg).notes():
-            out.append((name, note))
-    return spark.createDataFrame(out, "dataset string, note string")
+    return union_all([TableProfile(table(spark, sf_dir, name), cfg).notes_frame().select(F.lit(name).alias("dataset"), "note")
+                      for name in ("region", "orders", "pages", "benchmark")])
+
+
+def key_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of the key document, in their order."""
+    text_ = uniqueness.key_summary(table(spark, sf_dir, "dirty_orders"), EXACT)
+    entry = "struct<key_column: string, unique_keys: bigint, avg_rows_per_key: double, max_rows_per_key: bigint>"
+    held = text_.select(F.from_json("document", f"candidates array<string>, by_key array<{entry}>").alias("d"))
+    return rounded(held.select(F.posexplode("d.by_key").alias("place", "e"), "d.candidates").select(
+        F.col("place").cast("bigint").alias("place"), F.get("candidates", F.col("place")).alias("candidate"), "e.*"))
+
+
+def master_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that the master document lists."""
+    shown = catalog(spark, sf_dir)
+    kind = shown.sources_table.schema.simpleString()
+    return rounded(shown.master_summary.select(F.explode(F.from_json("document", f"datasets array<{kind}>")["datasets"]).alias("d")).select("d.*"))
 
 
 def queries() -> dict[str, Query]:
@@ -250,6 +316,10 @@ def queries() -> dict[str, Query]:
         "infer_column_types": infer_column_types,
         "typed_rows": typed_rows,
         "sheet_datasets": sheet_datasets,
+        "container_columns": container_columns,
+        "container_tables": container_tables,
+        "folder_tables": folder_tables,
+        "written_reports": written_reports,
         "file_inventory": file_inventory,
         "json_key_inventory": json_key_inventory,
         # projections, limits, samples
@@ -355,6 +425,8 @@ def queries() -> dict[str, Query]:
         "missing_pct_buckets": over(lambda c: c.missing_pct_buckets()),
         "hotspot_matrix": over(lambda c: c.hotspot_cells()),
         "master_summary": catalog_document,
+        "master_document": master_datasets,
+        "key_document": key_document,
         "run_notes": run_notes,
     }
     for name in ("lineitem", "documents", "embeddings", "events"):

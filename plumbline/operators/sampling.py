@@ -117,6 +117,13 @@ def sampling_note(rows: ProfiledRows, cfg: ProfileConfig) -> str | None:
             f"(of {rows.rows_total} total) using strategy={cfg.sample_strategy}.")
 
 
+def sampling_notes(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
+    """(note): the sampling note as a frame of no or one row, from a count of the rows."""
+    cap = cfg.sample_rows or 0
+    count = df.agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > cap) & F.lit(cap > 0))
+    return count.select(F.format_string(f"Profiled on a sample of {cap} rows (of %d total) using strategy={cfg.sample_strategy}.", "n").alias("note"))
+
+
 def dataset_id(path: Column, sheet: Column) -> Column:
     """First 8 hex digits of SHA-1 over path and sheet."""
     return F.substring(F.sha1(F.concat(path, F.lit("::sheet="), F.coalesce(sheet, F.lit("None")))), 1, 8)

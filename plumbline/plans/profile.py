@@ -6,7 +6,7 @@ import logging
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline.config import ProfileConfig
 from plumbline.functions.columns import local_frame
@@ -181,6 +181,12 @@ class TableProfile:
     def preview(self) -> DataFrame:
         return sampling.head_rows(self.df, self.cfg.preview_rows, self.key)
 
+    def notes_frame(self) -> DataFrame:
+        """(note): the same notes as a frame, evaluated with the tables."""
+        said = correlation.correlation_note(self.source, self.cfg)
+        own = self.source.sparkSession.range(1 if said else 0).select(F.lit(said).cast("string").alias("note"))
+        return sampling.sampling_notes(self.source, self.cfg).unionAll(own)
+
     def notes(self) -> list[str]:
         found = [sampling.sampling_note(self.rows, self.cfg),
                  correlation.correlation_note(self.df, self.cfg)]

@@ -46,7 +46,7 @@ def write_reports(reports: dict[str, DataFrame], folder: str, fmt: str = "csv")
     return notes
 
 
-def write_catalog(catalog: Catalog, root: str, fmt: str = "csv", reports=REPORTS) -> DataFrame:
+def write_catalog(catalog: Catalog, root: str, fmt: str = "csv", reports=REPORTS, rollups=CATALOG_REPORTS) -> DataFrame:
     """Every report on every table under root/<id>__<name>__<sheet>/ and the roll-ups under
     root/_total/. Returns (dataset_id, note), also written to root/_total/notes."""
     spark: SparkSession = catalog.spark
@@ -60,7 +60,7 @@ def write_catalog(catalog: Catalog, root: str, fmt: str = "csv", reports=REPORTS
     tables = catalog.ids.orderBy("ds").collect()  # one row per table
     with ThreadPoolExecutor(cfg.parallel_tables) as pool:
         notes = [note for said in pool.map(one, tables) for note in said]
-    for name in CATALOG_REPORTS:
+    for name in rollups:
         try:
             write_report(getattr(catalog, name), f"{root}/_total/{name}", fmt)
         except Exception as e:

@@ -20,18 +20,22 @@ EXTENSIONS = ("csv", "parquet", "orc", "json")
 FILE_SCHEMA = "path string, length bigint, modificationTime timestamp"
 
 
+def _any_case(*extensions: str) -> str:
+    """A pattern of file names with one of the extensions, in any case."""
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in e) for e in extensions) + "}"
+
+
 def discover(spark: SparkSession, paths: list[str], extensions=EXTENSIONS) -> DataFrame:
     """(path, length, modificationTime) of the data files under folders, files or globs.
 
     Extensions match in any case. Paths that do not exist are skipped with a warning.
     Contents are not read.
     """
-    any_case = ["".join(f"[{c.lower()}{c.upper()}]" for c in e) for e in extensions]
     found = []
     for path in paths:
         try:
             found.append(spark.read.format("binaryFile").option("recursiveFileLookup", True)
-                         .option("pathGlobFilter", "*.{" + ",".join(any_case) + "}")
+                         .option("pathGlobFilter", _any_case(*extensions))
                          .load(path).select("path", "length", "modificationTime"))
         except AnalysisException as e:
             log.warning("Skipping input %s: %s", path, e.getCondition())
@@ -40,19 +44,38 @@ def discover(spark: SparkSession, paths: list[str], extensions=EXTENSIONS) -> Da
     return union_all(found).dropDuplicates(["path"]).orderBy("path")
 
 
+def tables(found: DataFrame) -> DataFrame:
+    """(path, name, format, files, bytes, partition_columns): the tables that discovered files are parts of.
+
+    The files of a writer (part-…), and files in folders key=value, are one table for their folder and format, below any such
+    folders; every other file is a table by itself. One row per table reaches the driver, not one per file.
+    """
+    parts = found.select("path", "length", F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.regexp_replace("path", r"/[^/]*$", "").alias("folder"))
+    keyed = parts.withColumn("keys", F.regexp_extract("folder", r"((?:/[^/=]+=[^/]*)+)$", 1))
+    is_part = F.col("file").rlike(r"\Apart-\d+") | (F.col("keys") != "")
+    root = F.when(is_part, F.expr("left(folder, length(folder) - length(keys))")).otherwise(F.col("path"))
+    kind = F.lower(F.regexp_extract("file", r"\.([^.]*)$", 1))
+    name = F.regexp_extract(F.col("root"), r"([^/]*?)(?:\.[^./]*)?$", 1)
+    columns = F.transform(F.filter(F.split("keys", "/"), lambda k: k != ""), lambda k: F.substring_index(k, "=", 1))
+    return (keyed.select(root.alias("root"), kind.alias("format"), "length", columns.alias("columns"))
+            .groupBy("root", "format").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("columns").alias("partition_columns"))
+            .select(F.col("root").alias("path"), name.alias("name"), "format", "files", "bytes", "partition_columns").orderBy("path", "format"))
+
+
 def has_broken_lines(spark: SparkSession, path: str) -> bool:
     """Whether a line has an odd number of quotes, so that a quoted value may go on in the next."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, multiline: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema=None, multiline: bool = False, checked: bool = False) -> DataFrame:
     """A CSV file with a header. Types are inferred from every row unless given.
 
     Quotes inside quoted values are doubled. Files with line breaks inside quoted values need
-    `multiline`, which reads each file in one task; without it they are refused, not misread.
+    `multiline`, which reads each file in one task; without it they are refused, not misread. `checked`: the lines are known
+    to be whole.
     """
-    if not multiline and has_broken_lines(spark, path):
+    if not multiline and not checked and has_broken_lines(spark, path):
         raise ValueError(f"{path} has quoted line breaks or unbalanced quotes: read it with multiline=True")
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
@@ -127,20 +150,21 @@ def staged(df: DataFrame) -> DataFrame:
 
 def open_datasets(spark: SparkSession, files: DataFrame,
                   cfg: ProfileConfig) -> tuple[list[Dataset], list[str]]:
-    """Datasets for discovered files. A file that cannot be opened becomes a note."""
+    """Datasets for the tables that discovered files make. A table that cannot be opened becomes a note."""
     datasets, notes = [], []
-    for r in files.select("path").collect():  # one row per file of the catalog
-        path = r["path"]
-        stem, ext = os.path.splitext(os.path.basename(path))
+    for r in tables(files).collect():  # one row per table of the catalog
+        path, name, kind = r["path"], r["name"], r["format"]
+        source = path if r["files"] == 1 and path.lower().endswith(f".{kind}") else f"{path}/"
         try:
-            if ext.lower() == ".csv":
-                broken = has_broken_lines(spark, path)
+            if kind == "csv":
+                broken = has_broken_lines(spark, source)
                 if broken:
                     notes.append(f"{path} has quoted line breaks and was read in one task.")
-                datasets.append(Dataset(stem, staged(read_csv(spark, path, multiline=broken)), path))
+                frame = staged(read_csv(spark, source, multiline=broken, checked=True))
             else:
-                datasets.append(Dataset(stem, spark.read.format(ext.lower()[1:]).load(path), path))
-        except Exception as e:  # one bad file must not stop the catalog
+                frame = spark.read.format(kind).option("pathGlobFilter", _any_case(kind)).load(source)
+            datasets.append(Dataset(name, frame, path))
+        except Exception as e:  # one bad table must not stop the catalog
             notes.append(f"Cannot open {path}: {e}")
     return datasets, notes
 
