@@ -4,7 +4,8 @@ A document is its sequence of 5-word shingles. For each of HASHES hash functions
 the sequence (the smallest value at the root, the rest left and right of it) gives its compact windows:
 all stretches of at least LENGTH shingles inside window (l, r) that contain its root share one min-hash.
 A window is shared if the same min-hash is the root of a window of another document. Where shared
-windows of at least NEEDED of the hash functions overlap for LENGTH shingles, there may be a repeated passage.
+windows of at least NEEDED of the hash functions overlap for LENGTH shingles, there may be a repeated passage: two
+stretches of similarity 0.75 share two of six min-hashes at least with probability 0.995.
 
 To verify, the shingles of those stretches are counted over all documents' stretches: a shingle is
 repeated if another document has it, and a passage is a longest stretch of at least LENGTH shingles that
@@ -16,8 +17,8 @@ Equal shingles of the few remaining stretches meet in a window, which streams th
 Texts are shuffled only for documents with shared windows, found by a bit table of fixed size.
 
 Defined results: words as in the Jaccard join; null, empty and shorter texts have no passages; rows that
-share an id are one document, so a passage is not repeated by them alone, and only the text with the
-smallest hash is searched; rows without id take no part. Only the named columns are read.
+share an id are one document, so a passage is not repeated by them alone; each of their different texts is searched, and gives
+rows of its own; rows without id take no part. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .common import dropped, members, written
 WORDS = 5
 #: Shingles of the shortest passage: 50 words.
 LENGTH = 46
-HASHES, NEEDED = 3, 2
+HASHES, NEEDED = 6, 2
 #: What two changed words at most spoil.
 GAP = 2 * WORDS
 
@@ -61,8 +62,8 @@ def _sequence(found: ts.Words, i: int) -> np.ndarray:
 
 
 def _windows(docs: DataFrame, length: int) -> DataFrame:
-    """key (hash function and min-hash), id, l, r, k of every compact window."""
-    schema = T.StructType([T.StructField("key", T.LongType()), docs.schema["id"], *T._parse_datatype_string("l int, r int, k int").fields])
+    """key (hash function and min-hash), id, own (hash of the text), l, r, k of every compact window."""
+    schema = T.StructType([T.StructField("key", T.LongType()), docs.schema["id"], *T._parse_datatype_string("own long, l int, r int, k int").fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -84,10 +85,10 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
                 if keys:
                     span = np.array(spans, dtype=np.int32)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.array(keys, dtype=_U).view(np.int64)), batch.column(1).take(pa.array(rows)).cast(arrow.field(1).type),
+                        pa.array(np.array(keys, dtype=_U).view(np.int64)), *[batch.column(1 + j).take(pa.array(rows)).cast(arrow.field(1 + j).type) for j in (0, 1)],
                         *[pa.array(span[:, j]) for j in range(3)]], schema=arrow)
 
-    return docs.select("text", "id").where("text is not null").mapInArrow(run, schema)
+    return docs.select("text", "id", "own").where("text is not null").mapInArrow(run, schema)
 
 
 def shared_stretches(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -123,30 +124,30 @@ def passages(places: np.ndarray, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def _by_id(rows: DataFrame, columns: list[str], task, schema: T.StructType) -> DataFrame:
-    """Runs task(id, columns as arrays) for the rows of each id, which must be dealt and sorted by id."""
+def _by_text(rows: DataFrame, columns: list[str], task, schema: T.StructType) -> DataFrame:
+    """Runs task(id, own, columns as arrays) for the rows of each text."""
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         name, held = None, []
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            values = np.stack([batch.column(1 + j).to_numpy() for j in range(len(columns))], axis=1) if ids else np.zeros((0, len(columns)))
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            values = np.stack([batch.column(2 + j).to_numpy() for j in range(len(columns))], axis=1) if names else np.zeros((0, len(columns)))
             at = 0
-            while at < len(ids):
+            while at < len(names):
                 to = at + 1
-                while to < len(ids) and ids[to] == ids[at]:
+                while to < len(names) and names[to] == names[at]:
                     to += 1
-                if held and ids[at] != name:
-                    yield from task(name, np.concatenate(held), arrow)
+                if held and names[at] != name:
+                    yield from task(*name, np.concatenate(held), arrow)
                     held = []
-                name = ids[at]
+                name = names[at]
                 held.append(values[at:to])
                 at = to
         if held:
-            yield from task(name, np.concatenate(held), arrow)
+            yield from task(*name, np.concatenate(held), arrow)
 
-    return rows.select("id", *columns).repartition("id").sortWithinPartitions("id").mapInArrow(run, schema)
+    return rows.select("id", "own", *columns).repartition("id", "own").sortWithinPartitions("id", "own").mapInArrow(run, schema)
 
 
 def _others(rows: DataFrame, key: str) -> DataFrame:
@@ -156,27 +157,28 @@ def _others(rows: DataFrame, key: str) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per passage: the document's id, start_word and end_word ([start, end)), n_words, n_repeated (shingles
-    that other documents have) and first_id (the smallest id among the holders of every fourth of them)."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    that other documents have) and first_id (the smallest id among the holders of any of them)."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own")).where("id is not null")
     windows = written(_windows(docs, length), "windows")
     shared = windows.join(_others(windows, "key"), "key", "left_semi")
-    one = T.StructType([docs.schema["id"], *T._parse_datatype_string("l int, r int").fields])
+    one = T.StructType([docs.schema["id"], *T._parse_datatype_string("own long, l int, r int").fields])
 
-    def stretched(name, rows, arrow):
+    def stretched(name, own, rows, arrow):
         found = shared_stretches(rows, length)
         if found:
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip((pa.array([name] * len(found)), pa.array([a for a, _ in found]), pa.array([b for _, b in found])), arrow)], schema=arrow)
+            columns = [name] * len(found), [own] * len(found), [a for a, _ in found], [b for _, b in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    stretches = written(_by_id(shared, ["l", "r", "k"], stretched, one).groupBy("id").agg(F.collect_list(F.struct("l", "r")).alias("stretches")), "stretches")
+    stretches = written(_by_text(shared, ["l", "r", "k"], stretched, one).groupBy("id", "own").agg(F.collect_list(F.struct("l", "r")).alias("stretches")), "stretches")
     dropped(windows)
-    whole = members(docs, stretches).join(stretches, "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("stretches").alias("stretches"))
-    listed = T.StructType([docs.schema["id"], *T._parse_datatype_string("shingle long, pos int").fields])
+    whole = members(docs, stretches).join(stretches, ["id", "own"]).groupBy("id", "own").agg(F.first("text").alias("text"), F.first("stretches").alias("stretches"))
+    listed = T.StructType([docs.schema["id"], *T._parse_datatype_string("own long, shingle long, pos int").fields])
     arrow = to_arrow_schema(listed)
 
     def shingles(batches):
         for batch in batches:
             offsets, data = ts.buffers(batch.column(0))
-            wanted = batch.column(2).to_pylist()
+            wanted = batch.column(3).to_pylist()
             for a, b in ts.slices(offsets):
                 found = ts.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ts.NOT_SPACE)
                 rows, own, places = [], [], []
@@ -188,18 +190,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         own.append(every[pos].view(np.int64))
                         places.append(pos)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(np.concatenate(rows))).cast(arrow.field(0).type), pa.array(np.concatenate(own)), pa.array(np.concatenate(places))], schema=arrow)
+                    at = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(1 + j).take(at).cast(arrow.field(j).type) for j in (0, 1)], pa.array(np.concatenate(own)), pa.array(np.concatenate(places))], schema=arrow)
 
     same = Window.partitionBy("shingle")
-    counted = whole.select("text", "id", "stretches").mapInArrow(shingles, listed)
-    # The smallest id travels with every fourth shingle; with the others the own id, which packs well.
-    smallest = F.when(F.pmod("shingle", F.lit(4)) == 0, F.col("first_id")).otherwise(F.col("id"))
+    counted = whole.select("text", "id", "own", "stretches").mapInArrow(shingles, listed)
     repeated = written(counted.withColumn("first_id", F.min("id").over(same)).withColumn("last_id", F.max("id").over(same))
-                       .where("first_id < last_id").select("id", "pos", smallest.alias("first_id")), "repeated")
+                       .where("first_id < last_id").select("id", "own", "pos", "first_id"), "repeated")
     dropped(stretches)
     found = T.StructType([docs.schema["id"], *T._parse_datatype_string("first int, last int, n_repeated long").fields, T.StructField("first_id", docs.schema["id"].dataType)])
 
-    def joined(name, rows, arrow):
+    def joined(name, own, rows, arrow):
         places, at = np.unique(rows[:, 0].astype(np.int64), return_index=True)
         spans = passages(places, length)
         if spans:
@@ -207,7 +208,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             columns = [[name] * len(spans), [a for a, _ in spans], [b for _, b in spans], [j - i for i, j in ends], [min(rows[at[i:j], 1]) for i, j in ends]]
             yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    spans = _by_id(repeated, ["pos", "first_id"], joined, found)
+    spans = _by_text(repeated, ["pos", "first_id"], joined, found)
     end = F.col("last") + WORDS
     result = written(spans.select(
         F.col("id").alias(id_col), F.col("first").cast("long").alias("start_word"), end.cast("long").alias("end_word"), (end - F.col("first")).cast("long").alias("n_words"), "n_repeated", "first_id"), "passages")

@@ -381,3 +381,33 @@ def test_equal_hashes_are_compared(monkeypatch):
     found = textscan.words(data, offsets, textscan.ALNUM)
     (hit,) = decontaminate._scan(data, found, tables)
     assert hit[2].tolist() == [2] and hit[0].tolist() == [1]
+
+
+# --- passages with changed words --------------------------------------------------------------------
+
+
+def test_passages_of_similarity_three_quarters(spark):
+    """Of passages of 50 words that agree in 75 % of their shingles or a little more, nineteen in twenty are found in both documents, and
+    texts without any stay clean."""
+    from plumbline.llm import substrings
+    rng = random.Random(8)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, planted = {}, set()
+    for i in range(200):
+        passage = new(50 if i % 2 else 60)
+        changed = list(passage)
+        changed[len(passage) // 2] = "changed"  # spoils five shingles of 46 or 56, so that 41 of 51 or 51 of 61 are common
+        texts[2 * i], texts[2 * i + 1] = new(40) + passage + new(60), new(70) + changed + new(20)
+        planted |= {2 * i, 2 * i + 1}
+    clean = {1000 + i: new(150) for i in range(300)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in (texts | clean).items()] + [(0, "another text of the id"), (0, " ".join(texts[0]))], "doc_id long, text string")
+    found = {r.doc_id for r in substrings.repeated_passages(df).collect()}
+    assert len(found & planted) >= 0.95 * len(planted) and not found & set(clean)
+
+
+def test_all_texts_of_an_id_are_searched(spark):
+    from plumbline.llm import substrings
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (1, a)], "doc_id long, text string")
+    found = sorted((r.doc_id, r.start_word, r.end_word, r.first_id) for r in substrings.repeated_passages(df).collect())
+    assert found == [(1, 0, 80, 1), (1, 0, 80, 1), (2, 0, 80, 1), (3, 0, 80, 1)]
