@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.config import ProfileConfig
 from plumbline.functions.columns import is_nested, percent, ref, text, union_all
+from plumbline.operators.distinct import exact_distinct
 from plumbline.operators.facts import column_facts
 
 def row_digest(df: DataFrame) -> list[Column]:
@@ -18,16 +19,34 @@ def row_digest(df: DataFrame) -> list[Column]:
     return [F.expr(f"xxhash64({seed}L, {', '.join(parts)}) as h{seed}") for seed in (1, 2)]
 
 
+def _key_shown(df: DataFrame) -> int | None:
+    """The rows of a table whose first integer or date column, where tables have their key, holds as many values as rows; else None.
+
+    One scan of that column alone, and a shuffle of bitmaps: where it is a key, no row can repeat, and the other columns,
+    texts and vectors among them, need not be read.
+    """
+    whole = [f for f in df.schema.fields if isinstance(f.dataType, (T.IntegralType, T.DateType))][:1]
+    if not whole:
+        return None
+    values = union_all([exact_distinct(df, whole).select(F.lit("values").alias("what"), F.col("unique_non_null").alias("n")),
+                        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows").alias("what"), "n")])
+    found = {r["what"]: r["n"] for r in values.collect()}
+    return found["rows"] if found["rows"] == found.get("values", 0) else None
+
+
 def duplicate_rows(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
     """(rows, duplicate_rows, duplicate_row_pct): rows that occur more than once, the first
     occurrence included.
 
-    One scan and one shuffle of 16-byte digests, counted within each task first, so copies cost
-    one row per task.
+    A table with a key first has none, which one column shows. Otherwise one scan and one shuffle of 16-byte digests, counted
+    within each task first, so copies cost one row per task.
     """
     if not df.columns:
         return df.selectExpr("count(1) as rows", "case when count(1) > 1 then count(1) else 0 end as duplicate_rows"
                              ).withColumn("duplicate_row_pct", percent(F.col("duplicate_rows"), F.col("rows")))
+    rows = _key_shown(df)
+    if rows is not None:
+        return df.sparkSession.createDataFrame([(rows, 0, 0.0)], "rows bigint, duplicate_rows bigint, duplicate_row_pct double")
     counts = df.select(*row_digest(df)).groupBy("h1", "h2").agg(F.expr("count(1) as n"))
     return (counts.selectExpr("coalesce(sum(n), 0L) as rows", "coalesce(sum(case when n > 1 then n end), 0L) as duplicate_rows")
             .withColumn("duplicate_row_pct", percent(F.col("duplicate_rows"), F.col("rows"))))

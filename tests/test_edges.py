@@ -451,3 +451,50 @@ def test_rank_trees_are_compiled(spark):
     df = spark.createDataFrame([(float(x),) for x in (0, 1, 1.5, 2, 2.4, 2.5, 8, 9, 10)], "x double").selectExpr("x", f"{tree} as i")
     assert [r["i"] for r in df.orderBy("x").collect()] == [0, 1, 1, 2, 2, 3, 3, 4, 4]
     assert "lambda" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+# --- keys show that no row repeats; correlations in blocks ------------------------------------------
+
+@pytest.mark.parametrize("make, expected", [
+    ("id as k, 'x' as v", (500, 0)), ("id % 499 as k, 'x' as v", (500, 2)), ("'x' as v, id as k", (500, 0)), ("'x' as v, id / 2 as k", (500, 0)),
+    ("case when id > 0 then id end as k", (500, 0)), ("case when id > 1 then id end as k", (500, 2)), ("1 as k", (500, 500)),
+])
+def test_repeated_rows_with_and_without_a_key(spark, make, expected):
+    got = overview.duplicate_rows(spark.range(500).selectExpr(*make.split(", ")), EXACT).head()
+    assert (got["rows"], got["duplicate_rows"]) == expected
+
+
+def test_keys_of_no_rows(spark):
+    assert tuple(overview.duplicate_rows(spark.createDataFrame([], "k int, v string"), EXACT).head()) == (0, 0, 0.0)
+
+
+@pytest.mark.parametrize("block, held", [(3, 2), (4, 1), (64, 16)])
+def test_correlations_in_blocks(spark, monkeypatch, block, held):
+    monkeypatch.setattr(correlation, "BLOCK", block)
+    monkeypatch.setattr(correlation, "HELD", held)
+    rng = random.Random(2)
+    data = [[None if rng.random() < 0.1 else rng.gauss(0, 1) + (i if rng.random() < 0.5 else 0) for i in range(11)] for _ in range(300)]
+    data[0][10] = math.inf
+    df = spark.createDataFrame([tuple(r) for r in data], ", ".join(f"c{i} double" for i in range(11))).repartition(5)
+    got = {(r["column_a"], r["column_b"]): r["corr"] for r in rows(correlation.correlations(df, EXACT))}
+    assert len(got) == 121
+    for i in range(11):
+        for j in range(11):
+            both = [(r[i], r[j]) for r in data if r[i] is not None and r[j] is not None]
+            if any(math.isinf(v) for p in both for v in p):
+                assert got[f"c{i}", f"c{j}"] is None
+                continue
+            x, y = zip(*both)
+            mx, my = sum(x) / len(x), sum(y) / len(y)
+            sxy = sum((a - mx) * (b - my) for a, b in both)
+            expected = sxy / math.sqrt(sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y))
+            assert got[f"c{i}", f"c{j}"] == pytest.approx(expected)
+
+
+def test_two_thousand_columns_hand_on_blocks(spark):
+    """Each task hands on one row for each pair of blocks, not one for each pair of columns."""
+    df = spark.range(0, 40, 1, 2).selectExpr(*[f"cast((id * {i + 1}) % 37 as double) as c{i}" for i in range(2000)])
+    sums = correlation._sums(df, df.schema.fields, [0.0] * 2000)
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 + 3  # two groups of blocks: three pairs of groups
+    assert sums.count() == 2000 * 2001 // 2

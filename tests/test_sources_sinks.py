@@ -173,3 +173,15 @@ def test_staged_reads_columns(spark, folder):
 def test_dataset_has_path_and_sheet(spark):
     c = Catalog(spark, [Dataset("Mein Bücher-Heft!", spark.range(1), "p", "Blatt 1")], EXACT)
     assert c.ids.head()["dataset_dir"].endswith("__Mein_Bücher-Heft__Blatt_1")
+
+
+def test_tables_of_folders(spark, tmp_path):
+    spark.range(10).selectExpr("id", "id % 2 as a", "id % 3 as b").repartition(3).write.partitionBy("a", "b").parquet(f"{tmp_path}/lake/t")
+    spark.range(10).repartition(2).write.json(f"{tmp_path}/lake/u")
+    (tmp_path / "lake" / "one.csv").write_text("x\n1\n")
+    (tmp_path / "lake" / "two.csv").write_text("y\n1\n2\n")
+    found = files.discover(spark, [str(tmp_path)])
+    got = {r["name"]: (r["format"], r["files"] > 1, r["partition_columns"]) for r in files.tables(found).collect()}
+    assert got == {"t": ("parquet", True, ["a", "b"]), "u": ("json", True, []), "one": ("csv", False, []), "two": ("csv", False, [])}
+    datasets, notes = files.open_datasets(spark, found, EXACT)
+    assert notes == [] and {d.name: (d.df.count(), len(d.df.columns)) for d in datasets} == {"t": (10, 3), "u": (10, 1), "one": (1, 1), "two": (2, 1)}
