@@ -517,6 +517,7 @@ union all select 'orders.xlsx', 'head', pos, name, 'string', 0 from (values (0,
         "container_tables": """select 'orders.xlsx' as path, o_orderstatus as sheet, cast(6 as bigint) as "columns",
   count(*) filter (o_orderkey + 3 <= 1002) as "rows", bool_or(o_orderkey + 3 > 1002) as truncated from orders group by o_orderstatus
 union all select 'orders.xlsx', 'blank', 0, 0, false""",
+        "report_families": union([f"""select '{n}' as dataset_name, {sid(n)} as dataset_id, * from ({missing_rows(n)})""" for n in ("dirty_orders", "judged_documents", "customer", "labels")]),
         "folder_tables": """select 'orders' as name, 'parquet' as format, true as in_parts, 'o_orderstatus' as partitions, count(*) as "rows", cast(6 as bigint) as "columns" from orders
 union all select 'customer', 'csv', true, '', count(*), 5 from customer union all select 'part', 'json', true, '', count(*), 6 from part""",
         "written_reports": f"""select format, concat(substring(sha1('lake/orders::sheet=None'), 1, 8), '__orders__sheet-None') as folder,

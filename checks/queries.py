@@ -157,6 +157,18 @@ def written_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_all(parts)
 
 
+def report_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The missingness of four tables written as one family and read back."""
+    folder = scratch(spark, "families")
+    names = ("dirty_orders", "judged_documents", "customer", "labels")
+    lake = Catalog(spark, [Dataset(n, table(spark, sf_dir, n), f"lake/{n}") for n in names], EXACT)
+    notes = reports.write_families(lake, folder, families=("missingness",))
+    if notes:
+        raise ValueError(notes)
+    return rounded(spark.read.option("basePath", f"{folder}/missingness").schema(
+        "dataset_name string, column string, missing bigint, missing_pct double, dataset_id string").parquet(f"{folder}/missingness"))
+
+
 def header_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each benchmark text as a header: many repeats, some blanks."""
     words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", " ", -1))
@@ -320,6 +332,7 @@ def queries() -> dict[str, Query]:
         "container_tables": container_tables,
         "folder_tables": folder_tables,
         "written_reports": written_reports,
+        "report_families": report_families,
         "file_inventory": file_inventory,
         "json_key_inventory": json_key_inventory,
         # projections, limits, samples

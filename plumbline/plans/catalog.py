@@ -19,6 +19,7 @@ from plumbline.operators.lists import quantiles_of_counts
 from plumbline.operators.overview import duplicate_rows
 from plumbline.operators.sampling import ProfiledRows, dataset_id, profile_rows, slug
 from plumbline.operators.schema import row_missing_quantiles
+from plumbline.plans.profile import TableProfile
 
 NOTES = (
     "Tables whose status is not ok could not be read in full; they count in datasets_failed.",
@@ -57,6 +58,7 @@ class Catalog:
         self.files_found = len({d.path for d in datasets}) if files_found is None else files_found
         self.notes: list[tuple[int, str]] = []  # (table number, what failed)
         self._rows: dict[int, ProfiledRows] = {}
+        self._tables: dict[int, TableProfile] = {}
 
     def _profiled(self, i: int) -> ProfiledRows:
         if i not in self._rows:
@@ -69,9 +71,23 @@ class Catalog:
         One job per table, several at a time: tables are independent, and together they keep
         the cluster busy. A table whose job fails has no rows here and is noted; the index keeps it.
         """
+        return self._gathered(name, lambda i: report(self._profiled(i).df), schema)
+
+    def family(self, report: str) -> DataFrame:
+        """(dataset_id, dataset_name, sheet_name, ...): a report of TableProfile for all tables of the catalog in one frame. Families
+        share the scans of each table. Reports whose columns are the table's own have none."""
+        def one(i: int) -> DataFrame:
+            if i not in self._tables:
+                self._tables[i] = TableProfile(self._profiled(i).df, self.cfg)
+            return getattr(self._tables[i], report)
+
+        found = self._gathered(report, one, "ds int")
+        return self._named(found).drop("ds")
+
+    def _gathered(self, name: str, make: Callable[[int], DataFrame], schema: str) -> DataFrame:
         def one(i: int) -> pa.Table | None:
             try:
-                found = report(self._profiled(i).df).withColumn("ds", F.lit(i)).toArrow()
+                found = make(i).withColumn("ds", F.lit(i)).toArrow()
                 return found.cast(pa.schema([f.with_nullable(True) for f in found.schema]))
             except Exception as e:
                 self.notes.append((i, f"Report '{name}' failed: {e}"))

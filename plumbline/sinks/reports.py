@@ -46,6 +46,27 @@ def write_reports(reports: dict[str, DataFrame], folder: str, fmt: str = "csv")
     return notes
 
 
+#: Reports with the same columns for every table.
+FAMILIES = tuple(r for r in REPORTS if r != "preview")
+
+
+def write_families(catalog: Catalog, root: str, fmt: str = "parquet", families=FAMILIES) -> list[str]:
+    """Each report on all tables as one table root/<report>, parted by dataset_id: one write for each report however many
+    tables there are, and one to read by. A report that fails becomes a note."""
+    notes = []
+    for name in families:
+        try:
+            report = catalog.family(name)
+            if fmt == "csv":
+                nested = {f.name for f in report.schema.fields if is_nested(f.dataType)}
+                report = report.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if c in nested else F.col(f"`{c}`") for c in report.columns])
+            writer = report.repartition("dataset_id").write.mode("overwrite").partitionBy("dataset_id").format(fmt)
+            (writer.option("header", True) if fmt == "csv" else writer).save(f"{root}/{name}")
+        except Exception as e:  # one failing report must not lose the others
+            notes.append(f"Report '{name}' failed: {e}")
+    return notes
+
+
 def write_catalog(catalog: Catalog, root: str, fmt: str = "csv", reports=REPORTS, rollups=CATALOG_REPORTS) -> DataFrame:
     """Every report on every table under root/<id>__<name>__<sheet>/ and the roll-ups under
     root/_total/. Returns (dataset_id, note), also written to root/_total/notes."""
