@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -66,6 +67,9 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#root", -1, [], None)]
         self.open, self.silent, self.link = [0], [], False
+        #: Where in `open` blocks of each tag are, and where in `silent` elements that silence.
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.silencers: list[int] = []
         self.run, self.run_linked = [], 0
         self.feed(html)
         self.close()
@@ -81,24 +85,35 @@ class Tree(HTMLParser):
             self.nodes.append(node)
         self.run, self.run_linked = [], 0
 
-    def _close(self, tags: set[str], within: set[str] = frozenset()) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.nodes[self.open[k]].tag
-            if tag in tags:
-                self._end_run()
-                del self.open[k:]
-                self.link = False
-                return
-            if tag in within:
-                return
+    def _push(self, node: int) -> None:
+        self.open.append(node)
+        self.places[self.nodes[node].tag].append(len(self.open) - 1)
 
-    def _silent_at(self) -> int:
-        """Place of the innermost silent element among those open, blocks inside them too."""
-        return max(k for k, tag in enumerate(self.silent) if tag not in BLOCKS)
+    def _close(self, tags: set[str], within: set[str] = frozenset()) -> None:
+        """Closes the innermost open block of these tags and all inside it, unless one of `within` is open further in."""
+        k = max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+        if not k or any(self.places[t] and self.places[t][-1] > k for t in within):
+            return
+        self._end_run()
+        for node in self.open[k:]:
+            self.places[self.nodes[node].tag].pop()
+        del self.open[k:]
+        self.link = False
+
+    def _quieten(self, tag: str) -> None:
+        self.silent.append(tag)
+        if tag not in BLOCKS:
+            self.silencers.append(len(self.silent) - 1)
+
+    def _sound(self, k: int) -> None:
+        """Ends the silent elements from place k on."""
+        del self.silent[k:]
+        while self.silencers and self.silencers[-1] >= k:
+            self.silencers.pop()
 
     def _can_lie(self, tag: str) -> bool:
         """Whether a block can lie in the innermost silent element."""
-        k = self._silent_at()
+        k = self.silencers[-1]  # the innermost silent element, whatever blocks are open inside it
         if self.silent[k] in ANY_BLOCKS:
             return True
         if self.silent[k] in NO_BLOCKS or tag in OUTER and self.silent[k] != "noscript" or tag in ("html", "body"):
@@ -108,20 +123,20 @@ class Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if self.silent:
             if tag in SILENT or tag == "foreignobject":
-                self.silent.append(tag)
+                self._quieten(tag)
             if tag not in BLOCKS or tag in VOID:
                 return
             while self.silent and not self._can_lie(tag):
-                del self.silent[self._silent_at() :]
+                self._sound(self.silencers[-1])
             if self.silent:
-                self.silent.append(tag)
+                self._quieten(tag)
                 return
         if tag in VOID:
             self.run.append(" ")
             if tag == "hr":
                 self._end_run()
         elif tag in SILENT:
-            self.silent.append(tag)
+            self._quieten(tag)
             self.run.append(" ")
         elif tag == "a":
             self.link = True
@@ -133,7 +148,7 @@ class Tree(HTMLParser):
             found = dict(attrs)
             label = found.get("data-content") or self.nodes[self.open[-1]].label
             self.nodes.append(Node(tag, self.open[-1], _block_features(tag, found), label))
-            self.open.append(len(self.nodes) - 1)
+            self._push(len(self.nodes) - 1)
             self.link = False
 
     def handle_startendtag(self, tag, attrs):
@@ -143,11 +158,11 @@ class Tree(HTMLParser):
     def handle_endtag(self, tag):
         if self.silent:
             if tag in self.silent:
-                del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
+                self._sound(len(self.silent) - 1 - self.silent[::-1].index(tag))
                 return
-            if tag not in BLOCKS or all(self.nodes[k].tag != tag for k in self.open):
+            if tag not in BLOCKS or not self.places[tag]:
                 return
-            self.silent = []  # an enclosing block closes
+            self._sound(0)  # an enclosing block closes
         if tag == "a":
             self.link = False
         elif tag == "br":

@@ -70,18 +70,21 @@ def _families() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
                 name = f"cc-{kind.lower()}-{version}-{i}"
                 sentences[name] = text.format(f"{kind} {version}")
                 rules.append((f"CC-{kind}-{version}", [name]))
-    for short, long in (("GPL", "GNU General Public License"), ("LGPL", "GNU Lesser General Public License"), ("AGPL", "GNU Affero General Public License")):
-        for version in ("2", "2.1", "3"):
+    published = (("GPL", "GNU General Public License", ("1", "2", "3")), ("LGPL", "GNU Lesser General Public License", ("2", "2.1", "3")),
+                 ("AGPL", "GNU Affero General Public License", ("1", "3")))
+    for short, long, versions in published:
+        for version in versions:
+            listed = f"{short}-{version if '.' in version else version + '.0'}"
             for i, text in enumerate(("This work is licensed under the {}, version {}.", "Licensed under the {}, version {}.", "Released under the {}, version {}.")):
                 name = f"{short.lower()}-{version}-name-{i}"
                 sentences[name] = text.format(long, version)
-                rules.append((f"{short}-{version}", [name]))
+                rules.append((listed, [name]))
             terms = f"{short.lower()}-{version}-terms"
             sentences[terms] = f"you can redistribute it and/or modify it under the terms of the {long} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
             for free in ("gpl-free", "gpl-free-2"):
-                rules.insert(0, (f"{short}-{version}-or-later", [free, terms, "gpl-useful", "gpl-implied", "gpl-details"]))
-                rules.append((f"{short}-{version}-or-later", [free, terms]))
-            rules.append((f"{short}-{version}-or-later", [terms]))
+                rules.insert(0, (f"{listed}-or-later", [free, terms, "gpl-useful", "gpl-implied", "gpl-details"]))
+                rules.append((f"{listed}-or-later", [free, terms]))
+            rules.append((f"{listed}-or-later", [terms]))
     return sentences, rules
 
 

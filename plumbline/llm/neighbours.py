@@ -49,6 +49,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, which changes no cosine, so that no square of a component overflows or vanishes."""
+    if not x.size:
+        return x
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     big = np.abs(x).max(axis=1, keepdims=True)
     x = x / np.where(big > 0, big, 1)
@@ -92,8 +99,8 @@ class Files:
     """The inverted files of a block of rows."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, orders: np.ndarray, pivots: int):
-        self.ids, self.vectors, self.n = ids, vectors, len(ids)
-        self.unit = np.sqrt((vectors * vectors).sum(axis=1))
+        self.ids, self.vectors, self.n = ids, _scaled(vectors), len(ids)
+        self.unit = np.sqrt((self.vectors * self.vectors).sum(axis=1))
         places = orders.shape[1]
         self.weight = 2 * (places - np.maximum.outer(np.arange(places), np.arange(places)))
         by_pivot = np.argsort(orders.ravel(), kind="stable")
@@ -115,6 +122,7 @@ class Files:
         c = max(LEAST, int(np.ceil(SHARE * self.n))) + 1
         at = self.closest(order, c)
         at = at[self.ids[at] != own]
+        query = _scaled(query[None])[0]
         score = (self.vectors[at] * query).sum(axis=1) / (self.unit[at] * np.sqrt((query * query).sum()))
         return _top(self.ids[at], score, k)
 

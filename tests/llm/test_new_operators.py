@@ -411,3 +411,33 @@ def test_all_texts_of_an_id_are_searched(spark):
     df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (1, a)], "doc_id long, text string")
     found = sorted((r.doc_id, r.start_word, r.end_word, r.first_id) for r in substrings.repeated_passages(df).collect())
     assert found == [(1, 0, 80, 1), (1, 0, 80, 1), (2, 0, 80, 1), (3, 0, 80, 1)]
+
+
+# --- pages with many stray ends, vectors of any size ------------------------------------------------
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "</p>" * 40_000 + "x", "<template>" + "<div>" * 20_000 + "</p>" * 20_000, "<table>" + "<div>" * 20_000 + "<td>a</td>" * 20_000])
+def test_pages_take_linear_time(page):
+    import time
+
+    from plumbline.llm import html_text
+    start = time.process_time()
+    html_text.Tree(page)
+    assert time.process_time() - start < 20
+
+
+def test_huge_and_tiny_vectors(spark):
+    """Components whose squares overflow or vanish have the cosines of the same vectors at an ordinary size."""
+    from plumbline.llm import neighbours
+    rng = np.random.default_rng(3)
+    plain = rng.normal(size=(60, 8))
+    factors = np.array([1.0, 1e200, 1e-200])[np.arange(60) % 3]
+    scores = []
+    for vectors in (plain, plain * factors[:, None]):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        rows = neighbours.valid(df, "vec_id", "embedding")
+        pivots = neighbours.choose_pivots(rows)
+        index = neighbours.build(rows, pivots)
+        scores.append({(r.query_id, r.vec_id): r.score for r in neighbours.search(index, pivots, index.where("id % 10 = 0"), 60).collect()})
+    assert scores[0].keys() == scores[1].keys() and len(scores[0]) == 6 * 59
+    assert all(scores[1][k] == pytest.approx(v, abs=1e-12) for k, v in scores[0].items())

@@ -503,5 +503,5 @@ def test_licenses_as_usually_laid_out(spark):
     texts = [mit, listed(["1.", "2.", "3."]), listed(["(a)", "(b)", "(c)"]), listed("***"), apache, gpl, mpl, known["mpl-2-form"], project, version]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
     bsd = ["BSD-3-Clause", "LicenseRef-all-rights-reserved"]
-    assert [got[i].licenses for i in range(10)] == [["MIT"], bsd, bsd, bsd, ["Apache-2.0"], ["GPL-3-or-later"], ["MPL-2.0"], ["MPL-2.0"], ["MIT"], ["GPL-3"]]
+    assert [got[i].licenses for i in range(10)] == [["MIT"], bsd, bsd, bsd, ["Apache-2.0"], ["GPL-3.0-or-later"], ["MPL-2.0"], ["MPL-2.0"], ["MIT"], ["GPL-3.0"]]
     assert {r.unclassified for r in got.values()} == {0} and got[8].sentences == ["mit-name-3"] and len(got[4].sentences) == 5
