@@ -157,6 +157,9 @@ class Catalog:
                   .join(F.broadcast(empty), "ds", "left").join(F.broadcast(self._failures), "ds", "left"))
         # A table without columns has no facts, and none have failed.
         none = F.col("has_facts").isNull() & F.col("failed").isNull()
+        # Of a table that cannot be read in full, not even what a key column shows is reported.
+        for c in ("rows", "duplicate_row_pct"):
+            joined = joined.withColumn(c, F.when(F.col("has_facts").isNotNull() | none, F.col(c)))
         for c in ("columns", "missing_cells", "memory_bytes_estimate"):
             joined = joined.withColumn(c, F.when(none, F.lit(0)).otherwise(F.col(c)).cast("bigint"))
         return local_frame(joined.select(
