@@ -64,23 +64,16 @@ def _none(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], "column string, unique_non_null bigint")
 
 
-def _word(value: str) -> dict[str, str]:
-    """An integer as its place in a bitmap: a word of 64 values, and the bit in it."""
-    return {"v_int": f"shiftright({value}, 6)", "bit": f"coalesce(shiftleft(1L, cast({value} & 63L as int)), 1L)"}
+def _words(values: DataFrame) -> DataFrame:
+    """Rows of lanes with integers as their place in a bitmap: a word of 64 values (v_int) and the bit in it. A double of at most two
+    decimals is the integer of its hundredths: no other double gives the same one back.
 
-
-def _bits(field: T.StructField) -> dict[str, str]:
-    """The lanes of a value, integers as places in bitmaps. A double of at most two decimals is the integer of its hundredths:
-    no other double gives the same one back."""
-    lanes, dtype = {**_lanes(field, False), "bit": "1L"}, field.dataType
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        v = lanes["v_num"]
-        whole = f"case when abs({v}) < 1e13D then cast(rint({v} * 100D) as bigint) end"
-        exact = f"case when ({whole}) / 100D = {v} then {whole} end"
-        return {**lanes, **_word(f"({exact})"), "v_num": f"case when ({exact}) is null then {v} end"}
-    if lanes["v_int"].startswith("cast(null"):
-        return lanes
-    return {**lanes, **_word(f"({lanes['v_int']})")}
+    The steps are projections after one another, so that each expression is compiled once, for all columns.
+    """
+    hundredths = "case when v_int is null and abs(v_num) < 1e13D then cast(rint(v_num * 100D) as bigint) end as h"
+    whole = values.selectExpr("field", "v_int", "v_num", "v_text", hundredths).selectExpr("field", "v_int", "v_num", "v_text", "case when h / 100D = v_num then h end as h")
+    placed = whole.selectExpr("field", "coalesce(v_int, h) as place", "case when h is null then v_num end as v_num", "v_text")
+    return placed.selectExpr("field", "shiftright(place, 6) as v_int", "v_num", "v_text", "coalesce(shiftleft(1L, cast(place & 63L as int)), 1L) as bit")
 
 
 def exact_distinct(df: DataFrame, fields: list[T.StructField] | None = None) -> DataFrame:
@@ -92,8 +85,8 @@ def exact_distinct(df: DataFrame, fields: list[T.StructField] | None = None) ->
     fields = df.schema.fields if fields is None else fields
     if not fields:
         return _none(df)
-    values = rows_of(df, [{"field": str(i), **_bits(f)} for i, f in enumerate(fields)]).where(has_value())
-    words = values.groupBy("field", "v_int", "v_num", "v_text").agg(F.expr("bit_or(bit) as bits"))
+    values = rows_of(df, [{"field": str(i), **_lanes(f, False)} for i, f in enumerate(fields)]).where(has_value())
+    words = _words(values).groupBy("field", "v_int", "v_num", "v_text").agg(F.expr("bit_or(bit) as bits"))
     return (words.groupBy("field").agg(F.expr("sum(bit_count(bits)) as unique_non_null"))
             .select(field_name(fields).alias("column"), "unique_non_null"))
 

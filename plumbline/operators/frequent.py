@@ -6,7 +6,7 @@ only their counts move. If the k-th of them is more frequent than any value outs
 ranking is settled, however many values the column has. Only columns where it is not, such as one of
 nearly unique values, are counted in full, by a shuffle of (value, count).
 
-A ranking is taken in two steps, first within slots of the values' hashes, so that no task sorts all values of a column.
+A ranking of many is taken in two steps, first within slots of the values' hashes, so that no task sorts all values of a column.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from plumbline.config import ProfileConfig
 from plumbline.functions.columns import literal, rows_of, union_all
 
 SLOTS = 64
+#: Up to this k Spark keeps k rows of each field in every task before a ranking is shuffled, so slots are not needed.
+GROUP_LIMIT = 1000
 
 
 def value_rows(df: DataFrame, cells: list[dict[str, str]]) -> DataFrame:
@@ -26,6 +28,8 @@ def value_rows(df: DataFrame, cells: list[dict[str, str]]) -> DataFrame:
 def ranked(counts: DataFrame, k: int, field: str = "field", value: str = "value", n: str = "n") -> DataFrame:
     """The k rows with the highest n of each field (the smaller value first on a tie), with their `place`, from 1."""
     order = [F.desc(n), value]
+    if k <= GROUP_LIMIT:
+        return counts.withColumn("place", F.row_number().over(Window.partitionBy(field).orderBy(*order))).where(F.col("place") <= k)
     slot = F.pmod(F.xxhash64(value), F.lit(SLOTS))
     near = Window.partitionBy(field, "slot").orderBy(*order)
     some = counts.withColumn("slot", slot).withColumn("place", F.row_number().over(near)).where(F.col("place") <= k).drop("slot", "place")
