@@ -1,20 +1,28 @@
-"""Toxicity: two Kneser-Ney word models, one per class, that share their backoff.
+"""Toxicity: interpolated Kneser-Ney word models, one per class, over one shared base.
 
-A word's probability under a class interpolates that class's discounted counts with lower orders:
-pair of words, word, word beginning (first STEM bytes), and at the bottom a distribution shared by
-both classes, which receives the discounted mass of both. How much is discounted depends on how far
-the class counts of an expression differ (likelihood ratio statistic, against a threshold that rises
-with the number of expressions): where they do not, as for all rare ones, the whole count goes to the
-shared backoff and the expression says nothing for either class. Where they do, D is discounted.
+A word's probability after the word before it is, for class c,
+
+    P(w | v) = kept(v, w) / N(v) + (1 - sum of kept(v, .) / N(v)) * P(w)
+    P(w)     = kept(w) / N + (1 - sum of kept / N) * P(s) * Q(w | s)
+    P(s)     = kept(s) / N + (1 - sum of kept / N) * Q(s)
+
+with s the word's beginning (first STEM bytes). N(v) counts the class's texts with the pair, and the lower
+orders count continuations: in how many pairs of the class a word, or the words of a beginning, come second.
+Q, the base that both classes share, has the shares of tokens of all documents, labelled or not.
+
+kept is a count less its discount: D where the classes differ in the expression, and the whole count where they do not,
+as for all rare ones, so that it passes to the shared backoff. They differ where a likelihood ratio statistic of the
+numbers of texts of each class reaches a threshold that rises with the number of expressions. (A fixed discount alone
+leaves chance differences of very many rare words, which outweigh the few words that matter in a long text.)
 
 A document's figure is the difference of both log-likelihoods, divided by its number of words. A
 logistic curve, fitted on labelled documents that gave no counts, turns it into a score from 0 to 1.
 
-Counts are numbers of distinct texts, so repeats within a text or copies of it weigh once. The model
-is fitted on a bounded sample: per class the documents with the smallest hashes, TRAIN_BYTES in all.
-Shared parts cancel, so the broadcast model holds only expressions that tell the classes apart.
+Counts are numbers of distinct texts, so repeats within a text or copies of it weigh once. The classes are learnt
+from a bounded sample: per class the documents with the smallest hashes, TRAIN_BYTES in all.
+What both classes share cancels, so the broadcast model holds only expressions that tell the classes apart.
 
-Defined results: null, empty and wordless texts have no words and a figure of 0; a doc_id labelled
+Defined results: null, empty and wordless texts have no words and the figure of a text of unknown words; a doc_id labelled
 several times is toxic if any label says so; null labels and ids do not count; without training
 texts of both classes all scores are 0. Only the named columns are read, so others cannot clash.
 """
@@ -38,8 +46,9 @@ SMALL = 64
 
 STEM = 5
 D = 0.75
-#: An expression is told apart if its statistic reaches this much per unit of ln(expressions).
-EVIDENCE = 3.0
+#: An expression tells the classes apart if its statistic reaches this much per unit of ln(expressions), by level. Pairs
+#: need more: those of a sentence that near copies share come together.
+EVIDENCE = 3.0, 3.0, 4.0
 #: Width of the bins in which figures of the calibration documents are counted, and their number.
 BIN, BINS = 0.001, 4000
 #: The curve used when there is nothing to fit it on.
@@ -51,14 +60,25 @@ WORD, BEGINNING, PAIR = 0, 1, 2
 
 @dataclass
 class Model:
-    """Log ratios of expressions by level, keys ascending; the curve's slope and intercept."""
+    """Log ratios (toxic against ordinary) of expressions by level, keys ascending: of words and pairs those of their
+    probabilities, of beginnings likewise; of histories those of the share that backs off. The curve's slope and intercept."""
 
     keys: list[np.ndarray]
     ratios: list[np.ndarray]
+    histories: np.ndarray
+    backoff: np.ndarray
+    #: Of words that are not among the keys, on top of their beginning's; of other beginnings.
+    other_words: float = 0.0
+    other_beginnings: float = 0.0
     slope: float = SLOPE
     intercept: float = -SLOPE * MIDDLE
     fitted: bool = True
 
+    @property
+    def unknown(self) -> float:
+        """The figure of a text of unknown words."""
+        return self.other_words + self.other_beginnings
+
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[ts.Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words, and for each word its beginning, the pair with the word before, and that word."""
@@ -83,7 +103,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[ts.Words, np.ndarray,
 
 
 def _count_task(schema: pa.Schema):
-    """(text, toxic) to rows of level, expression, the word before, and the texts of each class that have it."""
+    """(text, toxic) to rows of level, expression, for pairs the word before, the word and its beginning, and the texts of each class that have it."""
 
     def run(batches):
         for batch in batches:
@@ -100,10 +120,10 @@ def _count_task(schema: pa.Schema):
                     keys, where, back = np.unique(own[new], return_index=True, return_inverse=True)
                     yes = np.bincount(back, weights=toxic[a + of[new]], minlength=len(keys)).astype(np.int64)
                     every = np.bincount(back, minlength=len(keys))
-                    history = before[order][new][where] if level == PAIR else np.zeros(len(keys), dtype=_U)
+                    of_pair = [y[order][new][where] if level == PAIR else np.zeros(len(keys), dtype=_U) for y in (before, found.hashes, stems)]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(keys), level, dtype=np.int32)), pa.array(keys.view(np.int64)),
-                        pa.array(history.view(np.int64)), pa.array(yes), pa.array(every - yes)], schema=schema)
+                        *[pa.array(y.view(np.int64)) for y in of_pair], pa.array(yes), pa.array(every - yes)], schema=schema)
     return run
 
 
@@ -136,6 +156,92 @@ def _statistic(t, o, n_t, n_o):
     return 2 * (part(t, n_t * p) + part(o, n_o * p) + part(n_t - t, n_t * (1 - p)) + part(n_o - o, n_o * (1 - p)))
 
 
+def _base(every: DataFrame, words: np.ndarray, stems: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Tokens of these words, tokens of these beginnings, and all tokens, in all texts (the only column of every).
+
+    Each task adds up its texts and hands on one row per key it met; the keys are those of the sample's telling expressions."""
+    schema = "level int, at int, n long"
+    shared = every.sparkSession.sparkContext.broadcast((words, stems))
+
+    def run(batches):
+        keys = shared.value
+        totals, tokens = [np.zeros(len(k), dtype=np.int64) for k in keys], 0
+        for batch in batches:
+            offsets, data = ts.buffers(batch.column(0))
+            for a, b in ts.slices(offsets):
+                found, own, _, _ = _grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                tokens += len(own)
+                for k, total, x in zip(keys, totals, (found.hashes, own)):
+                    at = np.searchsorted(k, x)
+                    at[at == len(k)] = 0
+                    if len(k):
+                        total += np.bincount(at[k[at] == x], minlength=len(k))
+        for level, n in ((WORD, totals[0]), (BEGINNING, totals[1]), (PAIR, np.array([tokens]))):
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["level", "at", "n"])
+
+    sums = every.mapInArrow(run, schema).groupBy("level", "at").agg(F.sum("n").alias("n")).collect()
+    out = [np.zeros(len(words)), np.zeros(len(stems)), np.zeros(1)]
+    for r in sums:
+        out[r.level][r["at"]] = r.n
+    return out[0], out[1], int(out[2][0])
+
+
+def learn(texts: DataFrame, every: DataFrame) -> Model:
+    """The model of texts (text, toxic: 0 or 1), distinct ones, over the base of all texts `every`, before its curve is fitted."""
+    n = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    n_t, n_o = float(n.get(1, 0)), float(n.get(0, 0))
+    none, zero = np.zeros(0, dtype=_U), np.zeros(0)
+    if not n_t or not n_o:
+        return Model([none] * 3, [zero] * 3, none, zero, fitted=False)
+    schema = T._parse_datatype_string("level int, gram long, history long, word long, stem long, t long, o long")
+    parts = texts.mapInArrow(_count_task(to_arrow_schema(schema)), schema)
+    counts = written(parts.groupBy("level", "gram").agg(*[F.first(c).alias(c) for c in ("history", "word", "stem")], F.sum("t").alias("t"), F.sum("o").alias("o")), "counts")
+    of = {r.level: r["count"] for r in counts.groupBy("level").count().collect()}
+    telling = lambda level, n_t, n_o: _statistic(F.col("t"), F.col("o"), n_t, n_o) >= EVIDENCE[level] * math.log(of.get(level, 0) + 1)
+    pairs = counts.where(F.col("level") == PAIR)
+    after = pairs.groupBy("word").agg(F.first("stem").alias("stem"), F.sum((F.col("t") > 0).cast("long")).alias("c_t"), F.sum((F.col("o") > 0).cast("long")).alias("c_o"))
+    kept = []
+    for level, key in ((WORD, "word"), (BEGINNING, "stem")):
+        apart = counts.where((F.col("level") == level) & telling(level, F.lit(n_t), F.lit(n_o))).select(F.col("gram").alias(key))
+        kept.append(after.join(apart, key).groupBy(key).agg(F.first("stem").alias("of"), F.sum("c_t").alias("t"), F.sum("c_o").alias("o")).toPandas())
+    total = after.agg(F.sum("c_t").alias("t"), F.sum("c_o").alias("o")).head()
+    before = pairs.groupBy("history").agg(F.sum("t").alias("h_t"), F.sum("o").alias("h_o"))
+    kept.append(pairs.join(before, "history").where(telling(PAIR, F.col("h_t"), F.col("h_o"))).select("gram", "history", "word", "stem", "t", "o", "h_t", "h_o").toPandas())
+    dropped(counts)
+    return _model(*kept, total.t or 0, total.o or 0, every)
+
+
+def _model(word, beginning, pair, n_t: int, n_o: int, every: DataFrame) -> Model:
+    """The model of the telling words and beginnings with their continuation counts, and pairs with their counts and those of their histories."""
+    unsigned = lambda column: column.to_numpy(dtype=np.int64).view(_U)
+    all_words, at = np.unique(np.concatenate([unsigned(word.word), unsigned(pair.word)]), return_index=True)
+    stem_of = np.concatenate([unsigned(word.of), unsigned(pair.stem)])[at]
+    all_stems = np.unique(np.concatenate([unsigned(beginning.stem), stem_of]))
+    of_words, of_stems, tokens = _base(every, all_words, all_stems)
+    of_stems = np.maximum(of_stems, 1)
+    share = np.maximum(of_words, 1) / of_stems[np.searchsorted(all_stems, stem_of)]
+    stem_at, word_at = np.searchsorted(all_stems, unsigned(beginning.stem)), np.searchsorted(all_words, unsigned(word.word))
+    pair_at, histories = np.searchsorted(all_words, unsigned(pair.word)), unsigned(pair.history)
+    own_histories, back = np.unique(histories, return_inverse=True)
+    logs = []
+    for c, n in (("t", n_t), ("o", n_o)):
+        stems, words = np.zeros(len(all_stems)), np.zeros(len(all_words))
+        stems[stem_at] = np.maximum(beginning[c].to_numpy(dtype=float) - D, 0) / n
+        words[word_at] = np.maximum(word[c].to_numpy(dtype=float) - D, 0) / n
+        rest_s, rest_w = 1 - stems.sum(), 1 - words.sum()
+        stems += rest_s * of_stems / max(tokens, 1)
+        words += rest_w * stems[np.searchsorted(all_stems, stem_of)] * share
+        pairs = np.maximum(pair[c].to_numpy(dtype=float) - D, 0) / np.maximum(pair[f"h_{c}"].to_numpy(dtype=float), 1)
+        rest_p = 1 - np.bincount(back, weights=pairs, minlength=len(own_histories))
+        pairs += rest_p[back] * words[pair_at]
+        logs.append([np.log(x) for x in (words[word_at], stems[stem_at], pairs, rest_p, rest_w, rest_s)])
+    words, stems, pairs, backoff, other_words, other_stems = (t - o for t, o in zip(*logs))
+    keys = [unsigned(word.word), unsigned(beginning.stem), unsigned(pair.gram)]
+    order = [np.argsort(k) for k in keys]
+    return Model([k[i] for k, i in zip(keys, order)], [x[i] for x, i in zip((words, stems, pairs), order)], own_histories, backoff, float(other_words), float(other_stems))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_bytes: int = TRAIN_BYTES) -> Model:
     """The model learnt from labelled documents whose id's crc32 modulo 5 is not 0 (1: the curve; 2 to 4: counts)."""
     known = (labels.select(F.col(id_col), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull())
@@ -143,59 +249,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     docs = docs.select(id_col, text_col)
     sample = _sampled(docs, known.where("fold in (2, 3, 4)"), id_col, text_col, train_bytes)
     texts = written(docs.join(F.broadcast(sample), id_col).where(F.octet_length(text_col) > 0).select(_bounded(text_col, train_bytes), "toxic").distinct(), "sample")
-    n = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    n_t, n_o = float(n.get(1, 0)), float(n.get(0, 0))
-    empty = [np.zeros(0, dtype=_U)] * 3
-    if not n_t or not n_o:
-        return Model(empty, [np.zeros(0)] * 3, fitted=False)
-    schema = T._parse_datatype_string("level int, gram long, history long, t long, o long")
-    parts = texts.mapInArrow(_count_task(to_arrow_schema(schema)), schema)
-    counts = written(parts.groupBy("level", "gram").agg(F.first("history").alias("history"), F.sum("t").alias("t"), F.sum("o").alias("o")), "counts")
-    by_level = {r.level: EVIDENCE * math.log(r["count"] + 1) for r in counts.groupBy("level").count().collect()}
-    wanted = F.create_map(*[F.lit(x) for kv in by_level.items() for x in kv])
-    apart = counts.where(_statistic(F.col("t"), F.col("o"), F.lit(n_t), F.lit(n_o)) >= wanted[F.col("level")])
-    before = counts.where(F.col("level") == WORD).select(F.col("gram").alias("history"), F.col("t").alias("h_t"), F.col("o").alias("h_o"))
-    rows = apart.join(before, "history", "left").toPandas()
-    dropped(texts, counts)
-    keys, ratios = [], []
-    for level in (WORD, BEGINNING, PAIR):
-        own = rows[rows.level == level].sort_values("gram")
-        t, o = own.t.to_numpy(dtype=float), own.o.to_numpy(dtype=float)
-        of_t, of_o = np.full(len(own), n_t), np.full(len(own), n_o)
-        if level == PAIR:  # given the word before, where there is one
-            of_t = np.maximum(np.nan_to_num(own.h_t.to_numpy(dtype=float), nan=n_t), t)
-            of_o = np.maximum(np.nan_to_num(own.h_o.to_numpy(dtype=float), nan=n_o), o)
-        shared = (np.minimum(t, D) + np.minimum(o, D)) / (of_t + of_o)
-        ratio = np.log((np.maximum(t - D, 0) / np.maximum(of_t, 1) + shared) / (np.maximum(o - D, 0) / np.maximum(of_o, 1) + shared))
-        key = own.gram.to_numpy(dtype=np.int64).view(_U)
-        order = np.argsort(key)
-        keys.append(key[order])
-        ratios.append(ratio[order])
-    model = Model(keys, ratios)
+    model = learn(texts, docs.select(text_col))
+    dropped(texts)
+    if not model.fitted:
+        return model
     judge = _sampled(docs, known.where("fold = 1"), id_col, text_col, train_bytes)
     figures = figure(docs.join(F.broadcast(judge), id_col).select(id_col, text_col, "toxic"), model, id_col, text_col, ["toxic"])
     at = F.least(F.greatest(F.round(F.col("figure") / BIN), F.lit(-BINS)), F.lit(BINS)).cast("int")
     found = figures.groupBy(at.alias("at"), "toxic").count().collect()
-    model.slope, model.intercept = _curve([(r.at * BIN, r.toxic, r["count"]) for r in found])
+    model.slope, model.intercept = _curve([(r.at * BIN, r.toxic, r["count"]) for r in found], model.unknown)
     return model
 
 
-def _curve(points: list[tuple[float, int, int]]) -> tuple[float, float]:
+def _curve(points: list[tuple[float, int, int]], unknown: float = 0.0) -> tuple[float, float]:
     """Slope and intercept of a logistic curve over (figure, toxic, number of documents).
 
-    Its middle is where the fewest documents fall on the wrong side, halfway across the widest such gap;
+    Its middle is where the fewest documents fall on the wrong side, halfway across the widest such gap, and above the figure of unknown words;
     the slope is the likeliest one, with targets drawn in a little from 0 and 1.
     """
     x, y, w = (np.array([p[i] for p in points], dtype=float) for i in range(3))
     if not len(x) or not w[y == 1].sum() or not w[y == 0].sum():
-        return SLOPE, -SLOPE * MIDDLE
+        return SLOPE, -SLOPE * (unknown + MIDDLE)
     at, back = np.unique(x, return_inverse=True)
     ones, zeros = (np.bincount(back, weights=w * (y == k), minlength=len(at)) for k in (1, 0))
     wrong = np.cumsum(ones) + zeros.sum() - np.cumsum(zeros)  # with the middle after each figure
     gaps = np.append(np.diff(at), BIN)
     best = np.flatnonzero(wrong == wrong.min())
     k = best[np.argmax(gaps[best])]
-    middle = max(at[k] + gaps[k] / 2, BIN / 2)
+    middle = max(at[k] + gaps[k] / 2, unknown + BIN / 2)
     target = np.where(y == 1, (ones.sum() + 1) / (ones.sum() + 2), 1 / (zeros.sum() + 2))
     slopes = np.exp(np.linspace(np.log(5), np.log(5000), 200))
     z = slopes[:, None] * (x - middle)
@@ -204,22 +285,23 @@ def _curve(points: list[tuple[float, int, int]]) -> tuple[float, float]:
     return slope, -slope * float(middle)
 
 
-def _ratio(keys: np.ndarray, ratios: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _ratio(keys: np.ndarray, ratios: np.ndarray, x: np.ndarray, other: np.ndarray | float) -> np.ndarray:
+    """The ratio of each x that is among the keys, and `other` for the rest."""
     if not len(keys):
-        return np.full(len(x), np.nan)
+        return np.broadcast_to(other, len(x)).astype(float)
     at = np.searchsorted(keys, x)
     at[at == len(keys)] = 0
-    return np.where(keys[at] == x, ratios[at], np.nan)
+    return np.where(keys[at] == x, ratios[at], other)
 
 
 def _figures(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, stems, pairs, _ = _grams(data, offsets)
-    own = _ratio(model.keys[WORD], model.ratios[WORD], found.hashes)
-    for level, x in ((BEGINNING, stems), (PAIR, pairs)):
-        own = np.where(np.isnan(own), _ratio(model.keys[level], model.ratios[level], x), own)
+    found, stems, pairs, before = _grams(data, offsets)
+    own = model.other_words + _ratio(model.keys[BEGINNING], model.ratios[BEGINNING], stems, model.other_beginnings)
+    own = _ratio(model.keys[WORD], model.ratios[WORD], found.hashes, own)
+    own = _ratio(model.keys[PAIR], model.ratios[PAIR], pairs, own + _ratio(model.histories, model.backoff, before, 0.0))
     n = np.diff(found.first)
     text = np.repeat(np.arange(len(n)), n)
-    return np.bincount(text, weights=np.nan_to_num(own), minlength=len(n)) / np.maximum(n, 1), n
+    return np.where(n > 0, np.bincount(text, weights=own, minlength=len(n)) / np.maximum(n, 1), model.unknown), n
 
 
 def figure(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None, mark: str = "") -> DataFrame:

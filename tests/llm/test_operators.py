@@ -1,6 +1,7 @@
 """Each operator against a plain version of it, and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -262,6 +263,82 @@ def test_toxic_words_are_learnt(spark, nothing):
     assert toxicity.score(nothing, toxicity.fit(nothing, labels)).count() == 0
 
 
+def plain_figures(labelled, every, texts):
+    """Kneser-Ney models of both classes with dictionaries, straight from the formulas of the module."""
+    low = lambda t: words(t, ALNUM)
+    d = toxicity.D
+    n, df, of_pair = Counter(), Counter(), Counter()
+    for t, c in labelled:
+        w = low(t)
+        n[c] += 1
+        df.update({("w", x, c) for x in w} | {("s", x[: toxicity.STEM], c) for x in w})
+        of_pair.update({(v, x, c) for v, x in zip([None, *w], w)})
+    seen = {(v, x) for v, x, _ in of_pair}
+    vocabulary, stems = {x for _, x in seen}, {x[: toxicity.STEM] for _, x in seen}
+    tokens = [x for t in every for x in low(t or "")]
+    q_w, q_s = Counter(tokens), Counter(x[: toxicity.STEM] for x in tokens)
+
+    def told(t, o, n_t, n_o, level, size):
+        p = (t + o) / (n_t + n_o)
+        part = lambda x, e: x * math.log(x / e) if x else 0.0
+        s = 2 * (part(t, n_t * p) + part(o, n_o * p) + part(n_t - t, n_t * (1 - p)) + part(n_o - o, n_o * (1 - p)))
+        return s >= toxicity.EVIDENCE[level] * math.log(size + 1)
+
+    hist = Counter()
+    for (v, _, c), k in of_pair.items():
+        hist[v, c] += k
+    t_w = {x for x in vocabulary if told(df["w", x, 1], df["w", x, 0], n[1], n[0], 0, len(vocabulary))}
+    t_s = {x for x in stems if told(df["s", x, 1], df["s", x, 0], n[1], n[0], 1, len(stems))}
+    t_p = {(v, x) for v, x in seen if told(of_pair[v, x, 1], of_pair[v, x, 0], hist[v, 1], hist[v, 0], 2, len(seen))}
+    logs = {}
+    for c in (1, 0):
+        after = Counter(x for _, x, of in of_pair if of == c)
+        total = sum(after.values())
+        by_stem = Counter()
+        for x, k in after.items():
+            by_stem[x[: toxicity.STEM]] += k
+        kept_s = {x: max(by_stem[x] - d, 0) / total for x in t_s}
+        kept_w = {x: max(after[x] - d, 0) / total for x in t_w}
+        kept_p = {(v, x): max(of_pair[v, x, c] - d, 0) / hist[v, c] if hist[v, c] else 0.0 for v, x in t_p}
+        rest_p = Counter()
+        for (v, _), k in kept_p.items():
+            rest_p[v] += k
+        rest_s, rest_w = 1 - sum(kept_s.values()), 1 - sum(kept_w.values())
+
+        def p(v, x):
+            s = x[: toxicity.STEM]
+            low_s = kept_s.get(s, 0) + rest_s * max(q_s[s], 1) / len(tokens)
+            low_w = kept_w.get(x, 0) + rest_w * low_s * max(q_w[x], 1) / max(q_s[s], 1)
+            return kept_p.get((v, x), 0) + (1 - rest_p[v]) * low_w
+
+        for i, t in enumerate(texts):
+            w = low(t)
+            logs[i, c] = sum(math.log(p(v, x)) for v, x in zip([None, *w], w)) / len(w)
+    return [logs[i, 1] - logs[i, 0] for i in range(len(texts))], (t_w, t_s, t_p)
+
+
+def test_class_models_are_kneser_ney(spark):
+    r = random.Random(44)
+    plain = [f"{r.choice('abc')}{i:04d}" for i in range(40)]
+    texts = []
+    for i in range(700):
+        own = [r.choice(plain) for _ in range(r.randint(3, 25))]
+        if i % 3 == 0:
+            own.insert(r.randrange(len(own)), r.choice(["vileword", "vileworded", "hey you", "you hey"]))
+        elif r.random() < 0.5:
+            own.insert(r.randrange(len(own)), r.choice(["hey", "you", "kindly"]))
+        texts.append((" ".join(own), int(i % 3 == 0)))
+    texts = list(dict(texts).items())
+    every = [t for t, _ in texts] + ["vileword new words", "kindly kindly you", None, ""]
+    model = toxicity.learn(spark.createDataFrame(texts, "text string, toxic int").repartition(3), spark.createDataFrame([(t,) for t in every], "text string").repartition(4))
+    asked = [t for t, _ in texts[:200]] + ["VileWord", "hey you, vilewords unseen", "unseen only", "you hey hey you"]
+    want, told = plain_figures(texts, every, asked)
+    assert all(told) and [len(k) for k in model.keys] == [len(x) for x in told]
+    got = {x.doc_id: x.figure for x in toxicity.figure(spark.createDataFrame([(i, t) for i, t in enumerate([*asked, "", None])], "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(len(want))] == pytest.approx(want, abs=1e-9)
+    assert got[len(want)] == got[len(want) + 1] == model.unknown
+
+
 def test_toxicity_learns_from_long_texts(spark):
     texts = [("vileword nastyone " if i % 2 else "good day ") * 3000 for i in range(60)]
     df = spark.createDataFrame(rows_of(texts), SCHEMA)
