@@ -80,6 +80,11 @@ class Model:
         return self.other_words + self.other_beginnings
 
 
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ts.mix(before * _U(3) + word * _U(0x9E3779B97F4A7C15))
+
+
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[ts.Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words, and for each word its beginning, the pair with the word before, and that word."""
     found = ts.words(data, offsets, ts.ALNUM)
@@ -97,13 +102,11 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[ts.Words, np.ndarray,
     before[1:] = h[:-1]
     first = found.first[:-1]
     before[first[first < len(h)]] = _U(0)
-    with np.errstate(over="ignore"):
-        pairs = ts.mix(before * _U(3) + h * _U(0x9E3779B97F4A7C15))
-    return found, stems, pairs, before
+    return found, stems, _pair(before, h), before
 
 
 def _count_task(schema: pa.Schema):
-    """(text, toxic) to rows of level, expression, for pairs the word before, the word and its beginning, and the texts of each class that have it."""
+    """(text, toxic) to rows of level, expression (the word before and the word; the word and its beginning; the beginning), and the texts of each class that have it."""
 
     def run(batches):
         for batch in batches:
@@ -112,7 +115,8 @@ def _count_task(schema: pa.Schema):
             for a, b in ts.slices(offsets):
                 found, stems, pairs, before = _grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 text = np.repeat(np.arange(b - a), np.diff(found.first))
-                for level, x in ((WORD, found.hashes), (BEGINNING, stems), (PAIR, pairs)):
+                none = np.zeros(len(stems), dtype=_U)
+                for level, x, parts in ((WORD, found.hashes, (found.hashes, stems)), (BEGINNING, stems, (stems, none)), (PAIR, pairs, (before, found.hashes))):
                     order = np.lexsort((x, text))
                     own, of = x[order], text[order]
                     new = np.ones(len(own), dtype=bool)
@@ -120,10 +124,9 @@ def _count_task(schema: pa.Schema):
                     keys, where, back = np.unique(own[new], return_index=True, return_inverse=True)
                     yes = np.bincount(back, weights=toxic[a + of[new]], minlength=len(keys)).astype(np.int64)
                     every = np.bincount(back, minlength=len(keys))
-                    of_pair = [y[order][new][where] if level == PAIR else np.zeros(len(keys), dtype=_U) for y in (before, found.hashes, stems)]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(keys), level, dtype=np.int32)), pa.array(keys.view(np.int64)),
-                        *[pa.array(y.view(np.int64)) for y in of_pair], pa.array(yes), pa.array(every - yes)], schema=schema)
+                        pa.array(np.full(len(keys), level, dtype=np.int32)), *[pa.array(y[order][new][where].view(np.int64)) for y in parts],
+                        pa.array(yes), pa.array(every - yes)], schema=schema)
     return run
 
 
@@ -194,29 +197,33 @@ def learn(texts: DataFrame, every: DataFrame) -> Model:
     none, zero = np.zeros(0, dtype=_U), np.zeros(0)
     if not n_t or not n_o:
         return Model([none] * 3, [zero] * 3, none, zero, fitted=False)
-    schema = T._parse_datatype_string("level int, gram long, history long, word long, stem long, t long, o long")
+    schema = T._parse_datatype_string("level int, a long, b long, t long, o long")
     parts = texts.mapInArrow(_count_task(to_arrow_schema(schema)), schema)
-    counts = written(parts.groupBy("level", "gram").agg(*[F.first(c).alias(c) for c in ("history", "word", "stem")], F.sum("t").alias("t"), F.sum("o").alias("o")), "counts")
-    of = {r.level: r["count"] for r in counts.groupBy("level").count().collect()}
-    telling = lambda level, n_t, n_o: _statistic(F.col("t"), F.col("o"), n_t, n_o) >= EVIDENCE[level] * math.log(of.get(level, 0) + 1)
-    pairs = counts.where(F.col("level") == PAIR)
-    after = pairs.groupBy("word").agg(F.first("stem").alias("stem"), F.sum((F.col("t") > 0).cast("long")).alias("c_t"), F.sum((F.col("o") > 0).cast("long")).alias("c_o"))
-    kept = []
-    for level, key in ((WORD, "word"), (BEGINNING, "stem")):
-        apart = counts.where((F.col("level") == level) & telling(level, F.lit(n_t), F.lit(n_o))).select(F.col("gram").alias(key))
-        kept.append(after.join(apart, key).groupBy(key).agg(F.first("stem").alias("of"), F.sum("c_t").alias("t"), F.sum("c_o").alias("o")).toPandas())
+    counts = written(parts.groupBy("level", "a", "b").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "counts")
+    of = {r.level: r for r in counts.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.col("t") + F.col("o")).alias("texts")).collect()}
+    needed = [EVIDENCE[level] * math.log((of[level].n if level in of else 0) + 1) for level in (WORD, BEGINNING, PAIR)]
+    pairs = counts.where(F.col("level") == PAIR).select(F.col("a").alias("history"), F.col("b").alias("word"), "t", "o")
+    after = written(pairs.groupBy("word").agg(F.sum((F.col("t") > 0).cast("long")).alias("c_t"), F.sum((F.col("o") > 0).cast("long")).alias("c_o")), "after")
+    stem_of = counts.where(F.col("level") == WORD).select(F.col("a").alias("word"), F.col("b").alias("stem"), "t", "o")
+    apart = _statistic(F.col("t"), F.col("o"), F.lit(n_t), F.lit(n_o))
     total = after.agg(F.sum("c_t").alias("t"), F.sum("c_o").alias("o")).head()
+    word = after.join(stem_of.where(apart >= needed[WORD]).select("word", "stem"), "word").toPandas()
+    stems = counts.where((F.col("level") == BEGINNING) & (apart >= needed[BEGINNING])).select(F.col("a").alias("stem"))
+    beginning = after.join(stem_of.join(stems, "stem").select("word", "stem"), "word").groupBy("stem").agg(F.sum("c_t").alias("c_t"), F.sum("c_o").alias("c_o")).toPandas()
+    # k texts of a history's h give a statistic of 2 * k * (ln(h) + 1) at most, so pairs of fewer cannot tell the classes apart
+    least = needed[PAIR] / (2 * (math.log(max(of[PAIR].texts if PAIR in of else 1, 1)) + 1))
     before = pairs.groupBy("history").agg(F.sum("t").alias("h_t"), F.sum("o").alias("h_o"))
-    kept.append(pairs.join(before, "history").where(telling(PAIR, F.col("h_t"), F.col("h_o"))).select("gram", "history", "word", "stem", "t", "o", "h_t", "h_o").toPandas())
-    dropped(counts)
-    return _model(*kept, total.t or 0, total.o or 0, every)
+    telling = pairs.where(F.col("t") + F.col("o") >= least).join(before, "history").where(_statistic(F.col("t"), F.col("o"), F.col("h_t"), F.col("h_o")) >= needed[PAIR])
+    pair = telling.join(stem_of.select("word", "stem"), "word").toPandas()
+    dropped(counts, after)
+    return _model(word, beginning, pair, total.t or 0, total.o or 0, every)
 
 
 def _model(word, beginning, pair, n_t: int, n_o: int, every: DataFrame) -> Model:
     """The model of the telling words and beginnings with their continuation counts, and pairs with their counts and those of their histories."""
     unsigned = lambda column: column.to_numpy(dtype=np.int64).view(_U)
     all_words, at = np.unique(np.concatenate([unsigned(word.word), unsigned(pair.word)]), return_index=True)
-    stem_of = np.concatenate([unsigned(word.of), unsigned(pair.stem)])[at]
+    stem_of = np.concatenate([unsigned(word.stem), unsigned(pair.stem)])[at]
     all_stems = np.unique(np.concatenate([unsigned(beginning.stem), stem_of]))
     of_words, of_stems, tokens = _base(every, all_words, all_stems)
     of_stems = np.maximum(of_stems, 1)
@@ -227,8 +234,8 @@ def _model(word, beginning, pair, n_t: int, n_o: int, every: DataFrame) -> Model
     logs = []
     for c, n in (("t", n_t), ("o", n_o)):
         stems, words = np.zeros(len(all_stems)), np.zeros(len(all_words))
-        stems[stem_at] = np.maximum(beginning[c].to_numpy(dtype=float) - D, 0) / n
-        words[word_at] = np.maximum(word[c].to_numpy(dtype=float) - D, 0) / n
+        stems[stem_at] = np.maximum(beginning[f"c_{c}"].to_numpy(dtype=float) - D, 0) / n
+        words[word_at] = np.maximum(word[f"c_{c}"].to_numpy(dtype=float) - D, 0) / n
         rest_s, rest_w = 1 - stems.sum(), 1 - words.sum()
         stems += rest_s * of_stems / max(tokens, 1)
         words += rest_w * stems[np.searchsorted(all_stems, stem_of)] * share
@@ -237,7 +244,7 @@ def _model(word, beginning, pair, n_t: int, n_o: int, every: DataFrame) -> Model
         pairs += rest_p[back] * words[pair_at]
         logs.append([np.log(x) for x in (words[word_at], stems[stem_at], pairs, rest_p, rest_w, rest_s)])
     words, stems, pairs, backoff, other_words, other_stems = (t - o for t, o in zip(*logs))
-    keys = [unsigned(word.word), unsigned(beginning.stem), unsigned(pair.gram)]
+    keys = [unsigned(word.word), unsigned(beginning.stem), _pair(histories, unsigned(pair.word))]
     order = [np.argsort(k) for k in keys]
     return Model([k[i] for k, i in zip(keys, order)], [x[i] for x, i in zip((words, stems, pairs), order)], own_histories, backoff, float(other_words), float(other_stems))
 
