@@ -454,6 +454,45 @@ def test_bpe_store_makes_room(monkeypatch):
     assert len(encoder.keys) <= 80
 
 
+def test_bpe_cuts_whole_texts(monkeypatch):
+    """Ordinary words are cut by the rolling hash like any other bytes, equal passages alike; chunks are made once, and joins inside words repaired."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdeé日'.") for _ in range(r.randrange(1, 9)))
+    passage = " ".join(word() for _ in range(4000))
+    texts = ["one " + passage, "another beginning " + passage + " end", "İ" * 40 + "'s日" * 900, passage]
+    offsets, data = textscan.buffers(pa.array(texts))
+    found = bpe.cuts(data, offsets)
+    text = data.tobytes()
+    inside = [text[p - 1 : p + 1] for p in found.tolist()]
+    assert len(found) > 30 and sum(not x[:1].isspace() and not x[1:].isspace() for x in inside) >= 10
+    own = [found[(found > a) & (found < b)] for a, b in zip(offsets, offsets[1:])]
+    assert set((own[3] - offsets[3]).tolist()) - set((own[1] - offsets[1] - len("another beginning ")).tolist()) <= {int(own[3][0] - offsets[3])}
+    monkeypatch.setattr(bpe, "ZERO_BITS", 5)
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    encoder, made = bpe.Encoder(open(WORD_BPE, encoding="utf-8").read()), []
+    of_words = encoder._of_words
+    monkeypatch.setattr(encoder, "_of_words", lambda pieces: made.extend(pieces) or of_words(pieces))
+    for _ in range(2):
+        at, ids, _, _ = encoder.encode(data, offsets)
+        for x, a, b in zip(texts, at, at[1:]):
+            assert ids[a:b].tolist() == tokenizer.encode(x, add_special_tokens=False).ids
+    chunks = [x for x in made if x[:1].isspace()]
+    assert len(chunks) == len(set(chunks)) and sum(map(len, chunks)) < len(passage.encode()) * 1.2
+
+
+def test_bpe_starts_at_one_place(monkeypatch):
+    """Two pre-tokens that start at the same character, next to a join."""
+    monkeypatch.setattr(bpe, "ZERO_BITS", 3)
+    monkeypatch.setattr(bpe, "LEAST", 20)
+    encoder, tokenizer = bpe.Encoder(open(WORD_BPE, encoding="utf-8").read()), Tokenizer.from_file(WORD_BPE)
+    r = random.Random(5)
+    texts = ["".join(r.choice(["a", "'", "İ", "é", "日", "<|endoftext|>", "<", "the"]) for _ in range(150)) for _ in range(60)]
+    offsets, data = textscan.buffers(pa.array(texts))
+    at, ids, _, _ = encoder.encode(data, offsets)
+    for x, a, b in zip(texts, at, at[1:]):
+        assert ids[a:b].tolist() == tokenizer.encode(x, add_special_tokens=False).ids
+
+
 def test_op7_digests(spark):
     tokenizer = Tokenizer.from_file(WORD_BPE)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
