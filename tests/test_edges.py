@@ -498,3 +498,16 @@ def test_two_thousand_columns_hand_on_blocks(spark):
     plan = sums._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 + 3  # two groups of blocks: three pairs of groups
     assert sums.count() == 2000 * 2001 // 2
+
+
+def test_counts_at_the_ends_make_no_rows(spark, monkeypatch):
+    """Sketches of whole columns and the counts at their ends are plain aggregates: no value becomes a row for them."""
+    from plumbline.functions import ranks
+    values = [None, -0.0, 0.0, 1.5, 1.5, float("inf"), float("-inf"), 7.0]
+    df = spark.createDataFrame([(v, i % 3 + 0.0) for i, v in enumerate(values)], "a double, b double")
+    found = ranks._counts(df, ["a", "b"], {0: [0.0, 1.5, float("inf")], 1: [1.0]}, ProfileConfig(aggregates_per_scan=4))
+    assert found == {(0, 0.0): (1, 3), (0, 1.5): (3, 5), (0, float("inf")): (6, 7), (1, 1.0): (3, 6)}
+    monkeypatch.setattr(ranks, "_members", None)  # not needed for whole columns
+    spans = [ranks.Span(0, [3], 7), ranks.Span(1, [4], 8)]
+    (own,), (other,) = ranks._sketch_ends(df, ["a", "b"], spans, ProfileConfig(aggregates_per_scan=1))
+    assert own[1] <= 1.5 <= own[2] and other[1] <= 1.0 <= other[2]
