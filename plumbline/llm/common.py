@@ -53,13 +53,13 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def members(rows: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
-    """rows whose column id occurs in the table ids, and few others: a table of 2^bits bits, a fixed size, is
+def members(rows: DataFrame, ids: DataFrame, bits: int = 24, column: str = "id") -> DataFrame:
+    """rows whose column occurs in the table ids, and few others: a table of 2^bits bits, a fixed size, is
     broadcast, so that most other rows need not move in the exact join that follows."""
     spot = F.expr(f"id_hash & {(1 << bits) - 1}L")
-    hashed = ids.select(F.xxhash64("id").alias("id_hash"))
+    hashed = ids.select(F.xxhash64(column).alias("id_hash"))
     table = (hashed.groupBy(F.shiftright(spot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(id_hash & 63 as int))")).alias("bits")))
-    named = rows.withColumn("id_hash", F.xxhash64("id")).withColumn("word", F.shiftright(spot, 6))
+    named = rows.withColumn("id_hash", F.xxhash64(column)).withColumn("word", F.shiftright(spot, 6))
     hit = named.join(F.broadcast(table), "word").where("(shiftrightunsigned(bits, cast(id_hash & 63 as int)) & 1) = 1")
     return hit.select(*rows.columns)
 

@@ -13,6 +13,8 @@ starts and ends with repeated ones and of which 75 % are repeated, with at most
 
 Groups are never gathered: of equal min-hashes only the smallest and largest document id are kept, in each
 task before they are shuffled, and the join that marks a hot one's windows is split by adaptive execution.
+The shared min-hashes are written before that join, so that the two shuffles do not lie on disk together, and most
+windows of others are left out of it by a bit table of fixed size.
 Equal shingles of the few remaining stretches meet in a window, which streams them and spills.
 Texts are shuffled only for documents with shared windows, found by a bit table of fixed size.
 
@@ -160,7 +162,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     that other documents have) and first_id (the smallest id among the holders of any of them)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own")).where("id is not null")
     windows = written(_windows(docs, length), "windows")
-    shared = windows.join(_others(windows, "key"), "key", "left_semi")
+    keys = written(_others(windows, "key").select("key"), "keys")
+    shared = members(windows, keys, column="key").join(keys, "key", "left_semi")
     one = T.StructType([docs.schema["id"], *T._parse_datatype_string("own long, l int, r int").fields])
 
     def stretched(name, own, rows, arrow):
@@ -170,7 +173,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     stretches = written(_by_text(shared, ["l", "r", "k"], stretched, one).groupBy("id", "own").agg(F.collect_list(F.struct("l", "r")).alias("stretches")), "stretches")
-    dropped(windows)
+    dropped(windows, keys)
     whole = members(docs, stretches).join(stretches, ["id", "own"]).groupBy("id", "own").agg(F.first("text").alias("text"), F.first("stretches").alias("stretches"))
     listed = T.StructType([docs.schema["id"], *T._parse_datatype_string("own long, shingle long, pos int").fields])
     arrow = to_arrow_schema(listed)

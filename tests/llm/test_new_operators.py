@@ -441,3 +441,12 @@ def test_huge_and_tiny_vectors(spark):
         scores.append({(r.query_id, r.vec_id): r.score for r in neighbours.search(index, pivots, index.where("id % 10 = 0"), 60).collect()})
     assert scores[0].keys() == scores[1].keys() and len(scores[0]) == 6 * 59
     assert all(scores[1][k] == pytest.approx(v, abs=1e-12) for k, v in scores[0].items())
+
+
+def test_members_by_any_column(spark):
+    """Rows whose key is in the table stay, all of them, and most others go."""
+    from plumbline.llm.common import members
+    rows = spark.range(2000).selectExpr("id", "id * 7 as key")
+    left = members(rows, rows.where("key % 100 = 0").select("key"), column="key")
+    keys = [r.key for r in left.collect()]
+    assert left.columns == ["id", "key"] and len(keys) == len(set(keys)) < 100 and {k for k in range(0, 14000, 7) if k % 100 == 0} <= set(keys)
