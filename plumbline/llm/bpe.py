@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textscan as ts
-from .common import carried
+from .common import carried, held
 
 #: Words that a worker keeps, their bytes and ids, and the bytes and ids of its chunks.
 MAX_CHUNKS = 1 << 20
@@ -349,9 +349,6 @@ class Encoder:
         return at, ids, np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), dtype=np.uint8)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None, mark: str = "") -> DataFrame:
     """Per document its id, ids (array of int) and decoded (the text those ids stand for); `also`: further
     columns to hand on; `mark`: put before the new names, where they would clash with those."""
@@ -367,10 +364,7 @@ def _task(source, schema: pa.Schema, places: list[int]):
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-        encoder = _encoders.get(name)
-        if encoder is None:
-            _encoders.clear()
-            encoder = _encoders[name] = Encoder(source.value)
+        encoder = held(name, lambda: Encoder(source.value))
         for batch in batches:
             offsets, data = ts.buffers(batch.column(0))
             for a, b in ts.slices(offsets):

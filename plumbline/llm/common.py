@@ -5,8 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -29,6 +31,37 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: Texts that go to a Python worker at once. Spark's own 10,000 are kept twice, by the worker and, outside its heap, by the executor.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's rows per Arrow batch to BATCH_ROWS, unless it is fewer already. Results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """What this Python worker keeps from task to task under that name. It keeps one thing at a time: Spark uses a worker again for
+    later steps, which need the memory."""
+    if name not in _held:
+        let_go()
+        _held[name] = make()
+    return _held[name]
+
+
+def let_go() -> None:
+    """Frees what this Python worker keeps of earlier steps; for tasks that keep nothing themselves."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and any executor can read it.
 
@@ -83,6 +116,7 @@ def crc_bucket(column: str, n: int):
 
 def carried(docs: DataFrame, id_col: str, text_col: str, also: list[str] | None) -> tuple[DataFrame, list[str], list[int]]:
     """Frame of text, id and `also` without repeats; names to hand on (id first), and their places in the frame."""
+    small_batches(docs.sparkSession)
     names = [id_col, *[c for c in also or [] if c != id_col]]
     frame = [text_col, *[c for c in names if c != text_col]]
     return docs.select(*frame), names, [frame.index(c) for c in names]

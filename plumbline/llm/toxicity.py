@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textscan as ts
-from .common import buckets_within, carried, crc_bucket, dropped, written
+from .common import buckets_within, carried, crc_bucket, dropped, let_go, small_batches, written
 
 #: Bytes of text per class from which the model learns; small documents count as SMALL bytes.
 TRAIN_BYTES = 32 << 20
@@ -109,6 +109,7 @@ def _count_task(schema: pa.Schema):
     """(text, toxic) to rows of level, expression (the word before and the word; the word and its beginning; the beginning), and the texts of each class that have it."""
 
     def run(batches):
+        let_go()
         for batch in batches:
             offsets, data = ts.buffers(batch.column(0))
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -167,6 +168,7 @@ def _base(every: DataFrame, words: np.ndarray, stems: np.ndarray) -> tuple[np.nd
     shared = every.sparkSession.sparkContext.broadcast((words, stems))
 
     def run(batches):
+        let_go()
         keys = shared.value
         totals, tokens = [np.zeros(len(k), dtype=np.int64) for k in keys], 0
         for batch in batches:
@@ -192,6 +194,7 @@ def _base(every: DataFrame, words: np.ndarray, stems: np.ndarray) -> tuple[np.nd
 
 def learn(texts: DataFrame, every: DataFrame) -> Model:
     """The model of texts (text, toxic: 0 or 1), distinct ones, over the base of all texts `every`, before its curve is fitted."""
+    small_batches(texts.sparkSession)
     n = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n_t, n_o = float(n.get(1, 0)), float(n.get(0, 0))
     none, zero = np.zeros(0, dtype=_U), np.zeros(0)
@@ -199,7 +202,8 @@ def learn(texts: DataFrame, every: DataFrame) -> Model:
         return Model([none] * 3, [zero] * 3, none, zero, fitted=False)
     schema = T._parse_datatype_string("level int, a long, b long, t long, o long")
     parts = texts.mapInArrow(_count_task(to_arrow_schema(schema)), schema)
-    counts = written(parts.groupBy("level", "a", "b").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "counts")
+    # Rows of a task, added up by slices, are nearly all distinct: they are dealt out before they are added up, so that no task holds its own twice
+    counts = written(parts.repartition("level", "a", "b").groupBy("level", "a", "b").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "counts")
     of = {r.level: r for r in counts.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.col("t") + F.col("o")).alias("texts")).collect()}
     needed = [EVIDENCE[level] * math.log((of[level].n if level in of else 0) + 1) for level in (WORD, BEGINNING, PAIR)]
     pairs = counts.where(F.col("level") == PAIR).select(F.col("a").alias("history"), F.col("b").alias("word"), "t", "o")
@@ -319,6 +323,7 @@ def figure(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     arrow, shared = to_arrow_schema(schema), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        let_go()
         for batch in batches:
             offsets, data = ts.buffers(batch.column(0))
             for a, b in ts.slices(offsets):

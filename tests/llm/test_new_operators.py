@@ -9,9 +9,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F, types as T
 from tokenizers import Tokenizer
 
 from plumbline.llm import alignment, conversations as conv, queries, simhash
@@ -450,3 +452,41 @@ def test_members_by_any_column(spark):
     left = members(rows, rows.where("key % 100 = 0").select("key"), column="key")
     keys = [r.key for r in left.collect()]
     assert left.columns == ["id", "key"] and len(keys) == len(set(keys)) < 100 and {k for k in range(0, 14000, 7) if k % 100 == 0} <= set(keys)
+
+
+# --- memory of reused workers -----------------------------------------------------------------------
+
+
+def test_a_worker_lets_go_of_what_earlier_steps_kept(spark):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from plumbline.llm import bpe, common, toxicity
+
+    class Source:
+        with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+            value = f.read()
+
+    schema = to_arrow_schema(T._parse_datatype_string("doc_id long, ids array<int>, decoded string"))
+    texts = pa.RecordBatch.from_arrays([pa.array(["a text of words"]), pa.array([1])], names=["text", "doc_id"])
+    first, again = bpe._task(Source, schema, [1]), bpe._task(Source, schema, [1])
+    assert list(first([texts]))[0].num_rows == 1 and len(common._held) == 1
+    kept = next(iter(common._held.values()))
+    list(first([texts]))
+    assert next(iter(common._held.values())) is kept  # from task to task of one step
+    list(again([texts]))
+    assert len(common._held) == 1 and kept not in common._held.values()
+    counts = to_arrow_schema(T._parse_datatype_string("level int, a long, b long, t long, o long"))
+    labelled = pa.RecordBatch.from_arrays([pa.array(["a text"]), pa.array([1])], names=["text", "toxic"])
+    assert list(toxicity._count_task(counts)([labelled])) and not common._held
+
+
+def test_texts_reach_workers_in_small_batches(spark):
+    from plumbline.llm import common, toxicity
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        df = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text"))
+        none = np.zeros(0, dtype=np.uint64)
+        assert toxicity.figure(df, toxicity.Model([none] * 3, [np.zeros(0)] * 3, none, np.zeros(0))).count() == 3000
+        sizes = df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) == 3000 and max(r.n for r in sizes) <= common.BATCH_ROWS
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
