@@ -13,8 +13,8 @@ starts and ends with repeated ones and of which 75 % are repeated, with at most
 
 Groups are never gathered: of equal min-hashes only the smallest and largest document id are kept, in each
 task before they are shuffled, and the join that marks a hot one's windows is split by adaptive execution.
-The shared min-hashes are written before that join, so that the two shuffles do not lie on disk together, and most
-windows of others are left out of it by a bit table of fixed size.
+The hash functions go through this in PARTS parts, and the shared min-hashes of each are written before its join, so that on disk there
+are the windows, those found to be shared, and one shuffle of a part. Most windows of others are left out of the join by a bit table of fixed size.
 Equal shingles of the few remaining stretches meet in a window, which streams them and spills.
 Texts are shuffled only for documents with shared windows, found by a bit table of fixed size.
 
@@ -25,8 +25,11 @@ rows of its own; rows without id take no part. Only the named columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -37,6 +40,10 @@ WORDS = 5
 #: Shingles of the shortest passage: 50 words.
 LENGTH = 46
 HASHES, NEEDED = 6, 2
+#: The hash functions are worked through in so many parts, one after the other, whose shuffles do not lie on disk together.
+PARTS = 3
+#: Windows of longer texts are found one by one, without a table of the smallest values of blocks.
+LONG = 1 << 16
 #: What two changed words at most spoil.
 GAP = 2 * WORDS
 
@@ -63,6 +70,49 @@ def _sequence(found: ts.Words, i: int) -> np.ndarray:
     return ts.sequence_hashes(found.hashes[found.first[i] : found.first[i + 1]], WORDS)
 
 
+def _sequences(found: ts.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The sequences of all texts, one after the other, and where each begins (and the last ends)."""
+    every = ts.sequence_hashes(found.hashes, WORDS)
+    last = np.repeat(found.first[1:], np.diff(found.first))[: len(every)]
+    return every[np.arange(WORDS, len(every) + WORDS) <= last], np.cumsum([0, *np.maximum(np.diff(found.first) - WORDS + 1, 0)])
+
+
+def all_windows(values: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Roots, left and right ends (included) of compact_windows() of each sequence values[first[i] : first[i + 1]], as places in values.
+
+    A root is the smallest of some stretch of `length` values; its window grows by halving steps over the smallest values of blocks."""
+    sizes = np.diff(first)
+    n, longest = len(values), int(sizes.max(initial=0))
+    if longest < length:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    if longest > LONG:
+        found = [(left + at, root + at, right + at) for at, to in zip(first[:-1].tolist(), first[1:].tolist()) for left, root, right in compact_windows(values[at:to], length)]
+        lefts, roots, rights = np.array(found, dtype=np.int64).T
+        return roots, lefts, rights
+    least = [values]  # least[p][i] is the smallest of values[i : i + 2^p]
+    while 2 << (p := len(least) - 1) <= longest:
+        least.append(np.minimum(least[p][: -(1 << p)], least[p][1 << p :]))
+    begin, end = np.repeat(first[:-1], sizes), np.repeat(first[1:], sizes)
+    p = length.bit_length() - 1
+    stretch = np.minimum(least[p][: n - length + 1], least[p][length - (1 << p) :])
+    stretch[np.arange(length, n + 1) > end[: n - length + 1]] = 0
+    none = np.zeros(length - 1, dtype=values.dtype)
+    most, size = np.concatenate([none, stretch, none]), 1
+    while 2 * size <= length:
+        most, size = np.maximum(most[:-size], most[size:]), 2 * size
+    roots = np.flatnonzero(np.maximum(most[:n], most[length - size :]) == values)
+    value, low, high = values[roots], begin[roots], end[roots]
+    left, right = roots.copy(), roots + 1
+    for p in reversed(range(len(least))):
+        step = 1 << p
+        ok = left - step >= low
+        left -= step * (ok & (least[p][np.where(ok, left - step, 0)] > value))
+        ok = right + step <= high
+        right += step * (ok & (least[p][np.where(ok, right, 0)] >= value))
+    keep = right - left >= length
+    return roots[keep], left[keep], right[keep] - 1
+
+
 def _windows(docs: DataFrame, length: int) -> DataFrame:
     """key (hash function and min-hash), id, own (hash of the text), l, r, k of every compact window."""
     schema = T.StructType([T.StructField("key", T.LongType()), docs.schema["id"], *T._parse_datatype_string("own long, l int, r int, k int").fields])
@@ -73,22 +123,16 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
             offsets, data = ts.buffers(batch.column(0))
             for a, b in ts.slices(offsets):
                 found = ts.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ts.NOT_SPACE)
-                keys, rows, spans = [], [], []
-                for i in range(b - a):
-                    own = _sequence(found, i)
-                    if len(own) < length:
-                        continue
-                    for k in range(HASHES):
-                        values = ts.mix(own ^ _SEEDS[k])
-                        for left, root, right in compact_windows(values, length):
-                            keys.append(values[root])
-                            rows.append(a + i)
-                            spans.append((left, right, k))
-                if keys:
-                    span = np.array(spans, dtype=np.int32)
+                own, first = _sequences(found)
+                for k in range(HASHES):
+                    values = ts.mix(own ^ _SEEDS[k])
+                    roots, left, right = all_windows(values, first, length)
+                    if not len(roots):
+                        break
+                    text = np.searchsorted(first, roots, side="right") - 1
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.array(keys, dtype=_U).view(np.int64)), *[batch.column(1 + j).take(pa.array(rows)).cast(arrow.field(1 + j).type) for j in (0, 1)],
-                        *[pa.array(span[:, j]) for j in range(3)]], schema=arrow)
+                        pa.array(values[roots].view(np.int64)), *[batch.column(1 + j).take(pa.array(a + text)).cast(arrow.field(1 + j).type) for j in (0, 1)],
+                        *[pa.array((x - first[text]).astype(np.int32)) for x in (left, right)], pa.array(np.full(len(roots), k, dtype=np.int32))], schema=arrow)
 
     return docs.select("text", "id", "own").where("text is not null").mapInArrow(run, schema)
 
@@ -126,6 +170,14 @@ def passages(places: np.ndarray, length: int) -> list[tuple[int, int]]:
     return out
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before."""
+    if pa.types.is_nested(column.type):
+        every = column.to_pylist()
+        return np.array([x != y for x, y in zip(every, every[1:])], dtype=bool)
+    return pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+
+
 def _by_text(rows: DataFrame, columns: list[str], task, schema: T.StructType) -> DataFrame:
     """Runs task(id, own, columns as arrays) for the rows of each text."""
     arrow = to_arrow_schema(schema)
@@ -133,19 +185,17 @@ def _by_text(rows: DataFrame, columns: list[str], task, schema: T.StructType) ->
     def run(batches):
         name, held = None, []
         for batch in batches:
-            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            values = np.stack([batch.column(2 + j).to_numpy() for j in range(len(columns))], axis=1) if names else np.zeros((0, len(columns)))
-            at = 0
-            while at < len(names):
-                to = at + 1
-                while to < len(names) and names[to] == names[at]:
-                    to += 1
-                if held and names[at] != name:
+            if not batch.num_rows:
+                continue
+            values = np.stack([batch.column(2 + j).to_numpy() for j in range(len(columns))], axis=1)
+            edges = [0, *(np.flatnonzero(_changes(batch.column(0)) | _changes(batch.column(1))) + 1).tolist(), batch.num_rows]
+            for at, to in zip(edges, edges[1:]):
+                this = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                if held and this != name:
                     yield from task(*name, np.concatenate(held), arrow)
                     held = []
-                name = names[at]
+                name = this
                 held.append(values[at:to])
-                at = to
         if held:
             yield from task(*name, np.concatenate(held), arrow)
 
@@ -157,13 +207,23 @@ def _others(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").select(key, "first_id")
 
 
+def _sharing(windows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The windows of these keys. Not a semi join: Spark would put that before the bit table, and shuffle all windows."""
+    return members(windows, keys, column="key").join(keys, "key").drop("key")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per passage: the document's id, start_word and end_word ([start, end)), n_words, n_repeated (shingles
     that other documents have) and first_id (the smallest id among the holders of any of them)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own")).where("id is not null")
     windows = written(_windows(docs, length), "windows")
-    keys = written(_others(windows, "key").select("key"), "keys")
-    shared = members(windows, keys, column="key").join(keys, "key", "left_semi")
+    parts = []
+    for part in range(PARTS):
+        own = windows.where(F.col("k") % PARTS == part)
+        keys = written(_others(own, "key").select("key"), "keys")
+        parts.append(written(_sharing(own, keys), "shared"))
+        dropped(keys)
+    dropped(windows)
     one = T.StructType([docs.schema["id"], *T._parse_datatype_string("own long, l int, r int").fields])
 
     def stretched(name, own, rows, arrow):
@@ -172,8 +232,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             columns = [name] * len(found), [own] * len(found), [a for a, _ in found], [b for _, b in found]
             yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
+    shared = reduce(DataFrame.unionAll, parts)
     stretches = written(_by_text(shared, ["l", "r", "k"], stretched, one).groupBy("id", "own").agg(F.collect_list(F.struct("l", "r")).alias("stretches")), "stretches")
-    dropped(windows, keys)
+    dropped(*parts)
     whole = members(docs, stretches).join(stretches, ["id", "own"]).groupBy("id", "own").agg(F.first("text").alias("text"), F.first("stretches").alias("stretches"))
     listed = T.StructType([docs.schema["id"], *T._parse_datatype_string("own long, shingle long, pos int").fields])
     arrow = to_arrow_schema(listed)

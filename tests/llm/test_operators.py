@@ -405,6 +405,30 @@ def test_compact_windows():
             assert sum(left <= i and root == at and j <= right for left, root, right in found) == 1
 
 
+def test_windows_of_all_texts_at_once(monkeypatch):
+    r = np.random.default_rng(16)
+    for length in (2, 7, 12, 46):
+        sizes = [0, 1, 300, length - 1, length, 50, 0, 129, 3, 64]
+        for top in (4, 1 << 60):  # many equal values, or none
+            values, first = r.integers(0, top, sum(sizes)).astype(np.uint64), np.cumsum([0, *sizes])
+            want = {(a + left, a + root, a + right) for a, b in zip(first, first[1:]) for left, root, right in substrings.compact_windows(values[a:b], length)}
+            for long in (substrings.LONG, 200):
+                monkeypatch.setattr(substrings, "LONG", long)
+                roots, left, right = substrings.all_windows(values, first, length)
+                assert len(roots) == len(want) and set(zip(left.tolist(), roots.tolist(), right.tolist())) == want
+            monkeypatch.undo()
+    assert not len(substrings.all_windows(np.zeros(0, dtype=np.uint64), np.zeros(3, dtype=np.int64), 46)[0])
+
+
+def test_windows_are_thinned_out_before_they_are_shuffled(spark):
+    windows = spark.range(1000).selectExpr("id as key", "id", "id as own", "0 as l", "50 as r", "0 as k")
+    keys = spark.range(10).selectExpr("id as key")
+    found = substrings._sharing(windows, keys.hint("merge"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # the join with the bit table stands below the one with the keys
+    assert plan.index("(key#") < plan.index("(word#") and found.count() == 10
+
+
 def test_passages_are_found(spark, docs, nothing):
     r = random.Random(6)
     new = lambda n: [f"z{r.randrange(10**7)}" for _ in range(n)]
