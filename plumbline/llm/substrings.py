@@ -179,10 +179,23 @@ def _changes(column: pa.Array) -> np.ndarray:
 
 
 def _by_text(rows: DataFrame, columns: list[str], task, schema: T.StructType) -> DataFrame:
-    """Runs task(id, own, columns as arrays) for the rows of each text."""
+    """Runs task(id, own, columns as one array) for the rows of each text; it returns the rows it makes."""
     arrow = to_arrow_schema(schema)
 
-    def run(batches):
+    def batched(made):
+        rows = []
+        for some in made:
+            rows += some
+            if len(rows) >= 4096:
+                yield from made_of(rows)
+                rows = []
+        yield from made_of(rows)
+
+    def made_of(rows):
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    def each(batches):
         name, held = None, []
         for batch in batches:
             if not batch.num_rows:
@@ -192,14 +205,14 @@ def _by_text(rows: DataFrame, columns: list[str], task, schema: T.StructType) ->
             for at, to in zip(edges, edges[1:]):
                 this = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
                 if held and this != name:
-                    yield from task(*name, np.concatenate(held), arrow)
+                    yield task(*name, np.concatenate(held))
                     held = []
                 name = this
                 held.append(values[at:to])
         if held:
-            yield from task(*name, np.concatenate(held), arrow)
+            yield task(*name, np.concatenate(held))
 
-    return rows.select("id", "own", *columns).repartition("id", "own").sortWithinPartitions("id", "own").mapInArrow(run, schema)
+    return rows.select("id", "own", *columns).repartition("id", "own").sortWithinPartitions("id", "own").mapInArrow(lambda batches: batched(each(batches)), schema)
 
 
 def _others(rows: DataFrame, key: str) -> DataFrame:
@@ -226,11 +239,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dropped(windows)
     one = T.StructType([docs.schema["id"], *T._parse_datatype_string("own long, l int, r int").fields])
 
-    def stretched(name, own, rows, arrow):
-        found = shared_stretches(rows, length)
-        if found:
-            columns = [name] * len(found), [own] * len(found), [a for a, _ in found], [b for _, b in found]
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    def stretched(name, own, rows):
+        return [(name, own, a, b) for a, b in shared_stretches(rows, length)]
 
     shared = reduce(DataFrame.unionAll, parts)
     stretches = written(_by_text(shared, ["l", "r", "k"], stretched, one).groupBy("id", "own").agg(F.collect_list(F.struct("l", "r")).alias("stretches")), "stretches")
@@ -264,13 +274,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dropped(stretches)
     found = T.StructType([docs.schema["id"], *T._parse_datatype_string("first int, last int, n_repeated long").fields, T.StructField("first_id", docs.schema["id"].dataType)])
 
-    def joined(name, own, rows, arrow):
+    def joined(name, own, rows):
         places, at = np.unique(rows[:, 0].astype(np.int64), return_index=True)
         spans = passages(places, length)
-        if spans:
-            ends = [(int(np.searchsorted(places, a)), int(np.searchsorted(places, b, side="right"))) for a, b in spans]
-            columns = [[name] * len(spans), [a for a, _ in spans], [b for _, b in spans], [j - i for i, j in ends], [min(rows[at[i:j], 1]) for i, j in ends]]
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        ends = [(int(np.searchsorted(places, a)), int(np.searchsorted(places, b, side="right"))) for a, b in spans]
+        return [(name, a, b, j - i, min(rows[at[i:j], 1])) for (a, b), (i, j) in zip(spans, ends)]
 
     spans = _by_text(repeated, ["pos", "first_id"], joined, found)
     end = F.col("last") + WORDS
