@@ -15,7 +15,7 @@ Groups are never gathered: of equal min-hashes only the smallest and largest doc
 task before they are shuffled, and the join that marks a hot one's windows is split by adaptive execution.
 The hash functions go through this in PARTS parts, and the shared min-hashes of each are written before its join, so that on disk there
 are the windows, those found to be shared, and one shuffle of a part. Most windows of others are left out of the join by a bit table of fixed size.
-Equal shingles of the few remaining stretches meet in a window, which streams them and spills.
+Equal shingles of the few remaining stretches meet in a window, which streams them and spills; by their hashes, they too go in PARTS parts.
 Texts are shuffled only for documents with shared windows, found by a bit table of fixed size.
 
 Defined results: words as in the Jaccard join; null, empty and shorter texts have no passages; rows that
@@ -40,7 +40,7 @@ WORDS = 5
 #: Shingles of the shortest passage: 50 words.
 LENGTH = 46
 HASHES, NEEDED = 6, 2
-#: The hash functions are worked through in so many parts, one after the other, whose shuffles do not lie on disk together.
+#: The hash functions, and then the shingles, are worked through in so many parts, one after the other, whose shuffles do not lie on disk together.
 PARTS = 3
 #: Windows of longer texts are found one by one, without a table of the smallest values of blocks.
 LONG = 1 << 16
@@ -245,11 +245,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = reduce(DataFrame.unionAll, parts)
     stretches = written(_by_text(shared, ["l", "r", "k"], stretched, one).groupBy("id", "own").agg(F.collect_list(F.struct("l", "r")).alias("stretches")), "stretches")
     dropped(*parts)
-    whole = members(docs, stretches).join(stretches, ["id", "own"]).groupBy("id", "own").agg(F.first("text").alias("text"), F.first("stretches").alias("stretches"))
+    texts = members(docs, stretches).join(stretches, ["id", "own"]).groupBy("id", "own").agg(F.first("text").alias("text"), F.first("stretches").alias("stretches"))
+    whole = written(texts.select("text", "id", "own", "stretches"), "texts")
+    dropped(stretches)
     listed = T.StructType([docs.schema["id"], *T._parse_datatype_string("own long, shingle long, pos int").fields])
     arrow = to_arrow_schema(listed)
 
-    def shingles(batches):
+    def shingles(batches, part):
         for batch in batches:
             offsets, data = ts.buffers(batch.column(0))
             wanted = batch.column(3).to_pylist()
@@ -260,6 +262,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     every = _sequence(found, i)
                     for s in wanted[a + i]:
                         pos = np.arange(s["l"], min(s["r"], len(every)), dtype=np.int32)
+                        pos = pos[every[pos] % _U(PARTS) == part]
                         rows.append(np.full(len(pos), a + i))
                         own.append(every[pos].view(np.int64))
                         places.append(pos)
@@ -268,10 +271,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     yield pa.RecordBatch.from_arrays([*[batch.column(1 + j).take(at).cast(arrow.field(j).type) for j in (0, 1)], pa.array(np.concatenate(own)), pa.array(np.concatenate(places))], schema=arrow)
 
     same = Window.partitionBy("shingle")
-    counted = whole.select("text", "id", "own", "stretches").mapInArrow(shingles, listed)
-    repeated = written(counted.withColumn("first_id", F.min("id").over(same)).withColumn("last_id", F.max("id").over(same))
-                       .where("first_id < last_id").select("id", "own", "pos", "first_id"), "repeated")
-    dropped(stretches)
+    parts = []
+    for part in range(PARTS):
+        counted = whole.mapInArrow(lambda batches, part=part: shingles(batches, part), listed)
+        parts.append(written(counted.withColumn("first_id", F.min("id").over(same)).withColumn("last_id", F.max("id").over(same))
+                             .where("first_id < last_id").select("id", "own", "pos", "first_id"), "repeated"))
+    dropped(whole)
+    repeated = reduce(DataFrame.unionAll, parts)
     found = T.StructType([docs.schema["id"], *T._parse_datatype_string("first int, last int, n_repeated long").fields, T.StructField("first_id", docs.schema["id"].dataType)])
 
     def joined(name, own, rows):
@@ -284,5 +290,5 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     end = F.col("last") + WORDS
     result = written(spans.select(
         F.col("id").alias(id_col), F.col("first").cast("long").alias("start_word"), end.cast("long").alias("end_word"), (end - F.col("first")).cast("long").alias("n_words"), "n_repeated", "first_id"), "passages")
-    dropped(repeated)
+    dropped(*parts)
     return result
