@@ -1,7 +1,10 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes, over a whole corpus.
 
 Texts are shuffled once, by full text, and counted on the way: each distinct text is encoded and
-aligned once, however many documents hold it. Both encodings of a text are byte ranges; where a range
+aligned once, however many documents hold it. Where neither tokenizer can have a token go from what is no
+white space into the blank after it (see can_cut), texts are cut before such blanks into units: a text's
+tokens and groups are those of its units, one after the other, and a worker encodes a unit that it has just
+met only once. Other tokenizers get whole texts. Both encodings of a text are byte ranges; where a range
 of A and one of B end at the same byte, the text is cut, and what lies between two cuts is a group. The
 tokens that end there are linked, and the count of an id pair is the number of its links in all
 documents: each distinct text gives its links once, times its number of documents.
@@ -18,8 +21,11 @@ count each. Strings of special tokens are ordinary text. Only the named columns
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,12 @@ from .common import dealt_join, dropped, written
 #: Pairs in one broadcast: 24 bytes each.
 MAX_PAIRS = 1 << 20
 SIZES = "n_a", "n_b", "n_groups", "n_links"
+#: A worker forgets the units it knows when they are more than these, or their characters.
+MAX_UNITS, MAX_CHARS = 1 << 17, 1 << 22
+#: Bytes of units encoded as one text.
+RUN_BYTES = 1 << 14
+#: The blank that a unit begins with, in a text without the blank before it.
+CUT = re.compile(r"(?<=\S) ")
 
 
 def byte_letters() -> dict[str, int]:
@@ -55,6 +67,28 @@ class Ragged:
         return self.data[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
 
 
+def can_cut(a_json: str, b_model: bytes) -> bool:
+    """Whether both tokenizers give a text the tokens of its units, one after the other. A: byte-level words by the usual expression, in
+    which white space but begins a word, and nothing else that looks across. B: BPE of the text as it is, without a piece in which
+    white space follows anything else, so that no merge reaches across."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    a, b = json.loads(a_json), sentencepiece_model_pb2.ModelProto.FromString(b_model)
+    words, model, norm = a.get("pre_tokenizer") or {}, a["model"], b.normalizer_spec
+    return (
+        words.get("type") == "ByteLevel" and words["use_regex"] and not words["add_prefix_space"] and not a.get("normalizer") and not a.get("post_processor")
+        and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not model.get("fuse_unk")
+        and all(x["special"] for x in a.get("added_tokens", ()))
+        and b.trainer_spec.model_type == 2 and b.trainer_spec.byte_fallback and not b.trainer_spec.treat_whitespace_as_suffix
+        and not norm.precompiled_charsmap and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces
+        and not any(x.type == x.USER_DEFINED or "▁" in x.piece.lstrip("▁") for x in b.pieces)
+    )
+
+
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=sum(map(len, ids)))
+
+
 class Aligner:
     def __init__(self, a_json: str, b_model: bytes):
         import sentencepiece
@@ -70,46 +104,102 @@ class Aligner:
         self.a_bytes = Ragged([bytes(letters[c] for c in x) if letters.keys() >= set(x) else x.encode() for x in a_names])
         b_names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = Ragged([bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(b_names)])
-        self.size_b = len(b_names)
+        self.size_a, self.size_b = len(a_names), len(b_names)
+        self.blank = self.b.encode("a ")[len(self.b.encode("a")):]
+        self.cuts = can_cut(a_json, b_model)
+        self.forget()
         self.numbers = Ragged([b"%d," % i for i in range(max(len(a_names), len(b_names)))])
 
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}  # unit without its first blank -> its number
+        self.chars = 0
+        self.groups: list[bytes] = []
+        self.sizes = np.empty((4, 0), dtype=np.int64)  # n_a, n_b, n_groups, and where its pairs begin
+        self.pairs = np.empty(0, dtype=np.int64)
+
     def encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         found = self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)
-        return [x.ids for x in found], self.b.encode(texts, num_threads=1)
-
-    def align(self, texts: list[str], raw: list[bytes]) -> dict[str, np.ndarray | list]:
-        """For each text the sizes, the groups as bytes, and its distinct links (pair, n): offsets and both columns."""
-        a, b = self.encoded(texts)
-        whole = [b" " + x for x in raw]
-        flat = lambda ids: np.fromiter((i for x in ids for i in x), dtype=np.int64, count=sum(map(len, ids)))
-        all_a, all_b, expected = flat(a), flat(b), np.frombuffer(b"".join(whole), dtype=np.uint8)
-        good = [True] * len(texts)
-        if not (np.array_equal(self.a_bytes.joined(all_a), expected) and np.array_equal(self.b_bytes.joined(all_b), expected)):
-            for i, x in enumerate(whole):
-                own_a, own_b = (t.joined(np.array(ids, dtype=np.int64)).tobytes() for t, ids in ((self.a_bytes, a[i]), (self.b_bytes, b[i])))
-                good[i] = own_a == own_b == x
-        good = [g and len(x) > 1 for g, x in zip(good, whole)]
-        if not all(good):
-            a, b = ([x if g else [] for x, g in zip(ids, good)] for ids in (a, b))
-            all_a, all_b = flat(a), flat(b)
-        n_a, n_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (a, b))
-        a_end, b_end = np.cumsum(self.a_bytes.sizes[all_a]), np.cumsum(self.b_bytes.sizes[all_b])
-        a_cut, b_cut = np.isin(a_end, b_end, assume_unique=True), np.isin(b_end, a_end, assume_unique=True)
-        text_of = np.repeat(np.arange(len(texts)), n_a)[a_cut]
-        n_groups = np.bincount(text_of, minlength=len(texts))
-        pairs = all_a[a_cut] * self.size_b + all_b[b_cut]
-        order = np.lexsort((pairs, text_of))
-        pairs, of = pairs[order], text_of[order]
-        first = np.ones(len(pairs), dtype=bool)
-        first[1:] = (pairs[1:] != pairs[:-1]) | (of[1:] != of[:-1])
-        at = np.flatnonzero(first)
+        return [x.ids for x in found], [x or self.blank for x in self.b.encode(texts, num_threads=1)]
+
+    def align(self, texts: list[str]) -> dict[str, np.ndarray | list]:
+        """For each text, none empty, the sizes, the groups as bytes, and its distinct links (pair, n): offsets and both columns."""
+        if len(self.known) > MAX_UNITS or self.chars > MAX_CHARS:
+            self.forget()
+        parts = [CUT.split(x) for x in texts] if self.cuts else [[x] for x in texts]
+        numbers = self._numbers(parts)
+        starts = np.cumsum([0, *map(len, parts)])
+        if len(bad := np.flatnonzero(np.add.reduceat(self.sizes[0][numbers] == 0, starts[:-1]))):
+            for i in bad.tolist():  # a text is given back or not as a whole
+                parts[i] = [texts[i]]
+            numbers = self._numbers(parts)
+            starts = np.cumsum([0, *map(len, parts)])
+        n_a, n_b, n_groups = (np.add.reduceat(x[numbers], starts[:-1]) for x in self.sizes[:3])
+        each, begin = self.sizes[2][numbers], self.sizes[3][numbers]
+        shift = begin - (np.cumsum(each) - each)
+        pairs = self.pairs[np.repeat(shift, each) + np.arange(int(each.sum()))]
+        span = self.size_a * self.size_b
+        linked = np.sort(np.repeat(np.arange(len(texts)), n_groups) * span + pairs)
+        at = np.flatnonzero(np.diff(linked, prepend=-1))
+        of, pair = np.divmod(linked[at], span)
+        cuts, flat = starts.tolist(), [self.groups[i] for i in numbers.tolist()]
         return {
             "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_groups,
-            "groups": self._groups(all_a, all_b, a_cut, b_cut, n_a, n_b),
-            "offsets": np.concatenate([[0], np.cumsum(np.bincount(of[at], minlength=len(texts)))]),
-            "pair": pairs[at], "n": np.diff(at, append=len(pairs)),
+            "groups": [b";".join(flat[p:q]) for p, q in zip(cuts, cuts[1:])],
+            "offsets": np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]),
+            "pair": pair, "n": np.diff(at, append=len(linked)),
         }
 
+    def _numbers(self, parts: list[list[str]]) -> np.ndarray:
+        """The numbers of all units, one after the other; those not known yet are encoded."""
+        fresh = set(chain.from_iterable(parts)).difference(self.known)
+        if fresh:
+            alone = [x for x in fresh if not self.cuts or not x or x[-1].isspace()]
+            fresh = [*fresh.difference(alone), *alone]
+            sizes, groups, pairs = self._units(fresh, len(fresh) - len(alone))
+            sizes[3] = len(self.pairs) + np.cumsum(sizes[2]) - sizes[2]
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+            self.chars += sum(map(len, fresh))
+            self.groups += groups
+            self.sizes, self.pairs = np.concatenate([self.sizes, sizes], axis=1), np.concatenate([self.pairs, pairs])
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=sum(map(len, parts)))
+
+    def _tokens(self, units: list[str], runs: list[tuple[int, int]]) -> tuple[list[list[int]], list[list[int]], list[int]]:
+        """The tokens of runs of units, each encoded as one text, and the units that are not given back: these have none."""
+        rows = [" ".join(units[p:q]) for p, q in runs]
+        a, b = self.encoded(rows)
+        if all(self._given(table, ids, rows) for table, ids in ((self.a_bytes, a), (self.b_bytes, b))):
+            return a, b, []
+        all_a, all_b, lost = [], [], []
+        for (p, q), row, own_a, own_b in zip(runs, rows, a, b):
+            own = [own_a], [own_b], []
+            if not (self._given(self.a_bytes, [own_a], [row]) and self._given(self.b_bytes, [own_b], [row])):
+                own = ([], [], [p]) if q == p + 1 else self._tokens(units, [(i, i + 1) for i in range(p, q)])
+            for out, more in zip((all_a, all_b, lost), own):
+                out += more
+        return all_a, all_b, lost
+
+    @staticmethod
+    def _given(table: Ragged, ids: list[list[int]], rows: list[str]) -> bool:
+        """Whether the tokens of each text are its bytes, with a blank before them."""
+        raw, flat = [b" " + x.encode() for x in rows], _flat(ids)
+        ends = np.concatenate([[0], np.cumsum(table.sizes[flat])])[np.cumsum([len(x) for x in ids])]
+        return np.array_equal(ends, np.cumsum([len(x) for x in raw])) and np.array_equal(table.joined(flat), np.frombuffer(b"".join(raw), dtype=np.uint8))
+
+    def _units(self, units: list[str], joined: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """The sizes of units, their groups as bytes, and their links as pairs. The first `joined`, which end in no white space, are
+        encoded many at a time, as a text that is cut between them."""
+        spans = np.fromiter((len(x.encode()) + 1 for x in units), dtype=np.int64, count=len(units))
+        marks = np.flatnonzero(np.diff(np.cumsum(spans[:joined]) // RUN_BYTES, prepend=-1)).tolist()
+        runs = [*zip(marks, [*marks[1:], joined]), *((i, i + 1) for i in range(joined, len(units)))]
+        a, b, lost = self._tokens(units, runs)
+        spans[lost] = 0
+        all_a, all_b, ends = _flat(a), _flat(b), np.cumsum(spans)
+        a_end, b_end = np.cumsum(self.a_bytes.sizes[all_a]), np.cumsum(self.b_bytes.sizes[all_b])
+        a_cut, b_cut = np.isin(a_end, b_end, assume_unique=True), np.isin(b_end, a_end, assume_unique=True)
+        count = lambda at: np.diff(np.searchsorted(at, ends, side="right"), prepend=0)
+        n_a, n_b, n_groups = count(a_end), count(b_end), count(a_end[a_cut])
+        return np.stack([n_a, n_b, n_groups, n_groups]), self._groups(all_a, all_b, a_cut, b_cut, n_a, n_b), all_a[a_cut] * self.size_b + all_b[b_cut]
+
     def _groups(self, a, b, a_cut, b_cut, n_a, n_b) -> list[bytes]:
         """`a1,a2|b1;a3|b2,b3` for each text: ids of A, then of B, by group."""
         of_a, of_b = np.cumsum(a_cut) - a_cut, np.cumsum(b_cut) - b_cut
@@ -152,7 +242,7 @@ def _aligned(texts: DataFrame, a_path: str, b_path: str, digests: bool) -> tuple
                 cuts = (offsets[a : b + 1] - offsets[a]).tolist()
                 piece = data[offsets[a] : offsets[b]].tobytes()
                 raw = [piece[p:q] for p, q in zip(cuts, cuts[1:])]
-                found = aligner.align([x.decode() for x in raw], raw)
+                found = aligner.align([x.decode() for x in raw])
                 groups = [hashlib.sha256(g).hexdigest() if digests and g else g.decode() for g in found["groups"]]
                 links = pa.StructArray.from_arrays([pa.array(found["pair"], type=pa.int64()), pa.array(found["n"], type=pa.int32())], ["pair", "n"])
                 lists = pa.ListArray.from_arrays(pa.array(found["offsets"], type=pa.int32()), links)

@@ -238,6 +238,46 @@ def test_alignment_of_nothing(spark, nothing):
     assert alignment.align(nothing, *PATHS).collect() == []
 
 
+SPACES = [" ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\ufeff"]
+OTHERS = ["\x00", "a", "the", "B", "\u00e9", "e\u0301", "\u0301", "'s", "'ll", "12", ".", "!!", "\u2581", "\u65e5\u672c", "\U0001f642", "\ufb01", "<|endoftext|>", "<s>", "<unk>", "<0x41>"]
+
+
+def aligner():
+    return alignment.Aligner(open(PATHS[0], encoding="utf-8").read(), open(PATHS[1], "rb").read())
+
+
+@pytest.mark.parametrize("cuts", [True, False])
+def test_alignment_by_units(cuts):
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice(rnd.choice((SPACES, OTHERS))) for _ in range(rnd.randint(1, 14))) for _ in range(1500)]
+    known, found, own = plain_alignment(texts), [], aligner()
+    assert own.cuts
+    own.cuts = cuts
+    for at in range(0, len(texts), 100):
+        part = own.align(texts[at : at + 100])
+        ends = part["offsets"].tolist()
+        found += zip(part["n_a"].tolist(), part["n_b"].tolist(), part["groups"], [dict(zip(part["pair"][p:q].tolist(), part["n"][p:q].tolist())) for p, q in zip(ends, ends[1:])])
+    for text, (n_a, n_b, groups, links) in zip(texts, found, strict=True):
+        expected = known[text]
+        assert (n_a, n_b) == (sum(len(a) for a, _ in expected), sum(len(b) for _, b in expected)), repr(text)
+        assert groups.decode() == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in expected), repr(text)
+        assert links == Counter(a[-1] * own.size_b + b[-1] for a, b in expected), repr(text)
+
+
+def test_units_are_encoded_once(monkeypatch):
+    own, seen = aligner(), []
+    encoded = own.encoded
+    monkeypatch.setattr(own, "encoded", lambda texts: seen.append(sum(map(len, texts))) or encoded(texts))
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(("the", "cats,", "were", "sat.", "\nOn")) for _ in range(500)) for _ in range(50)]
+    for x in texts:
+        own.align([x])
+    assert sum(seen) < 100 < sum(map(len, texts)) / 100
+    monkeypatch.setattr(alignment, "MAX_UNITS", 2)
+    before = own.align(texts)
+    assert len(own.known) == 5 and before["groups"] == own.align(texts)["groups"]
+
+
 # --- SimHash ----------------------------------------------------------------------------------------
 
 
