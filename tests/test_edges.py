@@ -8,6 +8,7 @@ from collections import Counter
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import Catalog, Dataset, ProfileConfig, TableProfile, profile
 from plumbline.operators import (
@@ -511,3 +512,28 @@ def test_counts_at_the_ends_make_no_rows(spark, monkeypatch):
     spans = [ranks.Span(0, [3], 7), ranks.Span(1, [4], 8)]
     (own,), (other,) = ranks._sketch_ends(df, ["a", "b"], spans, ProfileConfig(aggregates_per_scan=1))
     assert own[1] <= 1.5 <= own[2] and other[1] <= 1.0 <= other[2]
+
+
+def test_warnings_count_no_distinct_values(spark, monkeypatch):
+    """Constants show in the least and the largest value; years, sizes and distinct values are not read for warnings."""
+    nan = float("nan")
+    df = spark.createDataFrame(
+        [(1, 7, nan, 0.0, None, 5, nan, "x"), (2, 7, nan, -0.0, None, None, 1.0, "x"), (3, 7, nan, 0.0, None, 5, nan, "x")],
+        "k int, same int, nans double, zeros double, none bigint, gap int, mixed double, text string")
+    df = df.withColumn("amount", F.lit("1.50").cast("decimal(9,2)"))
+    tables = [Dataset("t", df, "t"), Dataset("empty", df.limit(0), "empty")]
+    expected = {"t": {"same", "nans", "zeros", "none", "amount"}, "empty": {"k", "same", "nans", "zeros", "none", "gap", "mixed", "amount"}}
+
+    def constants(c, frame):
+        return {n: {r["column"] for r in frame(c).collect() if r["dataset_name"] == n} for n in expected}
+
+    full = Catalog(spark, tables, EXACT)
+    full.sources_table
+    known = {n: {r["column"] for r in full.schema.where("type_class = 'numeric' and (non_null = 0 or unique <= 1)").collect() if r["dataset_name"] == n} for n in expected}
+    assert known == expected == constants(full, lambda c: c.constant_columns)
+    monkeypatch.setattr("plumbline.plans.catalog.distinct_counts", None)
+    for c in (full, Catalog(spark, tables, EXACT)):
+        assert constants(c, lambda c: c.warnings.where("rule = 'column_constant'")) == expected
+    bare = Catalog(spark, tables, EXACT)
+    warned = sorted(map(tuple, bare.warnings.collect()), key=str)
+    assert warned == sorted(map(tuple, full.warnings.collect()), key=str) and "facts" not in bare.__dict__
