@@ -2,22 +2,24 @@
 
 All sets are ordered alike: shingles seldom met first, those met often last, by count. Two sets that
 overlap by enough share at least s of the first n - ceil(0.75 n) + s shingles of that order (their
-prefixes; s is 1 + n / 16), so documents meet under their prefix shingles, and those that meet under
-too few are not tried. Equal sets are one node from the start.
+prefixes; s is 1 + n / 16, more where both sizes are known), so documents meet under their prefix
+shingles, and those that meet under too few are not tried. Equal sets are one node from the start.
 
 Who meets whom becomes probes: of a small group every pair, of a large one each set against the
 group's leader, the set with most shingles in large groups (a pair's meetings in large groups, which are
-not counted, are taken to be as many as the set with fewer of them has). For every probe set, the
+not counted, are taken to be as many as the set with fewer of them has; a set with fewer of them than any
+link of its size takes has no need of large groups). For every probe set, the
 ordered sets to be tried are stored in a trie whose paths share equal beginnings; it is walked from
 the root, the overlap so far is carried down, and a branch is left when even all its remaining
 shingles would be too few. Groups with one leader make a cluster. Sets of a cluster that are not yet in
-its leader's component are then probes against the whole cluster, in blocks, and report one link per
-component found: no link that matters to the components is missed, and no group is paired with
-itself. Components are found by star contraction.
+its leader's component are then probes against the sets of the cluster of about their size, in blocks,
+and report one link per component found: no link that matters to the components is missed, and no group
+is paired with itself. Components are found by star contraction.
 
 Only ids, sizes and hashes move, but for the texts of sets that are tried. What is broadcast is the
 list of frequent shingles, MAX_FREQUENT at most; being an order only, it changes no result. A probe
-with many sets is dealt out in blocks of BLOCK shingles.
+with many sets is dealt out in blocks of BLOCK shingles. Groups are made in parts of the shingles, and
+probes in rounds, so that what is on disk at a time stays a share of the corpus, however many probes there are.
 
 Defined results: words are parted by white space, A-Z lower-cased; with fewer words than a shingle
 has, the whole text is one; null and wordless texts have no shingles, link with nothing and are their
@@ -27,6 +29,8 @@ Sets and shingles are told apart by 64-bit hashes. Only the named columns are re
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -46,8 +50,16 @@ SMALL = 32
 #: A prefix is longer than it must be by a shingle for each so many of its set.
 SPARE = 16
 BLOCK = 1 << 20
-#: Sets that a block of a cluster is probed with at a time.
-PROBES = 128
+#: Sizes of linked sets differ by less than this factor, so they lie in the same band of sizes or in the next.
+BAND = 1.34
+#: Shingles of the corpus whose groups are made together; beyond MAX_PARTS times as many, parts grow.
+PART = 1 << 25
+MAX_PARTS = 8
+#: Shingles that a round of probes moves: so many, or this share of all shingles of the corpus if that is more.
+ROUND = 1 << 25
+ROUND_SHARE = 0.4
+#: What a set that is wanted costs, in times its shingles: its text, its shingles as they are written and joined.
+WANTED = 2.5
 
 _U = np.uint64
 
@@ -160,36 +172,65 @@ def _size_fits(n: str, m: str):
     return (F.col(n) <= F.col(m)) & (4 * F.col(n) >= 3 * F.col(m))
 
 
+def enough(n: int, m: int) -> int:
+    """Prefix shingles that linked sets of these sizes share. Up to the end of the prefix that ends first in the
+    order, what they share is in both prefixes; after it, at most the rest of that set."""
+    return max(1, -(-3 * (n + m) // 7) - max(n - prefix_size(n), m - prefix_size(m)))
+
+
 def _enough(n: str, m: str):
-    """Prefix shingles that linked sets of these sizes must share."""
-    return 1 + F.floor(F.least(n, m) / SPARE)
+    """enough() of two columns."""
+    rest = [F.floor((3 * F.col(x) + 3) / 4) - 1 - F.floor(F.col(x) / SPARE) for x in (n, m)]
+    return F.greatest(F.lit(1), F.floor((3 * (F.col(n) + F.col(m)) + 6) / 7) - F.greatest(*rest))
+
+
+def _least_enough(n: str):
+    """No more than enough(n, m) for any m that fits."""
+    return 1 + F.floor(F.floor((3 * F.col(n) + 3) / 4) / SPARE)
 
 
-def _meetings(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to be tried, and the clusters (leader, ln, key, n) of large groups."""
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _groups(sets: DataFrame, part: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Meetings in small groups (a, an, b, bn, c: how many), and the large groups (shingle, key, n), of a part of the shingles.
+    Equal sets count once."""
     posted = sets.where("n > 0").select(F.explode("prefix").alias("shingle"), "key", "n")
+    if parts > 1:
+        posted = posted.where(F.pmod("shingle", F.lit(parts)) == part)
     group = Window.partitionBy("shingle")
-    shared = written(posted.withColumn("m", F.count("*").over(group)).where("m > 1"), "shared")
-    large = written(shared.where(F.col("m") > SMALL).select("shingle", "key", "n").distinct(), "large")
-    few = (shared.where(F.col("m") <= SMALL).groupBy("shingle").agg(F.array_sort(F.collect_set(F.struct("n", "key"))).alias("members"))
-           .where(F.size("members") > 1).groupBy("members").agg(F.count("*").alias("c")))
+    shared = written(posted.repartition("shingle").distinct().withColumn("m", F.count("*").over(group)).where("m > 1"), "shared")
+    large = written(shared.where(F.col("m") > SMALL).select("shingle", "key", "n"), "large")
+    few = (shared.where(F.col("m") <= SMALL).groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("members"))
+           .groupBy("members").agg(F.count("*").alias("c")))
     met = (few.select("members", "c", F.posexplode("members").alias("i", "x"))
            .select("c", "x", F.explode(F.slice("members", F.col("i") + 2, F.size("members"))).alias("y"))
            .select(F.col("x.key").alias("a"), F.col("x.n").alias("an"), F.col("y.key").alias("b"), F.col("y.n").alias("bn"), "c").where(_size_fits("an", "bn")))
     met = written(met.groupBy("a", "an", "b", "bn").agg(F.sum("c").alias("c")), "met")
-    uncounted = large.groupBy("key").agg(F.count("*").alias("u"))
+    dropped(shared)
+    return met, large
+
+
+def _meetings(sets: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, an, b, bn) to be tried, and the clusters (leader, key, n and more) of large groups. total: shingles of all sets."""
+    parts = min(MAX_PARTS, 1 + total // PART)
+    made = [_groups(sets, k, parts) for k in range(parts)]
+    met = _all([x for x, _ in made]).groupBy("a", "an", "b", "bn").agg(F.sum("c").alias("c"))
+    large = _all([x for _, x in made])
+    uncounted = written(large.groupBy("key").agg(F.count("*").alias("u")), "uncounted")
     known = met
     for side in ("a", "b"):
         known = known.join(uncounted.select(F.col("key").alias(side), F.col("u").alias(f"{side}u")), side, "left")
     pairs = known.where(F.col("c") + F.least(F.coalesce("au", F.lit(0)), F.coalesce("bu", F.lit(0))) >= _enough("an", "bn")).select("a", "an", "b", "bn")
-    ranked = large.join(uncounted, "key")
-    leaders = ranked.groupBy("shingle").agg(F.max(F.struct("u", "key", "n")).alias("leader")).select("shingle", "leader.key", "leader.n").toDF("shingle", "leader", "ln")
-    clusters = written(large.join(leaders, "shingle").select("leader", "ln", "key", "n").distinct(), "clusters")
+    ranked = large.join(uncounted, "key").where(F.col("u") >= _least_enough("n"))
+    leaders = ranked.groupBy("shingle").agg(F.max(F.struct("u", "key", "n")).alias("leader")).select("shingle", "leader.key", "leader.n", "leader.u").toDF("shingle", "leader", "ln", "lu")
+    clusters = written(ranked.join(leaders, "shingle").select("leader", "ln", "lu", "key", "n", "u").distinct(), "clusters")
     spokes = clusters.where("leader != key").select(
-        *[F.when(F.col("n") < F.col("ln"), F.col(x)).otherwise(F.col(y)) for x, y in (("key", "leader"), ("n", "ln"), ("leader", "key"), ("ln", "n"))])
-    pairs = pairs.unionAll(spokes)
-    tried = written(pairs.where(_size_fits("an", "bn")).select("a", "b").distinct(), "pairs")
-    dropped(shared, met, large)
+        F.least("u", "lu").alias("u"), *[F.when(F.col("n") < F.col("ln"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("key", "leader", "a"), ("n", "ln", "an"), ("leader", "key", "b"), ("ln", "n", "bn"))])
+    pairs = pairs.unionAll(spokes.where(F.col("u") >= _enough("an", "bn")).select("a", "an", "b", "bn"))
+    tried = written(pairs.where(_size_fits("an", "bn")).distinct(), "pairs")
+    dropped(uncounted, *[x for both in made for x in both])
     return tried, clusters
 
 
@@ -317,13 +358,12 @@ def _links(rows: DataFrame, ordered: DataFrame, names: list[str]) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def _tried(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are linked: each a is a probe for its partners, in blocks of BLOCK shingles."""
-    sized = pairs.join(ordered.select(F.col("key").alias("b"), F.size("shingles").alias("listed")), "b")
-    blocks = sized.groupBy("a").agg(F.ceil(F.sum("listed") / BLOCK).cast("int").alias("blocks"))
-    partners = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), F.col("b").alias("key"))
-    probes = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), F.col("a").alias("key"))
-    return _links(partners.unionAll(probes).withColumn("component", F.col("key")), ordered, ["a", "block"])
+def _tried(pairs: DataFrame) -> DataFrame:
+    """Probes for the pairs (a, an, b, bn): each a is one for its partners, in blocks of BLOCK shingles."""
+    blocks = pairs.groupBy("a", "an").agg(F.ceil(F.sum("bn") / BLOCK).cast("int").alias("blocks"))
+    partners = pairs.join(blocks.drop("an"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), F.col("b").alias("key"), F.col("bn").alias("n"))
+    probes = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), F.col("a").alias("key"), F.col("an").alias("n"))
+    return partners.unionAll(probes).withColumn("component", F.col("key"))
 
 
 def _rest(clusters: DataFrame, labels: DataFrame) -> DataFrame:
@@ -334,16 +374,37 @@ def _rest(clusters: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(named.where(~F.col("led")).select("leader").distinct(), "leader", "left_semi")
 
 
-def _cluster_links(rest: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Links (a, b) of the sets outside their leader's component: PROBES of them at a time against all of the
-    cluster, in blocks of BLOCK shingles."""
-    parts = rest.groupBy("leader").agg(
-        F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(~F.col("led")) / PROBES).cast("int").alias("turns"))
-    named = rest.join(parts, "leader")
-    own = F.xxhash64("key")
-    sets = named.select("leader", F.pmod(own, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(0).alias("role"), "key", "component")
-    probes = named.where(~F.col("led")).select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(own, F.col("turns")).cast("int").alias("turn"), F.lit(1).alias("role"), "key", "component")
-    return _links(sets.unionAll(probes), ordered, ["leader", "block", "turn"])
+def _cluster_probes(rest: DataFrame) -> DataFrame:
+    """Probes for the sets outside their leader's component, against the sets of the cluster in their band of sizes
+    and the next ones: blocks of BLOCK shingles of either kind."""
+    sets = rest.withColumn("band", F.floor(F.log("n") / np.log(BAND)).cast("int"))
+    probes = sets.where(~F.col("led")).withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+    named = ["leader", "band"]
+    count = lambda rows, name: rows.groupBy(*named).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias(name))
+    parts = count(sets, "blocks").join(count(probes, "turns"), named)
+    own, upto = F.xxhash64("key"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    sets = sets.join(parts, named).select(*named, F.pmod(own, F.col("blocks")).cast("int").alias("block"), upto("turns").alias("turn"), F.lit(0).alias("role"), "key", "n", "component")
+    probes = probes.join(parts, named).select(*named, upto("blocks").alias("block"), F.pmod(own, F.col("turns")).cast("int").alias("turn"), F.lit(1).alias("role"), "key", "n", "component")
+    return sets.unionAll(probes)
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, probes: DataFrame, names: list[str], order, total: int) -> list[DataFrame]:
+    """Links (a, b) of the probes, as tables by round. Sets are made from their texts for all rounds at once if they are few, else anew for each."""
+    rows = written(probes, "probes")
+    limit = max(ROUND, int(ROUND_SHARE * total))
+    wanted = WANTED * (rows.select("key", "n").distinct().agg(F.sum("n")).head()[0] or 0)
+    rounds = -(-int(wanted + (rows.agg(F.sum("n")).head()[0] or 0)) // limit)
+    ordered = lambda some: _ordered(docs, id_col, text_col, sets, some.select("key").distinct(), order)
+    every = ordered(rows) if rounds and wanted <= limit / 2 else None
+    links = []
+    for k in range(rounds):
+        now = rows.where(F.pmod(F.xxhash64(*names), F.lit(rounds)) == k)
+        own = ordered(now) if every is None else every
+        links.append(written(_links(now, own, names), "links"))
+        if every is None:
+            dropped(own)
+    dropped(rows, *([] if every is None else [every]))
+    return links
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None) -> DataFrame:
@@ -351,19 +412,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component (a hash that names the component, null without shingles) and the columns `also`, in a struct of that name."""
     order = docs.sparkSession.sparkContext.broadcast(Order(_frequent(docs, text_col)))
     full = _sets(docs, id_col, text_col, order, also or [])
-    pairs, clusters = _meetings(full)
     sets = written(full.drop("prefix"), "slim")
+    total = sets.agg(F.sum("n")).head()[0] or 0
+    pairs, clusters = _meetings(full, total)
     dropped(full)
-    ordered = _ordered(docs, id_col, text_col, sets, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), order)
-    links = written(_tried(pairs, ordered), "links")
-    labels = components(links)
+    links = _found(docs, id_col, text_col, sets, _tried(pairs), ["a", "block"], order, total)
+    labels = components(_all([pairs.select("a", "b").limit(0), *links]))
     rest = written(_rest(clusters, labels), "rest")
-    dropped(ordered, clusters, pairs, links)
+    dropped(clusters, pairs, *links)
     if not rest.isEmpty():
-        ordered = _ordered(docs, id_col, text_col, sets, rest.select("key").distinct(), order)
-        more = written(_cluster_links(rest, ordered), "links")
-        labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(more))
-        dropped(ordered, more)
+        more = _found(docs, id_col, text_col, sets, _cluster_probes(rest), ["leader", "band", "block", "turn"], order, total)
+        labels = components(_all([labels.select(F.col("component").alias("a"), F.col("node").alias("b")), *more]))
+        dropped(*more)
     nodes = (sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id")).join(labels.withColumnRenamed("node", "key"), "key", "left")
              .select("key", "id", F.coalesce("component", "key").alias("component")))
     least = nodes.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -177,6 +177,50 @@ def test_jaccard_components(spark, monkeypatch, small):
     assert got == plain_components(texts)
 
 
+def probed(monkeypatch):
+    """Gets the shingles that each call of jaccard._links moves."""
+    moved, links = [], jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda rows, *rest: moved.append(rows.groupBy().sum("n").head()[0] or 0) or links(rows, *rest))
+    return moved
+
+
+def test_jaccard_chance_meetings_are_not_tried(spark, monkeypatch):
+    """A shingle that many texts share, in no order of frequency, makes no cluster of texts that share nothing else."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "MAX_FREQUENT", 0)
+    moved = probed(monkeypatch)
+    texts = {i: "all of them begin so " + " ".join(f"w{i}x{k}" for k in range(40)) for i in range(100)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: (41, i) for i in texts} and not moved
+
+
+def test_jaccard_in_parts_and_rounds(spark, monkeypatch):
+    """Parts of shingles and rounds of probes change no component, and a round moves a share of all."""
+    for name, value in (("SMALL", 4), ("BLOCK", 500), ("PART", 1), ("MAX_PARTS", 3), ("ROUND", 1), ("ROUND_SHARE", 1), ("MAX_FREQUENT", 0)):
+        monkeypatch.setattr(jaccard, name, value)
+    moved = probed(monkeypatch)
+    texts = dict(enumerate(family_texts(4)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(df).collect()} == plain_components(texts)
+    assert len(moved) > 2 and max(moved) < sum(moved) / 2
+
+
+def test_jaccard_enough(spark):
+    """Prefixes of linked sets share that many; equally in Python and as a column."""
+    r = random.Random(3)
+    for _ in range(3000):
+        n = r.randrange(1, 120)
+        a = r.sample(range(10**6), n)
+        b = r.sample(a, r.randrange(3 * n // 4, n + 1)) + r.sample(range(10**6, 2 * 10**6), r.randrange(n // 3 + 1))
+        order = {x: r.random() for x in {*a, *b}}
+        (p, q) = ({*sorted(x, key=order.get)[: jaccard.prefix_size(len(x))]} for x in (a, b))
+        if b and jaccard.linked(len({*a} & {*b}), len(a), len(b)):
+            assert len(p & q) >= jaccard.enough(len(a), len(b))
+    sizes = [(n, m) for n in (*range(1, 70), 793, 1048577) for m in range(n, min(4 * n // 3, n + 70) + 1)]
+    for x in spark.createDataFrame(sizes, "n long, m long").select("n", "m", jaccard._enough("n", "m").alias("e"), jaccard._least_enough("n").alias("x"), jaccard._least_enough("m").alias("y")).collect():
+        assert x.e == jaccard.enough(x.n, x.m) >= max(x.x, x.y)
+
+
 def test_jaccard_odd_rows(spark, docs, nothing):
     got = jaccard.jaccard_join(docs, also=["key"]).collect()
     assert len(got) == docs.count()
