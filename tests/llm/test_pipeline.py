@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from plumbline.llm import lines, toxicity
+from plumbline.llm import jaccard, lines, toxicity
 from plumbline.llm.common import table
-from tests.llm.conftest import CLASH
-from tests.llm.test_operators import ALNUM, SF, plain_components, words
+from tests.llm.conftest import CLASH, SCHEMA, rows_of
+from tests.llm.test_operators import ALNUM, SF, plain_components, probed, words
 
 NAMES = ["toxicity", "line_dedup", "near_duplicates", "decontamination", "bpe"]
 
@@ -56,3 +56,13 @@ def test_stages_on_odd_rows(spark, rows, request):
     else:
         assert sum(not (r.text or "").strip() for r in left) == 3
         assert sum((r.text or "").lower().startswith("the quick") for r in left) == 1 and {r.doc_id for r in left} >= {0, 1, 2, 3, 8, 9, 11}  # text 10 is near 5
+
+
+def test_near_duplicates_tries_no_chance_meetings(spark, monkeypatch):
+    """Documents that share one very common shingle all stay, and their sets are not moved."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "MAX_FREQUENT", 0)
+    moved = probed(monkeypatch)
+    texts = ["all of them begin so " + " ".join(f"w{i}x{k}" for k in range(40)) for i in range(100)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows_of(texts), SCHEMA), SF)
+    assert {r.doc_id for r in kept.collect()} == {*range(100)} and not moved
